@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but these six bytes, in every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python task works on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 BATCH_BYTES = "8m"
 
 

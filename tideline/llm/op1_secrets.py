@@ -29,6 +29,9 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 KINDS = ("assign", "access", "hex", "guess")
+#: One of these stands in every assignment and context, in small letters; and 32 hexadecimal digits in every hex span.
+HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential")
+HEX_MARKS = bytes(48 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
 GUESS_BITS = 45.0  #: from here on a context value counts as a secret
 
 #: Words that people put in passwords, commonest first; the rank gives the cost.
@@ -112,6 +115,11 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
+def may_hold(x: bytes) -> bool:
+    low = x.lower()
+    return b"AKIA" in x or any(h in low for h in HINTS) or b"0" * 32 in x.translate(HEX_MARKS)
+
+
 def scan(text: str, at_least: float = GUESS_BITS) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], float]:
     """The base spans, the spans that the guess cost adds, and the highest cost of a value (0 without one)."""
     base: list[tuple[str, int, int]] = []
@@ -142,7 +150,7 @@ def find_secrets(docs: DataFrame, at_least: float = GUESS_BITS) -> DataFrame:
         for batch, raw in chunks(batches):
             out: list[list] = [[] for _ in range(7)]
             for x in raw:
-                base, added, top = scan(x.decode("utf-8", "replace"), at_least)
+                base, added, top = scan(x.decode("utf-8", "replace"), at_least) if may_hold(x) else ([], [], 0.0)
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
                 for col, v in zip(out, (*n, len(added), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), top), strict=True):
                     col.append(v)

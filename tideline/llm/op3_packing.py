@@ -12,9 +12,11 @@ columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
+from functools import lru_cache
+from itertools import chain, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -22,42 +24,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import saved, texts
+from tideline.llm.common import chunks, saved
 
 SIZE = 2048
 END_ID = 0
-CACHED_WORDS, CACHED_BYTES = 400_000, 48
+CACHED_WORDS, CACHED_BYTES = 300_000, 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder(dict):
-    """Little-endian ids of a word between blanks; a blank always ends a token here, so words encode alone."""
+    """Little-endian ids of a word between blanks; a blank always ends a token here, so words encode alone.
+
+    Words not seen before are encoded together, with a special token's string between them, whose id parts them again.
+    A full table becomes the old one, from which only words that come again are taken over.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.old: dict[bytes, bytes] = {}
+        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def add(self, words: list[bytes]) -> None:
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        new = set(words).difference(self)
+        again = new.intersection(self.old)
+        self.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        new = [w for w in new - again if len(w) <= CACHED_BYTES and b"<|" not in w]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = self._ids(self.mark.join(w.decode("utf-8", "replace") for w in part))
+            cut = np.flatnonzero(ids == self.mark_id)
+            raw, starts, ends = ids.tobytes(), [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
+            self.update(zip(part, (raw[s:e] for s, e in zip(starts, ends, strict=True)), strict=True))
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        raw = np.asarray(ids, dtype="<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = raw
-        return raw
+        return self._ids(word.decode("utf-8", "replace")).tobytes()
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's tables outlive its tasks."""
+    return Encoder(path)
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) for each piece of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.asarray([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch, raw in chunks(batches):
             which, piece, start, length, crc = [], [], [], [], []
-            for i, x in enumerate(texts(batch)):
-                ids = b"".join(map(encoder.__getitem__, x.split())) + end
+            split = [x.split() for x in raw]
+            encoder.add(list(chain.from_iterable(split)))
+            for i, words in enumerate(split):
+                ids = b"".join(map(encoder.__getitem__, words)) + end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     which.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

@@ -25,6 +25,7 @@ from tideline.llm.common import chunks
 SHARE = 0.5
 SAMPLE, SAMPLE_LINES, SAMPLE_BYTES = 1500, 32, 10_000
 WINDOW = 5
+AT_ONCE = 1 << 19  #: bytes of text measured at once; arrays of this size stay in cache
 #: The six blanks and the symbols that the rules count.
 BLANKS, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 
@@ -56,12 +57,12 @@ def repeated_words(ids: np.ndarray, doc: np.ndarray, width: int = WINDOW) -> np.
         h = (h ^ ids[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
     order = np.argsort(h, kind="stable")
-    left, right = at[order[:-1]], at[order[1:]]
-    same = h[order[1:]] == h[order[:-1]]
-    equal = same & (doc[left] == doc[right])
+    met = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    left, right = at[order[met]], at[order[met + 1]]
+    equal = doc[left] == doc[right]
     for k in range(width):
         equal &= ids[left + k] == ids[right + k]
-    if (same & ~equal).any():  # hashes have met by chance: sort the words themselves
+    if not equal.all():  # hashes have met by chance: sort the words themselves
         order = np.lexsort([*(ids[at + k] for k in reversed(range(width))), doc[at]])
         left, right = at[order[:-1]], at[order[1:]]
         equal = doc[left] == doc[right]
@@ -92,8 +93,9 @@ class Measured:
         symbol = IS_SYMBOL[buf]
         self.n_symbols = per_doc(symbol)
 
-        numbers: dict[bytes, int] = {}
-        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in joined.split()), dtype=np.int64, count=len(word_at))
+        words = joined.split()
+        numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        ids = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
         word_doc = np.repeat(np.arange(len(raw)), self.n_words)
         self.n_repeat_words = np.bincount(word_doc, weights=repeated_words(ids, word_doc), minlength=len(raw)).astype(np.int64)
 
@@ -224,7 +226,7 @@ def check_rules(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], share: fl
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, tr = shared.value
-        for batch, raw in chunks(batches):
+        for batch, raw in chunks(batches, most=AT_ONCE):
             m = Measured(raw)
             content = viterbi(m.lines @ w, m.line_doc, len(raw), tr) == 0
             part = np.bincount(m.line_doc, weights=m.line_bytes * content, minlength=len(raw)) / np.maximum(np.bincount(m.line_doc, weights=m.line_bytes, minlength=len(raw)), 1)
