@@ -1,16 +1,18 @@
 """Suffix-array dedup of long repeated strings, by external induced sorting.
 
 Every string of ``LENGTH`` bytes holds a k-gram of least hash, its leftmost one; equal strings hold it at the same
-offset. These anchors, about one in 185 bytes, are the sampled suffixes. Spark's external sort, which merges spilled
-runs from disk, brings the suffixes at equal anchors together in order, as tuples with their bytes to the right and to
-the left. A task then streams through the sorted tuples, group by group: it takes the common prefixes of neighbours,
-and induces from the order at offset o the order at offset o + 1 by a stable sort on the byte that comes before, carrying
-the common-prefix values along (one more than the least between two suffixes with the same byte, else none). A string
-starts elsewhere too if a neighbour's common prefix reaches ``LENGTH``. Tuples that cannot reach it any more leave.
-
-An anchor that more than ``MOST`` texts hold is not sorted in one task: its strings are induced down to single ones,
-each named by a 128-bit digest, counted with partial sums and joined back. Equal whole texts are represented by
-one of them; each such text of ``LENGTH`` bytes or more is removed whole.
+offset. These anchors, about one in 185 bytes, are the sampled suffixes, and those whose k-gram comes once are done.
+The offsets at which an anchor's strings start are cut into runs. All strings of a run share a core, which a 128-bit
+digest names as the reduced string's letter; what they do not share are a few bytes on the right and on the left.
+Spark's external sort, which merges spilled runs from disk, brings the suffix tuples (core, right, left) of a core
+together in order. A task streams through them, core by core: it takes the common prefixes of neighbours, and induces
+from the order at one offset the order at the next by a stable sort on the byte that comes before, carrying the
+common-prefix values along (one more than the least between two suffixes with the same byte, else none). A string starts
+elsewhere too where a neighbour's common prefix reaches the whole string.
+
+Equal tuples are one, with a count, before they are sorted. A core that still has more than ``MOST`` different tuples
+is not sorted in one task: its runs are cut into shorter ones with longer cores, down to single strings, which are equal
+or not. Equal whole texts are represented by one of them; each such text of ``LENGTH`` bytes or more is removed whole.
 
 Defined cases: null text is empty; a text below ``LENGTH`` bytes is kept; equal rows repeat each other; an empty table
 gives no rows; a null doc_id is kept; other columns are ignored. The input should be a scanned table.
@@ -30,8 +32,10 @@ from tideline.llm.common import chunks, numbered, saved, texts
 
 LENGTH = 400
 K = 32
+RUNS = (25, 5, 1)  #: offsets that share a core, at each level
 MOST = 4096
 AT_ONCE = 20_000  #: suffix tuples that a task induces at once (with whole groups, MOST more at the most)
+TUPLE = "core binary, left binary, right binary, lo int, hi int, name binary"
 SURVEY_BYTES = 2 << 20
 BYTE_HASH = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -100,38 +104,56 @@ def _picked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[dict]]]:
         yield row, x, found
 
 
-def suffixes(joined: DataFrame, length: int) -> DataFrame:
-    """(key, right, left, row, at, lo, hi): an anchor's bytes from it on, and those before it, backwards."""
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(len(p).to_bytes(4, "little") + p for p in parts), digest_size=16).digest()
+
+
+def _cut(core: bytes, left: bytes, right: bytes, lo: int, hi: int, whole: int, run: int) -> Iterator[tuple[int, tuple]]:
+    """(shift, tuple) for each run of offsets: ``left`` backwards from the core, ``right`` from its end on.
+
+    The string at offset o is left[:o] backwards, the core, right[:whole - o]. A last run that reaches beyond ``whole`` has
+    as many bytes less on the right; zeros before them, the same for all that share its core, make up for that.
+    """
+    for first in range(lo - lo % run, hi + 1, run):
+        last = first + run - 1
+        inner = _digest(core, left[:first], right[: max(0, whole - last)])
+        a, b = left[first : min(last, hi)], bytes(max(0, last - whole)) + right[max(0, whole - last) : whole - max(first, lo)]
+        bounds = (max(lo, first) - first, min(hi, last) - first)
+        yield first, (inner, a, b, *bounds, _digest(inner, a, b, bytes(str(bounds), "ascii")))
+
+
+def first_tuples(joined: DataFrame, length: int, k: int) -> DataFrame:
+    """The tuples of (row, text, found), with row and base: the string at offset o starts at base - o."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for row, x, found in _picked(batch):
-                for a in found:
-                    at, lo, hi = a["at"], a["lo"], a["hi"]
-                    for col, v in zip(out, (a["key"], x[at : at + length - lo], x[at - hi : at][::-1], row, at, lo, hi), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
-                names=["key", "right", "left", "row", "at", "lo", "hi"],
-            )
+                for f in found:
+                    at, lo, hi = f["at"], f["lo"], f["hi"]
+                    for first, t in _cut(x[at : at + k], x[at - hi : at][::-1], x[at + k : at + length - lo], lo, hi, length - k, RUNS[0]):
+                        for col, v in zip(out, (*t, row, at - first), strict=True):
+                            col.append(v)
+            kinds = [pa.binary()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["core", "left", "right", "lo", "hi", "name", "row", "base"])
 
-    return joined.mapInArrow(rows, "key long, right binary, left binary, row long, at long, lo int, hi int")
+    return joined.mapInArrow(rows, f"{TUPLE}, row long, base long")
 
 
-def single_strings(joined: DataFrame, length: int) -> DataFrame:
-    """(row, start, name) of each string at the frequent anchors."""
+def shorter_tuples(tuples: DataFrame, level: int) -> DataFrame:
+    """Tuples of the next level, with parent (the tuple they come from), shift and n."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, x, found in _picked(batch):
-                if not found:
-                    continue
-                starts = sorted(p for a in found for p in range(a["at"] - a["hi"], a["at"] - a["lo"] + 1))
-                names = [hashlib.blake2b(x[p : p + length], digest_size=16).digest() for p in starts]
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array(names, pa.binary())], names=["row", "start", "name"])
+            out: list[list] = [[] for _ in range(9)]
+            for core, left, right, lo, hi, name, n in zip(*(batch.column(c).to_pylist() for c in ("core", "left", "right", "lo", "hi", "name", "n")), strict=True):
+                for first, t in _cut(core, left, right, lo, hi, RUNS[level - 1] - 1, RUNS[level]):
+                    for col, v in zip(out, (*t, name, first, n), strict=True):
+                        col.append(v)
+            kinds = [pa.binary()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["core", "left", "right", "lo", "hi", "name", "parent", "shift", "n"])
 
-    return joined.mapInArrow(rows, "row long, start long, name binary")
+    return tuples.mapInArrow(rows, f"{TUPLE}, parent binary, shift int, n long")
 
 
 def _matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,19 +201,29 @@ def induce(key: np.ndarray, right: list[bytes], left: list[bytes], lo: np.ndarra
 
 
 def induced(tuples: DataFrame, length: int) -> DataFrame:
-    """(row, start, end): runs of bytes that repeated strings cover, from tuples sorted by key and right."""
+    """(name, first, last): runs of offsets of strings that start elsewhere too, from tuples sorted by core and right."""
+
+    def starts(batch: pa.Table) -> np.ndarray:
+        core = np.frombuffer(b"".join(batch.column("core").to_pylist()), dtype="<u8").reshape(-1, 2)
+        return np.concatenate([[True], (core[1:] != core[:-1]).any(axis=1)])
 
     def work(batch: pa.Table) -> pa.RecordBatch:
-        col = lambda name: batch.column(name).to_numpy()
-        lo, hi, at, row = col("lo").astype(np.int64), col("hi").astype(np.int64), col("at"), col("row")
-        who, offset = induce(col("key"), batch.column("right").to_pylist(), batch.column("left").to_pylist(), lo, hi, length)
+        lo, hi, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "n"))
+        who, offset = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        if length:
+            who, offset = induce(np.cumsum(starts(batch)), batch.column("right").to_pylist(), batch.column("left").to_pylist(), lo, hi, length)
+        single = n[who] == 1
+        who, offset = who[single], offset[single]
         order = np.lexsort((offset, who))
         who, offset = who[order], offset[order]
         cut = np.ones(len(who), dtype=bool)
         cut[1:] = (who[1:] != who[:-1]) | (offset[1:] != offset[:-1] + 1)
         first = np.flatnonzero(cut)
         last = np.append(first[1:], len(who))[: len(first)] - 1
-        return pa.RecordBatch.from_arrays([pa.array(row[who[first]]), pa.array(at[who[first]] - offset[last]), pa.array(at[who[first]] - offset[first] + length)], names=["row", "start", "end"])
+        whole = np.flatnonzero(n > 1)  # what is there twice repeats itself
+        of = np.concatenate([who[first], whole])
+        names = batch.column("name").combine_chunks().take(pa.array(of))
+        return pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([offset[first], lo[whole]])), pa.array(np.concatenate([offset[last], hi[whole]]))], names=["name", "first", "last"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -203,17 +235,16 @@ def induced(tuples: DataFrame, length: int) -> DataFrame:
             n += batch.num_rows
             if n < AT_ONCE:
                 continue
-            all_held = pa.Table.from_batches(held)
-            key = all_held.column("key").to_numpy()
-            whole = int(np.searchsorted(key != key[-1], False)) if key[0] != key[-1] else 0  # the last group may go on
+            table = pa.Table.from_batches(held)
+            whole = int(np.flatnonzero(starts(table))[-1])  # the last group may go on
             if whole:
-                yield work(all_held.slice(0, whole))
-            held = all_held.slice(whole).combine_chunks().to_batches()
-            n = all_held.num_rows - whole
+                yield work(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+            n = table.num_rows - whole
         if n:
             yield work(pa.Table.from_batches(held))
 
-    return tuples.mapInArrow(rows, "row long, start long, end long")
+    return tuples.mapInArrow(rows, "name binary, first long, last long")
 
 
 def without(joined: DataFrame) -> DataFrame:
@@ -243,20 +274,33 @@ def without(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(rows, "row long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def repeated_runs(docs: DataFrame, known: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+def repeated_tuples(tuples: DataFrame, level: int, most: int) -> DataFrame:
+    """(name, first, last) of tuples (TUPLE, n): equal ones summed, then sorted by core, or cut shorter."""
+    keys = ["core", "left", "right", "lo", "hi", "name"]
+    classes = tuples.groupBy(*keys).agg(F.sum("n").alias("n"))
+    cores = classes.groupBy("core").agg(F.count("*").alias("tuples"), F.sum("n").alias("strings")).where("strings > 1").select("core", "tuples")
+    classes = saved(classes.join(cores, "core"))
+    parts = int(tuples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = classes.where(F.col("tuples") <= most).repartition(parts, "core").sortWithinPartitions("core", "right")
+    found = induced(few.select(*keys, "n"), RUNS[level] - 1)
+    many = classes.where(F.col("tuples") > most).select(*keys, "n")
+    if many.isEmpty():
+        return found
+    shorter = saved(shorter_tuples(many, level + 1))
+    below = repeated_tuples(shorter.select(*keys, "n"), level + 1, most)
+    back = shorter.select("name", "parent", "shift").join(below, "name")
+    return found.unionByName(back.select(F.col("parent").alias("name"), (F.col("shift") + F.col("first")).alias("first"), (F.col("shift") + F.col("last")).alias("last")))
+
+
+def repeated_runs(docs: DataFrame, known: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
     """(row, start, end) of repeated strings in the texts that stand for themselves; runs of a row may overlap."""
     found = known.where("stands").select("row", F.inline(F.arrays_zip("at", "lo", "hi", "key")))
-    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = found.join(shared, "key").groupBy("row").agg(F.collect_list(F.struct("at", "lo", "hi", "key", "n")).alias("found"))
-    joined = docs.select("row", "text").join(lists, "row")
-    few = joined.select("row", "text", F.filter("found", lambda a: a["n"] <= most).alias("found"))
-    many = joined.select("row", "text", F.filter("found", lambda a: a["n"] > most).alias("found")).where(F.size("found") > 0)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tuples = suffixes(few, length).repartition(parts, "key").sortWithinPartitions("key", "right")
-    strings = single_strings(many, length)
-    names = strings.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    single = strings.join(names.select("name"), "name").select("row", "start", (F.col("start") + length).alias("end"))
-    return induced(tuples, length).unionByName(single)
+    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    lists = found.join(shared, "key").groupBy("row").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("found"))
+    members = saved(first_tuples(docs.select("row", "text").join(lists, "row"), length, k))
+    runs = repeated_tuples(members.drop("row", "base").withColumn("n", F.lit(1).cast("long")), 0, most)
+    at = members.select("name", "row", "base").join(runs, "name")
+    return at.select("row", (F.col("base") - F.col("last")).alias("start"), (F.col("base") - F.col("first") + length).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
@@ -265,7 +309,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int
     seen = saved(survey(base, length, k))
     same = seen.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("copies"))
     known = seen.join(same, "digest").withColumn("stands", F.col("row") == F.col("first"))
-    runs = repeated_runs(base, known, length, most).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    runs = repeated_runs(base, known, length, k, most).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     cut = without(base.select("row", "text").join(runs, "row"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     at = known.select("row", "doc_id", "n_bytes", "digest", "copies").join(cut, "row", "left")
