@@ -145,5 +145,5 @@ def plan_of(reply: Column, valid: Column | None = None) -> Column:
     ints = F.map_filter(entries, lambda k, v: k.rlike(r"^\s*[+-]?\d+\s*$") & v.isNotNull() & (F.trim(v) != "") & body.rlike(r"(?s)\{.*\}"))
     texts = F.map_filter(ints, lambda k, v: F.contains(body, F.concat(F.lit('"'), k, F.lit('"'))))
     typed = F.map_from_entries(F.transform(F.map_entries(texts), lambda e: F.struct(F.trim(e["key"]).cast("int"), e["value"])))
-    typed = F.coalesce(typed, F.from_json(F.lit("{}"), "map<int,string>"))
+    typed = F.coalesce(typed, F.create_map().cast("map<int,string>"))
     return typed if valid is None else F.map_filter(typed, lambda k, v: F.array_contains(valid, k))

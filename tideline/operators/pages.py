@@ -21,14 +21,13 @@ SAFE_SCHEMES = frozenset("http https mailto".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-@F.pandas_udf("string")
-def _unescape(values: pd.Series) -> pd.Series:
+def _unescaped(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else html.unescape(v))
 
 
 def unescape_html(text: Column) -> Column:
     """Only values with an entity go through Python."""
-    return F.when(text.contains("&"), _unescape(F.when(text.contains("&"), text))).otherwise(text)
+    return F.when(text.contains("&"), F.pandas_udf(_unescaped, "string")(F.when(text.contains("&"), text))).otherwise(text)
 
 
 class _Text(HTMLParser):
