@@ -98,7 +98,7 @@ def feed_entries(jobs: DataFrame, as_of: Column) -> DataFrame:
     entry = F.concat_ws(
         "\n",
         F.lit("  <entry>"),
-        F.concat(F.lit("    <id>urn:jobuid:"), "job_uid", F.lit("</id>")),
+        F.concat(F.lit("    <id>urn:jobuid:"), x(F.col("job_uid")), F.lit("</id>")),
         F.concat(F.lit("    <title>"), x(F.concat("title", F.lit(" — "), "company")), F.lit("</title>")),
         F.concat(F.lit("    <updated>"), rfc3339(F.coalesce("posted_at", as_of)), F.lit("</updated>")),
         F.concat(F.lit("    <published>"), rfc3339(F.col("posted_at")), F.lit("</published>")),
