@@ -34,7 +34,7 @@ def overlap_topk(jobs: DataFrame, projects: DataFrame, k: int, most_terms: int |
     rest = jobs.select("job_uid").distinct().crossJoin(F.broadcast(projects.orderBy("ord", "project").select("project", "ord", F.lit(0).cast("long").alias("score")).limit(k)))
     every = scored.unionByName(rest.join(scored.select("job_uid", "project", "ord"), ["job_uid", "project", "ord"], "left_anti"))
     first = W.partitionBy("job_uid").orderBy(F.col("score").desc(), "ord", "project")
-    return every.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    return every.withColumn("rank", F.row_number().over(first).cast("long")).where(F.col("rank") <= k)
 
 
 def ranked_groups(groups: Column, keywords: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -522,8 +523,6 @@ def stream_ingest_equals_batch(spark, sf_dir):
     from tideline.streaming.ingest import ingest
 
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideline-")
-    import uuid
-
     base = f"{base}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
 
@@ -534,7 +533,8 @@ def stream_ingest_equals_batch(spark, sf_dir):
         both = old.unionByName(rows)
         return both.groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"), F.max_by("last_type", "last_seen").alias("last_type"))
 
-    return ingest(source, f"{base}/out", f"{base}/log", merge)
+    last = ingest(source, f"{base}/out", f"{base}/log", merge)
+    return last.select("user_id", F.col("first_seen").cast("timestamp").alias("first_seen"), F.col("last_seen").cast("timestamp").alias("last_seen"), "n", "last_type")
 
 
 def queries() -> dict[str, Query]:
