@@ -31,7 +31,9 @@ def overlap_topk(jobs: DataFrame, projects: DataFrame, k: int, most_terms: int |
     terms = projects.select("project", "ord", F.explode(keyword_tokens(F.col("text"))).alias("word")).distinct()
     scored = words.join(terms, "word").groupBy("job_uid", "project", "ord").agg(F.count("*").alias("score"))
     # of the projects that share nothing only the first k can matter
-    rest = jobs.select("job_uid").distinct().crossJoin(F.broadcast(projects.orderBy("ord", "project").select("project", "ord", F.lit(0).cast("long").alias("score")).limit(k)))
+    few = projects.orderBy("ord", "project").select("project", "ord").limit(k).collect()
+    first = F.array(*[F.struct(F.lit(p.project).alias("project"), F.lit(p.ord).cast(dict(projects.dtypes)["ord"]).alias("ord"), F.lit(0).cast("long").alias("score")) for p in few])
+    rest = jobs.select("job_uid").distinct().select("job_uid", F.inline(first)) if few else scored.limit(0)
     every = scored.unionByName(rest.join(scored.select("job_uid", "project", "ord"), ["job_uid", "project", "ord"], "left_anti"))
     first = W.partitionBy("job_uid").orderBy(F.col("score").desc(), "ord", "project")
     return every.withColumn("rank", F.row_number().over(first).cast("long")).where(F.col("rank") <= k)

@@ -28,27 +28,59 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - v.bit_count()) / (len(a) + len(b))
 
 
+def _parts(n: int, edits: int) -> list[tuple[int, int]]:
+    """(start, end) of edits + 1 parts of a text of n characters, as even as they can be; none is empty up to n parts."""
+    k = min(edits + 1, n) or 1
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
+
+def _edits(n: int, m: int, threshold: float) -> int:
+    """Most insertions and deletions between texts of n and m characters at the threshold."""
+    return int((n + m) * (1 - threshold / 100) + 1e-9)
+
+
+def part_keys(text: str, threshold: float) -> tuple[list[str], list[str]]:
+    """Keys to index a text by, and keys to look for texts no longer than it.
+
+    With d insertions and deletions one of the shorter text's d + 1 parts is left whole, and stands in the longer one
+    shifted by no more than the insertions or deletions before it can be.
+    """
+    m, own, probe = len(text), [], []
+    for longer in range(m, int(m * (200 - threshold) / threshold + 1e-9) + 1):
+        own += [f"{m},{longer},{i},{text[a:b]}" for i, (a, b) in enumerate(_parts(m, _edits(m, longer, threshold)))]
+    for n in range(int(-(-m * threshold // (200 - threshold))), m + 1):
+        d = _edits(n, m, threshold)
+        for i, (a, b) in enumerate(_parts(n, d)):
+            for shift in range(-((d - m + n) // 2), (d + m - n) // 2 + 1):
+                if 0 <= a + shift and b + shift <= m:
+                    probe.append(f"{n},{m},{i},{text[a + shift : b + shift]}")
+    return list(dict.fromkeys(own)), list(dict.fromkeys(probe))
+
+
 def near_titles(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(company, a, b, ratio) of distinct titles of a company at or above the threshold, a < b.
 
-    Equal titles are one; a pair's sorted words are no farther apart in length than the threshold lets them be, which the
-    join tests on lengths in bands: a title meets those of its own and the next band only.
+    Titles meet by equal parts of their sorted words, which leaves out no pair that is near enough; the ratio verifies.
     """
     titles = postings.select(norm_company(F.col("company")).alias("company"), norm_title(F.col("title")).alias("title")).distinct()
-    rows = titles.withColumn("sorted", token_sort(F.col("title"))).withColumn("n", F.length("sorted"))
-    # of a pair the longer is at most (200 - t) / t times as long; bands of that ratio
-    most = (200.0 - threshold) / threshold
-    rows = rows.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(most))).cast("int"))
-    left = rows.select("company", F.col("title").alias("x"), F.col("sorted").alias("xs"), F.col("n").alias("xn"), "band")
-    right = rows.select("company", F.col("title").alias("y"), F.col("sorted").alias("ys"), F.col("n").alias("yn"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    longest, shortest = F.greatest("xn", "yn"), F.least("xn", "yn")
-    close = (longest <= shortest * most) & ((F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("x") < F.col("y"))))
-    pairs = left.join(right, ["company", "band"]).where(close).select("company", "x", "y", "xs", "ys")
+
+    def keyed(side: int):
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [part_keys(t, threshold)[side] for t in b.column(2).to_pylist()]
+                at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array([k for f in found for k in f], pa.string())], names=["company", "title", "sorted", "key"])
+
+        return titles.select("company", "title", token_sort(F.col("title")).alias("sorted")).mapInArrow(keys, "company string, title string, sorted string, key string")
+
+    left = keyed(0).select("company", "key", F.col("title").alias("x"), F.col("sorted").alias("xs"))
+    right = keyed(1).select("company", "key", F.col("title").alias("y"), F.col("sorted").alias("ys"))
+    pairs = left.join(right, ["company", "key"]).where("x <> y").select("company", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ratio = [indel_ratio(p, q) for p, q in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ratio, pa.float64())], names=["company", "x", "y", "ratio"])
+            words = lambda t: " ".join(sorted(t.split()))
+            ratio = [indel_ratio(words(p), words(q)) for p, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ratio, pa.float64())], names=["company", "a", "b", "ratio"])
 
-    scored = pairs.mapInArrow(score, "company string, x string, y string, ratio double").where(F.col("ratio") >= threshold)
-    return scored.select("company", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "ratio").distinct()
+    return pairs.mapInArrow(score, "company string, a string, b string, ratio double").where(F.col("ratio") >= threshold)

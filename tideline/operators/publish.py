@@ -54,17 +54,17 @@ def chat_digest(jobs: DataFrame, most: int = DIGEST_ITEMS) -> DataFrame:
     """One row: text, with linked titles, at most ``most`` items and 4096 characters."""
     head = F.concat(F.col("n").cast("string"), F.lit('. <a href="'), escape_html(F.col("url"), True), F.lit('">'), escape_html(F.col("title")), F.lit("</a> — "), escape_html(F.col("company")))
     line = F.concat_ws("\n", head, F.concat(F.lit("   "), F.nullif(escape_html(meta()), F.lit(""))))
-    rows = _joined(_best(jobs, most), line, "\n").crossJoin(jobs.agg(F.count("*").alias("total")))  # one row each
-    more = F.when(F.col("total") > most, F.concat(F.lit("\n\n…and "), (F.col("total") - most).cast("string"), F.lit(" more."))).otherwise("")
-    text = F.concat(F.lit("<b>"), _headline(F.col("total")), F.lit("</b>\n"), F.when(F.col("lines") != "", F.concat(F.lit("\n"), "lines")).otherwise(""), more)
+    rows, total = _joined(_best(jobs, most), line, "\n"), jobs.agg(F.count("*")).scalar()
+    more = F.when(total > most, F.concat(F.lit("\n\n…and "), (total - most).cast("string"), F.lit(" more."))).otherwise("")
+    text = F.concat(F.lit("<b>"), _headline(total), F.lit("</b>\n"), F.when(F.col("lines") != "", F.concat(F.lit("\n"), "lines")).otherwise(""), more)
     return rows.select(cut_text(text, MESSAGE_CHARS).alias("text"))
 
 
 def mail_digest(jobs: DataFrame, prefix: str = "[feed]", most: int = 1000) -> DataFrame:
     """One row: subject and body; ``most`` bounds what a mail holds."""
     line = F.concat_ws("\n", F.concat(F.col("n").cast("string"), F.lit(". "), "title", F.lit(" — "), "company"), F.concat(F.lit("   "), F.nullif(meta(), F.lit(""))), F.concat(F.lit("   "), "url"))
-    rows = _joined(_best(jobs, most), line, "\n\n").crossJoin(jobs.agg(F.count("*").alias("total")))
-    return rows.select(F.concat(F.lit(f"{prefix} "), _headline(F.col("total"))).alias("subject"), F.concat(F.regexp_replace("lines", r"\s+$", ""), F.lit("\n")).alias("body"))
+    rows = _joined(_best(jobs, most), line, "\n\n")
+    return rows.select(F.concat(F.lit(f"{prefix} "), _headline(jobs.agg(F.count("*")).scalar())).alias("subject"), F.concat(F.regexp_replace("lines", r"\s+$", ""), F.lit("\n")).alias("body"))
 
 
 def run_summary(runs: DataFrame, dashboard: Column) -> DataFrame:
