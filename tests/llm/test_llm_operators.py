@@ -186,6 +186,13 @@ def test_exact(docs, rows, empty, block):
     assert op5_exact.find_duplicates(empty).count() == 0
 
 
+def test_exact_row_numbers_of_many_partitions(spark):
+    texts = ["abcdefgh" * 3, "abcdefgh" * 2, "abcdefgh" * 3, "x" + "abcdefgh" * 2]
+    df = spark.createDataFrame([(i, t, (1 << 62) + i * (1 << 33)) for i, t in enumerate(texts)], "doc_id long, text string, row long")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in op5_exact.duplicates(df, 4).collect()}
+    assert got == {0: (0, 2), 1: (1, 1), 2: (0, 2), 3: (3, 1)}
+
+
 def test_rules(docs, rows, labels, empty):
     model = op6_rules.fit(docs, labels)
     got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in op6_rules.check_rules(docs, model).collect())

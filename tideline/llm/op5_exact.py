@@ -18,15 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import fresh, numbered, saved, texts
 
 BLOCK = 16384
 BLANKS = b" \t\n\v\f\r"
-#: Place of a block's first occurrence: its row number times this, plus the block's own number.
-PER_ROW = 1 << 20
+#: A block's place: its row number times this, plus its own number; as a decimal, since row numbers use all of a long.
+PER_ROW = 1 << 40
+
+
+def _place() -> Column:
+    return F.col("row").cast("decimal(38,0)") * F.lit(PER_ROW).cast("decimal(18,0)") + F.col("at")
 
 
 def _code_points(x: bytes) -> int:
@@ -60,7 +64,7 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(row, doc_id, size, sha, level, name) per row of ``docs`` (doc_id, text, row): equal (level, name), equal text."""
     cut = blocks(docs, block).withColumn("hash", F.xxhash64("content"))
-    names = cut.groupBy("hash", "content").agg(F.min(F.col("row") * PER_ROW + F.col("at")).alias("name"))
+    names = cut.groupBy("hash", "content").agg(F.min(_place().cast("decimal(38,0)")).alias("name"))
     named = saved(cut.join(names, ["hash", "content"]).select("row", "at", "n", "name", "doc_id", "size", "sha"))
     heads = named.where("at = 0").select("row", "doc_id", "size", "sha", "n", "name")
     done = heads.where("n = 1").select("row", F.lit(0).alias("level"), "name")
@@ -68,10 +72,10 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     while not todo.isEmpty():  # as many rounds as the longest text has powers of two of blocks
         level += 1
         pairs = todo.groupBy("row", F.shiftright("at", 1).alias("at"), F.shiftright(F.col("n") + 1, 1).alias("n")).agg(
-            F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right")
+            F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(-1).cast("decimal(38,0)")).alias("right")
         )
         pairs = saved(pairs)
-        names = pairs.groupBy("left", "right").agg(F.min(F.col("row") * PER_ROW + F.col("at")).alias("name"))
+        names = pairs.groupBy("left", "right").agg(F.min(_place().cast("decimal(38,0)")).alias("name"))
         todo = saved(pairs.join(names, ["left", "right"]).select("row", "at", "n", "name"))
         done = done.unionByName(todo.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
         todo = todo.where("n > 1")
