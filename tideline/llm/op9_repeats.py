@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,9 +100,21 @@ def survey(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.mapInArrow(rows, "row long, doc_id long, n_bytes long, digest binary, at array<long>, lo array<int>, hi array<int>, key array<long>")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, text) with the text compressed, as it is shuffled to where its anchors are."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zip_.compress(x) for x in texts(batch)], pa.binary())], names=["row", "text"])
+
+    return docs.select("row", "text").mapInArrow(rows, "row long, text binary")
+
+
 def _picked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[dict]]]:
-    for row, x, found in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True):
-        yield row, x, found
+    unzip = zstandard.ZstdDecompressor()
+    for row, x, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        yield row, unzip.decompress(x), found
 
 
 def _digest(*parts: bytes) -> bytes:
@@ -292,12 +305,17 @@ def repeated_tuples(tuples: DataFrame, level: int, most: int) -> DataFrame:
     return found.unionByName(back.select(F.col("parent").alias("name"), (F.col("shift") + F.col("first")).alias("first"), (F.col("shift") + F.col("last")).alias("last")))
 
 
-def repeated_runs(docs: DataFrame, known: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
-    """(row, start, end) of repeated strings in the texts that stand for themselves; runs of a row may overlap."""
+def anchored(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(row, text, found): the texts that hold anchors which come again, compressed, with those anchors."""
     found = known.where("stands").select("row", F.inline(F.arrays_zip("at", "lo", "hi", "key")))
     shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     lists = found.join(shared, "key").groupBy("row").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("found"))
-    members = saved(first_tuples(docs.select("row", "text").join(lists, "row"), length, k))
+    return packed(docs).join(lists, "row").select("row", "text", "found")
+
+
+def repeated_runs(held: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
+    """(row, start, end) of repeated strings in ``held`` (row, text, found); runs of a row may overlap."""
+    members = first_tuples(held, length, k)
     runs = repeated_tuples(members.drop("row", "base").withColumn("n", F.lit(1).cast("long")), 0, most)
     at = members.select("name", "row", "base").join(runs, "name")
     return at.select("row", (F.col("base") - F.col("last")).alias("start"), (F.col("base") - F.col("first") + length).alias("end"))
@@ -309,8 +327,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int
     seen = saved(survey(base, length, k))
     same = seen.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("copies"))
     known = seen.join(same, "digest").withColumn("stands", F.col("row") == F.col("first"))
-    runs = repeated_runs(base, known, length, k, most).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    cut = without(base.select("row", "text").join(runs, "row"))
+    held = saved(anchored(base, known))
+    runs = repeated_runs(held, length, k, most).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    cut = without(held.select("row", "text").join(runs, "row"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     at = known.select("row", "doc_id", "n_bytes", "digest", "copies").join(cut, "row", "left")
     return at.select(
