@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but these six bytes, in every operator here.
@@ -73,3 +73,20 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             size += len(x)
         if start < len(raw):
             yield batch.slice(start), raw[start:]
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, most_bytes: int) -> pa.Table:
+    """(text, y) of at most ``sample`` labelled documents of at most ``most_bytes`` bytes, none of them held out.
+
+    The labels with the least hash of doc_id are chosen first, so only ``sample`` numbers are broadcast, and no text is
+    shuffled but those chosen. Null labels, and doc_ids with both labels, do not count.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y1")).where("y = y1").select("doc_id", "y")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
+    return short.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "y").toArrow()

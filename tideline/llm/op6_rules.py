@@ -18,9 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tideline.llm.common import chunks
+from tideline.llm.common import chunks, labelled_sample
 
 SHARE = 0.5
 SAMPLE, SAMPLE_LINES, SAMPLE_BYTES = 1500, 32, 10_000
@@ -205,10 +204,7 @@ def train(samples: list[tuple[np.ndarray, int]], rounds: int = 80, rate: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y1"))
-    known = known.where("y = y1").select("doc_id", "y")
-    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = short.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "y").toArrow()
+    rows = labelled_sample(docs, labels, sample, SAMPLE_BYTES)
     if not len(rows):
         return np.zeros(N_FEATURES), np.zeros((2, 2))
     m = Measured([text.encode() for text in rows.column("text").to_pylist()])
