@@ -21,10 +21,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import chunks, fresh
+from tideline.llm.common import chunks, fresh, held_out, labelled_sample
 
 BITS = 18
 THRESHOLD = 0.3
@@ -112,16 +112,9 @@ def train(raw: list[bytes], labels: list[int], epochs: int = EPOCHS) -> np.ndarr
     return w.astype(np.float64)
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """Weights learnt from a bounded sample of the labelled rows that are not held out; None without both classes."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y1"))
-    known = known.where((F.col("y") == F.col("y1")) & ~held_out(F.col("doc_id"))).select("doc_id", "y")
-    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    chosen = short.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text", "y").toArrow()
+    chosen = labelled_sample(docs, labels, sample, SAMPLE_BYTES)
     y = chosen.column("y").to_pylist()
     if len(set(y)) < 2:
         return None
