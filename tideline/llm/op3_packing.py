@@ -28,15 +28,16 @@ from tideline.llm.common import chunks, saved
 
 SIZE = 2048
 END_ID = 0
-CACHED_WORDS, CACHED_BYTES = 300_000, 48
+CACHED_WORDS, CACHED_BYTES = 500_000, 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder(dict):
     """Little-endian ids of a word between blanks; a blank always ends a token here, so words encode alone.
 
-    Words not seen before are encoded together, with a special token's string between them, whose id parts them again.
-    A full table becomes the old one, from which only words that come again are taken over.
+    Words not seen before are encoded together with a bar between them, a token of its own between blanks, whose id parts
+    them again; a word that has a bar in it is encoded alone. A full table becomes the old one, from which only words
+    that come again are taken over.
     """
 
     def __init__(self, path: str):
@@ -45,7 +46,7 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.old: dict[bytes, bytes] = {}
-        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
+        (self.bar,) = self._ids("|")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -57,16 +58,19 @@ class Encoder(dict):
         new = set(words).difference(self)
         again = new.intersection(self.old)
         self.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        new = [w for w in new - again if len(w) <= CACHED_BYTES and b"<|" not in w]
+        new = [w for w in new - again if len(w) <= CACHED_BYTES and b"|" not in w]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            ids = self._ids(self.mark.join(w.decode("utf-8", "replace") for w in part))
-            cut = np.flatnonzero(ids == self.mark_id)
+            ids = self._ids(" | ".join(w.decode("utf-8", "replace") for w in part))
+            cut = np.flatnonzero(ids == self.bar)
             raw, starts, ends = ids.tobytes(), [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
             self.update(zip(part, (raw[s:e] for s, e in zip(starts, ends, strict=True)), strict=True))
 
     def __missing__(self, word: bytes) -> bytes:
-        return self._ids(word.decode("utf-8", "replace")).tobytes()
+        raw = self._ids(word.decode("utf-8", "replace")).tobytes()
+        if len(word) <= CACHED_BYTES:
+            self[word] = raw
+        return raw
 
 
 @lru_cache(maxsize=1)
