@@ -228,6 +228,14 @@ def test_simhash(docs, rows, empty, most):
     assert left.columns == docs.columns and left.count() == len({want[f] for _, f in fps})
 
 
+def test_simhash_keeps_unlike_texts_of_null_and_repeated_ids(spark):
+    rng = random.Random(7)
+    unlike = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(6)]
+    own = [(None, unlike[0]), (None, unlike[1]), (None, unlike[1] + " "), (None, unlike[2]), (4, unlike[3]), (4, unlike[4]), (4, unlike[4]), (5, unlike[5])]
+    left = op7_simhash.keep_one(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    assert sorted(r.text.strip() for r in left) == sorted(unlike)
+
+
 @pytest.mark.parametrize("most", [3, 256])
 def test_simhash_links(spark, most):
     rng = random.Random(1)

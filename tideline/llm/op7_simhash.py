@@ -111,7 +111,9 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(fp, label): the least label among those that links reach; ``nodes`` is (fp, label), ``pairs`` (a, b) links.
+    """(fp, label, root): the least label among those that links reach, and the fp that names the component.
+
+    ``nodes`` is (fp, label), ``pairs`` (a, b) links. Labels may repeat, as those of rows without a doc_id do; roots do not.
 
     Each round a node takes the least label of itself, its neighbours and, as labels name nodes, the label of the node
     that it points to; chains so shorten by half a round.
@@ -125,16 +127,16 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         to = stepped.select(F.col("fp").alias("to"), F.col("next").alias("jump"))
         stepped = saved(stepped.withColumn("to", F.col("next.fp")).join(to, "to").select("fp", "root", F.least("next", "jump").alias("next")))
         if stepped.where("root != next").isEmpty():
-            return stepped.select("fp", F.col("next.label").alias("label"))
+            return stepped.select("fp", F.col("next.label").alias("label"), F.col("next.fp").alias("root"))
         state = stepped.select("fp", F.col("next").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, *more: str, most: int = MOST) -> DataFrame:
-    """Per document: doc_id, ``more``, fp and component_id, the least doc_id that links reach."""
+    """Per document: doc_id, ``more``, fp, root, which is one fp of the component, and component_id, the least doc_id that links reach."""
     known = saved(fingerprints(docs, *more))
     nodes = saved(known.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("label")))
     merged = components(nodes, saved(links(nodes.select("fp"), most))).withColumnRenamed("label", "merged")
-    final = nodes.join(merged, "fp", "left").select(F.col("fp").alias("fp_"), F.coalesce("merged", "label").alias("component_id"))
+    final = nodes.join(merged, "fp", "left").select(F.col("fp").alias("fp_"), F.coalesce("root", "fp").alias("root"), F.coalesce("merged", "label").alias("component_id"))
     final = final.withColumn("component_id", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")))
     return known.join(final, F.col("fp") == F.col("fp_")).drop("fp_")
 
@@ -144,5 +146,5 @@ def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
     row = fresh(docs, "row_")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     known = near_duplicates(numbered, row, most=most)
-    stays = known.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("best")).select(F.col(f"best.{row}").alias(row))
+    stays = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("best")).select(F.col(f"best.{row}").alias(row))
     return numbered.join(stays, row, "left_semi").drop(row)
