@@ -120,6 +120,15 @@ def may_hold(x: bytes) -> bool:
     return b"AKIA" in x or any(h in low for h in HINTS) or b"0" * 32 in x.translate(HEX_MARKS)
 
 
+def _covered(start: int, end: int, spans: list[tuple[str, int, int]]) -> bool:
+    """Whether the spans together hold all of start to end."""
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if s > start:
+            break
+        start = max(start, e)
+    return start >= end
+
+
 def scan(text: str, at_least: float = GUESS_BITS) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], float]:
     """The base spans, the spans that the guess cost adds, and the highest cost of a value (0 without one)."""
     base: list[tuple[str, int, int]] = []
@@ -134,7 +143,7 @@ def scan(text: str, at_least: float = GUESS_BITS) -> tuple[list[tuple[str, int,
     for m in CONTEXT.finditer(text):
         bits = guess_bits(m[1])
         top = max(top, bits)
-        if bits >= at_least and not any(s < m.end(1) and m.start(1) < e for _, s, e in base):
+        if bits >= at_least and not _covered(m.start(1), m.end(1), base):
             added.append(("guess", m.start(1), m.end(1)))
     return base, added, top
 
