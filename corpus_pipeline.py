@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import op2_mixing, op3_packing, op5_exact, op7_simhash, op8_quality
+from tideline.llm import op2_mixing, op3_packing, op5_exact, op7_jaccard, op8_quality
 from tideline.llm.common import saved, small_batches, table
 
 
@@ -26,7 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return op7_simhash.keep_one(docs)
+    return op7_jaccard.keep_unlike(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

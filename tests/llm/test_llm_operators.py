@@ -8,7 +8,7 @@ import pytest
 import brute
 from pyspark.sql import functions as F
 
-from tideline.llm import op1_secrets, op2_mixing, op3_packing, op4_chat, op5_exact, op6_rules, op7_simhash, op8_quality, op9_repeats, op10_sharding
+from tideline.llm import op1_secrets, op2_mixing, op3_packing, op4_chat, op5_exact, op6_rules, op7_jaccard, op7_simhash, op8_quality, op9_repeats, op10_sharding
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -236,6 +236,49 @@ def test_simhash_keeps_unlike_texts_of_null_and_repeated_ids(spark):
     assert sorted(r.text.strip() for r in left) == sorted(unlike)
 
 
+def test_near_dedup_stage_takes_near_copies_by_jaccard(spark, sf):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    like = lambda x, y: len(grams(x) & grams(y)) / len(grams(x) | grams(y))
+    own, unlike = [], 0
+    for n in (20, 60, 100, 400):
+        for k in range(60):
+            words = [word() for _ in range(n)]
+            few = words[:-1] + [word()] if n == 20 else words[: n // 2] + [word() for _ in range(max(1, n // 100))] + words[n // 2 + max(1, n // 100) :]
+            far = words[: n // 2] + [word() for _ in range(n - n // 2)]
+            assert like(" ".join(words), " ".join(few)) >= 0.8 > like(" ".join(words), " ".join(far))
+            own += [" ".join(words), " ".join(few), " ".join(far)]
+            unlike += 2
+    base = [word() for _ in range(120)]  # one large group, each two of it near copies
+    own += [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(120)] + [None, "", "a", "a b"]
+    unlike += 1 + 3
+    docs = spark.createDataFrame([(None if i % 7 == 0 else i % 50, t) for i, t in enumerate(own)], "doc_id long, text string")
+    left = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert left.columns == docs.columns and left.count() == unlike
+
+
+def test_near_dedup_checks_pairs_exactly(spark, docs, rows):
+    grams = {t: frozenset(op7_jaccard.shingles((t or "").encode()).tolist()) for _, t, _ in rows}
+    sets = list(set(grams.values()))
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                parent[root(i)] = root(j)
+    left = op7_jaccard.keep_unlike(docs)
+    assert left.columns == docs.columns and left.count() == len({root(i) for i in range(len(sets))})
+    assert op7_jaccard.keep_unlike(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("most", [3, 256])
 def test_simhash_links(spark, most):
     rng = random.Random(1)
