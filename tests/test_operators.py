@@ -211,6 +211,13 @@ def test_texts(spark):
     assert set(publish.publish(row, row, ["chat", "mail"])) == {"chat", "mail"}
 
 
+def test_mail_lists_every_posting(spark):
+    null = lambda c: F.lit(None).cast(c)
+    many = spark.range(1005).select(F.col("id").cast("string").alias("job_uid"), F.lit("T").alias("title"), F.lit("C").alias("company"), F.lit("http://x/").alias("url"), null("boolean").alias("is_remote"), F.lit("L").alias("location"), *(null("long").alias(f"salary_{c}") for c in ("min", "max")), null("boolean").alias("salary_parsed"), *(null("string").alias(f"salary_{c}") for c in ("currency", "period", "bucket")), F.lit("s").alias("source"), F.lit(1.0).alias("match_score"), *(null("timestamp").alias(c) for c in ("posted_at", "last_seen_at")))
+    mail = publish.mail_digest(many).first()
+    assert mail.subject == "[feed] 1005 new jobs" and mail.body.count("http://x/") == 1005 and "\n1005. T — C\n" in mail.body
+
+
 def test_near_titles(spark):
     rows = [("Acme Inc", "Senior Backend Engineer"), ("acme", "Backend Engineer, Senior"), ("Acme", "Backend Engineers Senior"), ("Acme", "Cook"), ("Beta", "Backend Engineers Senior")]
     got = neardup.near_titles(spark.createDataFrame(rows, "company string, title string")).collect()

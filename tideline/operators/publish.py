@@ -39,9 +39,9 @@ def _headline(n: Column) -> Column:
     return F.concat(n.cast("string"), F.lit(" new job"), F.when(n == 1, "").otherwise("s"))
 
 
-def _best(jobs: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` by score, numbered from 1."""
-    top = jobs.orderBy(*order_of("score")).limit(most)
+def _best(jobs: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` by score, or all, numbered from 1."""
+    top = jobs if most is None else jobs.orderBy(*order_of("score")).limit(most)
     return top.withColumn("n", F.row_number().over(W.orderBy(*order_of("score"))))
 
 
@@ -60,8 +60,8 @@ def chat_digest(jobs: DataFrame, most: int = DIGEST_ITEMS) -> DataFrame:
     return rows.select(cut_text(text, MESSAGE_CHARS).alias("text"))
 
 
-def mail_digest(jobs: DataFrame, prefix: str = "[feed]", most: int = 1000) -> DataFrame:
-    """One row: subject and body; ``most`` bounds what a mail holds."""
+def mail_digest(jobs: DataFrame, prefix: str = "[feed]", most: int | None = None) -> DataFrame:
+    """One row: subject and body with every posting; ``most``, where given, bounds what a mail holds."""
     line = F.concat_ws("\n", F.concat(F.col("n").cast("string"), F.lit(". "), "title", F.lit(" — "), "company"), F.concat(F.lit("   "), F.nullif(meta(), F.lit(""))), F.concat(F.lit("   "), "url"))
     rows = _joined(_best(jobs, most), line, "\n\n")
     return rows.select(F.concat(F.lit(f"{prefix} "), _headline(jobs.agg(F.count("*")).scalar())).alias("subject"), F.concat(F.regexp_replace("lines", r"\s+$", ""), F.lit("\n")).alias("body"))
