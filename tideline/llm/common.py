@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python task works on at once.
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = "8m"
+#: A row number: 40 bits for the place in a file, 64 for the file.
+ROW = "decimal(38,0)"
+PER_FILE = 1 << 40
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -33,12 +37,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder of ``spark.checkpoint.dir``, which all executors share.
-
-    The setting is read from the session. Only a local session without one (tests) gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, read from the session; only a local session without one gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,12 +47,53 @@ def saved(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tideline-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, and read from there ever after."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _is_scan(df: DataFrame) -> bool:
+    return df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "row_index" in df.select(df.metadataColumn("_metadata").alias("m")).schema["m"].dataType.fieldNames()
+
+
 def numbered(docs: DataFrame, name: str, *columns: str) -> DataFrame:
-    """``columns`` of a scanned table plus a row number that a rerun of the scan repeats."""
-    return docs.select(*columns).withColumn(name, F.monotonically_increasing_id())
+    """``columns`` of ``docs`` (all, where none is named) plus ``name``, a row number that every later scan repeats.
+
+    It is the row's place in its Parquet file, below a 64-bit hash of the file's path, so it hangs neither on how files are
+    split nor on the executors there are. Anything but a plain Parquet scan is written once, and numbered as written.
+    """
+    chosen = columns or tuple(docs.columns)
+    if not _is_scan(docs):
+        docs = written(docs.select(*chosen))
+    of = docs.metadataColumn("_metadata")
+    number = F.xxhash64(of["file_path"]).cast(ROW) * F.lit(PER_FILE).cast("decimal(13,0)") + of["row_index"]
+    return docs.select(*chosen, number.cast(ROW).alias(name))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, salts: int = 64, shares: int = 1024) -> DataFrame:
+    """Inner join of ``left`` with ``right``, in which ``count`` says how many rows of ``left`` have its keys.
+
+    Keys with over 1/``shares`` of those rows, fewer than ``shares`` of them at any size, are broadcast to salt the left
+    rows, and stand under each salt on the right; so the rows of one key meet in many tasks.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) > max(64, total // shares)
+    salt = fresh(left.join(right, keys), "salt")
+    marks = right.where(heavy).select(*keys, F.lit(salts).alias(salt)).distinct()
+    salted = left.join(F.broadcast(marks), keys, "left").withColumn(salt, F.coalesce(F.pmod(F.hash(*[c for c in left.columns if c not in keys]), F.col(salt)), F.lit(0)))
+    every = F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(right.withColumn(salt, F.explode(every)), [*keys, salt]).drop(salt)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

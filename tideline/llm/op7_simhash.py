@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fresh, saved, texts
+from tideline.llm.common import fresh, numbered, saved, spread_join, texts
 
 SEED = 42
 SHINGLE = 3
@@ -134,17 +134,17 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *more: str, most: int = MOST) -> DataFrame:
     """Per document: doc_id, ``more``, fp, root, which is one fp of the component, and component_id, the least doc_id that links reach."""
     known = saved(fingerprints(docs, *more))
-    nodes = saved(known.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("label")))
-    merged = components(nodes, saved(links(nodes.select("fp"), most))).withColumnRenamed("label", "merged")
-    final = nodes.join(merged, "fp", "left").select(F.col("fp").alias("fp_"), F.coalesce("root", "fp").alias("root"), F.coalesce("merged", "label").alias("component_id"))
+    nodes = saved(known.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("label"), F.count("*").alias("times")))
+    merged = components(nodes.select("fp", "label"), saved(links(nodes.select("fp"), most))).withColumnRenamed("label", "merged")
+    final = nodes.join(merged, "fp", "left").select("fp", "times", F.coalesce("root", "fp").alias("root"), F.coalesce("merged", "label").alias("component_id"))
     final = final.withColumn("component_id", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")))
-    return known.join(final, F.col("fp") == F.col("fp_")).drop("fp_")
+    return spread_join(known, saved(final), ["fp"], "times").select(*known.columns, "root", "component_id")
 
 
 def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
     """One row of each component, the one with the least doc_id, with all columns of ``docs``."""
     row = fresh(docs, "row_")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    known = near_duplicates(numbered, row, most=most)
+    rows = numbered(docs, row)
+    known = near_duplicates(rows, row, most=most)
     stays = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("best")).select(F.col(f"best.{row}").alias(row))
-    return numbered.join(stays, row, "left_semi").drop(row)
+    return rows.join(stays, row, "left_semi").drop(row)

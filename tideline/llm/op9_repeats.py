@@ -15,7 +15,8 @@ is not sorted in one task: its runs are cut into shorter ones with longer cores,
 or not. Equal whole texts are represented by one of them; each such text of ``LENGTH`` bytes or more is removed whole.
 
 Defined cases: null text is empty; a text below ``LENGTH`` bytes is kept; equal rows repeat each other; an empty table
-gives no rows; a null doc_id is kept; other columns are ignored. The input should be a scanned table.
+gives no rows; a null doc_id is kept; other columns are ignored. Rows are told apart by their place in their file; what is no
+plain Parquet scan is written once for that.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import chunks, numbered, saved, texts
+from tideline.llm.common import ROW, chunks, numbered, saved, spread_join, texts
 
 LENGTH = 400
 K = 32
@@ -97,7 +98,7 @@ def survey(docs: DataFrame, length: int, k: int) -> DataFrame:
                 names=["row", "doc_id", "n_bytes", "digest", "at", "lo", "hi", "key"],
             )
 
-    return docs.mapInArrow(rows, "row long, doc_id long, n_bytes long, digest binary, at array<long>, lo array<int>, hi array<int>, key array<long>")
+    return docs.mapInArrow(rows, f"row {ROW}, doc_id long, n_bytes long, digest binary, at array<long>, lo array<int>, hi array<int>, key array<long>")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -108,13 +109,13 @@ def packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zip_.compress(x) for x in texts(batch)], pa.binary())], names=["row", "text"])
 
-    return docs.select("row", "text").mapInArrow(rows, "row long, text binary")
+    return docs.select("row", "text").mapInArrow(rows, f"row {ROW}, text binary")
 
 
 def _picked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[dict]]]:
     unzip = zstandard.ZstdDecompressor()
-    for row, x, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-        yield row, unzip.decompress(x), found
+    for i, (x, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+        yield i, unzip.decompress(x), found
 
 
 def _digest(*parts: bytes) -> bytes:
@@ -141,16 +142,17 @@ def first_tuples(joined: DataFrame, length: int, k: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for row, x, found in _picked(batch):
+            for i, x, found in _picked(batch):
                 for f in found:
                     at, lo, hi = f["at"], f["lo"], f["hi"]
                     for first, t in _cut(x[at : at + k], x[at - hi : at][::-1], x[at + k : at + length - lo], lo, hi, length - k, RUNS[0]):
-                        for col, v in zip(out, (*t, row, at - first), strict=True):
+                        for col, v in zip(out, (*t, i, at - first), strict=True):
                             col.append(v)
             kinds = [pa.binary()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["core", "left", "right", "lo", "hi", "name", "row", "base"])
+            *tuples, of, base = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*tuples, batch.column(0).take(of), base], names=["core", "left", "right", "lo", "hi", "name", "row", "base"])
 
-    return joined.mapInArrow(rows, f"{TUPLE}, row long, base long")
+    return joined.mapInArrow(rows, f"{TUPLE}, row {ROW}, base long")
 
 
 def shorter_tuples(tuples: DataFrame, level: int) -> DataFrame:
@@ -266,7 +268,7 @@ def without(joined: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
-            for row, x, runs in _picked(batch):
+            for i, x, runs in _picked(batch):
                 kept, at, removed, spans = hashlib.sha256(), 0, 0, 0
                 end = None
                 for run in sorted((r["start"], r["end"]) for r in runs):
@@ -280,11 +282,12 @@ def without(joined: DataFrame) -> DataFrame:
                 if end is not None:
                     removed, spans, at = removed + end - start, spans + 1, end
                 kept.update(x[at:])
-                for col, v in zip(out, (row, removed, spans, kept.hexdigest()), strict=True):
+                for col, v in zip(out, (i, removed, spans, kept.hexdigest()), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["row", "n_removed", "n_spans", "kept_sha256"])
+            of, *counts = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *counts], names=["row", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(rows, "row long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(rows, f"row {ROW}, n_removed long, n_spans long, kept_sha256 string")
 
 
 def repeated_tuples(tuples: DataFrame, level: int, most: int) -> DataFrame:
@@ -308,8 +311,8 @@ def repeated_tuples(tuples: DataFrame, level: int, most: int) -> DataFrame:
 def anchored(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(row, text, found): the texts that hold anchors which come again, compressed, with those anchors."""
     found = known.where("stands").select("row", F.inline(F.arrays_zip("at", "lo", "hi", "key")))
-    shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    lists = found.join(shared, "key").groupBy("row").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("found"))
+    shared = saved(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    lists = spread_join(found, shared, ["key"], "n").groupBy("row").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("found"))
     return packed(docs).join(lists, "row").select("row", "text", "found")
 
 
