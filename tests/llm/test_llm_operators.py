@@ -261,7 +261,8 @@ def test_near_dedup_stage_takes_near_copies_by_jaccard(spark, sf):
 
 
 def test_near_dedup_checks_pairs_exactly(spark, docs, rows):
-    grams = {t: frozenset(op7_jaccard.shingles((t or "").encode()).tolist()) for _, t, _ in rows}
+    hashes = op7_jaccard.Hashes()
+    grams = {t: frozenset(op7_jaccard.shingles((t or "").encode(), hashes).tolist()) for _, t, _ in rows}
     sets = list(set(grams.values()))
     parent = list(range(len(sets)))
 

@@ -81,13 +81,15 @@ def numbered(docs: DataFrame, name: str, *columns: str) -> DataFrame:
     return docs.select(*chosen, number.cast(ROW).alias(name))
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, salts: int = 64, shares: int = 1024) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int | None = None, salts: int = 64, shares: int = 1024) -> DataFrame:
     """Inner join of ``left`` with ``right``, in which ``count`` says how many rows of ``left`` have its keys.
 
     Keys with over 1/``shares`` of those rows, fewer than ``shares`` of them at any size, are broadcast to salt the left
-    rows, and stand under each salt on the right; so the rows of one key meet in many tasks.
+    rows, and stand under each salt on the right; so the rows of one key meet in many tasks. ``total`` is the number of rows
+    on the left, or more; without it ``right``, which should be saved then, is summed.
     """
-    total = right.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(count)).first()[0] or 0
     heavy = F.col(count) > max(64, total // shares)
     salt = fresh(left.join(right, keys), "salt")
     marks = right.where(heavy).select(*keys, F.lit(salts).alias(salt)).distinct()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ROW, fresh, numbered, saved, spread_join, texts
+from tideline.llm.common import ROW, fresh, numbered, saved, spread_join, texts, written
 
 BLOCK = 1024
 BLANKS = b" \t\n\v\f\r"
@@ -63,15 +63,16 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return docs.mapInArrow(cut, f"row {ROW}, at long, n long, content binary, doc_id long, size long, sha string")
 
 
-def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(row, doc_id, size, sha, level, name) per row of ``docs`` (doc_id, text, row): equal (level, name), equal text."""
+def identities(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """(row, doc_id, size, sha, level, name) per row of ``docs`` (doc_id, text, row): equal (level, name), equal text; and the number of blocks."""
     cut = blocks(docs, block).withColumn("hash", F.xxhash64("content"))
     contents = cut.groupBy("hash", "content").agg(F.min(_place()).alias("name"), F.count("*").alias("times"))
     hashes = saved(contents.groupBy("hash").agg(F.min("name").alias("name"), F.sum("times").alias("times"), F.count("*").alias("contents")))
     columns = ["row", "at", "n", "name", "doc_id", "size", "sha"]
-    named = spread_join(cut.drop("content"), hashes.where("contents = 1"), ["hash"], "times").select(*columns)
-    shared = hashes.where("contents > 1").select("hash")
-    if not shared.isEmpty():  # different contents with one hash: a handful at any size
+    total, mixed = hashes.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count_if(F.col("contents") > 1)).first()
+    named = spread_join(cut.drop("content"), hashes.where("contents = 1"), ["hash"], "times", total).select(*columns)
+    if mixed:  # different contents with one hash: a handful at any size
+        shared = hashes.where("contents > 1").select("hash")
         named = named.unionByName(cut.join(contents.join(shared, "hash", "left_semi"), ["hash", "content"]).select(*columns))
     named = saved(named)
     heads = named.where("at = 0").select("row", "doc_id", "size", "sha", "n", "name")
@@ -84,19 +85,20 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         )
         pairs = saved(pairs)
         names = pairs.groupBy("left", "right").agg(F.min(_place()).alias("name"), F.count("*").alias("times"))
-        todo = saved(spread_join(pairs, saved(names), ["left", "right"], "times").select("row", "at", "n", "name"))
+        todo = saved(spread_join(pairs, names, ["left", "right"], "times", total).select("row", "at", "n", "name"))
         done = done.unionByName(todo.where("n = 1").select("row", F.lit(level).alias("level"), "name"))
         todo = todo.where("n > 1")
     long = done.where("level > 0").withColumnRenamed("level", "level_").withColumnRenamed("name", "name_")
-    return heads.join(long, "row", "left").select("row", "doc_id", "size", "sha", F.coalesce("level_", F.lit(0)).alias("level"), F.coalesce("name_", "name").alias("name"))
+    return heads.join(long, "row", "left").select("row", "doc_id", "size", "sha", F.coalesce("level_", F.lit(0)).alias("level"), F.coalesce("name_", "name").alias("name")), total
 
 
 def duplicates(docs: DataFrame, block: int = BLOCK, row: str = "row") -> DataFrame:
     """Per row of ``docs`` (doc_id, text and a row number): row, doc_id, keep_id, group_size, kept, text_sha256."""
-    known = saved(identities(docs.select("doc_id", "text", F.col(row).cast(ROW).alias("row")), block))
+    known, total = identities(docs.select("doc_id", "text", F.col(row).cast(ROW).alias("row")), block)
+    known = saved(known)
     best = F.min(F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row").alias("keep_row")))
     groups = known.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
-    return spread_join(known, saved(groups), ["level", "name"], "group_size").select(
+    return spread_join(known, groups, ["level", "name"], "group_size", total).select(
         "row", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.keep_row")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
@@ -109,5 +111,5 @@ def drop_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     row = fresh(docs, "row_")
     known = numbered(docs, row)
-    stays = duplicates(known, block, row).where("kept").select(F.col("row").alias(row))
-    return known.join(stays, row, "left_semi").drop(row)
+    goes = written(duplicates(known, block, row).where("not kept").select(F.col("row").alias(row)))
+    return known.join(goes, row, "left_anti").drop(row)

@@ -1,16 +1,21 @@
-"""Near dedup by the Jaccard similarity of word shingles: wide SimHash signatures propose pairs, an exact check decides.
+"""Near dedup of whole texts at a Jaccard similarity of word shingles, by SimHash first and exactly in the end.
 
-Texts with equal sets of shingles are one node. A node of more than ``SHORT`` shingles has a SimHash fingerprint of 256
-bits and is signed by 160 choices of 24 of them; one of few shingles is signed by its least shingles, one of which any
-two sets that are near enough share. Nodes with an equal signature, near sizes and near fingerprints are candidates, and
-only a Jaccard similarity of the whole sets of at least ``similar`` links them. A candidate is checked once at most, and
-not where links already join its nodes.
+At a similarity of 0.8 some ten of 64 fingerprint bits differ, which no cut into segments that differ in one bit at most
+can index: it would need seven segments of nine bits. So the deletion variants of ``op7_simhash`` propose what is within
+their two bits, which joins most members of large groups of copies, and a prefix filter finds every other pair: with
+the shingles of all texts in one fixed order, two sets of n and m shingles that are similar enough share one of their
+first n - ceil(similar * n) + 1 (and m alike). The order is by frequency, common ones last, so that passages which many
+texts share are in few prefixes. The frequencies are counts over all texts in 2^32 counters, dealt over the tasks;
+the ``COMMON`` highest are broadcast, all other shingles count as rare and are ordered by their hash. Any fixed order
+gives the same result. Every proposed pair is checked by the two whole sets.
 
-Under a signature each node meets the ``NEAR`` before it in an order drawn per signature. Signatures with more nodes are
-dealt again, one node of each component, until a round finds no link; so the work stays in proportion to the rows.
+A shingle whose prefix list has over ``NEAR`` + 1 nodes is crowded. There each node first meets only the ``NEAR`` before it
+in an order drawn per shingle; the links that this gives are joined, and then each node that is not in the crowd's
+largest component meets all nodes of other components. So no pair is lost, and no group of copies is paired out.
 
 Defined cases: null and empty texts are alike, and like nothing else; a text of fewer words than a shingle is one
-shingle; the row with the least doc_id of a component stays, null reached last.
+shingle; of a component the row with the least doc_id stays, null reached last; an empty table gives no rows; all columns
+are kept. Texts with equal sets of shingles (64-bit hashes) are one node.
 """
 
 from __future__ import annotations
@@ -19,144 +24,202 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fresh, saved, texts
-from tideline.llm.op7_simhash import SEED, components
+from tideline.llm.common import ROW, chunks, fresh, numbered, saved, written
+from tideline.llm.op7_simhash import SEED, components, links
 
 WIDTH = 5
 SIMILAR = 0.8
-LANES = 4  #: 64 bits each
-APART = 80  #: of 256 bits; 39 are expected at a similarity of 0.8
-BAND, BANDS = 24, 160
-SHORT = 64
 NEAR = 16
+COMMON, COMMON_FROM = 1 << 20, 17
+RANGES, RANGE_BITS = 4096, 20  #: the 2^32 counters, as ranges that a task counts one after another
+AT_ONCE = 4_000_000  #: shingles sorted at once before they are sent to the ranges
+KNOWN_WORDS = 1_000_000
 EPS = 1e-9
-PICKS = np.stack([np.random.default_rng(SEED + b).permutation(64 * LANES)[:BAND] for b in range(BANDS)])
-FP = [f"f{k}" for k in range(LANES)]
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
-    """The sorted distinct XXH64 of all word shingles."""
-    from xxhash import xxh64_intdigest
+class Hashes(dict):
+    """The hash of each word."""
 
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word, SEED)
+        return h
+
+
+def shingles(text: bytes, hashes: Hashes, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of all runs of ``width`` words, mixed from the words' own."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, dtype="<u8")
+    h = np.fromiter(map(hashes.__getitem__, words), dtype="<u8", count=len(words))
     width = min(width, len(words))
     n = len(words) - width + 1
-    grams = map(b" ".join, zip(*(words[k : n + k] for k in range(width)), strict=True))
-    return np.unique(np.fromiter((xxh64_intdigest(g, seed) for g in grams), dtype="<u8", count=n))
+    g = h[:n].copy()
+    for k in range(1, width):
+        g = (g * ODD) ^ (h[k : k + n] + (g >> np.uint64(29)))
+    return np.unique(g ^ (g >> np.uint64(32)))
 
 
-def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    x = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def simhash(h: np.ndarray) -> int:
+    """Majority bits of the set, as a signed long."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 255):  # sums of bytes, wide enough for 255 rows
+        ones += np.unpackbits(h[at : at + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
-def wide_fingerprint(h: np.ndarray) -> list[int]:
-    """Majority bits of the set, as signed longs."""
-    out = []
-    for lane in range(LANES):
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), 255):  # sums of bytes, wide enough for 255 rows
-            bits = np.unpackbits(_mixed(h[at : at + 255], lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.uint8)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
-    return out
+def prefix_length(n: int, similar: float) -> int:
+    return n - int(np.ceil(similar * n - EPS)) + 1 if n else 0
 
 
-def least_shingles(h: np.ndarray, similar: float) -> np.ndarray:
-    """So many of the least shingles that a set with a similarity of ``similar`` has one of them among its own."""
-    return h[: len(h) - int(np.ceil(similar * len(h) - EPS)) + 1]
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The highest 32 bits of the most frequent shingles, sorted, and how many texts hold them (about 12 MB at the most)."""
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, n = Hashes(), [], 0
 
-def shingle_sets(docs: DataFrame, row: str, width: int, similar: float) -> DataFrame:
-    """(doc_id, row, node, n, f0 to f3, firsts): the node names the set of n shingles; firsts sign sets of few shingles."""
-    from xxhash import xxh64_intdigest
+        def out() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held))
+            cuts = np.searchsorted(values, np.arange(RANGES, dtype=np.uint64) << np.uint64(RANGE_BITS)).astype(np.int32)
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), RANGES, [None, pa.py_buffer(4 * np.append(cuts, len(values)).astype(np.int64)), pa.py_buffer(values)])
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32)), blobs.cast(pa.binary())], names=["part", "held"])
+
+        for _, raw in chunks(batches):
+            for x in raw:
+                held.append((shingles(x, hashes, width) >> np.uint64(32)).astype("<u4"))
+                n += len(held[-1])
+                if n >= AT_ONCE:
+                    yield out()
+                    held, n = [], 0
+        if n:
+            yield out()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, counts = -1, np.zeros(1 << RANGE_BITS, dtype=np.uint32)
+
+        def out() -> pa.RecordBatch:
+            at = np.flatnonzero(counts >= COMMON_FROM)
+            return pa.RecordBatch.from_arrays([pa.array(at + (part << RANGE_BITS)), pa.array(counts[at].astype(np.int64))], names=["shingle", "n"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, firsts, fps = [], [], [], []
-            for x in texts(batch):
-                h = shingles(x, width)
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != part:
+                    if part >= 0:
+                        yield out()
+                    part = k
+                    counts[:] = 0
+                np.add.at(counts, np.frombuffer(x, "<u4") & np.uint32((1 << RANGE_BITS) - 1), 1)
+        if part >= 0:
+            yield out()
+
+    dealt = docs.select("text").mapInArrow(deal, "part int, held binary").where(F.octet_length("held") > 0)
+    counted = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(count, "shingle long, n long")
+    top = counted.orderBy(F.col("n").desc(), "shingle").limit(COMMON).toArrow()
+    value, n = top.column("shingle").to_numpy().astype(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(value)
+    return value[order], n[order]
+
+
+def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar: float) -> np.ndarray:
+    """The set's prefix in the order of (frequency among the common ones, hash)."""
+    value, n = common
+    p = prefix_length(len(h), similar)
+    if not len(value) or not p:
+        return h[:p]
+    top = h >> np.uint64(32)
+    at = np.minimum(np.searchsorted(value, top), len(value) - 1)
+    often = value[at] == top
+    rare = h[~often]
+    if len(rare) >= p:
+        return rare[:p]
+    more, weight = h[often], n[at[often]]
+    return np.concatenate([rare, more[np.lexsort((more, weight))[: p - len(rare)]]])
+
+
+def shingle_sets(docs: DataFrame, row: str, common: tuple[np.ndarray, np.ndarray], width: int, similar: float) -> DataFrame:
+    """(doc_id, row, node, n, fp, firsts): the node names the set of n shingles, firsts is its prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        hashes = Hashes()
+        for batch, raw in chunks(batches):
+            node, size, fps, firsts = [], [], [], []
+            for x in raw:
+                h = shingles(x, hashes, width)
                 node.append(xxh64_intdigest(h.tobytes(), SEED))
                 size.append(len(h))
-                fps.append(wide_fingerprint(h))
-                firsts.append(least_shingles(h, similar).view(np.int64) if 0 < len(h) * similar <= SHORT + EPS else [])
-            lanes = np.array(fps, dtype=np.int64).reshape(-1, LANES)
-            node = np.array(node, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(node), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in lanes.T), pa.array(firsts, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "node", "n", *FP, "firsts"])
+                fps.append(simhash(h))
+                firsts.append(first_shingles(h, shared.value, similar))
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(fps, pa.int64()), lists], names=["doc_id", "row", "node", "n", "fp", "firsts"])
 
     kept = docs.select("text", "doc_id", F.col(row).alias("row"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(rows, f"{schema}, node long, n long, {', '.join(f'{c} long' for c in FP)}, firsts array<long>")
+    doc_id = kept.schema["doc_id"].dataType.simpleString()
+    return kept.mapInArrow(rows, f"doc_id {doc_id}, row {ROW}, node long, n long, fp long, firsts array<long>")
 
 
-def signatures(nodes: DataFrame) -> DataFrame:
-    """(key, node): 160 keys from zero up of a long set; the least shingles, as negative keys, of a short one."""
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """(key, node): the shingles of prefixes that two nodes or more have there, with those nodes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                fp = np.stack([batch.column(2 + k).to_numpy() for k in range(LANES)], axis=1)
-                long = n > SHORT
-                bits = np.unpackbits(np.ascontiguousarray(fp[long]).view(np.uint8), axis=1, bitorder="little")
-                parts = np.packbits(bits[:, PICKS], axis=2, bitorder="little").astype(np.int64)
-                keys = sum(parts[:, :, k] << (8 * k) for k in range(BAND // 8)) + (np.arange(BANDS, dtype=np.int64) << BAND)
-                firsts = batch.column(2 + LANES)
-                few = firsts.flatten().to_numpy(zero_copy_only=False).astype(np.int64) | np.int64(-1 << 63)
-                counts = firsts.value_lengths().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys.ravel(), few])), pa.array(np.concatenate([np.repeat(node[long], BANDS), np.repeat(node, counts)]))], names=["key", "node"])
-
-    return nodes.select("node", "n", *FP, "firsts").mapInArrow(rows, "key long, node long")
-
-
-def meetings(signed: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each two nodes of a key at most ``NEAR`` apart in its order, a < b; and (key, null) where a key has more."""
+        k, v, again = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False  # the last row, and if it repeats its key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, v = np.concatenate([k, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()])
+            same = k[1:] == k[:-1]
+            met = np.concatenate([[again], same])
+            met[:-1] |= same
+            yield pa.RecordBatch.from_arrays([pa.array(k[:-1][met[:-1]]), pa.array(v[:-1][met[:-1]])], names=["key", "node"])
+            k, v, again = k[-1:], v[-1:], bool(met[-1])
+        if again:
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], names=["key", "node"])
+
+    exploded = nodes.select(F.explode("firsts").alias("key"), "node")
+    return exploded.repartition("key").sortWithinPartitions("key").mapInArrow(rows, "key long, node long")
+
+
+def meetings(shared: DataFrame) -> DataFrame:
+    """(a, b): each two nodes of a key at most ``NEAR`` apart in its order, a < b."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = v = np.zeros(0, dtype=np.int64)
         for batch in batches:
             old = len(k)
             k, v = np.concatenate([k, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()])
-            for lag in range(1, NEAR + 2):
+            for lag in range(1, NEAR + 1):
                 i = np.arange(max(old, lag), len(k))
                 i = i[k[i] == k[i - lag]]
                 if not len(i):
                     break
-                if lag <= NEAR:
-                    a, b = np.minimum(v[i], v[i - lag]), np.maximum(v[i], v[i - lag])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                else:
-                    more = np.unique(k[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(more), pa.nulls(len(more), pa.int64())], names=["a", "b"])
-            k, v = k[-NEAR - 1 :], v[-NEAR - 1 :]
-
-    dealt = signed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node", F.lit(turn)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], v[i - lag])), pa.array(np.maximum(v[i], v[i - lag]))], names=["a", "b"])
+            k, v = k[-NEAR:], v[-NEAR:]
+
+    dealt = shared.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
     return dealt.mapInArrow(rows, "a long, b long").distinct()
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
-    """(a, b, d): the pairs whose sizes and fingerprints allow the similarity, with the distance."""
-    sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in FP)) for s in "ab"]
-    both = pairs.where("b is not null").join(sides[0], "a").join(sides[1], "b")
-    apart: Column = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in FP[1:]), F.bit_count(F.col(f"{FP[0]}_a").bitwiseXOR(F.col(f"{FP[0]}_b"))))
-    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar - EPS
-    return both.where(sizes).select("a", "b", apart.alias("d")).where(F.col("d") <= APART)
+def _sizes_fit(a: str, b: str, similar: float):
+    return F.least(a, b) >= F.greatest(a, b) * similar - EPS
 
 
-def alike(pairs: DataFrame, docs: DataFrame, row: str, nodes: DataFrame, width: int, similar: float) -> DataFrame:
+def alike(pairs: DataFrame, rows: DataFrame, row: str, nodes: DataFrame, width: int, similar: float) -> DataFrame:
     """(a, b): the pairs whose sets have the similarity, by their whole texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([shingles(x, width).tobytes() for x in texts(batch)], pa.binary())], names=["node", "held"])
+        hashes = Hashes()
+        for batch, raw in chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([shingles(x, hashes, width).tobytes() for x in raw], pa.binary())], names=["node", "held"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,53 +231,64 @@ def alike(pairs: DataFrame, docs: DataFrame, row: str, nodes: DataFrame, width:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    rows = nodes.join(asked, "node").select("node", F.col("best.row").alias(row))
-    held = saved(docs.select(row, "text").join(rows, row).select("text", "node").mapInArrow(sets, "node long, held binary"))
+    found = written(nodes.join(asked, "node").select("node", F.col("best.row").alias(row)))
+    held = saved(rows.select(row, "text").join(found, row).select("text", "node").mapInArrow(sets, "node long, held binary"))
     a, b = held.select(F.col("node").alias("a"), F.col("held").alias("x")), held.select(F.col("node").alias("b"), F.col("held").alias("y"))
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that links do not join yet."""
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) that the deletion variants of SimHash propose: nodes of one fingerprint, and of two that link, by their least nodes."""
+    of = saved(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.where("n > 0").join(of, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    linked = links(of.select("fp"))
     for s in "ab":
-        pairs = pairs.join(roots.select(F.col("fp").alias(s), F.col("root").alias(f"root_{s}")), s, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+        linked = linked.join(of.select(F.col("fp").alias(s), F.col("first").alias(f"first_{s}")), s)
+    return same.unionByName(linked.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
+def _roots(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    return df.join(roots.select(F.col("fp").alias(node), F.col("root").alias("root_")), node, "left").withColumn(root, F.coalesce("root_", node)).drop("root_")
+
+
+def crowded_pairs(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """(a, b) of crowded shingles: each node outside a crowd's largest component with the nodes of other components."""
+    crowds = shared.groupBy("key").agg(F.count("*").alias("nodes")).where(F.col("nodes") > NEAR + 1)
+    members = saved(_roots(shared.join(crowds, "key").join(sizes, "node"), roots, "node", "root"))
+    parts = members.groupBy("key", "root").agg(F.count("*").alias("nodes"))
+    largest = parts.groupBy("key").agg(F.max_by("root", F.struct("nodes", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    inside = saved(members.join(largest.drop("parts"), "key"))
+    few = inside.where("root != largest").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    met = inside.join(few, "key").where((F.col("root") != F.col("root_a")) & _sizes_fit("n", "n_a", similar))
+    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 def keep_unlike(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
     """One row of each component of similar texts, the one with the least doc_id, with all columns of ``docs``."""
     row = fresh(docs, "row_")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    known = saved(shingle_sets(numbered, row, width, similar))
+    rows = numbered(docs, row)
+    known = saved(shingle_sets(rows, row, common_shingles(rows, width), width, similar))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
-    nodes = saved(known.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("n", *FP, "firsts"))))
+    nodes = saved(known.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("n", "fp", "firsts"))))
+    sizes = nodes.select("node", "n")
+    shared = saved(shared_prefixes(nodes))
+    near = meetings(shared)
+    for s in "ab":
+        near = near.join(nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("fp").alias(f"fp_{s}")), s)
+    near = saved(near.where(_sizes_fit("n_a", "n_b", similar)).select("a", "b", F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))).alias("d")))
+    # The nearest node of each first, and what SimHash proposes: where all are alike, these few links already join them.
+    nearest = near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
+    first = saved(nearest.unionByName(fingerprint_pairs(nodes)).distinct())
     names = nodes.select(F.col("node").alias("fp"), F.col("node").alias("label"))
-    signed = signatures(nodes)
-    met = saved(meetings(signed, 0))
-    near = saved(_near(met, nodes, similar))
-    # The nearest earlier node of each first: where all are alike, these few links already join them.
-    first = near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
-    links = saved(alike(saved(first), numbered, row, nodes, width, similar))
-    roots = saved(components(names, links))
-    rest = saved(_apart(near.select("a", "b").join(first, ["a", "b"], "left_anti"), roots))
+    linked = saved(alike(first, rows, row, nodes, width, similar))
+    roots = saved(components(names, linked))
+    more = near.select("a", "b").unionByName(crowded_pairs(shared, sizes, roots, similar)).distinct().join(first, ["a", "b"], "left_anti")
+    rest = saved(_roots(_roots(more, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b").select("a", "b"))
     if not rest.isEmpty():
-        links = saved(links.unionByName(alike(rest, numbered, row, nodes, width, similar)))
-        roots = saved(components(names, links))
-    crowded = met.where("b is null").select(F.col("a").alias("key"))
-    crowd = None if crowded.isEmpty() else saved(signed.join(crowded, "key", "left_semi"))
-    tried, turn = near.select("a", "b"), 0
-    while crowd is not None:
-        turn += 1
-        one = crowd.join(roots.select(F.col("fp").alias("node"), "root"), "node", "left").groupBy("key", F.coalesce("root", "node").alias("root"))
-        one = one.agg(F.min_by("node", F.xxhash64("key", "node", F.lit(turn))).alias("node")).select("key", "node")
-        more = saved(_apart(_near(meetings(one, turn), nodes, similar).select("a", "b").join(tried, ["a", "b"], "left_anti"), roots))
-        if more.isEmpty():
-            break
-        found = saved(alike(more, numbered, row, nodes, width, similar))
-        if found.isEmpty():
-            break
-        tried, links = tried.unionByName(more), saved(links.unionByName(found))
-        roots = saved(components(names, links))
-    part = nodes.select("node", "best").join(roots.select(F.col("fp").alias("node"), "root"), "node", "left")
-    stays = part.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return numbered.join(stays, row, "left_semi").drop(row)
+        linked = linked.unionByName(alike(rest, rows, row, nodes, width, similar))
+        roots = components(names, saved(linked))
+    part = saved(_roots(nodes.select("node", "best"), roots, "node", "root"))
+    stays = part.groupBy("root").agg(F.min("best").alias("stay")).select("root", F.col("stay.row").alias("stay"))
+    found = known.select("node", "row").join(part.select("node", "root").join(stays, "root"), "node")
+    goes = written(found.where("row != stay").select(F.col("row").alias(row)))
+    return rows.join(goes, row, "left_anti").drop(row)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fresh, numbered, saved, spread_join, texts
+from tideline.llm.common import fresh, numbered, saved, spread_join, texts, written
 
 SEED = 42
 SHINGLE = 3
@@ -123,8 +123,8 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     state = saved(linked.join(nodes, "fp").select("fp", F.struct("label", "fp").alias("root")))
     while True:
         near = both.join(state.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
-        stepped = saved(state.join(near, "fp").select("fp", "root", F.least("root", "near").alias("next")))
-        to = stepped.select(F.col("fp").alias("to"), F.col("next").alias("jump"))
+        stepped = state.join(near, "fp").select("fp", "root", F.least("root", "near").alias("next"))
+        to = state.select(F.col("fp").alias("to"), F.col("root").alias("jump"))
         stepped = saved(stepped.withColumn("to", F.col("next.fp")).join(to, "to").select("fp", "root", F.least("next", "jump").alias("next")))
         if stepped.where("root != next").isEmpty():
             return stepped.select("fp", F.col("next.label").alias("label"), F.col("next.fp").alias("root"))
@@ -147,4 +147,4 @@ def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
     rows = numbered(docs, row)
     known = near_duplicates(rows, row, most=most)
     stays = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("best")).select(F.col(f"best.{row}").alias(row))
-    return rows.join(stays, row, "left_semi").drop(row)
+    return rows.join(written(stays), row, "left_semi").drop(row)
