@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,22 +40,28 @@ def _edits(n: int, m: int, threshold: float) -> int:
     return int((n + m) * (1 - threshold / 100) + 1e-9)
 
 
-def part_keys(text: str, threshold: float) -> tuple[list[str], list[str]]:
+def part_keys(text: str, threshold: float) -> tuple[list[int], list[int]]:
     """Keys to index a text by, and keys to look for texts no longer than it.
 
-    With d insertions and deletions one of the shorter text's d + 1 parts is left whole, and stands in the longer one
-    shifted by no more than the insertions or deletions before it can be.
+    With d insertions and deletions, d + 1 parts of the shorter text have one, say number i, that is left whole while
+    exactly i of the edits lie before it: the count of edits minus the count of parts falls by one a part at most, and
+    ends below zero. So that part stands in the longer text, shifted by -i, -i + 2, ... or i places. A key is a hash of both
+    lengths, i and the part; the ratio verifies what meets.
     """
     m, own, probe = len(text), [], []
     for longer in range(m, int(m * (200 - threshold) / threshold + 1e-9) + 1):
-        own += [f"{m},{longer},{i},{text[a:b]}" for i, (a, b) in enumerate(_parts(m, _edits(m, longer, threshold)))]
+        own += [(m, longer, i, text[a:b]) for i, (a, b) in enumerate(_parts(m, _edits(m, longer, threshold)))]
     for n in range(int(-(-m * threshold // (200 - threshold))), m + 1):
-        d = _edits(n, m, threshold)
+        d, more = _edits(n, m, threshold), m - n
         for i, (a, b) in enumerate(_parts(n, d)):
-            for shift in range(-((d - m + n) // 2), (d + m - n) // 2 + 1):
-                if 0 <= a + shift and b + shift <= m:
-                    probe.append(f"{n},{m},{i},{text[a + shift : b + shift]}")
-    return list(dict.fromkeys(own)), list(dict.fromkeys(probe))
+            for shift in range(-i, i + 1, 2):
+                if abs(more - shift) <= d - i and 0 <= a + shift and b + shift <= m:
+                    probe.append((n, m, i, text[a + shift : b + shift]))
+    return _hashed(own), _hashed(probe)
+
+
+def _hashed(keys: list[tuple]) -> list[int]:
+    return list({int.from_bytes(hashlib.blake2b(repr(k).encode(), digest_size=8).digest(), "little", signed=True) for k in keys})
 
 
 def near_titles(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -69,9 +76,9 @@ def near_titles(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for b in batches:
                 found = [part_keys(t, threshold)[side] for t in b.column(2).to_pylist()]
                 at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array([k for f in found for k in f], pa.string())], names=["company", "title", "sorted", "key"])
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array([k for f in found for k in f], pa.int64())], names=["company", "title", "sorted", "key"])
 
-        return titles.select("company", "title", token_sort(F.col("title")).alias("sorted")).mapInArrow(keys, "company string, title string, sorted string, key string")
+        return titles.select("company", "title", token_sort(F.col("title")).alias("sorted")).mapInArrow(keys, "company string, title string, sorted string, key long")
 
     left = keyed(0).select("company", "key", F.col("title").alias("x"), F.col("sorted").alias("xs"))
     right = keyed(1).select("company", "key", F.col("title").alias("y"), F.col("sorted").alias("ys"))

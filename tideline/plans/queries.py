@@ -66,7 +66,11 @@ def canonical_urls(spark, sf_dir):
 
 @_query
 def posting_urls(spark, sf_dir):
-    return views.postings(spark, sf_dir).select("pos", urls.canonical_url(F.col("url")).alias("canonical"), urls.applicant_system(F.col("url")).alias("system"), urls.is_page_of(F.col("url"), "example.com").alias("own"))
+    """URLs of each applicant system, of two at once, of none, and with a system's name in the path only."""
+    k = F.col("page_id")
+    bases = ["https://boards.greenhouse.io/acme/jobs/", "https://jobs.lever.co/acme/", "https://jobs.ashbyhq.com/acme/", "https://careers.smartrecruiters.com/acme/", "https://jobs.lever.co.greenhouse.io/x/", "https://WWW.example.com/jobs/", "https://example.org/to/greenhouse.io/"]
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(views._pick(bases, k), k.cast("string"), F.lit("/?utm_source=x#top")).alias("url"))
+    return p.select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), urls.applicant_system(F.col("url")).alias("system"), urls.is_page_of(F.col("url"), "example.com").alias("own"))
 
 
 @_query
@@ -181,9 +185,8 @@ def last_outcomes(spark, sf_dir):
     return runs.last_outcomes(e, ["ts", "event_id"]).select("run_id", "source", "event_id", "value")
 
 
-def _event_batch(spark, sf_dir, low, high):
-    """Events of some days as postings: the user is the posting."""
-    e = views.days(spark, sf_dir).where((F.col("day") >= low) & (F.col("day") < high))
+def _events_as_postings(e):
+    """The user is the posting."""
     return e.select(F.col("user_id").cast("string").alias("job_uid"), F.col("event_type").alias("source"), F.col("props").alias("source_native_id"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("title"), F.col("ts").alias("posted_at"), F.round(F.col("value") * 100).cast("long").alias("salary_max"), F.col("event_id").alias("pos"))
 
 
@@ -194,10 +197,20 @@ def _full(batch):
     return batch.select(*[(F.col(n) if n in have else F.lit(None).cast(t)).alias(n) for n, t in (c.split() for c in POSTING.split(", "))], "pos")
 
 
+def _halves(spark, sf_dir):
+    """All events in two cycles: a quarter of the users come in the first only, one in the second, all others by the half of the month."""
+    e = views.days(spark, sf_dir)
+    kind = F.col("user_id") % 4
+    early = (kind == 0) | ((kind > 1) & (F.col("day") < 16))
+    return _events_as_postings(e.where(early)), _events_as_postings(e.where(~early))
+
+
+def _first_cycle(spark, sf_dir):
+    return snapshot.merge_cycle(spark.createDataFrame([], SNAPSHOT), _full(_halves(spark, sf_dir)[0]), 1, _at("2024-01-16 00:00:00"), ["pos"])
+
+
 def _two_cycles(spark, sf_dir):
-    empty = spark.createDataFrame([], SNAPSHOT)
-    one = snapshot.merge_cycle(empty, _full(_event_batch(spark, sf_dir, 1, 3)), 1, _at("2024-01-03 00:00:00"), ["pos"])
-    return snapshot.merge_cycle(one, _full(_event_batch(spark, sf_dir, 4, 5)), 2, _at("2024-01-05 00:00:00"), ["pos"])
+    return snapshot.merge_cycle(_first_cycle(spark, sf_dir), _full(_halves(spark, sf_dir)[1]), 2, _at("2024-01-31 00:00:00"), ["pos"])
 
 
 @_query
@@ -207,10 +220,8 @@ def upsert_merge(spark, sf_dir):
 
 @_query
 def upsert_metrics(spark, sf_dir):
-    empty = spark.createDataFrame([], SNAPSHOT)
-    one = snapshot.merge_cycle(empty, _full(_event_batch(spark, sf_dir, 1, 3)), 1, _at("2024-01-03 00:00:00"), ["pos"])
-    judged = _event_batch(spark, sf_dir, 4, 5).withColumn("keep", F.col("pos") % 5 != 0)
-    return runs.upsert_metrics(judged, one)
+    judged = _halves(spark, sf_dir)[1].withColumn("keep", F.col("pos") % 5 != 0)
+    return runs.upsert_metrics(judged, _first_cycle(spark, sf_dir))
 
 
 def _aged(spark, sf_dir):
@@ -231,7 +242,7 @@ def expired_count(spark, sf_dir):
 @_query
 def lifecycle_replay(spark, sf_dir):
     e = views.days(spark, sf_dir)
-    sightings = e.where("event_id % 3 = 0").select(F.col("user_id").alias("uid"), F.col("event_type").alias("source"), F.col("day").alias("cycle"))
+    sightings = e.select(F.col("user_id").alias("uid"), F.col("event_type").alias("source"), F.col("day").alias("cycle"))
     ok = _outcomes(spark, sf_dir).select("source", F.col("run_id").alias("cycle"), "succeeded")
     return snapshot.replay(sightings, ok, 3)
 
@@ -271,8 +282,8 @@ def run_summaries(spark, sf_dir):
 
 @_query
 def orphan_cycles(spark, sf_dir):
-    r = _runs(spark, sf_dir).where("run_id = 1")
-    return snapshot.orphan_cycles(_two_cycles(spark, sf_dir), r).select("job_uid", "last_seen_cycle")
+    """Rows last seen in a cycle that no successful run has."""
+    return snapshot.orphan_cycles(_two_cycles(spark, sf_dir), _runs(spark, sf_dir).where("status = 'success'")).select("job_uid", "last_seen_cycle")
 
 
 def _flag_events(spark, sf_dir):
@@ -308,16 +319,16 @@ def walk_completeness(spark, sf_dir):
 
 @_query
 def source_outcomes(spark, sf_dir):
-    raw = views.postings(spark, sf_dir)
+    raw = _judged(spark, sf_dir)
     every = raw.select("source").unionByName(raw.select(F.concat("source", F.lit("-empty")).alias("source")))
-    return outcomes.source_outcomes(every, raw, raw.where("pos % 20 > 10"))
+    return outcomes.source_outcomes(every, raw, raw.where("keep"))
 
 
 @_query
 def company_outcomes(spark, sf_dir):
     e = views.days(spark, sf_dir)
     f = e.groupBy(F.col("event_type").alias("source"), F.concat(F.lit("co"), (F.col("user_id") % 4).cast("string")).alias("company")).agg(
-        ((F.max("value") < 300) & (F.first(F.col("event_type")) != "error")).alias("succeeded"), F.count("*").alias("n_fetched"), F.lit("not found").alias("error")
+        ((F.max("value") < 300) & (F.col("event_type") != "error")).alias("succeeded"), F.count("*").alias("n_fetched"), F.lit("not found").alias("error")
     )
     return outcomes.company_outcomes(f)
 
@@ -335,7 +346,7 @@ def digest_text(spark, sf_dir):
 
 @_query
 def mail_text(spark, sf_dir):
-    return publish.mail_digest(views_of.feed(views.jobs(spark, sf_dir), status="new"), "[feed]", 30)
+    return publish.mail_digest(views_of.feed(views.jobs(spark, sf_dir), status="new"), "[feed]")
 
 
 @_query
@@ -350,7 +361,7 @@ def atom_feed(spark, sf_dir):
 
 @_query
 def near_dup_titles(spark, sf_dir):
-    p = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), (F.col("doc_id") % 50).cast("string")).alias("company"), F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 8), " ").alias("title"))
+    p = table(spark, sf_dir, "pages").select(urls.base_domain(urls.host(F.col("url"))).alias("company"), F.regexp_extract(F.coalesce("html", F.lit("")), "(?is)<title>(.*?)</title>", 1).alias("title"))
     return neardup.near_titles(p)
 
 
@@ -358,7 +369,7 @@ def near_dup_titles(spark, sf_dir):
 def keyword_overlap_topk(spark, sf_dir):
     j = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job_uid"), F.concat_ws(" ", F.col("text"), views._pick(["red small ring", "blue bolt promo", "green widget large", "economy standard ring"], F.col("doc_id"))).alias("text"))
     p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("ord"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "p_name", "p_type"))), " ").alias("text"))
-    return match.overlap_topk(j, p.where("ord < 40").select(F.col("p_brand").alias("project"), "ord", "text"), 3)
+    return match.overlap_topk(j, p.select(F.col("p_brand").alias("project"), "ord", "text"), 3)
 
 
 def _rewrites(spark, sf_dir):

@@ -18,7 +18,7 @@ def _pick(values, index: str) -> str:
     return f"(CASE ({index}) % {len(values)} " + " ".join(f"WHEN {i} THEN {_q(v)}" for i, v in enumerate(values)) + " END)"
 
 
-POSTINGS = f"""firms AS (SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 10),
+POSTINGS = f"""firms AS (SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 p AS (SELECT doc_id AS pos, source, doc_id::VARCHAR AS source_native_id, {_pick(TITLES, "doc_id // 10")} AS title, s_name || {_pick(SUFFIXES, "doc_id")} AS company,
  CASE WHEN doc_id % 6 = 0 THEN 'Bangalore' WHEN doc_id % 6 = 1 THEN 'Remote, WFH' WHEN doc_id % 6 = 2 THEN NULL ELSE n_name END AS location,
  CASE doc_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS is_remote, 'https://jobs.example.com/p/' || doc_id || '?a=1&b=2' AS url,
@@ -26,7 +26,7 @@ p AS (SELECT doc_id AS pos, source, doc_id::VARCHAR AS source_native_id, {_pick(
  CASE WHEN doc_id % 7 <> 0 THEN n_chars * 13 + 500 END AS salary_min, CASE WHEN doc_id % 11 <> 0 THEN n_chars * 17 + 900 END AS salary_max,
  {_pick(CURRENCIES, "doc_id")} AS salary_currency, {_pick(PERIODS, "doc_id")} AS salary_period,
  CASE WHEN doc_id % 13 <> 0 THEN TIMESTAMP '{START}' + to_hours(CAST(doc_id % 1000 AS INTEGER)) END AS posted_at, coalesce(try_cast(regexp_extract(source, '(\\d+)$', 1) AS INTEGER), 1073741824) AS ord
- FROM documents JOIN firms ON doc_id % 10 = s_suppkey)"""
+ FROM documents JOIN firms ON doc_id % (SELECT count(*) FROM supplier) = s_suppkey)"""
 
 
 def _spaced(x: str) -> str:
@@ -115,14 +115,15 @@ RUNS = f"""{METRICS}, rn AS (SELECT run_id, TIMESTAMP '{START}' + to_days(CAST(r
   CASE WHEN run_id % 10 <> 0 THEN TIMESTAMP '{START}' + to_days(CAST(run_id - 1 AS INTEGER)) + to_hours(CAST(n_fetched % 30 AS INTEGER)) END AS finished_at, error FROM ms)"""
 
 
-def _event_cycle(n: int, low: int, high: int) -> str:
+def _event_cycle(n: int, condition: str) -> str:
     return f"""s{n} AS (SELECT user_id::VARCHAR AS job_uid, arg_min(event_type, event_id) AS source, arg_max('t' || event_id, event_id) AS title, arg_max(round(value * 100)::BIGINT, event_id) AS salary_max, arg_max(ts, event_id) AS posted_at, count(*) AS times
-  FROM ev WHERE day >= {low} AND day < {high} GROUP BY 1)"""
+  FROM ev WHERE {condition} GROUP BY 1)"""
 
 
-TWO = f"""{DAYS}, {_event_cycle(1, 1, 3)}, {_event_cycle(2, 4, 5)},
+FIRST, SECOND = "(user_id % 4 = 0 OR user_id % 4 > 1 AND day < 16)", "(user_id % 4 = 1 OR user_id % 4 > 1 AND day >= 16)"
+TWO = f"""{DAYS}, {_event_cycle(1, FIRST)}, {_event_cycle(2, SECOND)},
 tw AS (SELECT coalesce(s1.job_uid, s2.job_uid) AS job_uid, coalesce(s1.source, s2.source) AS source, coalesce(s2.title, s1.title) AS title, coalesce(s2.salary_max, s1.salary_max) AS salary_max, coalesce(s2.posted_at, s1.posted_at) AS posted_at,
-  CASE WHEN s1.job_uid IS NOT NULL THEN TIMESTAMP '2024-01-03' ELSE TIMESTAMP '2024-01-05' END AS first_seen_at, CASE WHEN s2.job_uid IS NOT NULL THEN TIMESTAMP '2024-01-05' ELSE TIMESTAMP '2024-01-03' END AS last_seen_at,
+  CASE WHEN s1.job_uid IS NOT NULL THEN TIMESTAMP '2024-01-16' ELSE TIMESTAMP '2024-01-31' END AS first_seen_at, CASE WHEN s2.job_uid IS NOT NULL THEN TIMESTAMP '2024-01-31' ELSE TIMESTAMP '2024-01-16' END AS last_seen_at,
   CASE WHEN s2.job_uid IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS last_seen_cycle,
   CASE WHEN s2.job_uid IS NULL THEN CASE WHEN s1.times > 1 THEN 'active' ELSE 'new' END WHEN s1.job_uid IS NOT NULL OR s2.times > 1 THEN 'active' ELSE 'new' END AS status
   FROM s1 FULL OUTER JOIN s2 ON s1.job_uid = s2.job_uid)"""
@@ -178,7 +179,9 @@ def oracle_sql() -> dict[str, str]:
         "dedup_first_seen": f"""{w}{POSTINGS}, {IDENTITY}, r AS (SELECT *, row_number() OVER (PARTITION BY job_uid ORDER BY ord, pos) AS up, row_number() OVER (PARTITION BY job_uid ORDER BY ord DESC, pos DESC) AS down, count(*) OVER (PARTITION BY job_uid) AS times FROM u)
           SELECT f.job_uid, f.source, f.pos AS first_pos, l.pos AS last_pos, l.salary_max, f.times FROM r f JOIN r l ON f.job_uid = l.job_uid AND f.up = 1 AND l.down = 1""",
         "canonical_urls": f"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) || '://' || {_host} || {_path} || CASE WHEN len({_canon_pairs}) > 0 THEN '?' || array_to_string({_canon_pairs}, '&') ELSE '' END AS canonical, {_domain} AS domain, FALSE AS private, TRUE AS safe FROM pages",
-        "posting_urls": f"{w}{POSTINGS} SELECT pos, url AS canonical, NULL::VARCHAR AS system, TRUE AS own FROM p",
+        "posting_urls": f"""{w}h AS (SELECT page_id, page_id % 7 AS k FROM pages), v AS (SELECT page_id, CASE k WHEN 0 THEN 'https://boards.greenhouse.io/acme/jobs/' || page_id WHEN 1 THEN 'https://jobs.lever.co/acme/' || page_id WHEN 2 THEN 'https://jobs.ashbyhq.com/acme/' || page_id
+          WHEN 3 THEN 'https://careers.smartrecruiters.com/acme/' || page_id WHEN 4 THEN 'https://jobs.lever.co.greenhouse.io/x/' || page_id WHEN 5 THEN 'https://www.example.com/jobs/' || page_id ELSE 'https://example.org/to/greenhouse.io/' || page_id END AS canonical, k FROM h)
+          SELECT page_id, canonical, CASE k WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' WHEN 3 THEN 'smartrecruiters' WHEN 4 THEN 'greenhouse' END AS system, k = 5 AS own FROM v""",
         "pages_by_site": f"SELECT {_domain} AS site, count(*) AS n_pages, min(page_id) AS first_page FROM pages GROUP BY 1",
         "keyword_gates": f"{w}{JUDGED} SELECT pos, is_internship, salary_bucket, keep, coalesce(drop_reason, '') AS drop_reason FROM j",
         "scores": f"{w}{JUDGED} SELECT pos, match_score, reasons FROM j",
@@ -198,11 +201,11 @@ def oracle_sql() -> dict[str, str]:
         "run_status": f"{w}{METRICS} SELECT run_id, n_sources_ok, n_sources_err, n_fetched, status, error FROM ms",
         "last_outcomes": f"{w}{DAYS} SELECT run_id, source, event_id, value FROM (SELECT day AS run_id, event_type AS source, event_id, value, row_number() OVER (PARTITION BY day, event_type ORDER BY ts DESC, event_id DESC) AS r FROM ev) WHERE r = 1",
         "upsert_merge": f"{w}{TWO} SELECT job_uid, source, title, salary_max, first_seen_at, last_seen_at, last_seen_cycle, status, FALSE AS applied FROM tw",
-        "upsert_metrics": f"""{w}{DAYS}, {_event_cycle(1, 1, 3)}, b AS (SELECT user_id::VARCHAR AS job_uid, event_id % 5 <> 0 AS keep FROM ev WHERE day >= 4 AND day < 5), k AS (SELECT b.*, s1.job_uid IS NOT NULL AS known FROM b LEFT JOIN s1 USING (job_uid))
+        "upsert_metrics": f"""{w}{DAYS}, {_event_cycle(1, FIRST)}, b AS (SELECT user_id::VARCHAR AS job_uid, event_id % 5 <> 0 AS keep FROM ev WHERE {SECOND}), k AS (SELECT b.*, s1.job_uid IS NOT NULL AS known FROM b LEFT JOIN s1 USING (job_uid))
           SELECT count(DISTINCT CASE WHEN keep AND NOT known THEN job_uid END) AS n_new, count(*) FILTER (keep) - count(DISTINCT CASE WHEN keep AND NOT known THEN job_uid END) AS n_updated, count(*) FILTER (NOT keep) AS n_filtered FROM k""",
         "age_out": f"{w}{AGED} SELECT * FROM ag",
         "expired_count": f"{w}{AGED} SELECT count(*) FILTER (went_stale) + count(*) FILTER (went_deleted) AS n_expired FROM ag",
-        "lifecycle_replay": f"""{w}{OUTCOMES}, sg AS (SELECT user_id AS uid, day AS cycle, min(event_type) AS source FROM ev WHERE event_id % 3 = 0 GROUP BY 1, 2), ow AS (SELECT uid, arg_min(source, cycle) AS source, min(cycle) AS first_cycle FROM sg GROUP BY 1),
+        "lifecycle_replay": f"""{w}{OUTCOMES}, sg AS (SELECT user_id AS uid, day AS cycle, min(event_type) AS source FROM ev GROUP BY 1, 2), ow AS (SELECT uid, arg_min(source, cycle) AS source, min(cycle) AS first_cycle FROM sg GROUP BY 1),
           g AS (SELECT ow.uid, oc.run_id AS cycle, ow.source, first_cycle, oc.succeeded, sg.uid IS NOT NULL AS seen FROM ow JOIN oc ON oc.source = ow.source AND oc.run_id >= first_cycle LEFT JOIN sg ON sg.uid = ow.uid AND sg.cycle = oc.run_id),
           z AS (SELECT *, max(CASE WHEN seen THEN cycle END) OVER (PARTITION BY uid ORDER BY cycle) AS last_seen_cycle, max(CASE WHEN NOT seen AND succeeded THEN cycle END) OVER (PARTITION BY uid ORDER BY cycle) AS missed FROM g)
           SELECT uid, cycle, source, last_seen_cycle, CASE WHEN cycle = first_cycle THEN 'new' WHEN seen THEN 'active' WHEN coalesce(missed - last_seen_cycle, 0) <= 0 THEN CASE WHEN last_seen_cycle = first_cycle THEN 'new' ELSE 'active' END WHEN missed - last_seen_cycle > 3 THEN 'deleted' ELSE 'stale' END AS status FROM z""",
@@ -214,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
         "run_summaries": f"""{w}{METRICS} SELECT run_id, concat_ws(chr(10), (CASE status WHEN 'success' THEN '🟢' WHEN 'partial' THEN '🟠' ELSE '🔴' END) || ' <b>Run #' || run_id || '</b> [' || status || '] · scheduled', 'new 1 · updated ' || n_fetched || ' · expired 0 · filtered 2',
           'sources ok ' || n_sources_ok || ' / err ' || n_sources_err, CASE WHEN len(failed) > 0 THEN 'failed: ' || array_to_string(failed[1:6], ', ') END,
           CASE WHEN run_id % 2 = 0 THEN 'Dashboard: http://192.168.1.5:8770/' ELSE '<a href="https://feed.example.com/?a=1&amp;b=2">Open dashboard →</a>' END) AS text FROM ms""",
-        "orphan_cycles": f"{w}{TWO} SELECT job_uid, last_seen_cycle FROM tw WHERE last_seen_cycle <> 1",
+        "orphan_cycles": f"{w}{TWO}, {RUNS.removeprefix(DAYS + ', ')} SELECT job_uid, last_seen_cycle FROM tw WHERE last_seen_cycle NOT IN (SELECT run_id FROM rn WHERE status = 'success')",
         "flag_latest": f"{w}{FLAGS} SELECT job_uid, field, value FROM fl",
         "flags_applied": f"""{w}{TWO}, {FLAGS}, pv AS (SELECT tw.job_uid, {", ".join(f"coalesce(bool_or(value) FILTER (field = '{c}'), FALSE) AS {c}" for c in USER_FLAGS)} FROM tw LEFT JOIN fl ON tw.job_uid = fl.job_uid GROUP BY 1)
           SELECT {", ".join(USER_FLAGS)}, count(*) AS n FROM pv GROUP BY ALL""",
@@ -223,16 +226,19 @@ def oracle_sql() -> dict[str, str]:
           en AS (SELECT source, walk, min(page) FILTER (page <= 5 AND NOT ok) AS bad, min(page) FILTER (page <= 5 AND ok AND n_items < 24) AS short FROM pg GROUP BY 1, 2)
           SELECT source, walk, count(*) FILTER (page <= least(coalesce(bad - 1, 5), coalesce(short, 5))) AS n_pages, coalesce(sum(n_items) FILTER (page <= least(coalesce(bad - 1, 5), coalesce(short, 5))), 0)::BIGINT AS n_items, coalesce(any_value(bad) = 1, FALSE) AS failed,
           coalesce(any_value(short) < coalesce(any_value(bad), 6), FALSE) AS exhausted FROM pg JOIN en USING (source, walk) GROUP BY 1, 2""",
-        "source_outcomes": "SELECT source, TRUE AS succeeded, count(*) FILTER (doc_id % 20 > 10) AS n_fetched FROM documents GROUP BY 1 UNION ALL SELECT DISTINCT source || '-empty', FALSE, 0 FROM documents",
+        "source_outcomes": f"{w}{JUDGED} SELECT source, TRUE AS succeeded, count(*) FILTER (keep) AS n_fetched FROM j GROUP BY 1 UNION ALL SELECT DISTINCT source || '-empty', FALSE, 0 FROM j",
+        "company_outcomes": f"""{w}{DAYS}, pc AS (SELECT event_type AS source, 'co' || (user_id % 4) AS company, max(value) < 300 AND event_type <> 'error' AS succeeded, count(*) AS n_fetched FROM ev GROUP BY event_type, user_id % 4),
+          wh AS (SELECT source, bool_or(succeeded) AS any_ok, string_agg(CASE WHEN NOT succeeded THEN company || ': not found' END, '; ' ORDER BY company) AS errors FROM pc GROUP BY 1)
+          SELECT source || '_' || company AS source, succeeded, n_fetched, CASE WHEN NOT succeeded THEN errors END AS error FROM pc JOIN wh USING (source) WHERE any_ok UNION ALL SELECT source, FALSE, 0, errors FROM wh WHERE NOT any_ok""",
         "site_stats": f"{w}{DAYS} SELECT event_type AS site, count(*) AS calls, count(*) FILTER (event_id % 17 = 0) AS errors, sum(day)::BIGINT AS n_rows, sum(user_id % 3)::BIGINT AS n_jobs, 'e' || max(CASE WHEN event_id % 17 = 0 THEN event_id END) AS last_error, sum(user_id % 3) > 0 AS succeeded FROM ev GROUP BY 1",
         "digest_text": f"""{w}{JOBS}, nw AS (SELECT *, row_number() OVER ({TOP}) AS n FROM jobs WHERE status = 'new'), tx AS (SELECT '<b>' || count(*) || ' new job' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || '</b>' || chr(10) || coalesce(chr(10) || (SELECT string_agg({line}, chr(10) ORDER BY n) FROM nw WHERE n <= 20), '')
           || CASE WHEN count(*) > 20 THEN chr(10) || chr(10) || '…and ' || (count(*) - 20) || ' more.' ELSE '' END AS text FROM nw) SELECT CASE WHEN length(text) > 4096 THEN substr(text, 1, 4095) || '…' ELSE text END AS text FROM tx""",
         "mail_text": f"""{w}{JOBS}, nw AS (SELECT *, row_number() OVER ({TOP}) AS n FROM jobs WHERE status = 'new')
-          SELECT '[feed] ' || count(*) || ' new job' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS subject, (SELECT string_agg(concat_ws(chr(10), n || '. ' || title || ' — ' || company, '   ' || nullif({META}, ''), '   ' || url), chr(10) || chr(10) ORDER BY n) FROM nw WHERE n <= 30) || chr(10) AS body FROM nw""",
+          SELECT '[feed] ' || count(*) || ' new job' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS subject, (SELECT string_agg(concat_ws(chr(10), n || '. ' || title || ' — ' || company, '   ' || nullif({META}, ''), '   ' || url), chr(10) || chr(10) ORDER BY n) FROM nw) || chr(10) AS body FROM nw""",
         "feed_entries": f"{w}{JOBS} SELECT job_uid, {ENTRY} AS entry FROM jobs",
         "keyword_overlap_topk": f"""{w}dj AS (SELECT doc_id::VARCHAR AS job_uid, unnest({_words("concat_ws(' ', text, " + _pick(["red small ring", "blue bolt promo", "green widget large", "economy standard ring"], "doc_id") + ")")}) AS word FROM documents),
-          ju AS (SELECT doc_id::VARCHAR AS job_uid FROM documents), pr AS (SELECT p_brand AS project, min(p_partkey) AS ord, string_agg(DISTINCT p_name || ' ' || p_type, ' ') AS text FROM part GROUP BY 1), pt AS (SELECT project, ord, unnest({_words("text")}) AS word FROM pr WHERE ord < 40),
-          sc AS (SELECT job_uid, project, ord, count(*) AS score FROM dj JOIN pt USING (word) GROUP BY 1, 2, 3), al AS (SELECT ju.job_uid, pr.project, pr.ord, coalesce(score, 0) AS score FROM ju CROSS JOIN (SELECT * FROM pr WHERE ord < 40) pr LEFT JOIN sc ON sc.job_uid = ju.job_uid AND sc.project = pr.project)
+          ju AS (SELECT doc_id::VARCHAR AS job_uid FROM documents), pr AS (SELECT p_brand AS project, min(p_partkey) AS ord, string_agg(DISTINCT p_name || ' ' || p_type, ' ') AS text FROM part GROUP BY 1), pt AS (SELECT project, ord, unnest({_words("text")}) AS word FROM pr),
+          sc AS (SELECT job_uid, project, ord, count(*) AS score FROM dj JOIN pt USING (word) GROUP BY 1, 2, 3), al AS (SELECT ju.job_uid, pr.project, pr.ord, coalesce(score, 0) AS score FROM ju CROSS JOIN pr LEFT JOIN sc ON sc.job_uid = ju.job_uid AND sc.project = pr.project)
           SELECT job_uid, project, ord, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_uid ORDER BY score DESC, ord, project) AS rank FROM al) WHERE rank <= 3""",
         "number_guard": f"{w}{REWRITES}, nn AS (SELECT *, {_numbers('source_text')} AS a, {_numbers('new_text')} AS b FROM rw) SELECT conv_id, turn, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS ok, array_to_string(list_sort(b), ',') AS numbers FROM nn",
         "fact_preservation": f"{w}{REWRITES}, nn AS (SELECT *, {_numbers('source_text')} AS a, {_numbers('new_text')} AS b FROM rw), sh AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / len(a) END AS share FROM nn) SELECT conv_id, turn, round(share, 9) AS share, share < 0.8 AS flagged FROM sh",

@@ -34,8 +34,8 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw postings, one per document: a supplier as company, its nation or a city as location, pay from the length."""
     docs, supplier, nation = (table(spark, sf_dir, t) for t in ("documents", "supplier", "nation"))
     d = F.col("doc_id")
-    firms = supplier.where("s_suppkey < 10").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")  # ten rows
-    rows = docs.join(F.broadcast(firms), F.pmod(d, F.lit(10)) == F.col("s_suppkey"))
+    firms = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
+    rows = docs.join(firms, F.pmod(d, F.lit(max(1, supplier.count()))) == F.col("s_suppkey"))
     tenth = F.floor(d / 10).cast("long")
     return rows.select(
         d.alias("pos"),
