@@ -82,15 +82,19 @@ def content_hash(company: Column, title: Column, location: Column) -> Column:
     return F.sha2(F.concat_ws("|", norm_company(company), norm_title(title), norm_location(location)), 256)
 
 
+#: What counts as a token of a posting, and as a number.
+KEYWORD, NUMBER = r"[a-z0-9+#.]+", r"\d[\d,]*\.?\d*"
+
+
 def keyword_tokens(text: Column) -> Column:
     """Distinct tokens of letters, digits, + # and dot, of two characters or more, but no stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9+#.]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(KEYWORD), F.lit(0))
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS)))
 
 
 def numbers(text: Column) -> Column:
     """Distinct numbers, without commas and without a dot at the end."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d[\d,]*\.?\d*"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0))
     return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(F.replace(n, F.lit(",")), r"\.+$", "")))
 
 

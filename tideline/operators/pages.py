@@ -30,89 +30,89 @@ def unescape_html(text: Column) -> Column:
     return F.when(text.contains("&"), F.pandas_udf(_unescaped, "string")(F.when(text.contains("&"), text))).otherwise(text)
 
 
-class _Text(HTMLParser):
+#: What an allowed tag is written as.
+WRITTEN_AS = {t: t for t in EMITTED} | RENAMED
+Event = tuple[str, str, list]
+
+
+class _Reader(HTMLParser):
+    """Notes what it meets: (kind, tag or text, attributes), the kind being open, close, single or text."""
+
     def __init__(self) -> None:
         super().__init__()
-        self.out: list[str] = []
-        self.depth = 0
+        self.met: list[Event] = []
 
     def handle_starttag(self, tag, attrs):
-        self.depth += tag in SKIPPED
-        if tag == "br":
-            self.out.append("\n")
+        self.met.append(("open", tag, attrs))
+
+    def handle_startendtag(self, tag, attrs):
+        self.met.append(("single", tag, attrs))
 
     def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.depth = max(0, self.depth - 1)
-        elif tag in BLOCKS:
-            self.out.append("\n")
+        self.met.append(("close", tag, []))
 
     def handle_data(self, data):
-        if not self.depth:
-            self.out.append(data)
-
+        self.met.append(("text", data, []))
 
-def page_text(raw: str | None, most: int = MOST_CHARS) -> str:
-    """Lines of visible text, trimmed, without blank ones."""
-    parser = _Text()
-    parser.feed(raw or "")
-    return "\n".join(x for line in "".join(parser.out).splitlines() if (x := line.strip()))[:most]
 
+def _events(raw: str | None, to_the_end: bool) -> Iterator[tuple[bool, Event]]:
+    """The events in order, each with whether it lies in a skipped element; those elements' own tags are left out.
 
-class _Safe(HTMLParser):
-    """Writes each allowed tag anew, without attributes but a checked link, and escapes all text."""
+    ``to_the_end`` also takes a tail that looks like the beginning of a tag.
+    """
+    reader = _Reader()
+    reader.feed(raw or "")
+    if to_the_end:
+        reader.close()
+    inside = 0
+    for event in reader.met:
+        kind, name, _ = event
+        if kind != "text" and name in SKIPPED:
+            inside = max(0, inside + (kind == "open") - (kind == "close"))
+        else:
+            yield inside > 0, event
 
-    def __init__(self, most: int) -> None:
-        super().__init__()
-        self.out: list[str] = []
-        self.depth, self.left, self.links, self.said = 0, most, [], False
 
-    def handle_starttag(self, tag, attrs):
-        self._open(tag, attrs, True)
+def page_text(raw: str | None, most: int = MOST_CHARS) -> str:
+    """Lines of visible text, trimmed, without blank ones; a line ends at br and where a block ends."""
 
-    def handle_startendtag(self, tag, attrs):
-        self._open(tag, attrs, False)
+    def shown(hidden: bool, kind: str, name: str) -> str:
+        if kind == "text":
+            return "" if hidden else name
+        return "\n" if (name == "br" and kind != "close") or (name in BLOCKS and kind != "open") else ""
 
-    def _open(self, tag, attrs, stays):
-        if tag in SKIPPED and stays:
-            self.depth += 1
-        name = RENAMED.get(tag, tag)
-        if self.depth or tag in SKIPPED:
-            return
-        if name == "a" and stays:
-            link = next((v for k, v in attrs if k == "href" and v and urlparse(v).scheme.lower() in SAFE_SCHEMES), None)
-            self.links.append(link is not None)
-            if link is not None:
-                self.out.append(f'<a href="{html.escape(link)}" target="_blank" rel="noopener nofollow noreferrer">')
-        elif name in EMITTED:
-            self.out.append(f"<{name}>")
+    whole = "".join(shown(hidden, kind, name) for hidden, (kind, name, _) in _events(raw, False))
+    return "\n".join(filter(None, map(str.strip, whole.splitlines())))[:most]
 
-    def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.depth = max(0, self.depth - 1)
-        elif not self.depth:
-            name = RENAMED.get(tag, tag)
-            if name == "a":
-                if self.links and self.links.pop():
-                    self.out.append("</a>")
-            elif name in EMITTED and name != "br":
-                self.out.append(f"</{name}>")
 
-    def handle_data(self, data):
-        if self.depth or self.left <= 0:
-            return
-        data = data[: self.left]
-        self.left -= len(data)
-        self.said = self.said or bool(data.strip())
-        self.out.append(html.escape(data))
+def _link(attrs: list) -> str:
+    """The opening tag of a link with a safe target, else nothing."""
+    targets = (v for k, v in attrs if k == "href" and v)
+    safe = next((v for v in targets if urlparse(v).scheme.lower() in SAFE_SCHEMES), None)
+    return "" if safe is None else f'<a href="{html.escape(safe)}" target="_blank" rel="noopener nofollow noreferrer">'
 
 
 def safe_html(raw: str | None, most: int = MOST_CHARS) -> str:
-    """The page with allowed tags only; '' without text."""
-    parser = _Safe(most)
-    parser.feed(raw or "")
-    parser.close()
-    return "".join(parser.out).strip() if parser.said else ""
+    """The page with allowed tags only, written anew without attributes but a checked link; '' without text.
+
+    The first ``most`` characters of text stay, escaped; tags do not count.
+    """
+    parts, texts, ends, room = [], [], [], most
+    for hidden, (kind, name, attrs) in _events(raw, True):
+        if hidden:
+            continue
+        if kind == "text":
+            texts.append(name[:room])
+            room -= len(texts[-1])
+            parts.append(html.escape(texts[-1]))
+        elif name == "a" and kind == "open":
+            parts.append(_link(attrs))
+            ends.append("</a>" if parts[-1] else "")
+        elif name == "a" and kind == "close":
+            parts.append(ends.pop() if ends else "")
+        elif (tag := WRITTEN_AS.get(name)) and (kind != "close" or tag != "br"):
+            parts.append(f"</{tag}>" if kind == "close" else f"<{tag}>")
+    return "".join(parts).strip() if "".join(texts).strip() else ""
 
 
 class _Inside(HTMLParser):

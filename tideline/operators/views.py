@@ -17,31 +17,42 @@ def _like(q: str) -> Column:
     return fold("title").like(pattern) | fold("company").like(pattern)
 
 
-def feed(
-    jobs: DataFrame, *, q: str | None = None, source: str | None = None, bucket: str | None = None, remote: bool | None = None, null_remote_is_no: bool = True, applied: bool | None = None,
+def feed_condition(
+    *, q: str | None = None, source: str | None = None, bucket: str | None = None, remote: bool | None = None, null_remote_is_no: bool = True, applied: bool | None = None,
     bookmarked: bool | None = None, intern: bool | None = None, status: Sequence[str] | str | None = None, include_hidden: bool = False, hide_seen: bool = False,
-) -> DataFrame:
-    """Postings of a view. No status: all but deleted; 'all': any; an empty list: none."""
-    rows = jobs
+) -> Column:
+    """Whether a posting is in a view. No status: all but deleted; 'all': any; an empty list: none."""
+    wanted = F.lit(True)
     if q:
-        rows = rows.where(_like(q))
+        wanted &= _like(q)
     for name, value in (("source", source), ("salary_bucket", bucket), ("applied", applied), ("bookmarked", bookmarked)):
         if value is not None:
-            rows = rows.where(F.col(name) == value)
+            wanted &= F.col(name) == value
     if intern is not None:
-        rows = rows.where(F.coalesce("is_internship", F.lit(False)) == intern)
+        wanted &= F.coalesce("is_internship", F.lit(False)) == intern
     if remote is not None:
-        rows = rows.where(F.coalesce("is_remote", F.lit(False)) == remote if null_remote_is_no else F.col("is_remote") == remote)
+        wanted &= F.coalesce("is_remote", F.lit(False)) == remote if null_remote_is_no else F.col("is_remote") == remote
     if status is None:
-        rows = rows.where("status <> 'deleted'")
+        wanted &= F.col("status") != "deleted"
     elif status != "all":
-        wanted = [status] if isinstance(status, str) else list(status)
-        rows = rows.where(F.col("status").isin(*wanted) if wanted else F.lit(False))
+        among = [status] if isinstance(status, str) else list(status)
+        wanted &= F.col("status").isin(*among) if among else F.lit(False)
     if not include_hidden:
-        rows = rows.where(~F.coalesce("hidden", F.lit(False)))
+        wanted &= ~F.coalesce("hidden", F.lit(False))
     if hide_seen:
-        rows = rows.where(~F.coalesce("seen", F.lit(False)))
-    return rows
+        wanted &= ~F.coalesce("seen", F.lit(False))
+    return wanted
+
+
+def feed(jobs: DataFrame, **view) -> DataFrame:
+    """Postings of a view, by the arguments of ``feed_condition``."""
+    return jobs.where(feed_condition(**view))
+
+
+def totals(jobs: DataFrame, kinds: dict[str, dict]) -> DataFrame:
+    """(view, total) of each named view, counted in one pass."""
+    counts = jobs.agg(*[F.count_if(feed_condition(**view)).alias(name) for name, view in kinds.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("view"), F.col(name).alias("total")) for name in kinds])))
 
 
 def order_of(sort: str) -> list[Column]:

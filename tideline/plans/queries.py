@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,11 +129,7 @@ def feed_page(spark, sf_dir):
 def feed_count(spark, sf_dir):
     j = views.jobs(spark, sf_dir)
     kinds = {"all": {"status": "all"}, "remote": {"remote": True}, "not_remote": {"remote": False}, "not_remote_strict": {"remote": False, "null_remote_is_no": False}, "intern": {"intern": True}, "none": {"status": []}, "wild": {"q": "b_ck%eng"}, "pass": {"bucket": "pass"}}
-    out = None
-    for name, params in kinds.items():
-        one = views_of.total(views_of.feed(j, **params)).select(F.lit(name).alias("view"), "total")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return views_of.totals(j, kinds)
 
 
 @_query
@@ -530,22 +524,28 @@ def dates_parsed(spark, sf_dir):
 
 @_query
 def stream_ingest_equals_batch(spark, sf_dir):
-    """Daily files of events streamed one batch at a time into a snapshot; the SQL is the one-batch result."""
+    """Six days of events land at a time and are streamed into the snapshot, which is merged and aged each time.
+
+    The SQL is the same life of each posting, worked out over the whole table at once.
+    """
     from tideline.streaming.ingest import ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideline-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    base = views.scratch(spark, "stream")
+    schema = table(spark, sf_dir, "events").schema
+    days = views.days(spark, sf_dir)
 
     def merge(old, batch, cycle):
-        rows = batch.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
-        if old is None:
-            return rows
-        both = old.unionByName(rows)
-        return both.groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"), F.max_by("last_type", "last_seen").alias("last_type"))
-
-    last = ingest(source, f"{base}/out", f"{base}/log", merge)
-    return last.select("user_id", F.col("first_seen").cast("timestamp").alias("first_seen"), F.col("last_seen").cast("timestamp").alias("last_seen"), "n", "last_type")
+        as_of = _at(views.START) + F.make_dt_interval(F.lit(views.CYCLE_DAYS * (cycle + 1)))
+        merged = snapshot.merge_cycle(spark.createDataFrame([], SNAPSHOT) if old is None else old, _full(_events_as_postings(batch)), cycle + 1, as_of, ["pos"])
+        ok = batch.where("event_type <> 'error'").select(F.col("event_type").alias("source"), (F.col("event_type") != "click").alias("exhaustive")).distinct()
+        return snapshot.age_out(merged, ok, cycle + 1, as_of, FEED).drop("went_stale", "went_deleted")
+
+    last = None
+    for cycle in range(views.CYCLES):
+        low, high = views.cycle_days(cycle)
+        days.where((F.col("day") >= low) & (F.col("day") < high)).select(*schema.names).write.parquet(f"{base}/landed/{cycle}")
+        last = ingest(spark.readStream.schema(schema).parquet(f"{base}/landed/*"), f"{base}/out", f"{base}/log", merge)
+    return last.select("job_uid", "source", "title", "first_seen_at", "last_seen_at", "last_seen_cycle", "status")
 
 
 def queries() -> dict[str, Query]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tideline.functions.text import COMPANY_SUFFIXES, LOCATION_ALIASES, STOPWORDS
 from tideline.operators.snapshot import ACTIONS
-from tideline.plans.views import AS_OF, CURRENCIES, FEED, PERIODS, START, SUFFIXES, TITLES
+from tideline.plans.views import AS_OF, CURRENCIES, CYCLE_DAYS, CYCLES, FEED, PERIODS, START, SUFFIXES, TITLES, cycle_days
 from tideline.schemas import USER_FLAGS
 
 K = FEED.keywords
@@ -127,6 +127,23 @@ tw AS (SELECT coalesce(s1.job_uid, s2.job_uid) AS job_uid, coalesce(s1.source, s
   CASE WHEN s2.job_uid IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS last_seen_cycle,
   CASE WHEN s2.job_uid IS NULL THEN CASE WHEN s1.times > 1 THEN 'active' ELSE 'new' END WHEN s1.job_uid IS NOT NULL OR s2.times > 1 THEN 'active' ELSE 'new' END AS status
   FROM s1 FULL OUTER JOIN s2 ON s1.job_uid = s2.job_uid)"""
+def _streamed() -> str:
+    """Each cycle's events merged into the rows before and aged, as one chain of tables."""
+    parts, before = [DAYS], None
+    for n in range(1, CYCLES + 1):
+        low, high = cycle_days(n - 1)
+        condition, as_of = f"day >= {low} AND day < {high}", f"(TIMESTAMP '{START}' + to_days({CYCLE_DAYS * n}))"
+        parts += [_event_cycle(n, condition), f"ok{n} AS (SELECT DISTINCT event_type AS src, event_type <> 'click' AS whole FROM ev WHERE {condition} AND event_type <> 'error')"]
+        old = before or "(SELECT job_uid, source, title, posted_at, NULL::TIMESTAMP AS first_seen_at, NULL::TIMESTAMP AS last_seen_at, 0::BIGINT AS last_seen_cycle, '' AS status FROM s1 WHERE FALSE)"
+        parts.append(f"""m{n} AS (SELECT coalesce(o.job_uid, s.job_uid) AS job_uid, coalesce(o.source, s.source) AS source, coalesce(s.title, o.title) AS title, coalesce(s.posted_at, o.posted_at) AS posted_at, coalesce(o.first_seen_at, {as_of}) AS first_seen_at,
+  CASE WHEN s.job_uid IS NOT NULL THEN {as_of} ELSE o.last_seen_at END AS last_seen_at, CASE WHEN s.job_uid IS NOT NULL THEN {n}::BIGINT ELSE o.last_seen_cycle END AS last_seen_cycle,
+  CASE WHEN s.job_uid IS NULL THEN o.status WHEN o.job_uid IS NOT NULL OR s.times > 1 THEN 'active' ELSE 'new' END AS status FROM {old} o FULL OUTER JOIN s{n} s ON o.job_uid = s.job_uid)""")
+        parts.append(f"""g{n} AS (SELECT m.*, src IS NOT NULL AS looked, src IS NOT NULL AND last_seen_cycle < {n} AND status IN ('new', 'active') AND (whole OR coalesce(posted_at, first_seen_at) < {as_of} - to_days({FEED.retire_days})) AS went FROM m{n} m LEFT JOIN ok{n} ON source = src),
+r{n} AS (SELECT * EXCLUDE (looked, went) REPLACE (CASE WHEN looked AND (went OR status = 'stale') AND last_seen_at < {as_of} - to_days({FEED.grace_days}) THEN 'deleted' WHEN went THEN 'stale' ELSE status END AS status) FROM g{n})""")
+        before = f"r{n}"
+    return ",\n".join(parts)
+
+
 AGED = f"""{TWO}, ok AS (SELECT * FROM (VALUES ('view', TRUE), ('click', FALSE), ('signup', TRUE)) v(src, whole)),
 a1 AS (SELECT tw.*, src IS NOT NULL AND last_seen_cycle < 3 AND status IN ('new', 'active') AND (whole OR coalesce(posted_at, first_seen_at) < TIMESTAMP '2024-02-06 12:00:00' - to_days({FEED.retire_days})) AS went_stale, src FROM tw LEFT JOIN ok ON source = src),
 a2 AS (SELECT *, src IS NOT NULL AND (went_stale OR status = 'stale') AND last_seen_at < TIMESTAMP '2024-02-06 12:00:00' - to_days({FEED.grace_days}) AS went_deleted FROM a1),
@@ -248,5 +265,5 @@ def oracle_sql() -> dict[str, str]:
         "source_dedup": f"""{w}{POSTINGS}, x AS (SELECT source, CASE WHEN pos % 5 = 0 THEN '' ELSE company || title END AS key, pos FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY pos) AS n FROM x) SELECT source, key, pos FROM r WHERE n = 1 OR key = ''""",
         "dates_parsed": f"""SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2) THEN date_trunc('second', ts) WHEN event_id % 6 = 3 THEN date_trunc('day', ts) WHEN event_id % 6 = 4 THEN date_trunc('second', ts) - INTERVAL 330 MINUTE END AS parsed,
           CASE event_id % 5 WHEN 0 THEN TIMESTAMP '{AS_OF}' - to_days(CAST(user_id % 9 AS INTEGER)) WHEN 1 THEN TIMESTAMP '{AS_OF}' - to_days(CAST(user_id % 9 * 7 AS INTEGER)) WHEN 2 THEN TIMESTAMP '{AS_OF}' WHEN 3 THEN TIMESTAMP '{AS_OF}' - to_days(CAST(user_id % 9 * 30 AS INTEGER)) END AS posted FROM events""",
-        "stream_ingest_equals_batch": "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n, arg_max(event_type, ts) AS last_type FROM events GROUP BY 1",
+        "stream_ingest_equals_batch": f"{w}{_streamed()} SELECT job_uid, source, title, first_seen_at, last_seen_at, last_seen_cycle, status FROM r{CYCLES}",
     }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CYCLES, CYCLE_DAYS = 5, 6  #: streamed cycles; the last one takes all days that are left
+
+
+def cycle_days(cycle: int) -> tuple[int, int]:
+    low = 1 + CYCLE_DAYS * cycle
+    return (low if cycle else -(1 << 30)), (low + CYCLE_DAYS if cycle + 1 < CYCLES else 1 << 30)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; only a local session may go without."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tideline-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def _pick(values: list, index) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
