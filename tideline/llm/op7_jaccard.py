@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ SIMILAR = 0.8
 NEAR = 16
 COMMON, COMMON_FROM = 1 << 20, 17
 RANGES, RANGE_BITS = 4096, 20  #: the 2^32 counters, as ranges that a task counts one after another
+JUMP = (1 << 16) - 1
 AT_ONCE = 4_000_000  #: shingles sorted at once before they are sent to the ranges
 KNOWN_WORDS = 1_000_000
 EPS = 1e-9
@@ -75,6 +77,14 @@ def simhash(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
+def name_of(h: np.ndarray) -> int:
+    """The set's own hash, as a signed long."""
+    from xxhash import xxh64_intdigest
+
+    name = xxh64_intdigest(h.tobytes(), SEED)
+    return name - (1 << 64) if name >> 63 else name
+
+
 def prefix_length(n: int, similar: float) -> int:
     return n - int(np.ceil(similar * n - EPS)) + 1 if n else 0
 
@@ -87,9 +97,17 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
         def out() -> pa.RecordBatch:
             values = np.sort(np.concatenate(held))
-            cuts = np.searchsorted(values, np.arange(RANGES, dtype=np.uint64) << np.uint64(RANGE_BITS)).astype(np.int32)
-            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), RANGES, [None, pa.py_buffer(4 * np.append(cuts, len(values)).astype(np.int64)), pa.py_buffer(values)])
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32)), blobs.cast(pa.binary())], names=["part", "held"])
+            part = values >> np.uint32(RANGE_BITS)
+            gaps = np.diff(values & np.uint32((1 << RANGE_BITS) - 1), prepend=np.uint32(0)).astype(np.int64)
+            first = np.flatnonzero(np.diff(part, prepend=np.uint32(RANGES)))
+            gaps[first] = values[first] & np.uint32((1 << RANGE_BITS) - 1)
+            jumps = gaps // JUMP  # a gap is so many jumps, and the rest
+            told = np.full(len(gaps) + int(jumps.sum()), JUMP, dtype="<u2")
+            told[np.cumsum(jumps + 1) - 1] = gaps % JUMP
+            ends = np.cumsum(jumps + 1)[np.append(first[1:], len(values)) - 1]
+            cuts = pa.py_buffer((2 * np.concatenate([[0], ends])).astype(np.int32))
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, cuts, pa.py_buffer(told)])
+            return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), blobs], names=["part", "held"])
 
         for _, raw in chunks(batches):
             for x in raw:
@@ -115,11 +133,12 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
                         yield out()
                     part = k
                     counts[:] = 0
-                np.add.at(counts, np.frombuffer(x, "<u4") & np.uint32((1 << RANGE_BITS) - 1), 1)
+                gaps = np.frombuffer(x, "<u2")
+                np.add.at(counts, np.cumsum(gaps, dtype=np.int64)[gaps != JUMP], 1)
         if part >= 0:
             yield out()
 
-    dealt = docs.select("text").mapInArrow(deal, "part int, held binary").where(F.octet_length("held") > 0)
+    dealt = docs.select("text").mapInArrow(deal, "part int, held binary")
     counted = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(count, "shingle long, n long")
     top = counted.orderBy(F.col("n").desc(), "shingle").limit(COMMON).toArrow()
     value, n = top.column("shingle").to_numpy().astype(np.uint64), top.column("n").to_numpy()
@@ -143,33 +162,43 @@ def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar
     return np.concatenate([rare, more[np.lexsort((more, weight))[: p - len(rare)]]])
 
 
-def shingle_sets(docs: DataFrame, row: str, common: tuple[np.ndarray, np.ndarray], width: int, similar: float) -> DataFrame:
-    """(doc_id, row, node, n, fp, firsts): the node names the set of n shingles, firsts is its prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def shingle_sets(docs: DataFrame, row: str, width: int) -> DataFrame:
+    """(doc_id, row, node, n, fp): the node names the set of n shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         hashes = Hashes()
         for batch, raw in chunks(batches):
-            node, size, fps, firsts = [], [], [], []
-            for x in raw:
-                h = shingles(x, hashes, width)
-                node.append(xxh64_intdigest(h.tobytes(), SEED))
-                size.append(len(h))
-                fps.append(simhash(h))
-                firsts.append(first_shingles(h, shared.value, similar))
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(fps, pa.int64()), lists], names=["doc_id", "row", "node", "n", "fp", "firsts"])
+            sets = [shingles(x, hashes, width) for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(map(name_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(simhash, sets), pa.int64())], names=["doc_id", "row", "node", "n", "fp"])
 
     kept = docs.select("text", "doc_id", F.col(row).alias("row"))
     doc_id = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(rows, f"doc_id {doc_id}, row {ROW}, node long, n long, fp long, firsts array<long>")
+    return kept.mapInArrow(rows, f"doc_id {doc_id}, row {ROW}, node long, n long, fp long")
+
 
+def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, similar: float) -> DataFrame:
+    """(key, node): the shingles of each set's prefix; a set that comes again in a task is told once."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
-def shared_prefixes(nodes: DataFrame) -> DataFrame:
-    """(key, node): the shingles of prefixes that two nodes or more have there, with those nodes."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, told = Hashes(), set()
+        for _, raw in chunks(batches):
+            keys, nodes = [], []
+            for x in raw:
+                h = shingles(x, hashes, width)
+                node = name_of(h)
+                if node not in told:
+                    told.add(node)
+                    keys.append(first_shingles(h, shared.value, similar))
+                    nodes.append(node)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), [len(k) for k in keys]))], names=["key", "node"])
+
+    return docs.select("text").mapInArrow(rows, "key long, node long")
+
+
+def shared_prefixes(keys: DataFrame) -> DataFrame:
+    """The rows of (key, node), each once, whose key has two nodes or more."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, v, again = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False  # the last row, and if it repeats its key
@@ -177,6 +206,8 @@ def shared_prefixes(nodes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             k, v = np.concatenate([k, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()])
+            once = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
+            k, v = k[once], v[once]
             same = k[1:] == k[:-1]
             met = np.concatenate([[again], same])
             met[:-1] |= same
@@ -185,8 +216,7 @@ def shared_prefixes(nodes: DataFrame) -> DataFrame:
         if again:
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], names=["key", "node"])
 
-    exploded = nodes.select(F.explode("firsts").alias("key"), "node")
-    return exploded.repartition("key").sortWithinPartitions("key").mapInArrow(rows, "key long, node long")
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(rows, "key long, node long")
 
 
 def meetings(shared: DataFrame) -> DataFrame:
@@ -216,23 +246,24 @@ def _sizes_fit(a: str, b: str, similar: float):
 def alike(pairs: DataFrame, rows: DataFrame, row: str, nodes: DataFrame, width: int, similar: float) -> DataFrame:
     """(a, b): the pairs whose sets have the similarity, by their whole texts."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3)
         for batch, raw in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([shingles(x, hashes, width).tobytes() for x in raw], pa.binary())], names=["node", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(map(zip_.compress, raw), pa.binary())], names=["node", "held"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, unzip = Hashes(), zstandard.ZstdDecompressor()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                x, y = (shingles(unzip.decompress(t.as_py()), hashes, width) for t in (x, y))
                 met = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(met >= similar * (len(x) + len(y) - met) - EPS)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     found = written(nodes.join(asked, "node").select("node", F.col("best.row").alias(row)))
-    held = saved(rows.select(row, "text").join(found, row).select("text", "node").mapInArrow(sets, "node long, held binary"))
+    held = saved(rows.select(row, "text").join(found, row).select("text", "node").mapInArrow(packed, "node long, held binary"))
     a, b = held.select(F.col("node").alias("a"), F.col("held").alias("x")), held.select(F.col("node").alias("b"), F.col("held").alias("y"))
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
@@ -267,11 +298,11 @@ def keep_unlike(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -
     """One row of each component of similar texts, the one with the least doc_id, with all columns of ``docs``."""
     row = fresh(docs, "row_")
     rows = numbered(docs, row)
-    known = saved(shingle_sets(rows, row, common_shingles(rows, width), width, similar))
+    known = saved(shingle_sets(rows, row, width))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
-    nodes = saved(known.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("n", "fp", "firsts"))))
+    nodes = saved(known.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("n", "fp"))))
     sizes = nodes.select("node", "n")
-    shared = saved(shared_prefixes(nodes))
+    shared = saved(shared_prefixes(prefixes(rows, common_shingles(rows, width), width, similar)))
     near = meetings(shared)
     for s in "ab":
         near = near.join(nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("fp").alias(f"fp_{s}")), s)
