@@ -29,15 +29,22 @@ from tideline.llm.common import chunks, saved
 SIZE = 2048
 END_ID = 0
 CACHED_WORDS, CACHED_BYTES = 500_000, 48
+ENDS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  #: ASCII punctuation
+#: Up to here small letters and composed forms are one character for one, but for the dotted capital I.
+LAST_LATIN, DOTTED = "\u024f", "\u0130"
+#: A byte as the vocabulary writes it: printable ones as themselves, the others from 256 on, in order.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder(dict):
     """Little-endian ids of a word between blanks; a blank always ends a token here, so words encode alone.
 
-    Words not seen before are encoded together with a bar between them, a token of its own between blanks, whose id parts
-    them again; a word that has a bar in it is encoded alone. A full table becomes the old one, from which only words
-    that come again are taken over.
+    New words are encoded in two ways. One of Latin letters, with or without ASCII punctuation behind them, is its small
+    letters, which the model takes byte by byte, and then the punctuation, a run of tokens of its own. All others are encoded
+    together with a bar between them, a token of its own between blanks, whose id parts them again; a word that has a bar
+    in it is encoded alone. A full table becomes the old one, from which only words that come again are taken over.
     """
 
     def __init__(self, path: str):
@@ -45,22 +52,55 @@ class Encoder(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.old: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+        self.ends: dict[bytes, bytes] = {b"": b""}
         (self.bar,) = self._ids("|")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
+    def _of_letters(self, word: bytes) -> bytes | None:
+        """The ids of a word of Latin letters and ASCII punctuation behind them, or None for any other."""
+        core = word.rstrip(ENDS)
+        end = word[len(core) :]
+        if core.isascii():
+            if not core.isalpha():
+                return None
+            core = core.lower()
+        else:
+            text = core.decode("utf-8", "replace")
+            if not text.isalpha() or max(text) > LAST_LATIN or DOTTED in text:
+                return None
+            core = text.lower().encode()
+        if (raw := self.letters.get(core)) is None:
+            raw = self.letters[core] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(core.decode("latin-1").translate(BYTE_CHARS))])
+        if (more := self.ends.get(end)) is None:
+            if len(self.ends) > 10_000:
+                self.ends = {b"": b""}
+            more = self.ends[end] = self._ids(end.decode()).tobytes()
+        return raw + more
+
     def add(self, words: list[bytes]) -> None:
         if len(self) > CACHED_WORDS:
             self.old = dict(self)
             self.clear()
+        if len(self.letters) > CACHED_WORDS:
+            self.letters.clear()
         new = set(words).difference(self)
         again = new.intersection(self.old)
         self.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        new = [w for w in new - again if len(w) <= CACHED_BYTES and b"|" not in w]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        rest = []
+        for w in new - again:
+            if len(w) > CACHED_BYTES:
+                continue
+            if (raw := self._of_letters(w)) is not None:
+                self[w] = raw
+            elif b"|" not in w:
+                rest.append(w)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
             ids = self._ids(" | ".join(w.decode("utf-8", "replace") for w in part))
             cut = np.flatnonzero(ids == self.bar)
             raw, starts, ends = ids.tobytes(), [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
