@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, plus values in credential context whose guess cost is high.
 
 The guess cost of a value is the cheapest way, in bits, to cut it into known words, word-like runs of letters,
-dates, repeats, keyboard walks and brute-force spans; dynamic programming over the cut points finds it.
+dates, repeats, keyboard walks and brute-force spans; dynamic programming over the cut points finds it, in time that
+grows with the value's length alone. Known words are a short list of what people put in passwords, and behind it the
+``CORPUS_WORDS`` most frequent words of letters of all the documents; a word costs the logarithm of its rank.
 
 Defined cases: a null or empty text has no spans; repeated rows each give their row; a null doc_id is kept;
 other columns of the input are ignored.
@@ -12,10 +14,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tideline.llm.common import chunks
 
@@ -43,8 +48,17 @@ WORDS = (
     "charlie thomas daniel jessica ashley computer internet google apple samsung company office pass word "
     "null none true false undefined your enter here insert value string"
 ).split()
-RANK = {w: i + 2 for i, w in enumerate(dict.fromkeys(WORDS))}
-LONGEST_WORD = max(map(len, RANK))
+CORPUS_WORDS = 20_000
+WORD_LENGTHS = (3, 20)
+HELD_WORDS = 500_000  #: words that a task counts before it passes them on
+
+
+def ranks(words: Iterable[str] = ()) -> dict[str, int]:
+    """The cost rank of each known word: the fixed ones first, then ``words`` as they come."""
+    return {w: i + 2 for i, w in enumerate(dict.fromkeys(chain(WORDS, words)))}
+
+
+RANK = ranks()
 #: The rows of a US keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
@@ -52,6 +66,8 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 
 DATE = re.compile(r"(?:\d{1,4}([-/._])\d{1,2}\1\d{1,4}|(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])|(?:19|20)\d{2})", re.A)
 LETTERS = re.compile(r"[A-Za-z]?[a-z]{2,}|[A-Z]{3,}", re.A)
+#: All ASCII that is no letter becomes a blank, so that words end there.
+NO_MARKS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 SEGMENT_BITS = 1.0  #: for each further segment
 LETTER_BITS = 2.6  #: a letter of a word-like run
 
@@ -71,8 +87,16 @@ def _near(a: str, b: str) -> bool:
     return abs(y - v) <= 1 and abs(x - u) <= 1 and a != b
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, rank: dict[str, int] = RANK) -> float:
     """The least cost, in bits, of the value's segmentations; 0 for an empty value."""
+    best = [0.0] + [math.inf] * len(value)
+    for i, j, bits, joins in segments(value, rank):
+        best[j] = min(best[j], best[i] + bits + SEGMENT_BITS * (i > 0 and not joins))
+    return best[-1]
+
+
+def segments(value: str, rank: dict[str, int]) -> Iterator[tuple[int, int, float, bool]]:
+    """(start, end, bits, joins) of all segments that a cut may use, by start; a brute-force character joins what is before it."""
     n = len(value)
     low = value.lower()
     if len(low) != n:
@@ -81,38 +105,51 @@ def guess_bits(value: str) -> float:
     mixed = any(c.isupper() for c in value) and any(c.islower() for c in value) and any(c.isdigit() for c in value)
     dates = {m.start(): m.end() for m in DATE.finditer(value)}
     words = {m.start(): m.end() for m in LETTERS.finditer(value)} if not mixed else {}
-    best = [0.0] + [math.inf] * n
-
-    def offer(i: int, j: int, bits: float) -> None:
-        if (total := best[i] + bits + SEGMENT_BITS * (i > 0)) < best[j]:
-            best[j] = total
-
+    walk_end, turns = list(range(1, n + 1)), [0] * n  # where the keyboard walk from a place ends, and its changes of row
+    for i in range(n - 2, -1, -1):
+        if _near(low[i], low[i + 1]):
+            walk_end[i], turns[i] = walk_end[i + 1], turns[i + 1] + (PLACE[low[i]][0] != PLACE[low[i + 1]][0])
     for i in range(n):
-        extra = 1.0 if mixed and value[i].isalpha() else 0.0
-        if (one := best[i] + _letter_bits(value[i]) + extra) < best[i + 1]:  # brute force goes on without a segment's price
-            best[i + 1] = one
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            if (r := RANK.get(plain[i:j])) is not None:
-                offer(i, j, math.log2(r) + (value[i:j] != low[i:j]) + 2.0 * (plain[i:j] != low[i:j]))
+        yield i, i + 1, _letter_bits(value[i]) + (1.0 if mixed and value[i].isalpha() else 0.0), True
+        for j in range(i + WORD_LENGTHS[0], min(n, i + WORD_LENGTHS[1]) + 1):
+            if (r := rank.get(plain[i:j])) is not None:
+                yield i, j, math.log2(r) + (value[i:j] != low[i:j]) + 2.0 * (plain[i:j] != low[i:j]), False
         if i in dates:
-            offer(i, dates[i], math.log2(120.0 if dates[i] - i == 4 else 120.0 * 366 * 4))
+            yield i, dates[i], math.log2(120.0 if dates[i] - i == 4 else 120.0 * 366 * 4), False
         if i in words:
-            offer(i, words[i], 4.0 + LETTER_BITS * (words[i] - i))
-        j = i + 1
-        while j < n and _near(low[j - 1], low[j]):
-            j += 1
-        if j - i >= 3:
-            turns = sum(PLACE[low[k]][0] != PLACE[low[k - 1]][0] for k in range(i + 1, j))
-            offer(i, j, math.log2(47) + math.log2(j - i) + 1.5 * turns + 2.0)
+            yield i, words[i], 4.0 + LETTER_BITS * (words[i] - i), False
+        if (long := walk_end[i] - i) >= 3:
+            yield i, walk_end[i], math.log2(47) + math.log2(long) + 1.5 * turns[i] + 2.0, False
         for unit in (1, 2, 3, 4):
-            if i and value[i - 1 : i] == value[i - 1 + unit : i + unit] and i >= unit:
+            if i >= unit and value[i - 1] == value[i - 1 + unit : i + unit]:
                 continue  # inside a run that an earlier start covers
             j = i + unit
             while value[j : j + unit] == value[i : i + unit] and len(value[j : j + unit]) == unit:
                 j += unit
             if j - i >= max(3, 2 * unit):
-                offer(i, j, sum(_letter_bits(c) for c in value[i : i + unit]) + math.log2((j - i) // unit))
-    return best[n]
+                yield i, j, sum(_letter_bits(c) for c in value[i : i + unit]) + math.log2((j - i) // unit), False
+
+
+def common_words(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
+    """The ``most`` most frequent words of small ASCII letters over all texts, capitals as small ones, commonest first."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+
+        def out() -> pa.RecordBatch:
+            kept = {w.decode(): n for w, n in held.items() if WORD_LENGTHS[0] <= len(w) <= WORD_LENGTHS[1] and w.isalpha() and w.isascii()}
+            return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(kept.values(), pa.int64())], names=["word", "n"])
+
+        for _, raw in chunks(batches):
+            for x in raw:
+                held.update(x.lower().translate(NO_MARKS).split())
+            if len(held) > HELD_WORDS:
+                yield out()
+                held.clear()
+        yield out()
+
+    counted = docs.select("text").mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counted.orderBy(F.col("n").desc(), "word").limit(most).collect()]  # at most ``most`` short words
 
 
 def may_hold(x: bytes) -> bool:
@@ -129,19 +166,19 @@ def _covered(start: int, end: int, spans: list[tuple[str, int, int]]) -> bool:
     return start >= end
 
 
-def scan(text: str, at_least: float = GUESS_BITS) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], float]:
+def scan(text: str, at_least: float = GUESS_BITS, rank: dict[str, int] = RANK) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], float]:
     """The base spans, the spans that the guess cost adds, and the highest cost of a value (0 without one)."""
     base: list[tuple[str, int, int]] = []
     top = 0.0
     for m in ASSIGN.finditer(text):
         if m.end(2) - m.start(2) >= 8:
             base.append(("assign", m.start(), m.end()))
-            top = max(top, guess_bits(m[2]))
+            top = max(top, guess_bits(m[2], rank))
     base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16] if "AKIA" in text else []
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     added = []
     for m in CONTEXT.finditer(text):
-        bits = guess_bits(m[1])
+        bits = guess_bits(m[1], rank)
         top = max(top, bits)
         if bits >= at_least and not _covered(m.start(1), m.end(1), base):
             added.append(("guess", m.start(1), m.end(1)))
@@ -154,12 +191,13 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def find_secrets(docs: DataFrame, at_least: float = GUESS_BITS) -> DataFrame:
     """One row per document: doc_id, the spans of each kind, their count, and the highest guess cost in bits."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks(common_words(docs)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in chunks(batches):
             out: list[list] = [[] for _ in range(7)]
             for x in raw:
-                base, added, top = scan(x.decode("utf-8", "replace"), at_least) if may_hold(x) else ([], [], 0.0)
+                base, added, top = scan(x.decode("utf-8", "replace"), at_least, shared.value) if may_hold(x) else ([], [], 0.0)
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
                 for col, v in zip(out, (*n, len(added), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), top), strict=True):
                     col.append(v)
