@@ -183,6 +183,36 @@ _path = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(.
 _domain = f"array_to_string(list_slice(string_split({_host}, '.'), -2, -1), '.')"
 
 
+_key, _filled = "'k' || (pos % 3)", "nullif(location, '')"
+#: What each board's mapper makes of its payloads: source, company, location, remote, low, high, currency, period, description, url, and which it keeps.
+BOARDS = [
+    ("'remoteok'", "company", f"coalesce({_filled}, 'Remote')", "TRUE", "salary_min", "salary_max", "'USD'", "NULL", "description", "url", "TRUE"),
+    ("'himalayas'", "company", "location", "TRUE", "salary_min", "salary_max", "salary_currency", "'year'", "description", "url", "TRUE"),
+    ("'jobicy'", "company", f"coalesce({_filled}, 'Remote')", "TRUE", "salary_min", "salary_max", "salary_currency", "'month'", "description", "url", "TRUE"),
+    ("'adzuna'", "company", "location", "NULL", "salary_min", "salary_max", "'INR'", "'year'", "description", "url", "TRUE"),
+    ("'jooble'", "company", "location", "NULL", "NULL", "NULL", "NULL", "NULL", "description", "url", "TRUE"),
+    ("'unstop'", "company", f"CASE WHEN pos % 2 = 1 THEN {_filled} END", "CASE WHEN pos % 2 = 0 THEN TRUE END", "CASE WHEN pos % 2 = 1 THEN salary_min END", "CASE WHEN pos % 2 = 1 THEN salary_max END", "CASE WHEN pos % 2 = 1 THEN 'INR' END",
+     "CASE WHEN pos % 2 = 1 THEN 'month' END", "concat_ws(chr(10), nullif(trim(description), ''), 'Skills: SQL')", "'https://unstop.com/o/' || pos", "pos % 5 <> 0"),
+    (f"'greenhouse_' || {_key}", f"CASE WHEN pos % 2 = 0 THEN company ELSE {_key} END", _filled, "CASE WHEN lower(location) LIKE '%remote%' THEN TRUE END", "NULL", "NULL", "NULL", "NULL", "'<p>R&D ' || description", "url", "TRUE"),
+    (f"'lever_' || {_key}", _key, "location", "CASE pos % 4 WHEN 0 THEN TRUE WHEN 3 THEN NULL ELSE FALSE END", "salary_min", "salary_max", "'USD'", "'year'", "description", "url", "pos % 10 <> 0"),
+    (f"'ashby_' || {_key}", _key, "location", "coalesce(is_remote, FALSE)", "salary_min", "salary_max", "'EUR'", "'hour'", "description", "url", "pos % 4 <> 0"),
+    (f"'smartrecruiters_' || {_key}", "company", f"concat_ws(', ', {_filled}, 'in')", "coalesce(is_remote, FALSE)", "NULL", "NULL", "NULL", "NULL", "NULL", "url", "TRUE"),
+]
+MAPPED = f"{POSTINGS}, x AS (" + " UNION ALL ".join(
+    f"""SELECT {source} AS source, source_native_id, {company} AS company, title, {location} AS location, {remote}::BOOLEAN AS is_remote, ({low})::BIGINT AS salary_min, ({high})::BIGINT AS salary_max, ({currency})::VARCHAR AS salary_currency,
+  ({period})::VARCHAR AS salary_period, posted_at, length(({description})::VARCHAR) AS n_description, {url} AS url FROM p WHERE {keep}"""
+    for source, company, location, remote, low, high, currency, period, description, url, keep in BOARDS
+) + f"), {IDENTITY.replace('FROM p)', 'FROM x)')}"
+_scraped_period = "CASE lower(per) WHEN 'yearly' THEN 'year' WHEN 'monthly' THEN 'month' WHEN 'hourly' THEN 'hour' END"
+_scraped_known = f"(({_scraped_period}) IS NOT NULL AND {_fx('c')} IS NOT NULL)"
+SCRAPED = f"""f AS (SELECT o_orderkey AS k, 'jobspy_' || CASE WHEN o_orderkey % 2 = 0 THEN 'indeed' ELSE 'naukri' END AS source, 'Engineer ' || (o_orderkey % 9) AS title, c_name AS company, o_orderpriority AS location, 'https://x.example.com/' || o_orderkey AS url,
+  CASE o_orderkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS is_remote, CASE WHEN o_orderkey % 4 <> 0 THEN round_even(o_totalprice, 0) END AS lo, round_even(o_totalprice * 2, 0) AS hi, nullif({_pick(["usd", "INR", "", "JPY"], "o_orderkey")}, '') AS c,
+  {_pick(["yearly", "Monthly", "hourly", "daily", None], "o_orderkey")} AS per, o_orderdate AS posted_at FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 11 <> 0), {IDENTITY.replace("FROM p)", "FROM f)")}"""
+LISTED = f"""f AS (SELECT page_id::VARCHAR AS source_native_id, 'Python Development Internship' AS title, 'Acme ' || (page_id % 5) AS company, CASE WHEN page_id % 3 <> 0 THEN 'Pune' END AS location, CASE WHEN page_id % 3 = 0 THEN TRUE END AS is_remote,
+  'https://internshala.com/d/' || page_id AS url, 'Internshala listing: python dev.' AS description, page_id * 100 + 1000 AS salary_min, CASE WHEN page_id % 2 = 0 THEN 90000 ELSE page_id * 100 + 1000 END AS salary_max,
+  TIMESTAMP '{AS_OF}' - to_days(CAST(page_id % 9 + 1 AS INTEGER)) AS posted_at FROM pages), {IDENTITY.replace("FROM p)", "FROM f)")}"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = "WITH "
     views = {
@@ -259,6 +289,12 @@ def oracle_sql() -> dict[str, str]:
           SELECT job_uid, project, ord, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_uid ORDER BY score DESC, ord, project) AS rank FROM al) WHERE rank <= 3""",
         "number_guard": f"{w}{REWRITES}, nn AS (SELECT *, {_numbers('source_text')} AS a, {_numbers('new_text')} AS b FROM rw) SELECT conv_id, turn, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS ok, array_to_string(list_sort(b), ',') AS numbers FROM nn",
         "fact_preservation": f"{w}{REWRITES}, nn AS (SELECT *, {_numbers('source_text')} AS a, {_numbers('new_text')} AS b FROM rw), sh AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / len(a) END AS share FROM nn) SELECT conv_id, turn, round(share, 9) AS share, share < 0.8 AS flagged FROM sh",
+        "source_mappers": f"{w}{MAPPED} SELECT source, source_native_id, job_uid, is_remote, salary_min, salary_max, salary_currency, salary_period, posted_at, n_description, url FROM u",
+        "board_pages": f"""{w}{POSTINGS}, b AS (SELECT unnest(['lever', 'jobicy', 'unstop']) AS board, pos, {_key} AS company_key FROM p), k AS (SELECT *, board <> 'lever' OR pos % 10 <> 0 AS ok FROM b)
+          SELECT board, company_key, ok, count(*) AS n_pages, sum(CASE WHEN ok THEN 1 ELSE 0 END)::BIGINT AS n_items FROM k GROUP BY ALL""",
+        "scraped_frame": f"""{w}{SCRAPED} SELECT source, job_uid, url, is_remote, CASE WHEN {_scraped_known} THEN round_even(lo * {_fx("c")} * {_month(_scraped_period)}, 0)::BIGINT END AS salary_min, CASE WHEN {_scraped_known} THEN round_even(hi * {_fx("c")} * {_month(_scraped_period)}, 0)::BIGINT END AS salary_max,
+          {_scraped_known} AS salary_parsed, coalesce(c || ' ', '') || coalesce(lo::BIGINT || '-', '') || hi::BIGINT || coalesce('/' || per, '') AS salary_raw, posted_at FROM u""",
+        "listing_postings": f"{w}{LISTED} SELECT job_uid, source_native_id, title, company, location, is_remote, url, description, salary_min, salary_max, posted_at FROM u",
         "json_props": "SELECT event_id, (props->>'$.k')::BIGINT AS k, CASE WHEN event_id % 4 < 3 THEN (event_id % 4) || '= v' ELSE '' END AS plan FROM events",
         "transcript_last_event": """WITH l AS (SELECT conv_id AS key, turn, role, turn % 2 = 1 AS hit FROM conversations), g AS (SELECT key, bool_or(hit) AS found, max(CASE WHEN hit THEN turn END) AS t, string_agg(coalesce(role, ''), chr(10) ORDER BY turn) AS whole FROM l GROUP BY 1)
           SELECT key, found AND key % 2 = 0 AS is_error, found, CASE WHEN found THEN 'a' || t ELSE '' END AS filled, found AS needs_login, CASE WHEN found THEN '' ELSE 'agent report unparsed; raw tail: ' || right(trim(whole), 300) END AS notes FROM g""",
