@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType
 
 #: A word is a run of anything but these six bytes, in every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,7 +94,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     heavy = F.col(count) > max(64, total // shares)
     salt = fresh(left.join(right, keys), "salt")
     marks = right.where(heavy).select(*keys, F.lit(salts).alias(salt)).distinct()
-    salted = left.join(F.broadcast(marks), keys, "left").withColumn(salt, F.coalesce(F.pmod(F.hash(*[c for c in left.columns if c not in keys]), F.col(salt)), F.lit(0)))
+    salted = left.join(F.broadcast(marks), keys, "left").withColumn(salt, F.coalesce(F.pmod(F.hash(*[F.col(f.name) for f in left.schema if f.name not in keys and not isinstance(f.dataType, (ArrayType, MapType))]), F.col(salt)), F.lit(0)))
     every = F.when(heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return salted.join(right.withColumn(salt, F.explode(every)), [*keys, salt]).drop(salt)
 

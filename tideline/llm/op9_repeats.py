@@ -152,7 +152,7 @@ def first_tuples(joined: DataFrame, length: int, k: int) -> DataFrame:
             *tuples, of, base = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*tuples, batch.column(0).take(of), base], names=["core", "left", "right", "lo", "hi", "name", "row", "base"])
 
-    return joined.mapInArrow(rows, f"{TUPLE}, row {ROW}, base long")
+    return joined.mapInArrow(rows, f"{TUPLE}, row long, base long")
 
 
 def shorter_tuples(tuples: DataFrame, level: int) -> DataFrame:
@@ -287,7 +287,7 @@ def without(joined: DataFrame) -> DataFrame:
             of, *counts = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *counts], names=["row", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(rows, f"row {ROW}, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(rows, "row long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def repeated_tuples(tuples: DataFrame, level: int, most: int) -> DataFrame:
@@ -309,11 +309,12 @@ def repeated_tuples(tuples: DataFrame, level: int, most: int) -> DataFrame:
 
 
 def anchored(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(row, text, found): the texts that hold anchors which come again, compressed, with those anchors."""
-    found = known.where("stands").select("row", F.inline(F.arrays_zip("at", "lo", "hi", "key")))
+    """(row, text, found): the texts that hold anchors which come again, compressed, with those anchors; row is ``known``'s id."""
+    found = known.where("stands").select("id", F.inline(F.arrays_zip("at", "lo", "hi", "key")))
     shared = saved(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    lists = spread_join(found, shared, ["key"], "n").groupBy("row").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("found"))
-    return packed(docs).join(lists, "row").select("row", "text", "found")
+    lists = spread_join(found, shared, ["key"], "n").groupBy("id").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("found"))
+    lists = lists.join(known.select("id", "row"), "id")
+    return packed(docs).join(lists, "row").select(F.col("id").alias("row"), "text", "found")
 
 
 def repeated_runs(held: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
@@ -327,14 +328,15 @@ def repeated_runs(held: DataFrame, length: int = LENGTH, k: int = K, most: int =
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     base = numbered(docs, "row", "doc_id", "text")
-    seen = saved(survey(base, length, k))
-    same = seen.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("copies"))
-    known = seen.join(same, "digest").withColumn("stands", F.col("row") == F.col("first"))
+    # What is saved keeps its partitions and their order, so a short number of its rows holds for all that read it.
+    seen = saved(survey(base, length, k)).withColumn("id", F.monotonically_increasing_id())
+    same = saved(seen.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+    known = spread_join(seen, same, ["digest"], "copies").withColumn("stands", F.col("id") == F.col("first"))
     held = saved(anchored(base, known))
     runs = repeated_runs(held, length, k, most).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     cut = without(held.select("row", "text").join(runs, "row"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    at = known.select("row", "doc_id", "n_bytes", "digest", "copies").join(cut, "row", "left")
+    at = known.select(F.col("id").alias("row"), "doc_id", "n_bytes", "digest", "copies").join(cut, "row", "left")
     return at.select(
         "doc_id",
         "n_bytes",
