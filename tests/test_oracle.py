@@ -44,8 +44,9 @@ def test_matches_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE and not n.startswith("op") and n != "pipeline"])
 def test_runs(spark, sf, name):
-    df = QUERIES[name](spark, sf)
-    assert df.count() >= 0 and df.columns
+    rows = QUERIES[name](spark, sf).toPandas()
+    assert len(rows) or name == "near_dup_titles"  # the smallest table may have no near titles
+    assert all(rows[c].notna().any() for c in rows.columns) or rows.empty, name
 
 
 def test_every_sql_has_a_query(spark):

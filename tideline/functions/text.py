@@ -100,7 +100,7 @@ def numbers(text: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Items between commas or line ends, trimmed, none of them empty."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,\n]"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,\n]"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def token_sort(text: Column) -> Column:

@@ -7,21 +7,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.text import keyword_tokens, numbers
+from tideline.operators.pages import text_of_html
 
 FLOOR = 0.8
 BULLET = r"^\s*(?:[-*•]|\d{1,3}[.)])\s+"
 
 
+CANDIDATES = 40
+
+
 def posting_text(jobs: DataFrame) -> Column:
-    """Title, the fuller description, and a user's context."""
-    have = [c for c in ("full_description", "description") if c in jobs.columns]
-    parts = [F.col("title"), F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in have])]
-    if "extra_context" in jobs.columns:
-        parts.append(F.nullif(F.trim("extra_context"), F.lit("")))
-    return F.concat_ws("\n", *parts)
+    """Title, the text of the fuller description, and a user's context under its own heading."""
+    have = [F.nullif(F.col(c), F.lit("")) for c in ("full_description", "description") if c in jobs.columns]
+    context = F.trim(F.col("extra_context")) if "extra_context" in jobs.columns else F.lit(None).cast("string")
+    more = F.concat(F.lit("\n\nAdditional context:\n"), F.nullif(context, F.lit("")))
+    return F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), text_of_html(F.coalesce(*have, F.lit(""))), F.coalesce(more, F.lit("")))
+
+
+def candidate_pool(jobs: DataFrame, projects: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """The projects that a rewriter is shown for each posting: at most ``most``, by common words, then in their order."""
+    return overlap_topk(jobs, projects, most)
 
 
-def overlap_topk(jobs: DataFrame, projects: DataFrame, k: int, most_terms: int | None = None) -> DataFrame:
+def overlap_topk(jobs: DataFrame, projects: DataFrame, k: int) -> DataFrame:
     """(job_uid, project, ord, score, rank): the k projects that share the most keywords with each posting.
 
     ``jobs`` is (job_uid, text), ``projects`` (project, ord, text). Ties keep the projects' order, and projects without
@@ -125,7 +133,7 @@ def last_result(lines: DataFrame) -> DataFrame:
 
 def report_of(result: Column) -> Column:
     """struct(filled, unfilled, needs_login, notes) of the last ``RESULT:`` line, else the end of the text as notes."""
-    marked = F.filter(F.transform(F.split(F.trim(result), r"\r\n|\r|\n"), F.trim), lambda x: x.startswith("RESULT:"))
+    marked = F.filter(F.transform(F.split(F.trim(result), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x.startswith("RESULT:"))
     last = F.try_element_at(marked, F.lit(-1))
     got = F.from_json(F.trim(F.substring(last, 8, 1 << 20)), "filled array<string>, unfilled array<string>, needs_login boolean, notes string, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
     ok = last.isNotNull() & got["_corrupt_record"].isNull()

@@ -85,6 +85,11 @@ def page_text(raw: str | None, most: int = MOST_CHARS) -> str:
     return "\n".join(filter(None, map(str.strip, whole.splitlines())))[:most]
 
 
+def text_of_html(markup: Column) -> Column:
+    """``page_text`` of a column."""
+    return F.pandas_udf(lambda values: values.map(lambda v: None if v is None else page_text(v)), "string", F.PandasUDFType.SCALAR)(markup)
+
+
 def _link(attrs: list) -> str:
     """The opening tag of a link with a safe target, else nothing."""
     targets = (v for k, v in attrs if k == "href" and v)

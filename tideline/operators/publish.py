@@ -134,6 +134,11 @@ def register_sink(name: str, scope: str, text: Text) -> None:
     SINKS[name] = (scope, text)
 
 
+def register_feed(as_of: Column, title: str, feed_id: str, site: str, most: int = 100) -> None:
+    """The Atom feed as a sink named ``feed``, over recent and active postings, dated ``as_of``."""
+    register_sink("feed", "recent_active", lambda jobs: atom_feed(jobs, as_of, title, feed_id, site, most))
+
+
 def publish(new: DataFrame, recent: DataFrame, enabled: list[str]) -> dict[str, DataFrame]:
     """Each enabled sink's text, from the postings of its scope."""
     return {name: SINKS[name][1](new if SINKS[name][0] == "new_only" else recent) for name in enabled}

@@ -25,6 +25,11 @@ def succeeded_sources(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("succeeded").groupBy("run_id", "source").agg(F.min(F.coalesce("exhaustive", F.lit(True))).alias("exhaustive"))
 
 
+def of_succeeded(postings: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The postings whose source's outcome is a success; those of failed or unheard-of sources are skipped."""
+    return postings.join(outcomes.where("succeeded").select("source"), "source", "left_semi")
+
+
 def run_metrics(outcomes: DataFrame) -> DataFrame:
     """Per run: sources that worked or not, their status, and the failed ones with their errors, by name."""
     failed = F.when(~F.col("succeeded"), F.struct("source", F.coalesce("error", F.lit("unknown error")).alias("error")))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.dates import iso
 from tideline.operators.gates import detect_internship
 from tideline.operators.identity import collapse
 from tideline.plans.config import Feed
-from tideline.schemas import MUTABLE, PROVENANCE, SNAPSHOT, SNAPSHOT_COLUMNS, USER_FLAGS, USER_TEXTS
+from tideline.schemas import MUTABLE, POSTING, PROVENANCE, SNAPSHOT, SNAPSHOT_COLUMNS, USER_FLAGS, USER_TEXTS
 
 #: What a card's action sets.
 ACTIONS = {
@@ -85,6 +86,50 @@ def apply_flags(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in USER_FLAGS}).select(*snapshot.columns)
 
 
+#: What a user may set by name; the texts come trimmed, blank ones as null.
+SETTABLE = ("applied", "bookmarked", "hidden", "seen", "notes", "extra_context")
+
+
+def set_fields(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """The snapshot after (job_uid, field, value, ts): the last value of each settable field, as text; ``refused`` has the rest.
+
+    A flag is set by true, 1, yes and any other text, and cleared by false, 0, no, blank and null.
+    """
+    last = changes.where(F.col("field").isin(*SETTABLE)).groupBy("job_uid").pivot("field", list(SETTABLE)).agg(F.max_by(F.struct("value"), F.struct("ts", "value")))
+    last = last.select(F.col("job_uid").alias("_uid"), *[F.col(c).alias(f"_{c}") for c in SETTABLE])
+    rows = snapshot.join(last, F.col("job_uid") == F.col("_uid"), "left")
+    off = lambda v: F.lower(F.trim(F.coalesce(v, F.lit("")))).isin("", "false", "0", "no")
+    value = {c: ~off(F.col(f"_{c}.value")) if c in USER_FLAGS else F.nullif(F.trim(F.col(f"_{c}.value")), F.lit("")) for c in SETTABLE}
+    return rows.withColumns({c: F.when(F.col(f"_{c}").isNotNull(), value[c]).otherwise(F.col(c)) for c in SETTABLE}).select(*snapshot.columns)
+
+
+def refused(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes that set nothing, with why: an unknown field, or a posting that is not there."""
+    known = snapshot.select(F.col("job_uid").alias("_uid"))
+    rows = changes.join(known, F.col("job_uid") == F.col("_uid"), "left")
+    why = F.when(~F.coalesce(F.col("field").isin(*SETTABLE), F.lit(False)), "unknown field").when(F.col("_uid").isNull(), "no such posting")
+    return rows.withColumn("why", why).where("why is not null").drop("_uid")
+
+
+#: Columns that the stored form keeps as numbers, and as text.
+STORED_BOOLEANS = [c for c, t in (x.split() for x in SNAPSHOT.split(", ")) if t == "BOOLEAN"]
+STORED_TIMES = [c for c, t in (x.split() for x in SNAPSHOT.split(", ")) if t == "TIMESTAMP"]
+
+
+def stored(snapshot: DataFrame) -> DataFrame:
+    """The form that rows are exchanged in: booleans as 0 and 1, times as ISO 8601 text in UTC."""
+    text = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    return snapshot.withColumns({c: F.col(c).cast("int") for c in STORED_BOOLEANS} | {c: text(c) for c in STORED_TIMES})
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """Postings from stored rows: numbers as booleans, an unknown remote flag kept, text as times; bookkeeping is dropped."""
+    there = {c: F.col(c).cast("boolean") if c == "is_remote" else F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in STORED_BOOLEANS}
+    bucket = F.when(F.col("salary_bucket").isin("pass", "fail", "unknown"), F.col("salary_bucket"))
+    made = there | {c: iso(F.col(c)) for c in STORED_TIMES} | {"salary_bucket": bucket}
+    return rows.select(*[made.get(c, F.col(c)).cast(t).alias(c) for c, t in (x.split() for x in POSTING.split(", "))])
+
+
 def unmatched_flags(snapshot: DataFrame, events: DataFrame) -> DataFrame:
     return events.join(snapshot.select("job_uid"), "job_uid", "left_anti")
 

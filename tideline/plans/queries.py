@@ -301,6 +301,125 @@ def flags_unmatched(spark, sf_dir):
     return snapshot.unmatched_flags(_two_cycles(spark, sf_dir).where("last_seen_cycle = 2"), _flag_events(spark, sf_dir)).groupBy("job_uid").agg(F.count("*").alias("n"))
 
 
+@_query
+def row_decode(spark, sf_dir):
+    return snapshot.decoded(snapshot.stored(views.jobs(spark, sf_dir))).select("job_uid", "source", "title", "is_remote", "salary_min", "salary_parsed", "salary_bucket", "is_internship", "posted_at")
+
+
+def _changes(spark, sf_dir):
+    """Events as settings of users: mostly known fields, one that is not, on users that may not be there."""
+    kind = F.col("event_id") % 5
+    field = F.when(kind == 0, "notes").when(kind == 1, "hidden").when(kind == 2, "extra_context").when(kind == 3, "applied").otherwise("status")
+    value = F.when(kind.isin(1, 3), F.when(F.col("value") < 20, "false").otherwise("1")).otherwise(F.concat(F.lit("  "), "event_type", F.lit(" ")))
+    return views.days(spark, sf_dir).select(F.col("user_id").cast("string").alias("job_uid"), field.alias("field"), value.alias("value"), F.struct("ts", "event_id").alias("ts"))
+
+
+@_query
+def fields_set(spark, sf_dir):
+    return snapshot.set_fields(_two_cycles(spark, sf_dir), _changes(spark, sf_dir)).select("job_uid", "applied", "hidden", "notes", "extra_context")
+
+
+@_query
+def fields_refused(spark, sf_dir):
+    seen_late = _two_cycles(spark, sf_dir).where("last_seen_cycle = 2")
+    return snapshot.refused(seen_late, _changes(spark, sf_dir)).groupBy("field", "why").agg(F.count("*").alias("n"))
+
+
+@_query
+def postings_of_succeeded(spark, sf_dir):
+    p = views.postings(spark, sf_dir)
+    ok = p.groupBy("source").agg((F.count("*") % 3 != 0).alias("succeeded"))
+    return runs.of_succeeded(p, ok).groupBy("source").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+
+
+@_query
+def succeeded_sources(spark, sf_dir):
+    return runs.succeeded_sources(_outcomes(spark, sf_dir))
+
+
+@_query
+def run_view(spark, sf_dir):
+    shown = F.transform("outcomes", lambda o: F.concat_ws(":", o["source"], o["succeeded"].cast("string"), o["n_fetched"].cast("string"), o["error"]))
+    return runs.with_outcomes(_runs(spark, sf_dir), _outcomes(spark, sf_dir)).select("run_id", "status", F.array_join(shown, ";").alias("outcomes"))
+
+
+@_query
+def run_rows(spark, sf_dir):
+    started = runs.start_run(_runs(spark, sf_dir), 1000, _at(views.AS_OF), "manual")
+    return runs.finish_run(started, 1000, _at("2024-02-01 01:00:00"), "partial", n_sources_ok=3, n_sources_err=1).select("run_id", "started_at", "finished_at", "status", "trigger", "n_sources_ok", "n_sources_err")
+
+
+@_query
+def details_filled(spark, sf_dir):
+    """Full descriptions for every other posting; two sources show previews."""
+    j = views.jobs(spark, sf_dir).withColumn("source", F.when(F.col("source").endswith("1"), "adzuna").when(F.col("source").endswith("2"), "jooble").otherwise(F.col("source")))
+    full = j.where(F.col("job_uid") < "8").select("job_uid", F.concat(F.lit("All of: "), "title").alias("text"))
+    return snapshot.with_details(j, full).select("job_uid", F.md5(F.col("effective_description").cast("binary")).alias("digest"), "is_preview")
+
+
+@_query
+def internships_backfilled(spark, sf_dir):
+    return snapshot.backfill_internships(views.jobs(spark, sf_dir).drop("is_internship")).select("job_uid", "is_internship")
+
+
+@_query
+def lists_split(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    typed = F.concat("p_name", F.lit(" , "), "p_type", F.lit("\n"), "p_brand", F.lit(",,\n "))
+    return p.select("p_partkey", F.array_join(text.split_list(typed), "|").alias("items"))
+
+
+@_query
+def skill_groups(spark, sf_dir):
+    """Each brand's part types, those whose names touch most of the brand's keywords first."""
+    p = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.collect_set("p_name").alias("items"))
+    groups = F.array_sort(F.collect_list(F.struct(F.col("p_type").alias("category"), F.array_sort("items").alias("items"))))
+    wanted = views._pick(["red ring", "blue bolt hot", "old widget"], F.length("p_brand") + F.ascii(F.substring("p_brand", -1, 1)))
+    b = p.groupBy("p_brand").agg(groups.alias("groups")).withColumn("keywords", text.keyword_tokens(wanted))
+    return b.select("p_brand", F.array_join(F.transform(match.ranked_groups(F.col("groups"), F.col("keywords")), lambda g: g["category"]), ",").alias("ranked"))
+
+
+@_query
+def posting_texts(spark, sf_dir):
+    j = snapshot.set_fields(views.jobs(spark, sf_dir), views.jobs(spark, sf_dir).select("job_uid", F.lit("extra_context").alias("field"), F.concat(F.lit(" see "), "source").alias("value"), F.lit(1).alias("ts")))
+    return j.select("job_uid", match.posting_text(j).alias("text"))
+
+
+@_query
+def candidate_pools(spark, sf_dir):
+    """Brands and types of parts as projects, so that there are more than a rewriter is shown."""
+    j = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("job_uid"), F.concat_ws(" ", F.col("text"), views._pick(["red ring", "blue bolt standard", "green widget large", "economy"], F.col("turn"))).alias("text"))
+    p = table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_brand", "p_type").alias("project")).agg(F.min("p_partkey").alias("ord"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "p_name", "p_type"))), " ").alias("text"))
+    pool = match.candidate_pool(j, p.select("project", "ord", "text"))
+    return pool.groupBy("job_uid").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.max_by("project", F.col("rank")).alias("last"))
+
+
+@_query
+def published(spark, sf_dir):
+    """How much each sink has to tell: the digests of new postings and the feed of recent ones."""
+    j = views.jobs(spark, sf_dir)
+    publish.register_feed(_at(views.AS_OF), "Postings", "urn:feed", "http://localhost/")
+    out = publish.publish(views_of.feed(j, status="new"), j.where(F.col("status").isin("new", "active")), ["chat", "mail", "feed"])
+    counted = {"chat": F.regexp_count("text", F.lit(r"(?m)^\d+\. <a ")), "mail": F.regexp_count("body", F.lit(r"(?m)^\d+\. ")), "feed": F.regexp_count("xml", F.lit("<entry>"))}
+    rows = [out[name].select(F.lit(name).alias("sink"), n.cast("long").alias("n_items")) for name, n in counted.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@_query
+def values_coerced(spark, sf_dir):
+    """Loose numbers, booleans, stipends and period and currency words, made of the events' own numbers."""
+    u = F.col("user_id")
+    number = F.concat(views._pick(["", " ", "-", "x", "+", "1e"], F.col("event_id")), u.cast("string"), views._pick([".75", "", " ", "!"], F.col("event_id")))
+    flag = views._pick(["true", " YES ", "1", "no", "False", "0", "maybe", "", None], F.col("event_id"))
+    paid = F.concat(F.lit("₹ "), F.format_number(u * 100, 0), F.when(u % 2 == 0, F.concat(F.lit(" - "), F.format_number(u * 200, 0))).otherwise(""), F.when(u % 5 == 0, "").otherwise(" /month"))
+    words, icons = views._pick(["Annual", "monthly", "WEEKLY", "hourly", "daily"], u), views._pick(["fa-rupee", "fa-usd", "FA-INR", "fa-yen"], u)
+    got = pay.stipend(paid)
+    return table(spark, sf_dir, "events").select(
+        "event_id", pay.positive_int(number).alias("whole"), pay.clean_bool(flag).alias("flag"), pay.clean_string(flag).alias("filled"), got["low"].alias("low"), got["high"].alias("high"),
+        pay.looked_up(pay.PERIOD_WORDS["board"], words).alias("period"), pay.looked_up(pay.CURRENCY_ICONS, icons).alias("currency"), pay.interval_period(F.concat(F.lit("1 "), words)).alias("unit"),
+    )
+
+
 def _page_log(spark, sf_dir):
     e = views.days(spark, sf_dir)
     return e.groupBy(F.col("event_type").alias("source"), F.col("day").alias("walk"), (F.floor(F.col("event_id") % 300 / 50) + 1).cast("long").alias("page")).agg((F.count("*") * 3).alias("n_items"), (F.min("value") > 0.35).alias("ok"))

@@ -152,6 +152,8 @@ _names = "CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN 'bookmark' W
 FLAGS = f"""fe AS (SELECT user_id::VARCHAR AS job_uid, CASE WHEN event_id % 4 = 0 THEN 'unseen' ELSE {_names} END AS action, ts FROM events),
 fs AS (SELECT job_uid, CASE action {" ".join(f"WHEN '{a}' THEN '{f}'" for a, (f, _) in ACTIONS.items())} END AS field, CASE action {" ".join(f"WHEN '{a}' THEN {v}" for a, (_, v) in ACTIONS.items())} END AS value, ts, action FROM fe),
 fl AS (SELECT job_uid, field, value FROM (SELECT *, row_number() OVER (PARTITION BY job_uid, field ORDER BY ts DESC, action DESC) AS r FROM fs WHERE field IS NOT NULL) WHERE r = 1)"""
+CHANGES = """ch AS (SELECT user_id::VARCHAR AS job_uid, event_id, ts, CASE event_id % 5 WHEN 0 THEN 'notes' WHEN 1 THEN 'hidden' WHEN 2 THEN 'extra_context' WHEN 3 THEN 'applied' ELSE 'status' END AS field,
+  CASE WHEN event_id % 5 IN (1, 3) THEN CASE WHEN value < 20 THEN 'false' ELSE '1' END ELSE '  ' || event_type || ' ' END AS value FROM events)"""
 _money = lambda v: f"format('{{:,}}', {v})"
 PAY_TEXT = f"""(CASE WHEN salary_parsed AND coalesce(salary_min, salary_max) IS NOT NULL THEN coalesce(nullif(salary_currency, ''), 'INR') || ' ' || (CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL AND salary_min <> salary_max
   THEN {_money("salary_min")} || '-' || {_money("salary_max")} ELSE {_money("coalesce(salary_max, salary_min)")} END) || '/' || coalesce(nullif(salary_period, ''), 'month') END)"""
@@ -269,6 +271,30 @@ def oracle_sql() -> dict[str, str]:
         "flags_applied": f"""{w}{TWO}, {FLAGS}, pv AS (SELECT tw.job_uid, {", ".join(f"coalesce(bool_or(value) FILTER (field = '{c}'), FALSE) AS {c}" for c in USER_FLAGS)} FROM tw LEFT JOIN fl ON tw.job_uid = fl.job_uid GROUP BY 1)
           SELECT {", ".join(USER_FLAGS)}, count(*) AS n FROM pv GROUP BY ALL""",
         "flags_unmatched": f"{w}{TWO}, {FLAGS} SELECT job_uid, count(*) AS n FROM fe WHERE job_uid NOT IN (SELECT job_uid FROM tw WHERE last_seen_cycle = 2) GROUP BY 1",
+        "row_decode": f"{w}{JOBS} SELECT job_uid, source, title, is_remote, salary_min, salary_parsed, salary_bucket, is_internship, posted_at FROM jobs",
+        "fields_set": f"""{w}{TWO}, {CHANGES}, lc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_uid, field ORDER BY ts DESC, event_id DESC) AS r FROM ch) WHERE r = 1)
+          SELECT tw.job_uid, coalesce(bool_or(value <> 'false') FILTER (field = 'applied'), FALSE) AS applied, coalesce(bool_or(value <> 'false') FILTER (field = 'hidden'), FALSE) AS hidden, max(trim(value)) FILTER (field = 'notes') AS notes, max(trim(value)) FILTER (field = 'extra_context') AS extra_context
+          FROM tw LEFT JOIN lc ON tw.job_uid = lc.job_uid GROUP BY 1""",
+        "fields_refused": f"""{w}{TWO}, {CHANGES}, rf AS (SELECT field, CASE WHEN field = 'status' THEN 'unknown field' WHEN job_uid NOT IN (SELECT job_uid FROM tw WHERE last_seen_cycle = 2) THEN 'no such posting' END AS why FROM ch)
+          SELECT field, why, count(*) AS n FROM rf WHERE why IS NOT NULL GROUP BY 1, 2""",
+        "postings_of_succeeded": f"{w}{POSTINGS} SELECT source, count(*) AS n, min(pos) AS first_pos FROM p GROUP BY 1 HAVING count(*) % 3 <> 0",
+        "succeeded_sources": f"{w}{OUTCOMES} SELECT run_id, source, exhaustive FROM oc WHERE succeeded",
+        "run_view": f"{w}{RUNS} SELECT run_id, rn.status, (SELECT string_agg(concat_ws(':', source, succeeded::VARCHAR, n_fetched::VARCHAR, oc.error), ';' ORDER BY source) FROM oc WHERE oc.run_id = rn.run_id) AS outcomes FROM rn",
+        "run_rows": f"""{w}{RUNS} SELECT rn.run_id, started_at, finished_at, rn.status, 'scheduled' AS trigger, n_sources_ok, n_sources_err FROM rn JOIN ms USING (run_id)
+          UNION ALL SELECT 1000, TIMESTAMP '{AS_OF}', TIMESTAMP '2024-02-01 01:00:00', 'partial', 'manual', 3, 1""",
+        "details_filled": f"{w}{JOBS} SELECT job_uid, md5(CASE WHEN job_uid < '8' THEN 'All of: ' || title ELSE description END) AS digest, regexp_matches(source, '[12]$') AND NOT job_uid < '8' AS is_preview FROM jobs",
+        "internships_backfilled": f"{w}{JOBS} SELECT job_uid, is_internship FROM jobs",
+        "lists_split": "SELECT p_partkey, p_name || '|' || p_type || '|' || p_brand AS items FROM part",
+        "skill_groups": f"""{w}n AS (SELECT DISTINCT p_brand, p_type, p_name, string_split({_pick(["red ring", "blue bolt hot", "old widget"], "length(p_brand) + ascii(right(p_brand, 1))")}, ' ') AS keywords FROM part),
+          g AS (SELECT p_brand, p_type, count(*) FILTER (list_has_any(string_split(p_name, ' '), keywords)) AS hits FROM n GROUP BY 1, 2) SELECT p_brand, string_agg(p_type, ',' ORDER BY hits DESC, p_type) AS ranked FROM g GROUP BY 1""",
+        "candidate_pools": f"""{w}ju AS (SELECT conv_id || '-' || turn AS job_uid, {_words("concat_ws(' ', text, " + _pick(["red ring", "blue bolt standard", "green widget large", "economy"], "turn") + ")")} AS words FROM conversations),
+          pr AS (SELECT p_brand || ' ' || p_type AS project, min(p_partkey) AS ord, {_words("string_agg(DISTINCT p_name || ' ' || p_type, ' ')")} AS terms FROM part GROUP BY 1), al AS (SELECT job_uid, project, ord, len(list_intersect(words, terms)) AS score FROM ju CROSS JOIN pr),
+          rk AS (SELECT *, row_number() OVER (PARTITION BY job_uid ORDER BY score DESC, ord, project) AS rank FROM al) SELECT job_uid, count(*) AS n, sum(score)::BIGINT AS score, arg_max(project, rank) AS last FROM rk WHERE rank <= 40 GROUP BY 1""",
+        "published": f"""{w}{JOBS} SELECT 'chat' AS sink, least(count(*), 20) AS n_items FROM jobs WHERE status = 'new' UNION ALL SELECT 'mail', count(*) FROM jobs WHERE status = 'new' UNION ALL SELECT 'feed', least(count(*), 100) FROM jobs WHERE status IN ('new', 'active')""",
+        "values_coerced": f"""SELECT event_id, CASE WHEN event_id % 6 = 5 THEN CASE WHEN event_id % 4 IN (1, 2) AND user_id <= 18 THEN power(10, user_id)::BIGINT END WHEN event_id % 6 IN (0, 1, 4) AND event_id % 4 <> 3 AND user_id > 0 THEN user_id END AS whole,
+          CASE WHEN event_id % 9 < 3 THEN TRUE WHEN event_id % 9 < 6 THEN FALSE END AS flag, nullif(trim({_pick(["true", " YES ", "1", "no", "False", "0", "maybe", "", None], "event_id")}), '') AS filled,
+          CASE WHEN user_id % 5 <> 0 THEN user_id * 100 END AS low, CASE WHEN user_id % 5 <> 0 THEN CASE WHEN user_id % 2 = 0 THEN user_id * 200 ELSE user_id * 100 END END AS high,
+          {_pick(["year", "month", "week", "hour", None], "user_id")} AS period, {_pick(["INR", "USD", "INR", None], "user_id")} AS currency, {_pick([None, "month", "week", "hour", None], "user_id")} AS unit FROM events""",
         "walk_completeness": f"""{w}{DAYS}, pg AS (SELECT event_type AS source, day AS walk, (event_id % 300) // 50 + 1 AS page, count(*) * 3 AS n_items, min(value) > 0.35 AS ok FROM ev GROUP BY 1, 2, 3),
           en AS (SELECT source, walk, min(page) FILTER (page <= 5 AND NOT ok) AS bad, min(page) FILTER (page <= 5 AND ok AND n_items < 24) AS short FROM pg GROUP BY 1, 2)
           SELECT source, walk, count(*) FILTER (page <= least(coalesce(bad - 1, 5), coalesce(short, 5))) AS n_pages, coalesce(sum(n_items) FILTER (page <= least(coalesce(bad - 1, 5), coalesce(short, 5))), 0)::BIGINT AS n_items, coalesce(any_value(bad) = 1, FALSE) AS failed,
