@@ -368,6 +368,27 @@ def test_repeats(spark, docs, rows, tmp_path, length, k, most):
     assert got == dict(enumerate(brute.repeats(texts, length)))
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_runs_of_words_that_documents_share(spark, parts):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, common = [word() for _ in range(51)], [word() for _ in range(20)]
+    texts = [[word() for _ in range(rng.randint(0, 120))] for _ in range(60)]
+    for i in range(0, 40, 2):  # short common runs in all, the passage in every other one, once twice in one text
+        texts[i] = texts[i][:30] + (passage if i % 4 == 0 else common) + texts[i][30:]
+    texts += [texts[41] * 3, texts[50], [], None]
+    rows = [None if t is None else " ".join(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(parts)
+    got = {r.doc_id: r.n_shared_runs for r in op9_repeats.remove_repeats(df).collect()}
+    hashes = op7_jaccard.Hashes()
+    taken = {i: set(op9_repeats.word_runs((t or "").encode(), hashes).tolist()) for i, t in enumerate(rows)}
+    held = Counter(k for ks in taken.values() for k in ks)
+    assert got == {i: sum(held[k] > 1 for k in ks) for i, ks in taken.items()}
+    assert all(got[i] > 0 for i in range(0, 40, 4)) and not any(got[i] for i in range(2, 40, 4))
+    grams = {tuple(t[i : i + 24]) for t in texts if t for i in range(len(t) - 23)}
+    assert len(grams) >= len(held)  # a hash stands for one run
+
+
 def test_repeats_empty(empty):
     assert op9_repeats.remove_repeats(empty).count() == 0
 

@@ -99,6 +99,21 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     return salted.join(right.withColumn(salt, F.explode(every)), [*keys, salt]).drop(salt)
 
 
+KNOWN_WORDS = 1_000_000
+
+
+class Hashes(dict):
+    """The hash of each word."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word, 42)
+        return h
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """A text column's UTF-8 bytes; null is empty."""
     col = batch.column(batch.schema.get_field_index(column))

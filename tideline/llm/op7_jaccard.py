@@ -28,9 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ROW, chunks, fresh, numbered, saved, written
-from tideline.llm.op7_simhash import SEED, components, links
+from tideline.llm.common import ROW, Hashes, chunks, fresh, numbered, saved, written
+from tideline.llm.op7_simhash import components, links
 
+SEED = 42
 WIDTH = 5
 SIMILAR = 0.8
 NEAR = 16
@@ -38,23 +39,10 @@ COMMON, COMMON_FROM = 1 << 20, 17
 RANGES, RANGE_BITS = 4096, 20  #: the 2^32 counters, as ranges that a task counts one after another
 JUMP = (1 << 16) - 1
 AT_ONCE = 4_000_000  #: shingles sorted at once before they are sent to the ranges
-KNOWN_WORDS = 1_000_000
 EPS = 1e-9
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """The hash of each word."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word, SEED)
-        return h
-
-
 def shingles(text: bytes, hashes: Hashes, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct hashes of all runs of ``width`` words, mixed from the words' own."""
     words = text.lower().split()

@@ -14,6 +14,10 @@ Equal tuples are one, with a count, before they are sorted. A core that still ha
 is not sorted in one task: its runs are cut into shorter ones with longer cores, down to single strings, which are equal
 or not. Equal whole texts are represented by one of them; each such text of ``LENGTH`` bytes or more is removed whole.
 
+Passages that are shorter in bytes are told beside, not removed: of each document's runs of ``GRAM`` words those of least
+hash in each ``RUN`` words are taken, so that any run of ``RUN`` words that two documents share holds one that both take;
+``n_shared_runs`` counts a document's runs that another document takes too.
+
 Defined cases: null text is empty; a text below ``LENGTH`` bytes is kept; equal rows repeat each other; an empty table
 gives no rows; a null doc_id is kept; other columns are ignored. Rows are told apart by their place in their file; what is no
 plain Parquet scan is written once for that.
@@ -30,12 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ROW, chunks, numbered, saved, spread_join, texts
+from tideline.llm.common import ROW, Hashes, chunks, numbered, saved, spread_join, texts
 
 LENGTH = 400
 K = 32
 RUNS = (25, 5, 1)  #: offsets that share a core, at each level
 MOST = 4096
+RUN, GRAM = 48, 24  #: words
+HELD_RUNS = 500_000
 AT_ONCE = 20_000  #: suffix tuples that a task induces at once (with whole groups, MOST more at the most)
 TUPLE = "core binary, left binary, right binary, lo int, hi int, name binary"
 SURVEY_BYTES = 2 << 20
@@ -290,6 +296,83 @@ def without(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(rows, "row long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def word_runs(text: bytes, hashes: Hashes, run: int = RUN, gram: int = GRAM) -> np.ndarray:
+    """The distinct hashes of the runs of ``gram`` words that are least in any ``run`` words."""
+    words = text.split()
+    if len(words) < run:
+        return np.empty(0, dtype=np.uint64)
+    part, g = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)), None
+    step = 1
+    while step <= gram:  # runs of 1, 2, 4, ... words; those in the binary form of ``gram`` are joined
+        if gram & step:
+            g = part if g is None else _joined_runs(part, g, step)
+        part = _joined_runs(part, part, step)
+        step *= 2
+    g = g ^ (g >> np.uint64(32))
+    wide, step = run - gram + 1, 1
+    while 2 * step <= wide:
+        g = np.minimum(g[:-step], g[step:])
+        step *= 2
+    if step < wide:
+        g = np.minimum(g[: len(g) - (wide - step)], g[wide - step :])
+    return np.unique(g)
+
+
+def _joined_runs(left: np.ndarray, right: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of the runs of ``left``, each of ``step`` words, with those of ``right`` behind them."""
+    n = max(0, len(right) - step)
+    return (left[:n] * ODD) ^ (right[step : step + n] + (right[step : step + n] >> np.uint64(29)))
+
+
+def shared_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """(row, n_shared_runs) of documents that share runs with others.
+
+    A task passes the first two documents of a run on by its hash; what it meets further on is known to be shared.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, times = Hashes(), {}
+        for batch, raw in chunks(batches):
+            which, keys, ns = [], [], []
+            for i, x in enumerate(raw):
+                known = 0
+                for key in word_runs(x, hashes, run, gram).view(np.int64).tolist():
+                    if (t := times.get(key, 0)) < 2:
+                        times[key] = t + 1
+                        which.append(i), keys.append(key), ns.append(1)
+                    else:
+                        known += 1
+                if known:
+                    which.append(i), keys.append(None), ns.append(known)
+            if len(times) > HELD_RUNS:
+                times.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(which, pa.int64())), pa.array(ns, pa.int64())], names=["key", "row", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, again = None, False  # the last row, and if it repeats its key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            keys = table.column("key")
+            null = keys.is_null().to_numpy()
+            k = keys.fill_null(0).to_numpy()
+            same = (k[1:] == k[:-1]) & ~null[1:] & ~null[:-1]
+            met = null.copy()
+            met[0] |= again
+            met[1:] |= same
+            met[:-1] |= same
+            if held is None or len(k) > 1:
+                yield from table.slice(0, len(k) - 1).filter(pa.array(met[:-1])).select(["row", "n"]).to_batches()
+            held, again = table.slice(len(k) - 1).to_batches()[0], bool(met[-1])
+        if held is not None and again:
+            yield held.select(["row", "n"])
+
+    told = docs.select("row", "text").mapInArrow(tell, f"key long, row {ROW}, n long")
+    dealt = told.repartition(F.coalesce("key", F.xxhash64("row"))).sortWithinPartitions("key")
+    return dealt.mapInArrow(meet, f"row {ROW}, n long").groupBy("row").agg(F.sum("n").alias("n_shared_runs"))
+
+
 def repeated_tuples(tuples: DataFrame, level: int, most: int) -> DataFrame:
     """(name, first, last) of tuples (TUPLE, n): equal ones summed, then sorted by core, or cut shorter."""
     keys = ["core", "left", "right", "lo", "hi", "name"]
@@ -326,7 +409,7 @@ def repeated_runs(held: DataFrame, length: int = LENGTH, k: int = K, most: int =
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_runs."""
     base = numbered(docs, "row", "doc_id", "text")
     # What is saved keeps its partitions and their order, so a short number of its rows holds for all that read it.
     seen = saved(survey(base, length, k)).withColumn("id", F.monotonically_increasing_id())
@@ -336,11 +419,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int
     runs = repeated_runs(held, length, k, most).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     cut = without(held.select("row", "text").join(runs, "row"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    at = known.select(F.col("id").alias("row"), "doc_id", "n_bytes", "digest", "copies").join(cut, "row", "left")
+    at = known.join(shared_runs(base).withColumnRenamed("row", "row_"), F.col("row") == F.col("row_"), "left")
+    at = at.select(F.col("id").alias("row"), "doc_id", "n_bytes", "digest", "copies", "n_shared_runs").join(cut, "row", "left")
     return at.select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(NO_BYTES)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        F.coalesce("n_shared_runs", F.lit(0)).alias("n_shared_runs"),
     )
