@@ -64,6 +64,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _is_scan(df: DataFrame) -> bool:
     return df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "row_index" in df.select(df.metadataColumn("_metadata").alias("m")).schema["m"].dataType.fieldNames()
 
