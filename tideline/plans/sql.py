@@ -309,6 +309,11 @@ def oracle_sql() -> dict[str, str]:
         "mail_text": f"""{w}{JOBS}, nw AS (SELECT *, row_number() OVER ({TOP}) AS n FROM jobs WHERE status = 'new')
           SELECT '[feed] ' || count(*) || ' new job' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS subject, (SELECT string_agg(concat_ws(chr(10), n || '. ' || title || ' — ' || company, '   ' || nullif({META}, ''), '   ' || url), chr(10) || chr(10) ORDER BY n) FROM nw) || chr(10) AS body FROM nw""",
         "feed_entries": f"{w}{JOBS} SELECT job_uid, {ENTRY} AS entry FROM jobs",
+        "atom_feed": f"""{w}{JOBS}, lt AS (SELECT *, row_number() OVER (ORDER BY posted_at DESC NULLS LAST, last_seen_at DESC NULLS LAST, job_uid) AS n FROM jobs), tx AS (SELECT *, {ENTRY} AS entry FROM lt WHERE n <= 100)
+          SELECT '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<feed xmlns="http://www.w3.org/2005/Atom">' || chr(10) || '  <id>urn:feed</id>' || chr(10) || '  <title>Postings</title>' || chr(10) || '  <updated>' || {_rfc(f"TIMESTAMP '{AS_OF}'")} || '</updated>' || chr(10)
+          || '  <author><name>Postings</name></author>' || chr(10) || '  <link rel="alternate" href="http://localhost/"/>' || chr(10) || coalesce(string_agg(entry, chr(10) ORDER BY posted_at DESC NULLS LAST, job_uid) || chr(10), '') || '</feed>' AS xml FROM tx""",
+        "listing_cards": f"""SELECT page_id, 0 AS pos, page_id::VARCHAR AS id, '/d/' || page_id AS href, 'Python Development' AS title, 'Acme ' || (page_id % 5) AS company, '₹ ' || {_money("page_id * 100 + 1000")} || CASE WHEN page_id % 2 = 0 THEN ' - 90,000' ELSE '' END || ' /month' AS stipend,
+          CASE WHEN page_id % 3 = 0 THEN 'Work From Home' ELSE 'Pune' END AS location, (page_id % 9 + 1) || ' days ago' AS ago FROM pages""",
         "keyword_overlap_topk": f"""{w}dj AS (SELECT doc_id::VARCHAR AS job_uid, unnest({_words("concat_ws(' ', text, " + _pick(["red small ring", "blue bolt promo", "green widget large", "economy standard ring"], "doc_id") + ")")}) AS word FROM documents),
           ju AS (SELECT doc_id::VARCHAR AS job_uid FROM documents), pr AS (SELECT p_brand AS project, min(p_partkey) AS ord, string_agg(DISTINCT p_name || ' ' || p_type, ' ') AS text FROM part GROUP BY 1), pt AS (SELECT project, ord, unnest({_words("text")}) AS word FROM pr),
           sc AS (SELECT job_uid, project, ord, count(*) AS score FROM dj JOIN pt USING (word) GROUP BY 1, 2, 3), al AS (SELECT ju.job_uid, pr.project, pr.ord, coalesce(score, 0) AS score FROM ju CROSS JOIN pr LEFT JOIN sc ON sc.job_uid = ju.job_uid AND sc.project = pr.project)
