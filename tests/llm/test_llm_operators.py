@@ -541,6 +541,16 @@ def test_row_numbers_hold_when_splits_change(spark, small_groups, monkeypatch, w
     assert got == want and turn[0] and sum(want.values()) >= 300
 
 
+def test_parities_never_differ_in_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 400, 5000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(0, n + 1), dtype=np.uint64)]))
+            bits = sum(int(x).bit_count() for x in (op7_jaccard.parities(a) ^ op7_jaccard.parities(b)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b))
+
+
 def test_counts_of_common_shingles(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choices("abcdef", k=30)) for _ in range(200)]

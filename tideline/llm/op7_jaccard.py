@@ -9,9 +9,12 @@ texts share are in few prefixes. The frequencies are counts over all texts in 2^
 the ``COMMON`` highest are broadcast, all other shingles count as rare and are ordered by their hash. Any fixed order
 gives the same result. Every proposed pair is checked by the two whole sets.
 
-A shingle whose prefix list has over ``NEAR`` + 1 nodes is crowded. There each node first meets only the ``NEAR`` before it
-in an order drawn per shingle; the links that this gives are joined, and then each node that is not in the crowd's
-largest component meets all nodes of other components. So no pair is lost, and no group of copies is paired out.
+A shingle whose prefix list has over ``NEAR`` + 1 nodes is crowded. There each node first meets only the ``CHAIN`` before it;
+the links that this gives are joined, and then each node that is not in the crowd's largest component meets the nodes
+of other components. So no pair is lost, and no group of copies is paired out.
+
+Before texts are read for it, a pair has to pass two bounds that no similar pair fails: on the sizes, and on the
+difference of the sets, which is at least the number of bits in which ``BITS`` parities of their hashes differ.
 
 Defined cases: null and empty texts are alike, and like nothing else; a text of fewer words than a shingle is one
 shingle; of a component the row with the least doc_id stays, null reached last; an empty table gives no rows; all columns
@@ -20,12 +23,14 @@ are kept. Texts with equal sets of shingles (64-bit hashes) are one node.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import ROW, Hashes, chunks, fresh, numbered, saved, written
@@ -34,7 +39,9 @@ from tideline.llm.op7_simhash import components, links
 SEED = 42
 WIDTH = 5
 SIMILAR = 0.8
-NEAR = 16
+NEAR, CHAIN = 16, 4
+BITS = 1024
+PARITY = [f"p{k}" for k in range(BITS // 64)]
 COMMON, COMMON_FROM = 1 << 20, 17
 RANGES, RANGE_BITS = 4096, 20  #: the 2^32 counters, as ranges that a task counts one after another
 JUMP = (1 << 16) - 1
@@ -57,6 +64,12 @@ def shingles(text: bytes, hashes: Hashes, width: int = WIDTH) -> np.ndarray:
     return np.unique(g ^ (g >> np.uint64(32)))
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the hashes falls on each of ``BITS`` places, as longs."""
+    odd = np.bincount((h & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def simhash(h: np.ndarray) -> int:
     """Majority bits of the set, as a signed long."""
     ones = np.zeros(64, dtype=np.int64)
@@ -151,17 +164,17 @@ def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar
 
 
 def shingle_sets(docs: DataFrame, row: str, width: int) -> DataFrame:
-    """(doc_id, row, node, n, fp): the node names the set of n shingles."""
+    """(doc_id, row, node, n, fp, parities): the node names the set of n shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch, raw in chunks(batches):
             sets = [shingles(x, hashes, width) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(map(name_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(simhash, sets), pa.int64())], names=["doc_id", "row", "node", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(map(name_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(simhash, sets), pa.int64()), *(pa.array(np.ascontiguousarray(p)) for p in np.stack(list(map(parities, sets))).T)], names=["doc_id", "row", "node", "n", "fp", *PARITY])
 
     kept = docs.select("text", "doc_id", F.col(row).alias("row"))
     doc_id = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(rows, f"doc_id {doc_id}, row {ROW}, node long, n long, fp long")
+    return kept.mapInArrow(rows, f"doc_id {doc_id}, row {ROW}, node long, n long, fp long, {', '.join(f'{c} long' for c in PARITY)}")
 
 
 def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, similar: float) -> DataFrame:
@@ -207,28 +220,36 @@ def shared_prefixes(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(rows, "key long, node long")
 
 
-def meetings(shared: DataFrame) -> DataFrame:
-    """(a, b): each two nodes of a key at most ``NEAR`` apart in its order, a < b."""
+def meetings(shared: DataFrame, lags: int) -> DataFrame:
+    """(a, b): each two nodes of a key at most ``lags`` apart in the order of nodes, a < b."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = v = np.zeros(0, dtype=np.int64)
         for batch in batches:
             old = len(k)
             k, v = np.concatenate([k, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()])
-            for lag in range(1, NEAR + 1):
+            for lag in range(1, lags + 1):
                 i = np.arange(max(old, lag), len(k))
                 i = i[k[i] == k[i - lag]]
                 if not len(i):
                     break
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], v[i - lag])), pa.array(np.maximum(v[i], v[i - lag]))], names=["a", "b"])
-            k, v = k[-NEAR:], v[-NEAR:]
+            k, v = k[-lags:], v[-lags:]
 
-    dealt = shared.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
+    dealt = shared.repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(rows, "a long, b long").distinct()
 
 
-def _sizes_fit(a: str, b: str, similar: float):
-    return F.least(a, b) >= F.greatest(a, b) * similar - EPS
+def _may_be_alike(a: str, b: str, similar: float) -> Column:
+    """The bounds on sizes and on the difference, of columns that end in ``a`` and in ``b``."""
+    x, y = F.col(f"n{a}"), F.col(f"n{b}")
+    differ = reduce(operator.add, [F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in PARITY])
+    return (F.least(x, y) >= F.greatest(x, y) * similar - EPS) & (differ <= (x + y) * ((1 - similar) / (1 + similar)) + EPS)
+
+
+def _of(nodes: DataFrame, name: str, end: str, *more: str) -> DataFrame:
+    """(node as ``name``, n, fp and parities), with ``end`` behind their names."""
+    return nodes.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}{end}") for c in ("n", *more, *PARITY)))
 
 
 def alike(pairs: DataFrame, rows: DataFrame, row: str, nodes: DataFrame, width: int, similar: float) -> DataFrame:
@@ -270,16 +291,16 @@ def _roots(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
     return df.join(roots.select(F.col("fp").alias(node), F.col("root").alias("root_")), node, "left").withColumn(root, F.coalesce("root_", node)).drop("root_")
 
 
-def crowded_pairs(shared: DataFrame, sizes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+def crowded_pairs(crowd: DataFrame, nodes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
     """(a, b) of crowded shingles: each node outside a crowd's largest component with the nodes of other components."""
-    crowds = shared.groupBy("key").agg(F.count("*").alias("nodes")).where(F.col("nodes") > NEAR + 1)
-    members = saved(_roots(shared.join(crowds, "key").join(sizes, "node"), roots, "node", "root"))
+    members = saved(_roots(crowd, roots, "node", "root"))
     parts = members.groupBy("key", "root").agg(F.count("*").alias("nodes"))
     largest = parts.groupBy("key").agg(F.max_by("root", F.struct("nodes", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    inside = saved(members.join(largest.drop("parts"), "key"))
-    few = inside.where("root != largest").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    met = inside.join(few, "key").where((F.col("root") != F.col("root_a")) & _sizes_fit("n", "n_a", similar))
-    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    inside = members.join(largest.drop("parts"), "key")
+    few = inside.where("root != largest").select("key", F.col("node").alias("a"), F.col("root").alias("root_a")).join(_of(nodes, "a", "_a"), "a")
+    every = inside.select("key", F.col("node").alias("b"), F.col("root").alias("root_b")).join(_of(nodes, "b", "_b"), "b")
+    met = few.join(every, (few["key"] == every["key"]) & (F.col("root_a") != F.col("root_b")) & _may_be_alike("_a", "_b", similar))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_unlike(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
@@ -288,20 +309,21 @@ def keep_unlike(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -
     rows = numbered(docs, row)
     known = saved(shingle_sets(rows, row, width))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
-    nodes = saved(known.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("n", "fp"))))
-    sizes = nodes.select("node", "n")
+    nodes = saved(known.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("n", "fp", *PARITY))))
     shared = saved(shared_prefixes(prefixes(rows, common_shingles(rows, width), width, similar)))
-    near = meetings(shared)
-    for s in "ab":
-        near = near.join(nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("fp").alias(f"fp_{s}")), s)
-    near = saved(near.where(_sizes_fit("n_a", "n_b", similar)).select("a", "b", F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))).alias("d")))
+    crowds = shared.groupBy("key").agg(F.count("*").alias("nodes")).where(F.col("nodes") > NEAR + 1).select("key")
+    crowd = saved(shared.join(crowds, "key", "left_semi"))
+    near = meetings(shared.join(crowd.select("key").distinct(), "key", "left_anti"), NEAR).unionByName(meetings(crowd, CHAIN)).distinct()
+    near = near.join(_of(nodes, "a", "_a", "fp"), "a").join(_of(nodes, "b", "_b", "fp"), "b").where(_may_be_alike("_a", "_b", similar))
+    near = saved(near.select("a", "b", F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))).alias("d")))
     # The nearest node of each first, and what SimHash proposes: where all are alike, these few links already join them.
     nearest = near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
-    first = saved(nearest.unionByName(fingerprint_pairs(nodes)).distinct())
+    close = fingerprint_pairs(nodes).join(_of(nodes, "a", "_a"), "a").join(_of(nodes, "b", "_b"), "b").where(_may_be_alike("_a", "_b", similar)).select("a", "b")
+    first = saved(nearest.unionByName(close).distinct())
     names = nodes.select(F.col("node").alias("fp"), F.col("node").alias("label"))
     linked = saved(alike(first, rows, row, nodes, width, similar))
     roots = saved(components(names, linked))
-    more = near.select("a", "b").unionByName(crowded_pairs(shared, sizes, roots, similar)).distinct().join(first, ["a", "b"], "left_anti")
+    more = near.select("a", "b").unionByName(crowded_pairs(crowd, nodes, roots, similar)).distinct().join(first, ["a", "b"], "left_anti")
     rest = saved(_roots(_roots(more, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b").select("a", "b"))
     if not rest.isEmpty():
         linked = linked.unionByName(alike(rest, rows, row, nodes, width, similar))
