@@ -41,7 +41,6 @@ K = 32
 RUNS = (25, 5, 1)  #: offsets that share a core, at each level
 MOST = 4096
 RUN, GRAM = 48, 24  #: words
-HELD_RUNS = 500_000
 AT_ONCE = 20_000  #: suffix tuples that a task induces at once (with whole groups, MOST more at the most)
 TUPLE = "core binary, left binary, right binary, lo int, hi int, name binary"
 SURVEY_BYTES = 2 << 20
@@ -327,26 +326,25 @@ def _joined_runs(left: np.ndarray, right: np.ndarray, step: int) -> np.ndarray:
 def shared_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """(row, n_shared_runs) of documents that share runs with others.
 
-    A task passes the first two documents of a run on by its hash; what it meets further on is known to be shared.
+    Of the documents that have a run in one slice of a batch the first two are passed on by its hash; the others are known to
+    share it, so that a run of very many documents is spread.
     """
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, times = Hashes(), {}
+        hashes = Hashes()
         for batch, raw in chunks(batches):
-            which, keys, ns = [], [], []
-            for i, x in enumerate(raw):
-                known = 0
-                for key in word_runs(x, hashes, run, gram).view(np.int64).tolist():
-                    if (t := times.get(key, 0)) < 2:
-                        times[key] = t + 1
-                        which.append(i), keys.append(key), ns.append(1)
-                    else:
-                        known += 1
-                if known:
-                    which.append(i), keys.append(None), ns.append(known)
-            if len(times) > HELD_RUNS:
-                times.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(which, pa.int64())), pa.array(ns, pa.int64())], names=["key", "row", "n"])
+            found = [word_runs(x, hashes, run, gram) for x in raw]
+            of = np.repeat(np.arange(len(raw)), [len(k) for k in found])
+            keys = np.concatenate(found).view(np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, of = keys[order], of[order]
+            on = np.ones(len(keys), dtype=bool)
+            on[2:] = keys[2:] != keys[:-2]
+            more = np.bincount(of[~on], minlength=len(raw))
+            known = np.flatnonzero(more)
+            rows = batch.column(0).take(pa.array(np.concatenate([of[on], known])))
+            told = pa.array(np.concatenate([keys[on], np.zeros(len(known), dtype=np.int64)]), mask=np.arange(on.sum() + len(known)) >= on.sum())
+            yield pa.RecordBatch.from_arrays([told, rows, pa.array(np.concatenate([np.ones(on.sum(), dtype=np.int64), more[known]]))], names=["key", "row", "n"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, again = None, False  # the last row, and if it repeats its key
