@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import op1_secrets, op2_mixing, op3_packing, op4_chat, op5_exact, op6_rules, op7_simhash, op8_quality, op9_repeats, op10_sharding
+from tideline.llm import op1_secrets, op2_mixing, op3_packing, op4_chat, op5_exact, op6_rules, op7_simhash, op8_quality, op9_repeats, op10_sharding, op11_centroids
 from tideline.llm.common import small_batches, table
 
 
@@ -70,6 +70,10 @@ def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sharding.assign(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_centroids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets_query,
@@ -82,4 +86,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality_query,
         "op9_repeats": op9_repeats_query,
         "op10_sharding": op10_sharding_query,
+        "op11_centroids": op11_centroids_query,
     }
