@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import op1_secrets, op2_mixing, op3_packing, op4_chat, op5_exact, op6_rules, op7_simhash, op8_quality, op9_repeats, op10_sharding, op11_centroids
+from tideline.llm import op1_secrets, op2_mixing, op3_packing, op4_chat, op5_exact, op6_rules, op7_simhash, op8_quality, op9_repeats, op10_sharding, op11_centroids, op12_alignment
 from tideline.llm.common import small_batches, table
 
 
@@ -74,6 +74,13 @@ def op11_centroids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    small_batches(spark)
+    return op12_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets_query,
@@ -87,4 +94,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_repeats": op9_repeats_query,
         "op10_sharding": op10_sharding_query,
         "op11_centroids": op11_centroids_query,
+        "op12_alignment": op12_alignment_query,
     }

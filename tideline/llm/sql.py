@@ -30,7 +30,7 @@ def _centroids(clusters: int = 8, rounds: int = 10, dims: int = 64) -> str:
     """Rounds of assignment and update as one chain of tables, component by component."""
     parts = [
         f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings
-  WHERE len(embedding) = {dims} AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0)""",
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
         f"q AS MATERIALIZED (SELECT r, vec_id, i, floor(1024 * x[i])::BIGINT AS q FROM v, range(1, {dims + 1}) t(i))",
         f"seed AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM v ORDER BY sha256('3:' || vec_id) LIMIT {clusters})",
         "c0 AS MATERIALIZED (SELECT k, i, q AS c FROM q JOIN seed USING (r))",
