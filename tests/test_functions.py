@@ -109,6 +109,27 @@ def test_required_years(spark):
     )
 
 
+def test_years_by_clause_equal_a_search_with_looking_ahead(spark):
+    """Every order and distance of mentions, against one search for a mention and what is near it."""
+    import itertools
+    import random
+    import re
+
+    token = re.compile(r"(\d{1,2})\s*(?:\+\s*)?(?:(?:-|–|to)\s*\d{1,2}\s*)?\+?\s*(?:years?|yrs?)")
+    near = re.compile(r"[^.\n]{0,40}?(?:experience|exp(?![a-z]))")
+    after = re.compile(r"(?:experience|exp(?![a-z]))[^.\n]{0,40}?(\d{1,2})\s*\+?\s*(?:years?|yrs?)")
+
+    def slow(text):
+        hits = [int(m[1]) for m in token.finditer(text) if near.match(text, m.end())] + [int(m[1]) for m in after.finditer(text)]
+        return max(hits, default=None)
+
+    parts = ["3 years", "12345 yrs", "7+ years", "1 - 9 year", "2 to 3 to 4 years", "experience", "exp", "exports", " of ", ". ", "\n", "x" * 38, "y" * 40, " ", "8y", "yearsexp"]
+    draw = random.Random(3)
+    texts = ["".join(p) for p in itertools.product(parts, repeat=2)] + ["".join(draw.choice(parts) for _ in range(draw.randint(3, 30))) for _ in range(3000)] + ["1yr" * 5000 + " exp", "exp" + "1yr" * 5000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", gates.required_years(F.col("t")).alias("y")).collect()
+    assert [(r.t, r.y) for r in rows if r.y != slow(r.t)] == []
+
+
 def test_indel_ratio():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

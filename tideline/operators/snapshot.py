@@ -25,9 +25,17 @@ def merge_cycle(snapshot: DataFrame, batch: DataFrame, cycle: int | Column, as_o
     other becomes active, also from stale or deleted. The first arrival gives provenance to new uids, the last one the
     mutable columns; a known row keeps its provenance and what users set.
     """
+    return _merged(snapshot, collapse(batch, order), "full_outer", cycle, as_of, announce_crosslisted)
+
+
+def merge_came(snapshot: DataFrame, came: DataFrame, cycle: int | Column, as_of: Column, announce_crosslisted: bool = False) -> DataFrame:
+    """As ``merge_cycle`` of a batch that is collapsed already, but only the rows that came."""
+    return _merged(snapshot, came, "right_outer", cycle, as_of, announce_crosslisted)
+
+
+def _merged(snapshot: DataFrame, came: DataFrame, how: str, cycle: int | Column, as_of: Column, announce_crosslisted: bool) -> DataFrame:
     cycle = F.lit(cycle) if isinstance(cycle, int) else cycle
-    came = collapse(batch, order).withColumnRenamed("job_uid", "_uid")
-    both = snapshot.join(came, F.col("job_uid") == F.col("_uid"), "full_outer")
+    both = snapshot.join(came.withColumnRenamed("job_uid", "_uid"), F.col("job_uid") == F.col("_uid"), how)
     known, arrived = F.col("job_uid").isNotNull(), F.col("_uid").isNotNull()
     types = dict(c.split() for c in SNAPSHOT.split(", "))
     fresh = F.lit("new") if announce_crosslisted else F.when(F.col("times") > 1, "active").otherwise("new")
@@ -66,6 +74,64 @@ def age_out(snapshot: DataFrame, outcomes: DataFrame, cycle: int | Column, as_of
     return rows.withColumn("status", F.when(F.col("went_deleted"), "deleted").otherwise(status)).drop("_source", "_exhaustive")
 
 
+def aged_by(snapshot: DataFrame, passes: DataFrame, feed: Feed) -> DataFrame:
+    """The status of rows that are as they were last seen, after all later passes at once; the same as ``age_out`` pass by pass.
+
+    ``passes`` is (source, exhaustive, as_of, cycle), one row per source and cycle in which it succeeded. They are one array
+    a source; Spark broadcasts them if their size allows.
+    """
+    per = passes.groupBy(F.col("source").alias("_source")).agg(F.array_sort(F.collect_list(F.struct("cycle", "as_of", "exhaustive"))).alias("_passes"))
+    rows = snapshot.join(per, F.col("source") == F.col("_source"), "left")
+    stale, gone = aging(F.col("_passes"), F.col("last_seen_cycle"), F.col("last_seen_at"), F.coalesce("posted_at", "first_seen_at"), feed)
+    rows = rows.withColumn("_stale", stale).withColumn("_gone", gone)
+    ages = F.col("status").isin("new", "active") & F.col("_stale").isNotNull()
+    return rows.withColumn("status", F.when(ages & F.col("_gone").isNotNull(), "deleted").when(ages, "stale").otherwise(F.col("status"))).select(*snapshot.columns)
+
+
+def aging(passes: Column, seen: Column, seen_at: Column, posted: Column, feed: Feed) -> tuple[Column, Column]:
+    """The cycles in which a row last seen in cycle ``seen`` goes stale and is deleted by its source's passes, or null."""
+    first = lambda which: F.get(F.filter(passes, which), F.lit(0))["cycle"]
+    retire, grace = (F.make_dt_interval(F.lit(d)) for d in (feed.retire_days, feed.grace_days))
+    stale = first(lambda p: (p["cycle"] > seen) & (F.coalesce(p["exhaustive"], F.lit(True)) | (posted < p["as_of"] - retire)))
+    return stale, first(lambda p: (p["cycle"] >= stale) & (seen_at < p["as_of"] - grace))
+
+
+def replay_intervals(sightings: DataFrame, passes: DataFrame, cycles: DataFrame, feed: Feed) -> DataFrame:
+    """Per uid the stretches of cycles in which it had one status: uid, source, status, from_cycle, to_cycle.
+
+    ``sightings`` is (uid, source, cycle, posted_at, ord), ``passes`` (source, cycle, exhaustive), one row per cycle in which
+    the source succeeded, ``cycles`` (cycle, as_of). Each sighting lasts until the next one or the last cycle: new or
+    active first, then stale and deleted as passes without it say; windowed sources ask for its age as well. Equal
+    neighbours are one stretch. A uid has a row a change and not one a cycle; its window holds one row a cycle it was seen in.
+    """
+    from pyspark.sql import Window as W
+
+    per = passes.join(cycles, "cycle").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("cycle", "as_of", "exhaustive"))).alias("passes"))
+    last_arrival = F.max_by(F.struct("posted_at"), "ord")["posted_at"].alias("posted_at")
+    seen = sightings.groupBy("uid", "cycle").agg(F.min_by("source", "ord").alias("came_by"), last_arrival, F.count("*").alias("times")).join(cycles, "cycle")
+    of_uid = W.partitionBy("uid").orderBy("cycle")
+    rows = seen.select(
+        "uid", "cycle", "as_of", "posted_at", "times", F.first("came_by").over(of_uid).alias("source"), F.first("as_of").over(of_uid).alias("first_seen_at"),
+        F.lead("cycle").over(of_uid).alias("next"), (F.row_number().over(of_uid) == 1).alias("is_first"),
+    )
+    end = (cycles.agg(F.max("cycle")).first()[0] or 0) + 1
+    rows = rows.join(per, "source", "left")
+    stale, gone = aging(F.col("passes"), F.col("cycle"), F.col("as_of"), F.coalesce("posted_at", "first_seen_at"), feed)
+    rows = rows.withColumn("until", F.coalesce("next", F.lit(end))).withColumn("stale", stale).withColumn("gone", gone).drop("passes")
+    at = lambda c: F.least(F.coalesce(c, F.col("until")), F.col("until"))
+    piece = lambda status, low, high: F.struct(status.alias("status"), low.alias("low"), (high - 1).alias("high"))
+    new = F.when(F.col("is_first") & (F.lit(feed.announce_crosslisted) | (F.col("times") == 1)), "new").otherwise("active")
+    pieces = F.array(
+        piece(new, F.col("cycle"), at(F.col("stale"))), piece(F.lit("stale"), at(F.col("stale")), at(F.col("gone"))), piece(F.lit("deleted"), at(F.col("gone")), F.col("until"))
+    )
+    each = rows.select("uid", "source", F.explode(F.filter(pieces, lambda p: p["low"] <= p["high"])).alias("p")).select("uid", "source", "p.*")
+    in_order = W.partitionBy("uid").orderBy("low")
+    island = F.count_if(~F.col("status").eqNullSafe(F.col("before"))).over(in_order)
+    marked = each.withColumn("before", F.lag("status").over(in_order)).withColumn("island", island)
+    merged = marked.groupBy("uid", "island").agg(F.first("source").alias("source"), F.first("status").alias("status"), F.min("low").alias("from_cycle"), F.max("high").alias("to_cycle"))
+    return merged.drop("island")
+
+
 def expired_count(aged: DataFrame) -> DataFrame:
     """Transitions, not rows: one that goes stale and deleted in a pass counts twice."""
     return aged.agg((F.count_if("went_stale") + F.count_if("went_deleted")).alias("n_expired"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from tideline.plans.views import FEED, table
 from tideline.schemas import SNAPSHOT
 from tideline.sources import outcomes
 from tideline.sources.boards import MAPPERS, map_items, map_scrape, read_items
+from tideline.streaming import walks
+from tideline.streaming.late import appended, recent, written_batches
+from tideline.streaming.store import Store, ingest_into
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -643,28 +647,84 @@ def dates_parsed(spark, sf_dir):
 
 @_query
 def stream_ingest_equals_batch(spark, sf_dir):
-    """Six days of events land at a time and are streamed into the snapshot, which is merged and aged each time.
+    """Six days of events land at a time and are streamed into a bucketed store; each batch writes only what came.
 
     The SQL is the same life of each posting, worked out over the whole table at once.
     """
-    from tideline.streaming.ingest import ingest
+    return _streamed(spark, sf_dir).read().select("job_uid", "source", "title", "first_seen_at", "last_seen_at", "last_seen_cycle", "status")
 
+
+@_query
+def stream_writes(spark, sf_dir):
+    """What the cycles of the same stream left of the store: per cycle how many uids it was the last to see."""
+    store = _streamed(spark, sf_dir)
+    return store.read().groupBy("last_seen_cycle").agg(F.count("*").alias("n_rows"), F.count_if(F.col("status") == "active").alias("n_active"))
+
+
+def _streamed(spark, sf_dir):
     base = views.scratch(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     days = views.days(spark, sf_dir)
+    store = Store(spark, f"{base}/store", FEED)
 
-    def merge(old, batch, cycle):
-        as_of = _at(views.START) + F.make_dt_interval(F.lit(views.CYCLE_DAYS * (cycle + 1)))
-        merged = snapshot.merge_cycle(spark.createDataFrame([], SNAPSHOT) if old is None else old, _full(_events_as_postings(batch)), cycle + 1, as_of, ["pos"])
+    def prepare(batch, cycle):
+        as_of = _at(views.START) + F.make_dt_interval(F.lit(views.CYCLE_DAYS * cycle))
         ok = batch.where("event_type <> 'error'").select(F.col("event_type").alias("source"), (F.col("event_type") != "click").alias("exhaustive")).distinct()
-        return snapshot.age_out(merged, ok, cycle + 1, as_of, FEED).drop("went_stale", "went_deleted")
+        return _full(_events_as_postings(batch)), ok, as_of
 
-    last = None
     for cycle in range(views.CYCLES):
         low, high = views.cycle_days(cycle)
         days.where((F.col("day") >= low) & (F.col("day") < high)).select(*schema.names).write.parquet(f"{base}/landed/{cycle}")
-        last = ingest(spark.readStream.schema(schema).parquet(f"{base}/landed/*"), f"{base}/out", f"{base}/log", merge)
-    return last.select("job_uid", "source", "title", "first_seen_at", "last_seen_at", "last_seen_cycle", "status")
+        ingest_into(store, spark.readStream.schema(schema).parquet(f"{base}/landed/*"), f"{base}/log", prepare, ["pos"])
+    return store
+
+
+#: Of the events that land late in ``stream_recent``: by how many landings, and the age that passes.
+LATE_BY, LATE_AGE = 3, 10
+
+
+@_query
+def stream_recent(spark, sf_dir):
+    """Events land by six days; a tenth lands three landings late, a seventh twice, a thirteenth has no date.
+
+    Those over ten days older than the newest of the landings before are dropped. Per event the first landing it passed in.
+    """
+    base = views.scratch(spark, "recent")
+    landing = F.least(F.greatest(F.floor((F.col("day") - 1) / views.CYCLE_DAYS), F.lit(0)), F.lit(views.CYCLES - 1))
+    late = F.when(F.col("event_id") % 10 == 3, landing + LATE_BY).otherwise(landing)
+    again = F.when(F.col("event_id") % 7 == 0, F.array(late, late + 1)).otherwise(F.array(late))
+    rows = views.days(spark, sf_dir).withColumn("landed", F.explode(again)).select(
+        F.col("event_id").cast("string").alias("job_uid"), F.when(F.col("event_id") % 13 != 0, F.col("ts")).alias("posted_at"), F.col("landed").cast("long").alias("landed")
+    )
+    schema = "job_uid STRING, posted_at TIMESTAMP, landed BIGINT"
+    for n in range(views.CYCLES + LATE_BY + 1):
+        rows.where(F.col("landed") == n).write.parquet(f"{base}/landed/{n}")
+        appended(recent(spark.readStream.schema(schema).parquet(f"{base}/landed/*"), LATE_AGE), f"{base}/out", f"{base}/log")
+    return written_batches(spark, f"{base}/out", schema).groupBy("job_uid").agg(F.min("landed").alias("landed"))
+
+
+@_query
+def stream_walks(spark, sf_dir):
+    """The pages of ``walk_completeness`` land in three parts, dealt by hash, so in no order; the outcomes given last."""
+    base = views.scratch(spark, "walks")
+    pages = _page_log(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("source", "walk", "page"), F.lit(3)))
+    schema = "source STRING, walk BIGINT, page BIGINT, n_items BIGINT, ok BOOLEAN, landed_at TIMESTAMP"
+    landed = _at(views.START) + F.make_dt_interval(F.lit(0), F.col("part").cast("int"))
+    for n in range(3):
+        pages.where(F.col("part") == n).select("source", "walk", "page", "n_items", "ok", landed.alias("landed_at")).write.parquet(f"{base}/landed/{n}")
+        appended(walks.outcomes(spark.readStream.schema(schema).parquet(f"{base}/landed/*"), 24, 5), f"{base}/out", f"{base}/log", "update")
+    return walks.last_given(written_batches(spark, f"{base}/out", walks.RESULT)).drop("closed")
+
+
+@_query
+def lifecycle_intervals(spark, sf_dir):
+    """The stretches of each posting's life: a user's events of one twentieth are a posting, days are cycles."""
+    e = views.days(spark, sf_dir)
+    uid = F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 20).cast("string"))
+    sightings = e.select(uid.alias("uid"), F.col("event_type").alias("source"), F.col("day").alias("cycle"), F.when(F.col("event_id") % 13 != 0, F.col("ts")).alias("posted_at"), F.col("event_id").alias("ord"))
+    passes = _outcomes(spark, sf_dir).where("succeeded").select("source", F.col("run_id").alias("cycle"), "exhaustive")
+    cycles = e.select(F.col("day").alias("cycle")).distinct().withColumn("as_of", _at(views.START) + F.make_dt_interval(F.col("cycle").cast("int")))
+    return snapshot.replay_intervals(sightings, passes, cycles, replace(FEED, retire_days=8))
 
 
 def queries() -> dict[str, Query]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from tideline.functions.text import COMPANY_SUFFIXES, LOCATION_ALIASES, STOPWORDS
+from tideline.operators import gates
 from tideline.operators.snapshot import ACTIONS
 from tideline.plans.views import AS_OF, CURRENCIES, CYCLE_DAYS, CYCLES, FEED, PERIODS, START, SUFFIXES, TITLES, cycle_days
+from tideline.plans.queries import LATE_AGE, LATE_BY
 from tideline.schemas import USER_FLAGS
 
 K = FEED.keywords
@@ -148,6 +150,18 @@ AGED = f"""{TWO}, ok AS (SELECT * FROM (VALUES ('view', TRUE), ('click', FALSE),
 a1 AS (SELECT tw.*, src IS NOT NULL AND last_seen_cycle < 3 AND status IN ('new', 'active') AND (whole OR coalesce(posted_at, first_seen_at) < TIMESTAMP '2024-02-06 12:00:00' - to_days({FEED.retire_days})) AS went_stale, src FROM tw LEFT JOIN ok ON source = src),
 a2 AS (SELECT *, src IS NOT NULL AND (went_stale OR status = 'stale') AND last_seen_at < TIMESTAMP '2024-02-06 12:00:00' - to_days({FEED.grace_days}) AS went_deleted FROM a1),
 ag AS (SELECT job_uid, source, CASE WHEN went_deleted THEN 'deleted' WHEN went_stale THEN 'stale' ELSE status END AS status, went_stale, went_deleted FROM a2)"""
+_as_of = f"(TIMESTAMP '{START}' + to_days(CAST({{}} AS INTEGER)))"
+INTERVALS = f"""{OUTCOMES}, sg AS (SELECT user_id || '-' || event_id % 20 AS uid, event_type AS source, day AS cycle, CASE WHEN event_id % 13 <> 0 THEN ts END AS posted, event_id AS ord FROM ev),
+sn AS (SELECT uid, cycle, count(*) AS times, max(CASE WHEN is_last THEN posted END) AS posted FROM (SELECT *, ord = max(ord) OVER (PARTITION BY uid, cycle) AS is_last FROM sg) GROUP BY 1, 2),
+ow AS (SELECT uid, min(cycle) AS first, arg_min(source, (cycle, ord)) AS source FROM sg GROUP BY 1),
+gr AS (SELECT uid, source, first, c.cycle, (SELECT max(sn.cycle) FROM sn WHERE sn.uid = ow.uid AND sn.cycle <= c.cycle) AS seen FROM ow JOIN (SELECT DISTINCT day AS cycle FROM ev) c ON c.cycle >= first),
+gs AS (SELECT gr.*, times, coalesce(posted, {_as_of.format("first")}) AS posted FROM gr JOIN sn ON sn.uid = gr.uid AND sn.cycle = seen),
+st AS (SELECT gs.uid, gs.cycle, any_value(gs.source) AS source, any_value(seen) AS seen, any_value(first) AS first, any_value(times) AS times,
+  min(run_id) FILTER (exhaustive OR posted < {_as_of.format("run_id")} - to_days(8)) AS stale, max(run_id) AS latest_pass FROM gs LEFT JOIN oc ON oc.source = gs.source AND succeeded AND run_id > seen AND run_id <= gs.cycle GROUP BY 1, 2),
+ss AS (SELECT uid, source, cycle, CASE WHEN stale IS NULL THEN CASE WHEN seen = first AND times = 1 THEN 'new' ELSE 'active' END
+  WHEN {_as_of.format("seen")} < {_as_of.format("latest_pass")} - to_days({FEED.grace_days}) THEN 'deleted' ELSE 'stale' END AS status FROM st),
+il AS (SELECT *, cycle - row_number() OVER (PARTITION BY uid, status ORDER BY cycle) AS island FROM ss)
+SELECT uid, any_value(source) AS source, status, min(cycle) AS from_cycle, max(cycle) AS to_cycle FROM il GROUP BY uid, status, island"""
 _names = "CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN 'bookmark' WHEN 'signup' THEN 'hide' WHEN 'purchase' THEN 'apply' ELSE 'unbookmark' END"
 FLAGS = f"""fe AS (SELECT user_id::VARCHAR AS job_uid, CASE WHEN event_id % 4 = 0 THEN 'unseen' ELSE {_names} END AS action, ts FROM events),
 fs AS (SELECT job_uid, CASE action {" ".join(f"WHEN '{a}' THEN '{f}'" for a, (f, _) in ACTIONS.items())} END AS field, CASE action {" ".join(f"WHEN '{a}' THEN {v}" for a, (_, v) in ACTIONS.items())} END AS value, ts, action FROM fe),
@@ -215,8 +229,26 @@ LISTED = f"""f AS (SELECT page_id::VARCHAR AS source_native_id, 'Python Developm
   TIMESTAMP '{AS_OF}' - to_days(CAST(page_id % 9 + 1 AS INTEGER)) AS posted_at FROM pages), {IDENTITY.replace("FROM p)", "FROM f)")}"""
 
 
+def _years() -> str:
+    """Each mention of years with the characters beside it, from the pieces between mentions."""
+
+    def cut(pattern: str) -> str:
+        return f"string_split_regex(t, '{pattern}') AS b, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', 1) AS n"
+
+    rest = f"left(b[i + 1], {gates.BESIDE}) || array_to_string(list_transform(range(i + 1, least(i + {gates.FURTHER}, len(m)) + 1), lambda j: m[j] || left(b[j + 1], {gates.BESIDE})), '')"
+    return f""", tx AS (SELECT 'd' || doc_id AS key, lower(text) AS t FROM documents UNION ALL SELECT 'c-' || conv_id || '-' || turn, lower(text) FROM conversations UNION ALL SELECT 'p' || pos, lower(description) FROM p),
+  ra AS (SELECT key, {cut(gates.YEARS_OR_RANGE)} FROM tx WHERE regexp_matches(t, '{gates.YEARS}')), af AS (SELECT key, {cut(gates.YEARS)} FROM tx WHERE regexp_matches(t, '{gates.YEARS}')),
+  hit AS (SELECT key, n[i]::INTEGER AS y FROM ra, unnest(range(1, len(m) + 1)) u(i) WHERE regexp_matches(left({rest}, {gates.BESIDE}), '{gates.NAMED_NEXT}')
+    UNION ALL SELECT key, n[i]::INTEGER FROM af, unnest(range(1, len(m) + 1)) u(i) WHERE regexp_matches(right(b[i], {gates.BESIDE}), '{gates.NAMED_BEFORE}')),
+  yr AS (SELECT key, max(y) AS years FROM hit GROUP BY key)"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = "WITH "
+    walks = f"""{w}{DAYS}, pg AS (SELECT event_type AS source, day AS walk, (event_id % 300) // 50 + 1 AS page, count(*) * 3 AS n_items, min(value) > 0.35 AS ok FROM ev GROUP BY 1, 2, 3),
+          en AS (SELECT source, walk, min(page) FILTER (page <= 5 AND NOT ok) AS bad, min(page) FILTER (page <= 5 AND ok AND n_items < 24) AS short FROM pg GROUP BY 1, 2)
+          SELECT source, walk, count(*) FILTER (page <= least(coalesce(bad - 1, 5), coalesce(short, 5))) AS n_pages, coalesce(sum(n_items) FILTER (page <= least(coalesce(bad - 1, 5), coalesce(short, 5))), 0)::BIGINT AS n_items, coalesce(any_value(bad) = 1, FALSE) AS failed,
+          coalesce(any_value(short) < coalesce(any_value(bad), 6), FALSE) AS exhausted FROM pg JOIN en USING (source, walk) GROUP BY 1, 2"""
     views = {
         "all": "TRUE", "remote": "coalesce(is_remote, FALSE) AND status <> 'deleted'", "not_remote": "NOT coalesce(is_remote, FALSE) AND status <> 'deleted'", "not_remote_strict": "is_remote = FALSE AND status <> 'deleted'",
         "intern": "is_internship AND status <> 'deleted'", "none": "FALSE", "wild": "(lower(title) LIKE '%b_ck%eng%' OR lower(company) LIKE '%b_ck%eng%') AND status <> 'deleted'", "pass": "salary_bucket = 'pass' AND status <> 'deleted'",
@@ -234,6 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "pages_by_site": f"SELECT {_domain} AS site, count(*) AS n_pages, min(page_id) AS first_page FROM pages GROUP BY 1",
         "keyword_gates": f"{w}{JUDGED} SELECT pos, is_internship, salary_bucket, keep, coalesce(drop_reason, '') AS drop_reason FROM j",
         "scores": f"{w}{JUDGED} SELECT pos, match_score, reasons FROM j",
+        "required_years": f"{w}{POSTINGS}{_years()} SELECT key, years FROM yr WHERE years IS NOT NULL",
         "pay_normalise": f"""{w}o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN round_even(o_totalprice, 0)::BIGINT END AS lo, CASE WHEN o_orderkey % 5 <> 0 THEN round_even(o_totalprice, 0)::BIGINT * 2 END AS hi, {_pick(CURRENCIES, "o_orderkey")} AS c, {_pick(PERIODS, "o_orderkey")} AS per FROM orders)
           SELECT o_orderkey, {_converted("lo", "c", "per")} AS low, {_converted("hi", "c", "per")} AS high, per IS NOT NULL AND {_fx("c")} IS NOT NULL AND coalesce(lo, hi) IS NOT NULL AS parsed,
           coalesce({_converted("hi", "c", "per")}, {_converted("lo", "c", "per")}) AS shown, c || ' ' || CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN lo || '-' || hi ELSE coalesce(lo, hi)::VARCHAR END || coalesce('/' || per, '') AS raw FROM o""",
@@ -295,10 +328,7 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN event_id % 9 < 3 THEN TRUE WHEN event_id % 9 < 6 THEN FALSE END AS flag, nullif(trim({_pick(["true", " YES ", "1", "no", "False", "0", "maybe", "", None], "event_id")}), '') AS filled,
           CASE WHEN user_id % 5 <> 0 THEN user_id * 100 END AS low, CASE WHEN user_id % 5 <> 0 THEN CASE WHEN user_id % 2 = 0 THEN user_id * 200 ELSE user_id * 100 END END AS high,
           {_pick(["year", "month", "week", "hour", None], "user_id")} AS period, {_pick(["INR", "USD", "INR", None], "user_id")} AS currency, {_pick([None, "month", "week", "hour", None], "user_id")} AS unit FROM events""",
-        "walk_completeness": f"""{w}{DAYS}, pg AS (SELECT event_type AS source, day AS walk, (event_id % 300) // 50 + 1 AS page, count(*) * 3 AS n_items, min(value) > 0.35 AS ok FROM ev GROUP BY 1, 2, 3),
-          en AS (SELECT source, walk, min(page) FILTER (page <= 5 AND NOT ok) AS bad, min(page) FILTER (page <= 5 AND ok AND n_items < 24) AS short FROM pg GROUP BY 1, 2)
-          SELECT source, walk, count(*) FILTER (page <= least(coalesce(bad - 1, 5), coalesce(short, 5))) AS n_pages, coalesce(sum(n_items) FILTER (page <= least(coalesce(bad - 1, 5), coalesce(short, 5))), 0)::BIGINT AS n_items, coalesce(any_value(bad) = 1, FALSE) AS failed,
-          coalesce(any_value(short) < coalesce(any_value(bad), 6), FALSE) AS exhausted FROM pg JOIN en USING (source, walk) GROUP BY 1, 2""",
+        "walk_completeness": walks,
         "source_outcomes": f"{w}{JUDGED} SELECT source, TRUE AS succeeded, count(*) FILTER (keep) AS n_fetched FROM j GROUP BY 1 UNION ALL SELECT DISTINCT source || '-empty', FALSE, 0 FROM j",
         "company_outcomes": f"""{w}{DAYS}, pc AS (SELECT event_type AS source, 'co' || (user_id % 4) AS company, max(value) < 300 AND event_type <> 'error' AS succeeded, count(*) AS n_fetched FROM ev GROUP BY event_type, user_id % 4),
           wh AS (SELECT source, bool_or(succeeded) AS any_ok, string_agg(CASE WHEN NOT succeeded THEN company || ': not found' END, '; ' ORDER BY company) AS errors FROM pc GROUP BY 1)
@@ -332,5 +362,12 @@ def oracle_sql() -> dict[str, str]:
         "source_dedup": f"""{w}{POSTINGS}, x AS (SELECT source, CASE WHEN pos % 5 = 0 THEN '' ELSE company || title END AS key, pos FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY pos) AS n FROM x) SELECT source, key, pos FROM r WHERE n = 1 OR key = ''""",
         "dates_parsed": f"""SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2) THEN date_trunc('second', ts) WHEN event_id % 6 = 3 THEN date_trunc('day', ts) WHEN event_id % 6 = 4 THEN date_trunc('second', ts) - INTERVAL 330 MINUTE END AS parsed,
           CASE event_id % 5 WHEN 0 THEN TIMESTAMP '{AS_OF}' - to_days(CAST(user_id % 9 AS INTEGER)) WHEN 1 THEN TIMESTAMP '{AS_OF}' - to_days(CAST(user_id % 9 * 7 AS INTEGER)) WHEN 2 THEN TIMESTAMP '{AS_OF}' WHEN 3 THEN TIMESTAMP '{AS_OF}' - to_days(CAST(user_id % 9 * 30 AS INTEGER)) END AS posted FROM events""",
+        "stream_writes": f"{w}{_streamed()} SELECT last_seen_cycle, count(*) AS n_rows, count(*) FILTER (status = 'active') AS n_active FROM r{CYCLES} GROUP BY 1",
+        "stream_recent": f"""{w}{DAYS}, l AS (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN ts END AS posted, least(greatest((day - 1) // {CYCLE_DAYS}, 0), {CYCLES - 1}) + CASE WHEN event_id % 10 = 3 THEN {LATE_BY} ELSE 0 END AS landed FROM ev),
+          a AS (SELECT * FROM l UNION ALL SELECT event_id, posted, landed + 1 FROM l WHERE event_id % 7 = 0), b AS (SELECT landed, max(posted) AS newest FROM a GROUP BY 1),
+          m AS (SELECT landed, max(newest) OVER (ORDER BY landed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - to_days({LATE_AGE}) AS mark FROM b)
+          SELECT event_id::VARCHAR AS job_uid, min(landed) AS landed FROM a JOIN m USING (landed) WHERE posted IS NULL OR mark IS NULL OR posted > mark GROUP BY 1""",
+        "stream_walks": walks,
+        "lifecycle_intervals": f"{w}{INTERVALS}",
         "stream_ingest_equals_batch": f"{w}{_streamed()} SELECT job_uid, source, title, first_seen_at, last_seen_at, last_seen_cycle, status FROM r{CYCLES}",
     }
