@@ -101,3 +101,20 @@ def test_counts_of_documents_and_links(spark):
     assert [(r.docs, r.links, r.best) for r in counts] == [(9000, 13500, True)]
     assert {tuple(r)[1:] for r in op12.align(df, A, B).drop("groups_sha256").distinct().collect()} == {(1, 1, 1, 1, 1, 13500), (2, 2, 2, 2, 2, 27000)}
     assert op12.indexed(df, A, B).where(F.col("kind") == op12.DOCUMENT).count() == 9000
+
+
+def test_texts_cut_in_pieces_have_the_same_tokens():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a.encode_special_tokens = True
+    known = op12.Aligner(A, B)
+    for text in [t for t in TEXTS if t and op12.LOW_MARK not in t]:
+        want = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        for least in (1, 7, 100) if len(text) < 9000 else (5000,):
+            parts = op12.pieces(text, least)
+            assert "".join(parts) == " " + text and all(p[0] == " " for p in parts)
+            assert [i for p in parts for i in known.a.encode_ordinary(p)] == want[0]
+            assert [i for p in parts for i in known.b.encode(p[1:]) or known.low_mark] == want[1]
+    assert len(op12.pieces(WORDS, 1000)) > 100

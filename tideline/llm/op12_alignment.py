@@ -8,7 +8,8 @@ bits, times the planes' weights, give each pair's documents and links. The pairs
 postings: per block, each pair adds its score to the documents in its bitmaps.
 
 Both tokenizers cut before a space that follows anything but a blank (a fact of the two vocabularies, checked when they are
-loaded), so stretches between such spaces are aligned one by one and remembered, and tokens of both end there.
+loaded), so very long texts are worked in pieces between such spaces. A's merges are in the order of its ids, checked as well,
+so its ids are taken by the quicker of the two public libraries for byte-level vocabularies; they are the same.
 
 Scale: a pair has at most one row a plane and block, so none has more than a share of 1 / (pairs in a block) of the index,
 but for texts that hold few pairs at all; the join with the counts is salted for those. Scores are summed block by block in
@@ -20,10 +21,12 @@ tokens; doc_id may be null or repeated, each row is a document; an empty table g
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,10 @@ from tideline.llm.common import PER_FILE, chunks, numbered, spread_join, written
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
 FULL = BLOCK // 8  #: bytes of a bitmap that is not a list
-CHUNK = 8 << 20  #: bytes of text that are indexed at once
-CACHED = 400_000  #: stretches that a worker remembers
-CACHED_CHARS = 64
+PIECE = 1 << 19  #: characters after which a long text is cut at the next place that allows it
+HELD = 1 << 21  #: links that a task holds before it packs them
 #: What may count as blank for one of the two: no place to cut lies behind it.
 BLANKS = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u200b\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B))))
-STRETCH = re.compile(" +[^ ]*")
 LOW_MARK = "▁"
 DOCUMENT, POSTING = 1, 0
 #: Plane of the bitmap of all documents of a pair; planes 0, 1, ... are the bits of its count there less one.
@@ -59,71 +60,89 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Aligner(dict):
-    """Stretch of text -> (tokens of A, tokens of B, groups as text, links as packed pairs of ids), or None if not given back."""
+def pieces(text: str, least: int = PIECE) -> list[str]:
+    """A space and ``text``, cut before spaces that follow anything but a blank, where that many characters are reached."""
+    text = " " + text
+    out, start = [], 0
+    while len(text) - start > least:
+        at = text.find(" ", start + least)
+        while at > 0 and text[at - 1] in BLANKS:
+            at = text.find(" ", at + 1)
+        if at < 0:
+            break
+        out.append(text[start:at])
+        start = at
+    out.append(text[start:])
+    return out
+
+
+class Aligner:
+    """The two tokenizers, the bytes of their tokens, and how their ids are written in groups."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
+        from public_tokenizers import PATTERN
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_a, encoding="utf-8") as f:
+            described = json.load(f)
         to_byte = byte_values()
-        self.bytes_a = {i: bytes(map(to_byte.__getitem__, t)) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        if any(re.search(f"[^{LOW_MARK}]{LOW_MARK}", self.b.id_to_piece(i)) for i in range(len(self.bytes_b))):
+        raw = lambda t: bytes(map(to_byte.__getitem__, t))
+        special = {x["id"] for x in described["added_tokens"]}
+        ranks = {raw(t): i for t, i in described["model"]["vocab"].items() if i not in special}
+        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in described["model"]["merges"]]
+        if any(ranks[raw(m)] != len(to_byte) + i for i, m in enumerate(merges)):
+            raise ValueError("the merges are not in the order of the ids")
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        n = self.b.get_piece_size()
+        if any(re.search(f"[^{LOW_MARK}]{LOW_MARK}", self.b.id_to_piece(i)) for i in range(n)):
             raise ValueError("a piece holds a space behind something else, so texts cannot be cut there")
+        self.low_mark = [self.b.piece_to_id(LOW_MARK)]
+        self.bytes_b = [self._piece(i) for i in range(n)]
+        self.size_a = np.zeros(max(ranks.values()) + 1, np.int64)
+        for x, i in ranks.items():
+            self.size_a[i] = len(x)
+        self.size_b = np.array([len(x) for x in self.bytes_b])
+        self.names = [f"{i}{end}".encode() for ends, k in ((",|", len(self.size_a)), (",;", n)) for i in range(k) for end in ends]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(LOW_MARK, " ").encode()
 
-    def _aligned(self, text: str, a: list[int], b: list[int]):
-        raw = text.encode()
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        ends_a, ends_b = (list(accumulate(map(len, x))) for x in (parts_a, parts_b))
-        where = {e: j for j, e in enumerate(ends_b)}
-        groups, links, la, lb = [], [], 0, 0
-        for i, e in enumerate(ends_a):
-            if (j := where.get(e)) is not None:
-                groups.append(",".join(map(str, a[la : i + 1])) + "|" + ",".join(map(str, b[lb : j + 1])))
-                links.append((a[i] << 32) | b[j])
-                la, lb = i + 1, j + 1
-        return len(a), len(b), ";".join(groups), tuple(links)
-
-    def align(self, stretches: list[str]) -> list:
-        """Each stretch begins with a space, which B is not given, as it puts one first."""
-        out = []
-        for at in range(0, len(stretches), 20_000):
-            part = stretches[at : at + 20_000]
-            a = self.a.encode_batch_fast(part, add_special_tokens=False)
-            b = self.b.encode([s[1:] for s in part], num_threads=1)
-            out += [self._aligned(s, x.ids, y or self.b.piece_to_id([LOW_MARK])) for s, x, y in zip(part, a, b, strict=True)]
-        return out
-
-    def add(self, stretches: set[str]) -> None:
-        if len(self) > CACHED:
-            self.clear()
-        new = [s for s in stretches if s not in self]
-        self.update(zip(new, self.align(new), strict=True))
-
-
-def cut(text: str) -> list[str]:
-    """A space and ``text``, cut before every space that follows anything but a blank; nothing, if no token can give it back."""
-    if not text or LOW_MARK in text:
-        return []
-    out: list[str] = []
-    joined = False
-    for s in STRETCH.findall(" " + text):
-        if joined:
-            out[-1] += s
-        else:
-            out.append(s)
-        joined = s[-1] in BLANKS
-    return out
+    def ids(self, text: str) -> tuple[list[int], list[int]]:
+        """The ids of both, or none, if B does not give the text back (A always does)."""
+        a, b = [], []
+        if text and LOW_MARK not in text:
+            for piece in pieces(text):
+                own = self.b.encode(piece[1:]) or self.low_mark  # B puts the space before it
+                if b"".join([self.bytes_b[i] for i in own]) != piece.encode():
+                    return [], []
+                a += self.a.encode_ordinary(piece)
+                b += own
+        return a, b
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Links of all texts as packed pairs of ids, and per text: tokens of A and of B, links, and the groups' digest."""
+        both = [self.ids(x) for x in texts]
+        n_a, n_b = (np.array([len(x[k]) for x in both], np.int64) for k in (0, 1))
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in both), np.int64) for k in (0, 1))
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])  # of all texts as one, as both give all of it back
+        at = np.zeros((2, int(end_a[-1]) + 1 if len(a) else 1), bool)
+        at[0, end_a] = at[1, end_b] = True
+        hit_a, hit_b = at[1, end_a], at[0, end_b]
+        links = (a[hit_a] << 32) | b[hit_b]
+        # a token stands behind its own kind, and behind the other kind of the groups before; B behind that of its own, too
+        group_a, group_b = np.cumsum(hit_a) - hit_a, np.cumsum(hit_b) - hit_b
+        until_a, until_b = np.flatnonzero(hit_a) + 1, np.flatnonzero(hit_b) + 1
+        name = np.empty(len(a) + len(b), np.int64)
+        name[np.arange(len(a)) + np.r_[0, until_b][group_a]] = 2 * a + hit_a
+        name[np.arange(len(b)) + until_a[group_b]] = 2 * (len(self.size_a) + b) + hit_b
+        written_names = list(map(self.names.__getitem__, name.tolist()))
+        stop = np.cumsum(n_a + n_b).tolist()
+        digests = [sha256(b"".join(written_names[s:e])[:-1]).hexdigest() if e > s else "" for s, e in zip([0, *stop], stop, strict=False)]
+        hits = np.r_[0, np.cumsum(hit_a)]
+        return links, n_a, n_b, np.diff(hits[np.r_[0, np.cumsum(n_a)]]), digests
 
 
 @lru_cache(maxsize=1)
@@ -197,36 +216,31 @@ def _arrow(ddl: str) -> pa.Schema:
 def _index(path_a: str, path_b: str):
     schema = _arrow(ROWS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import sha256
+    def postings_of(file: int, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for pair, block, plane, bits in packed(*map(np.concatenate, zip(*held, strict=True))):
+            yield _batch(schema, len(pair), kind=np.full(len(pair), POSTING), file=np.full(len(pair), file), block=block, pair=pair, plane=plane, bits=bits)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = aligner_of(path_a, path_b)
-        for batch, raw in chunks(batches, most=CHUNK):
-            texts = [cut(x.decode("utf-8", "replace")) for x in raw]
-            every = set(chain.from_iterable(texts))
-            rare = [s for s in every if len(s) > CACHED_CHARS]
-            known.add(every.difference(rare))
-            found_rare = dict(zip(rare, known.align(rare), strict=True))
-            get = (lambda s: found_rare[s] if s in found_rare else known[s]) if rare else known.__getitem__
+        held: dict[int, list] = {}
+        n_held = 0
+        for batch, raw in chunks(batches):
+            links, n_a, n_b, n, digests = known.align([x.decode("utf-8", "replace") for x in raw])
             files, at = _numbers(batch, "file", "at")
-            table: dict[str, list] = {c: [] for c in ("n_a", "n_b", "n_links", "groups_sha256")}
-            links = []
-            for stretches in texts:
-                found = list(map(get, stretches))
-                if None in found:
-                    found = []
-                a, b, groups, pairs = zip(*found, strict=True) if found else ((), (), (), ())
-                own = np.fromiter(chain.from_iterable(pairs), dtype=np.int64)
-                links.append(own)
-                for c, v in zip(table, (sum(a), sum(b), len(own), sha256(";".join(groups).encode()).hexdigest() if found else ""), strict=True):
-                    table[c].append(v)
-            n = len(texts)
-            yield _batch(schema, n, kind=np.full(n, DOCUMENT), file=files, block=at >> BLOCK_BITS, place=at & (BLOCK - 1), doc_id=batch.column("doc_id"), n_groups=table["n_links"], **table)
-            for file in np.unique(files):
-                mine = [i for i in range(n) if files[i] == file and len(links[i])]
-                rows = np.repeat(at[mine], [len(links[i]) for i in mine])
-                for pair, block, plane, bits in packed(np.concatenate([links[i] for i in mine]) if mine else rows, rows):
-                    yield _batch(schema, len(pair), kind=np.full(len(pair), POSTING), file=np.full(len(pair), file), block=block, pair=pair, plane=plane, bits=bits)
+            yield _batch(
+                schema, len(raw), kind=np.full(len(raw), DOCUMENT), file=files, block=at >> BLOCK_BITS, place=at & (BLOCK - 1), doc_id=batch.column("doc_id"),
+                n_a=n_a, n_b=n_b, n_groups=n, n_links=n, groups_sha256=digests,
+            )
+            of, where = np.repeat(files, n), np.repeat(at, n)
+            for file in np.unique(of).tolist():
+                held.setdefault(file, []).append((links[of == file], where[of == file]))
+            n_held += len(links)
+            if n_held > HELD:
+                for file, part in held.items():
+                    yield from postings_of(file, part)
+                held, n_held = {}, 0
+        for file, part in held.items():
+            yield from postings_of(file, part)
 
     return run
 
