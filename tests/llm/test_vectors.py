@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import op11_centroids
+from tideline.llm import op11_centroids, op13_neighbours
 
 SCHEMA = "vec_id long, embedding array<double>, distance string, cluster string, q int"
 
@@ -73,3 +73,53 @@ def test_clusters_do_not_hang_on_how_rows_lie(spark, sf):
     rows = [tuple(r) for r in df.collect()]
     want = plain_clusters(rows, rounds=3)
     assert clusters_of(df, rounds=3) == want == clusters_of(df.repartition(7, "vec_id"), rounds=3)
+
+
+def plain_nearest(rows, every=100, k=10):
+    kept = [(i, v) for i, v, *_ in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = []
+    for n, (q, v) in enumerate(kept):
+        if q is not None and q % every == 0:
+            near = sorted((math.sqrt(sum((a - b) * (a - b) for a, b in zip(v, w, strict=True))), i is None, i or 0) for m, (i, w) in enumerate(kept) if m != n and len(w) == len(v))
+            out += [(q, r + 1, None if none else i, s) for r, (s, none, i) in enumerate(near[:k])]
+    return sorted(((*x[:3], round(x[3], 9)) for x in out), key=str)
+
+
+def nearest_of(df, **more):
+    return sorted(((*tuple(r)[:3], round(r.score, 9)) for r in op13_neighbours.nearest(df, **more).collect()), key=str)
+
+
+def test_nearest_on_edge_rows(spark):
+    rows = edges(n=150)
+    rows += [(400 + i, [float(i == c) for c in range(64)], "", "", 0) for i in range(64)]  # all at one distance from each other
+    rows += [(600, [1.0, 2.0], "", "", 0), (601, [1.0, 2.5], "", "", 0), (700, [5.0], "", "", 0), (800, [1e300] * 64, "", "", 0), (1000, [1e-200] * 64, "", "", 0)]
+    rows += [(1200 + i % 3, [0.25] * 64, "", "", 0) for i in range(40)]  # one vector, repeated ids, more copies than are asked for
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = op13_neighbours.nearest(df)
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    assert nearest_of(df) == plain_nearest(rows)
+    assert nearest_of(df.where("vec_id between 901 and 906")) == [] == nearest_of(df.where("vec_id = 600"))
+
+
+def test_nearest_with_cells_and_shards(spark, monkeypatch):
+    monkeypatch.setattr(op13_neighbours, "PER_CELL", 200)
+    monkeypatch.setattr(op13_neighbours, "SHARD", 64)
+    monkeypatch.setattr(op13_neighbours, "SEEDS", 50)
+    draw = random.Random(1)
+    middle = [[draw.uniform(-1, 1) for _ in range(20)] for _ in range(6)]
+    rows = [(i, [c + draw.gauss(0, 0.1) for c in middle[i % 6]], "", "", 0) for i in range(3000)]
+    got, want = set(nearest_of(spark.createDataFrame(rows, SCHEMA))), set(plain_nearest(rows))
+    assert len(got) == len(want) and len(got & want) >= 0.99 * len(want)
+
+
+def test_error_bound_prunes_and_keeps_the_nearest(spark, sf):
+    """On vectors without clusters the bound leaves most vectors out, and loses next to nothing."""
+    import numpy as np
+
+    x = np.random.default_rng(0).standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist(), "", "", 0) for i, v in enumerate(x)]
+    got, want = set(nearest_of(spark.createDataFrame(rows, SCHEMA))), set(plain_nearest(rows))
+    assert len(got) == len(want) and len(got & want) >= 0.99 * len(want)
+    given = spark.read.parquet(f"{sf}/embeddings.parquet")
+    assert set(nearest_of(given)) == set(plain_nearest([tuple(r) for r in given.select("vec_id", "embedding").collect()]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import op1_secrets, op2_mixing, op3_packing, op4_chat, op5_exact, op6_rules, op7_simhash, op8_quality, op9_repeats, op10_sharding, op11_centroids, op12_alignment
+from tideline.llm import op1_secrets, op2_mixing, op3_packing, op4_chat, op5_exact, op6_rules, op7_simhash, op8_quality, op9_repeats, op10_sharding, op11_centroids, op12_alignment, op13_neighbours
 from tideline.llm.common import small_batches, table
 
 
@@ -81,6 +81,11 @@ def op12_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return op13_neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets_query,
@@ -95,4 +100,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding_query,
         "op11_centroids": op11_centroids_query,
         "op12_alignment": op12_alignment_query,
+        "op13_neighbours": op13_neighbours_query,
     }
