@@ -44,9 +44,9 @@ def outcomes(pages: DataFrame, page_size: int, most_pages: int, timeout: str = "
                 within = part[part["page"] <= most_pages]
                 for page, n, ok in zip(within["page"], within["n_items"], within["ok"], strict=True):
                     x = seen.setdefault(str(int(page)), [0, 0, False, False])
-                    n = 0 if pd.isna(n) else int(n)
-                    failed = ok is not None and not pd.isna(ok) and not ok
-                    seen[str(int(page))] = [x[0] + 1, x[1] + n, x[2] or failed, x[3] or bool(ok) and n < page_size]
+                    known = not pd.isna(ok)  # what is not known is neither failed nor short
+                    short = known and bool(ok) and not pd.isna(n) and n < page_size
+                    seen[str(int(page))] = [x[0] + 1, x[1] + (0 if pd.isna(n) else int(n)), x[2] or known and not ok, x[3] or short]
             state.update((json.dumps(seen), latest))
             state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + wait_ms)
         n_pages, n_items, failed, exhausted = outcome({int(p): x for p, x in seen.items()}, page_size, most_pages)
