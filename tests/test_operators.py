@@ -1,6 +1,7 @@
 """Snapshot lifecycle, outcomes, matching, pages, boards, streaming."""
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from tideline.operators import gates, identity, match, neardup, pages, publish,
 from tideline.plans.config import Feed, Keywords
 from tideline.schemas import SNAPSHOT
 from tideline.sources import outcomes
-from tideline.sources.boards import MAPPERS, Board, catalogue, map_items, read_items, register
+from tideline.sources.boards import MAPPERS, Board, catalogue, jobicy_mapper, map_items, read_boards, read_items, register
 from tideline.sources.tables import PROFILE
 
 POSTED = "job_uid string, source string, title string, company string, url string, posted_at timestamp, ord int, pos int"
@@ -152,8 +153,12 @@ def test_boards(spark):
     r = one("greenhouse", '{"jobs":[{"id":1,"title":"X","location":{"name":"Remote - EU"},"content":"&lt;p&gt;hi","first_published":"2026-01-01"}]}')
     assert (r[0].description, r[0].is_remote, r[0].company) == ("<p>hi", True, "acme")
     assert [x.source for x in catalogue(spark, {"lever", "adzuna", "remoteok"}, companies={"lever": ["a"]}).where("enabled").collect()] == ["remoteok", "lever"]
-    register(Board("own", "id:string,t:string", "", lambda items, now: items.select(F.lit("own").alias("source"), F.col("item.id").alias("source_native_id"), F.col("item.t").alias("title"), F.lit("C").alias("company")), 99))
+    register(Board("own", "id:string,t:string", "", lambda i, now: (None, {"source": F.lit("own"), "source_native_id": i("id"), "title": i("t"), "company": F.lit("C")}), 99))
     assert one("own", '[{"id":"1","t":"T"}]')[0].title == "T"
+    landed = [("own", '[{"id":"1","t":"T"},null,{"id":"2"}]', "a"), ("jobicy", '{"jobs":[{"id":5,"jobTitle":"J","jobType":["Contract"]},{"id":6,"jobTitle":"K","jobType":["full-time"]}]}', "a"), ("ashby", '{"ok":false}', "b"), ("none", "[]", "a"), ("own", None, "a")]
+    postings, log = read_boards(spark.createDataFrame(landed, "board string, payload string, company_key string"), now, MAPPERS | {"jobicy": replace(MAPPERS["jobicy"], mapper=jobicy_mapper("Full"))})
+    assert sorted((x.source, x.source_native_id, x.pos, x.company_key) for x in postings.collect()) == [("jobicy", "6", 1, "a"), ("own", "1", 0, "a"), ("own", "2", 2, "a")]
+    assert sorted((x.board, x.n_items, x.ok, x.exhaustive) for x in log.collect()) == [("ashby", 0, False, False), ("jobicy", 2, True, True), ("none", 0, False, False), ("own", 0, False, False), ("own", 3, True, False)]
     del MAPPERS["own"]
 
 

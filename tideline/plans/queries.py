@@ -15,7 +15,7 @@ from tideline.plans import views
 from tideline.plans.views import FEED, table
 from tideline.schemas import SNAPSHOT
 from tideline.sources import outcomes
-from tideline.sources.boards import MAPPERS, map_items, map_scrape, read_items
+from tideline.sources.boards import MAPPERS, jobicy_mapper, map_items, map_scrape, read_boards
 from tideline.streaming import walks
 from tideline.streaming.late import appended, recent, written_batches
 from tideline.streaming.store import Store, ingest_into
@@ -575,49 +575,65 @@ def transcript_last_event(spark, sf_dir):
     return last.select("key", "is_error", "found", F.array_join(rep["filled"], ",").alias("filled"), rep["needs_login"].alias("needs_login"), rep["notes"].alias("notes"))
 
 
-def _payloads(spark, sf_dir) -> dict[str, DataFrame]:
-    """Each board's payload of one posting, made from the postings' view."""
+#: The second posting of each payload: that many further on in ids, and so many days older.
+SECOND_POS, OLDER_DAYS = 3_603_600_000, 60
+
+
+def _landed(spark, sf_dir) -> DataFrame:
+    """Each board's payload of two postings, made from the postings' view: the posting, and an older one of contract type."""
     p = views.postings(spark, sf_dir)
-    iso = F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    seconds = F.unix_timestamp("posted_at")
-    obj = lambda *cols: F.to_json(F.struct(*cols))
-    a = lambda name, c: (F.col(c) if isinstance(c, str) else c).alias(name)
-    named = lambda name, c: F.struct(F.col(c).alias("name")).alias(name)
-    bounds = lambda lo, hi: (a(lo, "salary_min"), a(hi, "salary_max"))
+    second = {"pos": F.col("pos") + SECOND_POS, "source_native_id": (F.col("pos") + SECOND_POS).cast("string"), "title": F.concat("title", F.lit(" II")), "posted_at": F.col("posted_at") - F.make_dt_interval(F.lit(OLDER_DAYS))}
+    p = p.select(F.struct(*p.columns).alias("one"), F.struct(*[second.get(c, F.col(c)).alias(c) for c in p.columns]).alias("two"))
+
+    def obj(of, *cols):
+        return F.to_json(F.struct(*[of(c).alias(c) if isinstance(c, str) else c for c in cols]))
+
+    a = lambda of, name, c: (of(c) if isinstance(c, str) else c).alias(name)
+    named = lambda of, name, c: F.struct(of(c).alias("name")).alias(name)
+    bounds = lambda of, lo, hi: (a(of, lo, "salary_min"), a(of, hi, "salary_max"))
     shapes = {
-        "remoteok": F.concat(F.lit('[{"legal":"notice"},'), obj(a("id", "pos"), a("position", "title"), "company", "url", "location", "description", "salary_min", "salary_max", a("date", F.when(F.col("pos") % 2 == 0, iso)), a("epoch", seconds)), F.lit("]")),
-        "himalayas": F.concat(F.lit('{"jobs":['), obj(a("guid", "source_native_id"), "title", a("companyName", "company"), a("applicationLink", "url"), a("locationRestrictions", F.array("location")), *bounds("minSalary", "maxSalary"), a("currency", "salary_currency"), a("salaryPeriod", F.lit("Annual")), a("pubDate", seconds), a("excerpt", "description")), F.lit("]}")),
-        "jobicy": F.concat(F.lit('{"jobs":['), obj(a("id", "pos"), a("jobTitle", "title"), a("companyName", "company"), "url", a("jobGeo", "location"), a("jobType", F.array(F.lit("Full-Time"))), *bounds("salaryMin", "salaryMax"), a("salaryCurrency", "salary_currency"), a("salaryPeriod", F.lit("monthly")), a("pubDate", iso), a("jobDescription", "description")), F.lit("]}")),
-        "adzuna": F.concat(F.lit('{"results":['), obj(a("id", "source_native_id"), "title", F.struct(F.col("company").alias("display_name")).alias("company"), F.struct(F.col("location").alias("display_name")).alias("location"), a("redirect_url", "url"), "description", a("salary_min", F.col("salary_min") + 0.7), a("salary_max", F.col("salary_max").cast("double")), a("created", iso)), F.lit("]}")),
-        "jooble": F.concat(F.lit('{"jobs":['), obj(a("id", "source_native_id"), "title", "company", a("link", "url"), "location", a("snippet", "description"), a("updated", iso)), F.lit("]}")),
-        "unstop": F.concat(F.lit('{"data":{"data":['), obj(a("id", "pos"), "title", a("updated_at", iso), named("organisation", "company"), a("public_url", F.concat(F.lit("/o/"), F.col("source_native_id"))), a("region", F.when(F.col("pos") % 2 == 0, "Online").otherwise(F.col("location"))), a("details", "description"), F.array(F.struct(F.lit("SQL").alias("name")), F.struct(F.lit(" ").alias("name"))).alias("required_skills"), F.struct(F.when(F.col("pos") % 5 == 0, "FINISHED").alias("reg_status")).alias("regnRequirements"), F.struct((F.col("pos") % 2).alias("show_salary"), F.lit(False).alias("not_disclosed"), F.col("salary_min").alias("min_salary"), F.col("salary_max").alias("max_salary"), F.lit("fa-rupee").alias("currency"), F.lit("month").alias("pay_in")).alias("jobDetail")), F.lit("]}}")),
-        "greenhouse": F.concat(F.lit('{"jobs":['), obj(a("id", "pos"), "title", a("company_name", F.when(F.col("pos") % 2 == 0, F.col("company"))), named("location", "location"), a("absolute_url", "url"), a("content", F.concat(F.lit("&lt;p&gt;R&amp;D "), "description")), a("updated_at", iso)), F.lit("]}")),
-        "lever": F.when(F.col("pos") % 10 == 0, '{"ok":false,"error":"not found"}').otherwise(F.concat(F.lit("["), obj(a("id", "source_native_id"), a("text", "title"), a("hostedUrl", "url"), a("workplaceType", views._pick(["Remote", "onsite", "hybrid", None], F.col("pos"))), F.struct("location").alias("categories"), F.struct(F.col("salary_min").alias("min"), F.col("salary_max").alias("max"), F.lit("USD").alias("currency"), F.lit("per-year-salary").alias("interval")).alias("salaryRange"), a("createdAt", seconds * 1000), "description"), F.lit("]"))),
-        "ashby": F.concat(F.lit('{"jobs":['), obj(a("id", "source_native_id"), "title", a("jobUrl", F.lit("")), a("applyUrl", "url"), "location", a("isRemote", "is_remote"), a("isListed", F.when(F.col("pos") % 4 == 0, False)), a("publishedAt", iso), a("descriptionHtml", "description"), F.struct(F.array(F.struct(F.lit("Equity").alias("compensationType"), F.lit(5).cast("long").alias("minValue"), F.lit(6).cast("long").alias("maxValue"), F.lit("USD").alias("currencyCode"), F.lit("1 YEAR").alias("interval")), F.struct(F.lit("Salary").alias("compensationType"), F.col("salary_min").alias("minValue"), F.col("salary_max").alias("maxValue"), F.lit("EUR").alias("currencyCode"), F.lit("1 HOUR").alias("interval"))).alias("summaryComponents")).alias("compensation")), F.lit("]}")),
-        "smartrecruiters": F.concat(F.lit('{"content":['), obj(a("id", "source_native_id"), a("name", "title"), named("company", "company"), a("ref", "url"), F.struct(F.col("location").alias("city"), F.lit("").alias("region"), F.lit("in").alias("country"), F.col("is_remote").alias("remote")).alias("location"), a("releasedDate", iso)), F.lit("]}")),
+        "remoteok": ('[{"legal":"notice"},', lambda of, iso, seconds, kind: obj(of, a(of, "id", "pos"), a(of, "position", "title"), "company", "url", "location", "description", "salary_min", "salary_max", a(of, "date", F.when(of("pos") % 2 == 0, iso)), a(of, "epoch", seconds)), "]"),
+        "himalayas": ('{"jobs":[', lambda of, iso, seconds, kind: obj(of, a(of, "guid", "source_native_id"), "title", a(of, "companyName", "company"), a(of, "applicationLink", "url"), a(of, "locationRestrictions", F.array(of("location"))), *bounds(of, "minSalary", "maxSalary"), a(of, "currency", "salary_currency"), a(of, "salaryPeriod", F.lit("Annual")), a(of, "pubDate", seconds), a(of, "excerpt", "description")), "]}"),
+        "jobicy": ('{"jobs":[', lambda of, iso, seconds, kind: obj(of, a(of, "id", "pos"), a(of, "jobTitle", "title"), a(of, "companyName", "company"), "url", a(of, "jobGeo", "location"), a(of, "jobType", F.array(F.lit(kind))), *bounds(of, "salaryMin", "salaryMax"), a(of, "salaryCurrency", "salary_currency"), a(of, "salaryPeriod", F.lit("monthly")), a(of, "pubDate", iso), a(of, "jobDescription", "description")), "]}"),
+        "adzuna": ('{"results":[', lambda of, iso, seconds, kind: obj(of, a(of, "id", "source_native_id"), "title", F.struct(of("company").alias("display_name")).alias("company"), F.struct(of("location").alias("display_name")).alias("location"), a(of, "redirect_url", "url"), "description", a(of, "salary_min", of("salary_min") + 0.7), a(of, "salary_max", of("salary_max").cast("double")), a(of, "created", iso)), "]}"),
+        "jooble": ('{"jobs":[', lambda of, iso, seconds, kind: obj(of, a(of, "id", "source_native_id"), "title", "company", a(of, "link", "url"), "location", a(of, "snippet", "description"), a(of, "updated", iso)), "]}"),
+        "unstop": ('{"data":{"data":[', lambda of, iso, seconds, kind: obj(of, a(of, "id", "pos"), "title", a(of, "updated_at", iso), named(of, "organisation", "company"), a(of, "public_url", F.concat(F.lit("/o/"), of("source_native_id"))), a(of, "region", F.when(of("pos") % 2 == 0, "Online").otherwise(of("location"))), a(of, "details", "description"), F.array(F.struct(F.lit("SQL").alias("name")), F.struct(F.lit(" ").alias("name"))).alias("required_skills"), F.struct(F.when(of("pos") % 5 == 0, "FINISHED").alias("reg_status")).alias("regnRequirements"), F.struct((of("pos") % 2).alias("show_salary"), F.lit(False).alias("not_disclosed"), of("salary_min").alias("min_salary"), of("salary_max").alias("max_salary"), F.lit("fa-rupee").alias("currency"), F.lit("month").alias("pay_in")).alias("jobDetail")), "]}}"),
+        "greenhouse": ('{"jobs":[', lambda of, iso, seconds, kind: obj(of, a(of, "id", "pos"), "title", a(of, "company_name", F.when(of("pos") % 2 == 0, of("company"))), named(of, "location", "location"), a(of, "absolute_url", "url"), a(of, "content", F.concat(F.lit("&lt;p&gt;R&amp;D "), of("description"))), a(of, "updated_at", iso)), "]}"),
+        "lever": ("[", lambda of, iso, seconds, kind: obj(of, a(of, "id", "source_native_id"), a(of, "text", "title"), a(of, "hostedUrl", "url"), a(of, "workplaceType", views._pick(["Remote", "onsite", "hybrid", None], of("pos"))), F.struct(of("location").alias("location")).alias("categories"), F.struct(of("salary_min").alias("min"), of("salary_max").alias("max"), F.lit("USD").alias("currency"), F.lit("per-year-salary").alias("interval")).alias("salaryRange"), a(of, "createdAt", seconds * 1000), "description"), "]"),
+        "ashby": ('{"jobs":[', lambda of, iso, seconds, kind: obj(of, a(of, "id", "source_native_id"), "title", a(of, "jobUrl", F.lit("")), a(of, "applyUrl", "url"), "location", a(of, "isRemote", "is_remote"), a(of, "isListed", F.when(of("pos") % 4 == 0, False)), a(of, "publishedAt", iso), a(of, "descriptionHtml", "description"), F.struct(F.array(F.struct(F.lit("Equity").alias("compensationType"), F.lit(5).cast("long").alias("minValue"), F.lit(6).cast("long").alias("maxValue"), F.lit("USD").alias("currencyCode"), F.lit("1 YEAR").alias("interval")), F.struct(F.lit("Salary").alias("compensationType"), of("salary_min").alias("minValue"), of("salary_max").alias("maxValue"), F.lit("EUR").alias("currencyCode"), F.lit("1 HOUR").alias("interval"))).alias("summaryComponents")).alias("compensation")), "]}"),
+        "smartrecruiters": ('{"content":[', lambda of, iso, seconds, kind: obj(of, a(of, "id", "source_native_id"), a(of, "name", "title"), named(of, "company", "company"), a(of, "ref", "url"), F.struct(of("location").alias("city"), F.lit("").alias("region"), F.lit("in").alias("country"), of("is_remote").alias("remote")).alias("location"), a(of, "releasedDate", iso)), "]}"),
     }
-    return {name: p.select(shape.alias("payload"), F.concat(F.lit("k"), (F.col("pos") % 3).cast("string")).alias("company_key")) for name, shape in shapes.items()}
+
+    def payload(name):
+        before, item, after = shapes[name]
+        each = []
+        for struct, kind in (("one", "Full-Time"), ("two", "Contract")):
+            of = lambda c, struct=struct: F.col(f"{struct}.{c}")
+            each.append(item(of, F.date_format(of("posted_at"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.unix_timestamp(of("posted_at")), kind))
+        whole = F.concat(F.lit(before), each[0], F.lit(","), each[1], F.lit(after))
+        if name == "lever":
+            whole = F.when(F.col("one.pos") % 10 == 0, '{"ok":false,"error":"not found"}').otherwise(whole)
+        return F.struct(F.lit(name).alias("board"), whole.alias("payload"))
+
+    every = F.explode(F.array(*map(payload, shapes))).alias("l")
+    return p.select(every, F.concat(F.lit("k"), (F.col("one.pos") % 3).cast("string")).alias("company_key")).select("l.*", "company_key")
 
 
 @_query
 def source_mappers(spark, sf_dir):
-    """Every board's payloads read and mapped: identity, pay and date of each posting."""
-    out = None
-    for name, payloads in _payloads(spark, sf_dir).items():
-        items, _ = read_items(payloads, MAPPERS[name])
-        one = map_items(items, MAPPERS[name], _at(views.AS_OF)).select("source", "source_native_id", "job_uid", "is_remote", "salary_min", "salary_max", "salary_currency", "salary_period", "posted_at", F.length("description").alias("n_description"), "url")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The payloads of all boards read and mapped in one pass: identity, pay and date of each posting.
+
+    One board takes full-time postings only, one drops what is over 35 days old or closed.
+    """
+    boards = MAPPERS | {"jobicy": replace(MAPPERS["jobicy"], mapper=jobicy_mapper("full"))}
+    found, _ = read_boards(_landed(spark, sf_dir), _at(views.AS_OF), boards)
+    return found.select("source", "source_native_id", "job_uid", "is_remote", "salary_min", "salary_max", "salary_currency", "salary_period", "posted_at", F.md5("description").alias("description_md5"), "url")
 
 
 @_query
 def board_pages(spark, sf_dir):
-    out = None
-    for name in ("lever", "jobicy", "unstop"):
-        _, log = read_items(_payloads(spark, sf_dir)[name], MAPPERS[name])
-        one = log.select(F.lit(name).alias("board"), "company_key", "n_items", "ok").groupBy("board", "company_key", "ok").agg(F.count("*").alias("n_pages"), F.sum("n_items").alias("n_items"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    _, log = read_boards(_landed(spark, sf_dir).where(F.col("board").isin("lever", "jobicy", "unstop")), _at(views.AS_OF))
+    return log.groupBy("board", "company_key", "ok").agg(F.count("*").alias("n_pages"), F.sum("n_items").alias("n_items"))
 
 
 @_query

@@ -6,7 +6,7 @@ from tideline.functions.text import COMPANY_SUFFIXES, LOCATION_ALIASES, STOPWORD
 from tideline.operators import gates
 from tideline.operators.snapshot import ACTIONS
 from tideline.plans.views import AS_OF, CURRENCIES, CYCLE_DAYS, CYCLES, FEED, PERIODS, START, SUFFIXES, TITLES, cycle_days
-from tideline.plans.queries import LATE_AGE, LATE_BY
+from tideline.plans.queries import LATE_AGE, LATE_BY, OLDER_DAYS, SECOND_POS
 from tideline.schemas import USER_FLAGS
 
 K = FEED.keywords
@@ -204,19 +204,20 @@ _key, _filled = "'k' || (pos % 3)", "nullif(location, '')"
 BOARDS = [
     ("'remoteok'", "company", f"coalesce({_filled}, 'Remote')", "TRUE", "salary_min", "salary_max", "'USD'", "NULL", "description", "url", "TRUE"),
     ("'himalayas'", "company", "location", "TRUE", "salary_min", "salary_max", "salary_currency", "'year'", "description", "url", "TRUE"),
-    ("'jobicy'", "company", f"coalesce({_filled}, 'Remote')", "TRUE", "salary_min", "salary_max", "salary_currency", "'month'", "description", "url", "TRUE"),
+    ("'jobicy'", "company", f"coalesce({_filled}, 'Remote')", "TRUE", "salary_min", "salary_max", "salary_currency", "'month'", "description", "url", "NOT older"),
     ("'adzuna'", "company", "location", "NULL", "salary_min", "salary_max", "'INR'", "'year'", "description", "url", "TRUE"),
     ("'jooble'", "company", "location", "NULL", "NULL", "NULL", "NULL", "NULL", "description", "url", "TRUE"),
     ("'unstop'", "company", f"CASE WHEN pos % 2 = 1 THEN {_filled} END", "CASE WHEN pos % 2 = 0 THEN TRUE END", "CASE WHEN pos % 2 = 1 THEN salary_min END", "CASE WHEN pos % 2 = 1 THEN salary_max END", "CASE WHEN pos % 2 = 1 THEN 'INR' END",
-     "CASE WHEN pos % 2 = 1 THEN 'month' END", "concat_ws(chr(10), nullif(trim(description), ''), 'Skills: SQL')", "'https://unstop.com/o/' || pos", "pos % 5 <> 0"),
+     "CASE WHEN pos % 2 = 1 THEN 'month' END", "concat_ws(chr(10), nullif(trim(description), ''), 'Skills: SQL')", "'https://unstop.com/o/' || pos", f"pos % 5 <> 0 AND (posted_at IS NULL OR posted_at >= TIMESTAMP '{AS_OF}' - to_days(35))"),
     (f"'greenhouse_' || {_key}", f"CASE WHEN pos % 2 = 0 THEN company ELSE {_key} END", _filled, "CASE WHEN lower(location) LIKE '%remote%' THEN TRUE END", "NULL", "NULL", "NULL", "NULL", "'<p>R&D ' || description", "url", "TRUE"),
     (f"'lever_' || {_key}", _key, "location", "CASE pos % 4 WHEN 0 THEN TRUE WHEN 3 THEN NULL ELSE FALSE END", "salary_min", "salary_max", "'USD'", "'year'", "description", "url", "pos % 10 <> 0"),
     (f"'ashby_' || {_key}", _key, "location", "coalesce(is_remote, FALSE)", "salary_min", "salary_max", "'EUR'", "'hour'", "description", "url", "pos % 4 <> 0"),
     (f"'smartrecruiters_' || {_key}", "company", f"concat_ws(', ', {_filled}, 'in')", "coalesce(is_remote, FALSE)", "NULL", "NULL", "NULL", "NULL", "NULL", "url", "TRUE"),
 ]
-MAPPED = f"{POSTINGS}, x AS (" + " UNION ALL ".join(
+MAPPED = f"""{POSTINGS}, p2 AS (SELECT * EXCLUDE (pos, source_native_id, title, posted_at), pos, source_native_id, title, posted_at, FALSE AS older FROM p
+  UNION ALL SELECT * EXCLUDE (pos, source_native_id, title, posted_at), pos + {SECOND_POS}, (pos + {SECOND_POS})::VARCHAR, title || ' II', posted_at - to_days({OLDER_DAYS}), TRUE FROM p), x AS (""" + " UNION ALL ".join(
     f"""SELECT {source} AS source, source_native_id, {company} AS company, title, {location} AS location, {remote}::BOOLEAN AS is_remote, ({low})::BIGINT AS salary_min, ({high})::BIGINT AS salary_max, ({currency})::VARCHAR AS salary_currency,
-  ({period})::VARCHAR AS salary_period, posted_at, length(({description})::VARCHAR) AS n_description, {url} AS url FROM p WHERE {keep}"""
+  ({period})::VARCHAR AS salary_period, posted_at, md5(({description})::VARCHAR) AS description_md5, {url} AS url FROM p2 WHERE {keep}"""
     for source, company, location, remote, low, high, currency, period, description, url, keep in BOARDS
 ) + f"), {IDENTITY.replace('FROM p)', 'FROM x)')}"
 _scraped_period = "CASE lower(per) WHEN 'yearly' THEN 'year' WHEN 'monthly' THEN 'month' WHEN 'hourly' THEN 'hour' END"
@@ -350,9 +351,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT job_uid, project, ord, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_uid ORDER BY score DESC, ord, project) AS rank FROM al) WHERE rank <= 3""",
         "number_guard": f"{w}{REWRITES}, nn AS (SELECT *, {_numbers('source_text')} AS a, {_numbers('new_text')} AS b FROM rw) SELECT conv_id, turn, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS ok, array_to_string(list_sort(b), ',') AS numbers FROM nn",
         "fact_preservation": f"{w}{REWRITES}, nn AS (SELECT *, {_numbers('source_text')} AS a, {_numbers('new_text')} AS b FROM rw), sh AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / len(a) END AS share FROM nn) SELECT conv_id, turn, round(share, 9) AS share, share < 0.8 AS flagged FROM sh",
-        "source_mappers": f"{w}{MAPPED} SELECT source, source_native_id, job_uid, is_remote, salary_min, salary_max, salary_currency, salary_period, posted_at, n_description, url FROM u",
+        "source_mappers": f"{w}{MAPPED} SELECT source, source_native_id, job_uid, is_remote, salary_min, salary_max, salary_currency, salary_period, posted_at, description_md5, url FROM u",
         "board_pages": f"""{w}{POSTINGS}, b AS (SELECT unnest(['lever', 'jobicy', 'unstop']) AS board, pos, {_key} AS company_key FROM p), k AS (SELECT *, board <> 'lever' OR pos % 10 <> 0 AS ok FROM b)
-          SELECT board, company_key, ok, count(*) AS n_pages, sum(CASE WHEN ok THEN 1 ELSE 0 END)::BIGINT AS n_items FROM k GROUP BY ALL""",
+          SELECT board, company_key, ok, count(*) AS n_pages, sum(CASE WHEN ok THEN 2 ELSE 0 END)::BIGINT AS n_items FROM k GROUP BY ALL""",
         "scraped_frame": f"""{w}{SCRAPED} SELECT source, job_uid, url, is_remote, CASE WHEN {_scraped_known} THEN round_even(lo * {_fx("c")} * {_month(_scraped_period)}, 0)::BIGINT END AS salary_min, CASE WHEN {_scraped_known} THEN round_even(hi * {_fx("c")} * {_month(_scraped_period)}, 0)::BIGINT END AS salary_max,
           {_scraped_known} AS salary_parsed, coalesce(c || ' ', '') || coalesce(lo::BIGINT || '-', '') || hi::BIGINT || coalesce('/' || per, '') AS salary_raw, posted_at FROM u""",
         "listing_postings": f"{w}{LISTED} SELECT job_uid, source_native_id, title, company, location, is_remote, url, description, salary_min, salary_max, posted_at FROM u",

@@ -1,8 +1,9 @@
 """Boards: how each one's landed payload becomes raw postings.
 
-A board is a schema of one item and a mapper, a transform from (item, company, cycle) rows to raw postings; ``MAPPERS``
-holds them and takes more through ``register``. Mappers drop items by filters. Items come from ``read_items``, which
-reads JSON text with the schema; a text that is no such JSON, or says ok: false, is a failed page. A missing id is null.
+A board is a schema of one item and a mapper, from the fields of an item to what keeps it and the columns of its raw
+posting; ``MAPPERS`` holds them and takes more through ``register``. JSON text is read with the schema; a text that is no
+such JSON, or says ok: false, is a failed page. A missing id is null. ``read_boards`` maps the payloads of all boards in one
+pass over what landed, each row by its own board; ``read_items`` and ``map_items`` do the same for one board.
 """
 
 from __future__ import annotations
@@ -16,7 +17,14 @@ from pyspark.sql import functions as F
 from tideline.functions import dates, pay, text, urls
 from tideline.operators.identity import to_posting
 
-Mapper = Callable[[DataFrame, Column], DataFrame]
+Item = Callable[[str], Column]  #: from a field's name, dotted where nested, to its value
+Mapped = tuple[Column | None, dict[str, Column]]  #: what keeps an item (None: always), and the raw posting's columns
+Mapper = Callable[[Item, Column], Mapped]
+#: Columns that mappers may give; ``escaped`` is a description that has its entities yet.
+RAW = (
+    "source STRING, source_native_id STRING, title STRING, company STRING, location STRING, is_remote BOOLEAN, url STRING, description STRING, escaped STRING, "
+    "salary_min BIGINT, salary_max BIGINT, salary_currency STRING, salary_period STRING, posted_at TIMESTAMP"
+)
 
 
 @dataclass(frozen=True)
@@ -44,129 +52,172 @@ def catalogue(spark, enabled: set[str], keys: set[str] = frozenset(), companies:
     return spark.createDataFrame(rows, "source string, ord int, enabled boolean").orderBy("ord")
 
 
+def _listed(board: Board, payload: Column) -> Column:
+    """The items of a payload, or null where it is none."""
+    listed = f"array<struct<{board.item}>>"
+    names = board.root.split(".") if board.root else []
+    schema = listed
+    for name in reversed(names):
+        schema = f"struct<{name}:{schema}>"
+    items = F.from_json(payload, schema)
+    for name in names:
+        items = items[name]
+    refused = payload.contains('"ok"') & F.coalesce(F.get_json_object(payload, "$.ok") == "false", F.lit(False))
+    return F.when(~refused if names else ~refused & F.trim(payload).startswith("["), items)
+
+
+def _page(rows: DataFrame, items: str, exhaustive: Column | None) -> DataFrame:
+    pages = rows.withColumns({"n_items": F.coalesce(F.size(items), F.lit(0)), "ok": F.col(items).isNotNull()})
+    return (pages if exhaustive is None else pages.withColumn("exhaustive", exhaustive)).drop(items, "payload")
+
+
 def read_items(payloads: DataFrame, board: Board) -> tuple[DataFrame, DataFrame]:
     """(items, pages) of (payload, company, ...): items as column ``item`` with ``pos``, pages with n_items, ok, exhaustive."""
-    listed = f"array<struct<{board.item}>>"
-    if board.root:
-        outer = board.root.split(".")
-        schema = listed
-        for name in reversed(outer):
-            schema = f"struct<{name}:{schema}>"
-        items = F.from_json("payload", schema)
-        for name in outer:
-            items = items[name]
-    else:
-        items = F.when(F.trim("payload").startswith("["), F.from_json("payload", listed))
-    refused = F.coalesce(F.get_json_object("payload", "$.ok") == "false", F.lit(False))
-    rows = payloads.withColumn("_items", F.when(~refused, items))
-    pages = rows.withColumns({"n_items": F.coalesce(F.size(F.coalesce("_items", F.array().cast(listed))), F.lit(0)), "ok": F.col("_items").isNotNull()})
-    if board.page_limit:
-        pages = pages.withColumn("exhaustive", F.col("n_items") < board.page_limit)
+    rows = payloads.withColumn("_items", F.when(F.col("payload").isNotNull(), _listed(board, F.col("payload"))))
     found = rows.select("*", F.posexplode("_items").alias("pos", "item")).where(F.col("item").isNotNull())
-    return found.drop("_items", "payload"), pages.drop("_items", "payload")
+    return found.drop("_items", "payload"), _page(rows, "_items", F.col("n_items") < board.page_limit if board.page_limit else None)
+
+
+def _described(raw: DataFrame) -> DataFrame:
+    """Descriptions with their entities unescaped; the others do not go through Python."""
+    from tideline.operators.pages import unescape_html
+
+    return raw.withColumn("description", F.coalesce(unescape_html(F.col("escaped")), "description")).drop("escaped")
 
 
 def map_items(items: DataFrame, board: Board, as_of: Column) -> DataFrame:
     """Postings of a board's items; ``source`` names the company where the board is one of companies."""
-    return to_posting(board.mapper(items, as_of))
+    keep, columns = board.mapper(lambda name: F.col(f"item.{name}"), as_of)
+    rows = items if keep is None else items.where(keep)
+    carried = [c for c in ("pos", "company_key", "cycle") if c in items.columns]
+    return to_posting(_described(rows.select(*_columns(columns), *carried)))
 
 
-def _raw(items: DataFrame, **columns: Column) -> DataFrame:
-    carried = [c for c in ("pos", "company_key", "cycle") if c in items.columns]
-    return items.select(*[c.alias(n) for n, c in columns.items()], *carried)
+def _columns(given: dict[str, Column]) -> list[Column]:
+    return [given.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in RAW.split(", "))]
 
 
-def _filled(c: Column) -> Column:
-    return F.nullif(c.cast("string"), F.lit(""))
+def _fields(item: Column) -> Item:
+    def of(name: str) -> Column:
+        value = item
+        for part in name.split("."):
+            value = value[part]
+        return value
+
+    return of
+
+
+def read_boards(landed: DataFrame, as_of: Column, boards: dict[str, Board] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, pages) of (board, payload, company_key, ...), whatever boards they are of.
+
+    A row's payload is read with its own board's schema only, its items become raw postings as they are read, and one
+    explode gives them as rows; so what landed is scanned once. Rows of unknown boards are failed pages.
+    """
+
+    def posting_of(board: Board) -> Callable[[Column, Column], Column]:
+        def posting(item: Column, pos: Column) -> Column:
+            keep, columns = board.mapper(_fields(item), as_of)
+            kept = item.isNotNull() if keep is None else item.isNotNull() & F.coalesce(keep, F.lit(False))
+            return F.struct(*_columns(columns), kept.alias("kept"), pos.alias("pos"))
 
+        return posting
 
-def _i(name: str) -> Column:
-    return F.col(f"item.{name}")
+    found, limit = F, F
+    for board in (MAPPERS if boards is None else boards).values():
+        mine = F.col("board") == board.name
+        found = found.when(mine, F.transform(_listed(board, F.col("payload")), posting_of(board)))
+        limit = limit.when(mine, F.lit(board.page_limit).cast("int"))
+    rows = landed.withColumn("_found", F.when(F.col("payload").isNotNull(), found))
+    others = [c for c in landed.columns if c != "payload"]
+    each = rows.select(*others, F.explode("_found").alias("_p")).where("_p.kept").select(*others, "_p.*").drop("kept")
+    return to_posting(_described(each)), _page(rows, "_found", F.coalesce(F.col("n_items") < limit, F.lit(False)))
 
 
-def _remoteok(items: DataFrame, as_of: Column) -> DataFrame:
-    rows = items.where(_filled(_i("id")).isNotNull() & _filled(_i("position")).isNotNull())
-    return _raw(
-        rows, source=F.lit("remoteok"), source_native_id=_i("id").cast("string"), title=_i("position"), company=F.coalesce(_i("company"), F.lit("")), url=F.coalesce(_i("url"), F.lit("")),
-        location=F.coalesce(_filled(_i("location")), F.lit("Remote")), is_remote=F.lit(True), description=_i("description"), salary_min=pay.positive_int(_i("salary_min")),
-        salary_max=pay.positive_int(_i("salary_max")), salary_currency=F.lit("USD"), posted_at=F.coalesce(dates.iso(_i("date")), dates.epoch_seconds(_i("epoch"))),
+def _filled(c: Column) -> Column:
+    return F.nullif(c.cast("string"), F.lit(""))
+
+
+def _remoteok(i: Item, as_of: Column) -> Mapped:
+    keep = (_filled(i("id")).isNotNull() & _filled(i("position")).isNotNull())
+    return keep, dict(
+        source=F.lit("remoteok"), source_native_id=i("id").cast("string"), title=i("position"), company=F.coalesce(i("company"), F.lit("")), url=F.coalesce(i("url"), F.lit("")),
+        location=F.coalesce(_filled(i("location")), F.lit("Remote")), is_remote=F.lit(True), description=i("description"), salary_min=pay.positive_int(i("salary_min")),
+        salary_max=pay.positive_int(i("salary_max")), salary_currency=F.lit("USD"), posted_at=F.coalesce(dates.iso(i("date")), dates.epoch_seconds(i("epoch"))),
     )
 
 
-def _himalayas(items: DataFrame, as_of: Column) -> DataFrame:
-    first = F.try_element_at(_i("locationRestrictions"), F.lit(1))
-    return _raw(
-        items, source=F.lit("himalayas"), source_native_id=_i("guid"), title=F.coalesce(_i("title"), F.lit("")), company=F.coalesce(_i("companyName"), F.lit("")), url=F.coalesce(_i("applicationLink"), F.lit("")),
-        location=F.when(F.size(_i("locationRestrictions")) > 0, first).otherwise(F.lit("Remote")), is_remote=F.lit(True), description=F.coalesce(_filled(_i("description")), _filled(_i("excerpt"))),
-        salary_min=pay.positive_int(_i("minSalary")), salary_max=pay.positive_int(_i("maxSalary")), salary_currency=_i("currency"),
-        salary_period=pay.looked_up(pay.PERIOD_WORDS["board"], _i("salaryPeriod")), posted_at=dates.epoch_seconds(_i("pubDate")),
+def _himalayas(i: Item, as_of: Column) -> Mapped:
+    first = F.try_element_at(i("locationRestrictions"), F.lit(1))
+    return None, dict(
+        source=F.lit("himalayas"), source_native_id=i("guid"), title=F.coalesce(i("title"), F.lit("")), company=F.coalesce(i("companyName"), F.lit("")), url=F.coalesce(i("applicationLink"), F.lit("")),
+        location=F.when(F.size(i("locationRestrictions")) > 0, first).otherwise(F.lit("Remote")), is_remote=F.lit(True), description=F.coalesce(_filled(i("description")), _filled(i("excerpt"))),
+        salary_min=pay.positive_int(i("minSalary")), salary_max=pay.positive_int(i("maxSalary")), salary_currency=i("currency"),
+        salary_period=pay.looked_up(pay.PERIOD_WORDS["board"], i("salaryPeriod")), posted_at=dates.epoch_seconds(i("pubDate")),
     )
 
 
 def jobicy_mapper(job_type: str | None = None) -> Mapper:
-    def jobicy(items: DataFrame, as_of: Column) -> DataFrame:
-        rows = items
-        if job_type:
-            rows = rows.where(F.coalesce(F.exists(_i("jobType"), lambda t: F.lower(t).contains(job_type.lower())), F.lit(False)))
-        return _raw(
-            rows, source=F.lit("jobicy"), source_native_id=_i("id").cast("string"), title=F.coalesce(_i("jobTitle"), F.lit("")), company=F.coalesce(_i("companyName"), F.lit("")), url=F.coalesce(_i("url"), F.lit("")),
-            location=F.coalesce(_filled(_i("jobGeo")), F.lit("Remote")), is_remote=F.lit(True), description=_i("jobDescription"), salary_min=pay.positive_int(_i("salaryMin")),
-            salary_max=pay.positive_int(_i("salaryMax")), salary_currency=_i("salaryCurrency"), salary_period=pay.looked_up(pay.PERIOD_WORDS["board"], _i("salaryPeriod")), posted_at=dates.iso(_i("pubDate")),
+    def jobicy(i: Item, as_of: Column) -> Mapped:
+        keep = F.coalesce(F.exists(i("jobType"), lambda t: F.lower(t).contains(job_type.lower())), F.lit(False)) if job_type else None
+        return keep, dict(
+            source=F.lit("jobicy"), source_native_id=i("id").cast("string"), title=F.coalesce(i("jobTitle"), F.lit("")), company=F.coalesce(i("companyName"), F.lit("")), url=F.coalesce(i("url"), F.lit("")),
+            location=F.coalesce(_filled(i("jobGeo")), F.lit("Remote")), is_remote=F.lit(True), description=i("jobDescription"), salary_min=pay.positive_int(i("salaryMin")),
+            salary_max=pay.positive_int(i("salaryMax")), salary_currency=i("salaryCurrency"), salary_period=pay.looked_up(pay.PERIOD_WORDS["board"], i("salaryPeriod")), posted_at=dates.iso(i("pubDate")),
         )
 
     return jobicy
 
 
 def adzuna_mapper(country: str = "in") -> Mapper:
-    def adzuna(items: DataFrame, as_of: Column) -> DataFrame:
-        return _raw(
-            items, source=F.lit("adzuna"), source_native_id=_i("id"), title=F.coalesce(_i("title"), F.lit("")), company=F.coalesce(_i("company.display_name"), F.lit("")), url=F.coalesce(_i("redirect_url"), F.lit("")),
-            location=_i("location.display_name"), is_remote=F.lit(None).cast("boolean"), description=_i("description"), salary_min=pay.positive_int(_i("salary_min")),
-            salary_max=pay.positive_int(_i("salary_max")), salary_currency=F.lit(pay.COUNTRY_CURRENCIES.get(country.lower())), salary_period=F.lit("year"), posted_at=dates.iso(_i("created")),
+    def adzuna(i: Item, as_of: Column) -> Mapped:
+        return None, dict(
+            source=F.lit("adzuna"), source_native_id=i("id"), title=F.coalesce(i("title"), F.lit("")), company=F.coalesce(i("company.display_name"), F.lit("")), url=F.coalesce(i("redirect_url"), F.lit("")),
+            location=i("location.display_name"), is_remote=F.lit(None).cast("boolean"), description=i("description"), salary_min=pay.positive_int(i("salary_min")),
+            salary_max=pay.positive_int(i("salary_max")), salary_currency=F.lit(pay.COUNTRY_CURRENCIES.get(country.lower())), salary_period=F.lit("year"), posted_at=dates.iso(i("created")),
         )
 
     return adzuna
 
 
-def _jooble(items: DataFrame, as_of: Column) -> DataFrame:
-    return _raw(
-        items, source=F.lit("jooble"), source_native_id=_i("id"), title=F.coalesce(_i("title"), F.lit("")), company=F.coalesce(_i("company"), F.lit("")), url=F.coalesce(_i("link"), F.lit("")),
-        location=_i("location"), is_remote=F.lit(None).cast("boolean"), description=_i("snippet"), posted_at=dates.iso(_i("updated")),
+def _jooble(i: Item, as_of: Column) -> Mapped:
+    return None, dict(
+        source=F.lit("jooble"), source_native_id=i("id"), title=F.coalesce(i("title"), F.lit("")), company=F.coalesce(i("company"), F.lit("")), url=F.coalesce(i("link"), F.lit("")),
+        location=i("location"), is_remote=F.lit(None).cast("boolean"), description=i("snippet"), posted_at=dates.iso(i("updated")),
     )
 
 
 def unstop_mapper(max_age_days: int = 35) -> Mapper:
-    def unstop(items: DataFrame, as_of: Column) -> DataFrame:
-        posted = F.coalesce(dates.iso(_i("updated_at")), dates.iso(_i("start_date")))
+    def unstop(i: Item, as_of: Column) -> Mapped:
+        posted = F.coalesce(dates.iso(i("updated_at")), dates.iso(i("start_date")))
         fresh = posted.isNull() | (posted >= as_of - F.make_dt_interval(F.lit(max_age_days)))
-        rows = items.where(fresh & ~_i("regnRequirements.reg_status").eqNullSafe("FINISHED"))
-        shown = F.coalesce((_i("jobDetail.show_salary") == 1) & ~F.coalesce(_i("jobDetail.not_disclosed"), F.lit(False)), F.lit(False))
-        region = F.trim(F.coalesce(_i("region"), F.lit("")))
+        keep = (fresh & ~i("regnRequirements.reg_status").eqNullSafe("FINISHED"))
+        shown = F.coalesce((i("jobDetail.show_salary") == 1) & ~F.coalesce(i("jobDetail.not_disclosed"), F.lit(False)), F.lit(False))
+        region = F.trim(F.coalesce(i("region"), F.lit("")))
         online = F.lower(region) == "online"
-        return _raw(
-            rows, source=F.lit("unstop"), source_native_id=_i("id").cast("string"), title=F.coalesce(_i("title"), F.lit("")), company=F.coalesce(_filled(_i("organisation.name")), F.lit("")),
-            url=urls.opportunity_url(_i("seo_url"), _i("public_url"), _i("short_url")), location=F.when(~online, _filled(region)), is_remote=F.when(online, True),
-            description=text.opportunity_description(_i("details"), _i("required_skills"), _i("workfunction.name")), salary_min=F.when(shown, pay.positive_int(_i("jobDetail.min_salary"))),
-            salary_max=F.when(shown, pay.positive_int(_i("jobDetail.max_salary"))), salary_currency=F.when(shown, pay.looked_up(pay.CURRENCY_ICONS, _i("jobDetail.currency"))),
-            salary_period=F.when(shown, pay.looked_up(pay.PERIOD_WORDS["unstop"], _i("jobDetail.pay_in"))), posted_at=posted,
+        return keep, dict(
+            source=F.lit("unstop"), source_native_id=i("id").cast("string"), title=F.coalesce(i("title"), F.lit("")), company=F.coalesce(_filled(i("organisation.name")), F.lit("")),
+            url=urls.opportunity_url(i("seo_url"), i("public_url"), i("short_url")), location=F.when(~online, _filled(region)), is_remote=F.when(online, True),
+            description=text.opportunity_description(i("details"), i("required_skills"), i("workfunction.name")), salary_min=F.when(shown, pay.positive_int(i("jobDetail.min_salary"))),
+            salary_max=F.when(shown, pay.positive_int(i("jobDetail.max_salary"))), salary_currency=F.when(shown, pay.looked_up(pay.CURRENCY_ICONS, i("jobDetail.currency"))),
+            salary_period=F.when(shown, pay.looked_up(pay.PERIOD_WORDS["unstop"], i("jobDetail.pay_in"))), posted_at=posted,
         )
 
     return unstop
 
 
-def _internshala(items: DataFrame, as_of: Column) -> DataFrame:
-    title, company, href = (F.trim(F.coalesce(_i(c), F.lit(""))) for c in ("title", "company", "href"))
-    rows = items.where((title != "") & (company != "") & (href != ""))
-    location = F.trim(F.coalesce(_i("location"), F.lit("")))
+def _internshala(i: Item, as_of: Column) -> Mapped:
+    title, company, href = (F.trim(F.coalesce(i(c), F.lit(""))) for c in ("title", "company", "href"))
+    keep = ((title != "") & (company != "") & (href != ""))
+    location = F.trim(F.coalesce(i("location"), F.lit("")))
     home = F.lower(location) == "work from home"
-    amount = pay.stipend(_i("stipend"))
-    slug = F.replace(F.coalesce(_i("slug"), F.lit("")), F.lit("-"), F.lit(" "))
+    amount = pay.stipend(i("stipend"))
+    slug = F.replace(F.coalesce(i("slug"), F.lit("")), F.lit("-"), F.lit(" "))
     paid = amount["low"].isNotNull()
-    return _raw(
-        rows, source=F.lit("internshala"), source_native_id=_filled(_i("id")), title=F.when(F.lower(title).contains("intern"), title).otherwise(F.concat(title, F.lit(" Internship"))), company=company,
+    return keep, dict(
+        source=F.lit("internshala"), source_native_id=_filled(i("id")), title=F.when(F.lower(title).contains("intern"), title).otherwise(F.concat(title, F.lit(" Internship"))), company=company,
         url=F.when(href.startswith("/"), F.concat(F.lit("https://internshala.com"), href)).otherwise(href), location=F.when(~home, _filled(location)), is_remote=F.when(home, True),
         description=F.when(slug != "", F.concat(F.lit("Internshala listing: "), slug, F.lit("."))), salary_min=amount["low"], salary_max=amount["high"], salary_currency=F.when(paid, "INR"),
-        salary_period=F.when(paid, "month"), posted_at=dates.posted_ago(_i("ago"), as_of),
+        salary_period=F.when(paid, "month"), posted_at=dates.posted_ago(i("ago"), as_of),
     )
 
 
@@ -174,40 +225,38 @@ def _company(board: str) -> Column:
     return F.concat(F.lit(f"{board}_"), F.col("company_key"))
 
 
-def _greenhouse(items: DataFrame, as_of: Column) -> DataFrame:
-    from tideline.operators.pages import unescape_html
-
-    location = F.coalesce(_i("location.name"), F.lit(""))
-    return _raw(
-        items, source=_company("greenhouse"), source_native_id=_i("id").cast("string"), title=F.coalesce(_i("title"), F.lit("")), company=F.coalesce(_filled(_i("company_name")), F.col("company_key")),
-        url=F.coalesce(_i("absolute_url"), F.lit("")), location=_filled(location), is_remote=F.when(F.lower(location).contains("remote"), True), description=unescape_html(_filled(_i("content"))),
-        posted_at=F.coalesce(dates.iso(_i("updated_at")), dates.iso(_i("first_published"))),
+def _greenhouse(i: Item, as_of: Column) -> Mapped:
+    location = F.coalesce(i("location.name"), F.lit(""))
+    return None, dict(
+        source=_company("greenhouse"), source_native_id=i("id").cast("string"), title=F.coalesce(i("title"), F.lit("")), company=F.coalesce(_filled(i("company_name")), F.col("company_key")),
+        url=F.coalesce(i("absolute_url"), F.lit("")), location=_filled(location), is_remote=F.when(F.lower(location).contains("remote"), True), escaped=_filled(i("content")),
+        posted_at=F.coalesce(dates.iso(i("updated_at")), dates.iso(i("first_published"))),
     )
 
 
-def _lever(items: DataFrame, as_of: Column) -> DataFrame:
-    place = F.lower(_i("workplaceType"))
-    return _raw(
-        items, source=_company("lever"), source_native_id=_i("id"), title=F.coalesce(_i("text"), F.lit("")), company=F.col("company_key"), url=F.coalesce(_i("hostedUrl"), F.lit("")), location=_i("categories.location"),
-        is_remote=F.when(place == "remote", True).when(place.isin("onsite", "hybrid"), False), description=_i("description"), salary_min=pay.positive_int(_i("salaryRange.min")),
-        salary_max=pay.positive_int(_i("salaryRange.max")), salary_currency=_i("salaryRange.currency"), salary_period=pay.looked_up(pay.PERIOD_WORDS["lever"], _i("salaryRange.interval")), posted_at=dates.epoch_millis(_i("createdAt")),
+def _lever(i: Item, as_of: Column) -> Mapped:
+    place = F.lower(i("workplaceType"))
+    return None, dict(
+        source=_company("lever"), source_native_id=i("id"), title=F.coalesce(i("text"), F.lit("")), company=F.col("company_key"), url=F.coalesce(i("hostedUrl"), F.lit("")), location=i("categories.location"),
+        is_remote=F.when(place == "remote", True).when(place.isin("onsite", "hybrid"), False), description=i("description"), salary_min=pay.positive_int(i("salaryRange.min")),
+        salary_max=pay.positive_int(i("salaryRange.max")), salary_currency=i("salaryRange.currency"), salary_period=pay.looked_up(pay.PERIOD_WORDS["lever"], i("salaryRange.interval")), posted_at=dates.epoch_millis(i("createdAt")),
     )
 
 
-def _ashby(items: DataFrame, as_of: Column) -> DataFrame:
-    part = F.try_element_at(F.filter(_i("compensation.summaryComponents"), lambda c: c["compensationType"] == "Salary"), F.lit(1))
-    return _raw(
-        items.where(F.coalesce(_i("isListed"), F.lit(True))), source=_company("ashby"), source_native_id=_i("id"), title=F.coalesce(_i("title"), F.lit("")), company=F.coalesce(_filled(_i("organizationName")), F.col("company_key")),
-        url=F.coalesce(_filled(_i("jobUrl")), _filled(_i("applyUrl")), F.lit("")), location=_i("location"), is_remote=F.coalesce(_i("isRemote"), F.lit(False)), description=_i("descriptionHtml"),
-        salary_min=pay.positive_int(part["minValue"]), salary_max=pay.positive_int(part["maxValue"]), salary_currency=part["currencyCode"], salary_period=pay.interval_period(part["interval"]), posted_at=dates.iso(_i("publishedAt")),
+def _ashby(i: Item, as_of: Column) -> Mapped:
+    part = F.try_element_at(F.filter(i("compensation.summaryComponents"), lambda c: c["compensationType"] == "Salary"), F.lit(1))
+    return F.coalesce(i("isListed"), F.lit(True)), dict(
+        source=_company("ashby"), source_native_id=i("id"), title=F.coalesce(i("title"), F.lit("")), company=F.coalesce(_filled(i("organizationName")), F.col("company_key")),
+        url=F.coalesce(_filled(i("jobUrl")), _filled(i("applyUrl")), F.lit("")), location=i("location"), is_remote=F.coalesce(i("isRemote"), F.lit(False)), description=i("descriptionHtml"),
+        salary_min=pay.positive_int(part["minValue"]), salary_max=pay.positive_int(part["maxValue"]), salary_currency=part["currencyCode"], salary_period=pay.interval_period(part["interval"]), posted_at=dates.iso(i("publishedAt")),
     )
 
 
-def _smartrecruiters(items: DataFrame, as_of: Column) -> DataFrame:
-    parts = [_filled(_i(f"location.{c}")) for c in ("city", "region", "country")]
-    return _raw(
-        items, source=_company("smartrecruiters"), source_native_id=_i("id"), title=F.coalesce(_i("name"), F.lit("")), company=F.coalesce(_filled(_i("company.name")), F.col("company_key")), url=F.coalesce(_i("ref"), F.lit("")),
-        location=F.nullif(F.concat_ws(", ", *parts), F.lit("")), is_remote=F.coalesce(_i("location.remote"), F.lit(False)), posted_at=dates.iso(_i("releasedDate")),
+def _smartrecruiters(i: Item, as_of: Column) -> Mapped:
+    parts = [_filled(i(f"location.{c}")) for c in ("city", "region", "country")]
+    return None, dict(
+        source=_company("smartrecruiters"), source_native_id=i("id"), title=F.coalesce(i("name"), F.lit("")), company=F.coalesce(_filled(i("company.name")), F.col("company_key")), url=F.coalesce(i("ref"), F.lit("")),
+        location=F.nullif(F.concat_ws(", ", *parts), F.lit("")), is_remote=F.coalesce(i("location.remote"), F.lit(False)), posted_at=dates.iso(i("releasedDate")),
     )
 
 
