@@ -113,7 +113,7 @@ def _lower(counts):
     return out
 
 
-def test_mixing(spark, docs, rows, empty):
+def test_mixing(spark, docs, rows, empty, monkeypatch):
     plan = [r.asDict() for r in op2_mixing.plan_mixture(docs).collect()]
     size = Counter()
     for d, t, s in rows:
@@ -138,7 +138,10 @@ def test_mixing(spark, docs, rows, empty):
     big = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 3)).alias("source"))
     for r in op2_mixing.plan_mixture(big).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect():
         assert abs(r.taken / r.target - 1) < 0.05
-    assert op2_mixing.plan_mixture(empty).count() == 0
+    assert op2_mixing.plan_mixture(empty).count() == 0 == op2_mixing.mix(empty).count()
+    spread = monkeypatch.setattr(op2_mixing, "MOST_BROADCAST", 0) or op2_mixing.plan_mixture(docs)  # very many sources: no broadcast
+    assert sorted(map(str, plan)) == sorted(str(r.asDict()) for r in spread.collect())
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, op2_mixing.mix(docs).collect()))
 
 
 def test_packing(docs, rows, empty):

@@ -3,8 +3,8 @@
 Tokens are summed per source, a source's rate is its target over its size, and each document is taken
 floor(rate) times plus once more when a number hashed from its doc_id falls below the fraction.
 
-The table of sources has one small row per source; it is ranked and levelled in one window, and joined back by
-source. Defined cases: null text has size 0; a null source is a source of its own, last in order; repeated rows share
+The table of sources has one small row per source; it is ranked and levelled in one window, counted, and broadcast back
+to the documents, or joined with frequent sources salted where there are very many sources. Defined cases: null text has size 0; a null source is a source of its own, last in order; repeated rows share
 one draw; an empty table gives no rows; a mixture without any word takes no copies of anything.
 """
 
@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WORD, fresh
+from tideline.llm.common import WORD, fresh, saved, spread_join
 
 WEIGHTS = (1, 2, 3)
 MOST = 3  #: no source is taken more often than this
+MOST_BROADCAST = 100_000  #: sources whose table is broadcast, some 10 MB; beyond, the join is spread
 
 
 def words(text: Column) -> Column:
@@ -53,22 +54,39 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return found.select("source", "source_size", F.least(F.coalesce(F.col("level") * F.col("weight"), F.col("limit")), F.col("limit")).alias("target"))
 
 
+def source_rates(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(source, source_size, target, rate, rows), saved: one row per source."""
+    sums = docs.groupBy("source").agg(F.sum(words(F.col("text"))).alias("source_size"), F.count("*").alias("rows"))
+    sums = saved(sums)
+    targets = source_targets(sums.select("source", "source_size"), weights, most).join(sums.select(F.col("source").alias("_source"), "rows"), F.col("source").eqNullSafe(F.col("_source")))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    return saved(targets.select("source", "source_size", "target", rate.alias("rate"), "rows"))
+
+
+def with_rates(docs: DataFrame, rates: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``docs`` with columns of their source's row, under the names given; texts are not shuffled where the sources are few."""
+    key, rows = fresh(docs, "key_"), fresh(docs, "rows_")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias(key)
+    small = rates.select(named(F.col("source")), F.col("rows").alias(rows), *[F.col(c).alias(new) for c, new in columns.items()])
+    left = docs.withColumn(key, named(F.col("source")))
+    joined = left.join(F.broadcast(small), key) if rates.count() <= MOST_BROADCAST else spread_join(left, small, [key], rows)
+    return joined.drop(key, rows)
+
+
+def copies(doc_id: Column, rate: Column, seed: int) -> Column:
+    return F.floor(rate) + (draw(doc_id, seed) < rate - F.floor(rate)).cast("long")
+
+
 def plan_mixture(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, rate and copies (how often to take it)."""
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    per_source = targets.select(F.col("source").alias("_source"), "source_size", "target", rate.alias("rate"))
-    copies = (F.floor("rate") + (draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")
-    return sized.join(per_source, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", "rate", copies)
+    joined = with_rates(sized, source_rates(docs, weights, most), {c: c for c in ("source_size", "target", "rate")})
+    return joined.select("doc_id", "source", "size", "source_size", "target", "rate", copies(F.col("doc_id"), F.col("rate"), seed).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents of the mixture, each row as often as it is taken, with the input's columns."""
-    size, copy, own = fresh(docs, "size_"), fresh(docs, "copy_"), fresh(docs, "source_")
-    targets = source_targets(docs.select("source", words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    rates = targets.select(F.col("source").alias(own), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias(size))
-    rate = rates[size]
-    n = F.floor(rate) + (draw(docs["doc_id"], seed) < rate - F.floor(rate)).cast("long")
-    taken = docs.join(rates, docs["source"].eqNullSafe(rates[own])).withColumn(copy, F.explode(F.array_repeat(F.lit(1), n.cast("int"))))
-    return taken.select(*[taken[c] for c in docs.columns])
+    rate, copy = fresh(docs, "rate_"), fresh(docs, "copy_")
+    joined = with_rates(docs, source_rates(docs, weights, most), {"rate": rate})
+    taken = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies(F.col("doc_id"), F.col(rate), seed).cast("int"))))
+    return taken.select(*docs.columns)
