@@ -58,7 +58,7 @@ class Words(dict):
         if len(self) > KNOWN_WORDS:
             self.clear(), self.of_classes.clear()
             self.hashes, self.shapes = array("Q"), array("Q")
-        for w in set(words).difference(self):
+        for w in [w for w in set(words) if w not in self]:
             self[w] = len(self.hashes)
             self.hashes.append(xxh64_intdigest(w, 1))
             classes = w.translate(CLASSES)
