@@ -88,12 +88,12 @@ class Encoder(dict):
             self.clear()
         if len(self.letters) > CACHED_WORDS:
             self.letters.clear()
-        new = set(words).difference(self)
-        again = new.intersection(self.old)
+        new = [w for w in set(words) if w not in self]
+        again = {w for w in new if w in self.old}
         self.update(zip(again, map(self.old.__getitem__, again), strict=True))
         rest = []
-        for w in new - again:
-            if len(w) > CACHED_BYTES:
+        for w in new:
+            if len(w) > CACHED_BYTES or w in again:
                 continue
             if (raw := self._of_letters(w)) is not None:
                 self[w] = raw
