@@ -219,8 +219,13 @@ def test_texts(spark):
 def test_mail_lists_every_posting(spark):
     null = lambda c: F.lit(None).cast(c)
     many = spark.range(1005).select(F.col("id").cast("string").alias("job_uid"), F.lit("T").alias("title"), F.lit("C").alias("company"), F.lit("http://x/").alias("url"), null("boolean").alias("is_remote"), F.lit("L").alias("location"), *(null("long").alias(f"salary_{c}") for c in ("min", "max")), null("boolean").alias("salary_parsed"), *(null("string").alias(f"salary_{c}") for c in ("currency", "period", "bucket")), F.lit("s").alias("source"), F.lit(1.0).alias("match_score"), *(null("timestamp").alias(c) for c in ("posted_at", "last_seen_at")))
-    mail = publish.mail_digest(many).first()
+    mail = publish.mail_digest(many, per_mail=2000).first()
     assert mail.subject == "[feed] 1005 new jobs" and mail.body.count("http://x/") == 1005 and "\n1005. T — C\n" in mail.body
+    mails = sorted(publish.mail_digest(many.repartition(3)).collect())
+    assert [m.mail for m in mails] == list(range(1, 12)) and mails[10].subject == "[feed] 1005 new jobs (11/11)" and mails[10].body.count("http://x/") == 5
+    assert publish.mail_digest(many.limit(0)).count() == 0
+    ranks = publish.numbered(many.withColumn("match_score", (F.xxhash64("job_uid") % 7).cast("double")).repartition(5)).collect()
+    assert [r.n for r in sorted(ranks, key=lambda r: (-r.match_score, r.job_uid))] == list(range(1, 1006)) and {r.total for r in ranks} == {1005}
 
 
 def test_near_titles(spark):

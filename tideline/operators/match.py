@@ -14,6 +14,7 @@ BULLET = r"^\s*(?:[-*•]|\d{1,3}[.)])\s+"
 
 
 CANDIDATES = 40
+MOST_TERMS = 20_000  #: words of projects up to which postings are searched for them; beyond, the words of both are joined
 
 
 def posting_text(jobs: DataFrame) -> Column:
@@ -35,9 +36,15 @@ def overlap_topk(jobs: DataFrame, projects: DataFrame, k: int) -> DataFrame:
     ``jobs`` is (job_uid, text), ``projects`` (project, ord, text). Ties keep the projects' order, and projects without
     a common word fill up what is left. The scores join on the word; each side has each word once.
     """
-    words = jobs.select("job_uid", F.explode(keyword_tokens(F.col("text"))).alias("word")).distinct()
     terms = projects.select("project", "ord", F.explode(keyword_tokens(F.col("text"))).alias("word")).distinct()
-    scored = words.join(terms, "word").groupBy("job_uid", "project", "ord").agg(F.count("*").alias("score"))
+    # a posting's words that no project has are left before they become rows
+    wanted = terms.select("word").distinct().limit(MOST_TERMS + 1).collect()
+    words = F.array_distinct(keyword_tokens(F.col("text")))
+    if len(wanted) <= MOST_TERMS:
+        words = F.array_intersect(words, F.lit([w.word for w in wanted]).cast("array<string>"))
+        terms = F.broadcast(terms) if terms.limit(MOST_TERMS * 10 + 1).count() <= MOST_TERMS * 10 else terms
+    found = jobs.select("job_uid", F.explode(words).alias("word"))
+    scored = found.join(terms, "word").groupBy("job_uid", "project", "ord").agg(F.count("*").alias("score"))
     # of the projects that share nothing only the first k can matter
     few = projects.orderBy("ord", "project").select("project", "ord").limit(k).collect()
     first = F.array(*[F.struct(F.lit(p.project).alias("project"), F.lit(p.ord).cast(dict(projects.dtypes)["ord"]).alias("ord"), F.lit(0).cast("long").alias("score")) for p in few])

@@ -1,4 +1,8 @@
-"""Digests, run summaries and feeds as text. What is gathered is capped first: 20 lines of a digest, ``most`` feed entries."""
+"""Digests, run summaries and feeds as text.
+
+What is gathered into one row is bounded: 20 lines of a chat digest, ``most`` entries of a feed, the postings of one mail, of which
+there are as many as it takes. Numbers of lines come from sorted ranges of rows and how many rows stand before each.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.functions.shared import stored
 from tideline.functions.text import cut_text, escape_html
 from tideline.functions.urls import is_private_host
 from tideline.operators.views import order_of
 
-MESSAGE_CHARS, DIGEST_ITEMS, FAILED_NAMES = 4096, 20, 6
+MESSAGE_CHARS, DIGEST_ITEMS, FAILED_NAMES, MAIL_ITEMS = 4096, 20, 6, 100
 STATUS_ICONS = {"success": "🟢", "partial": "🟠", "failed": "🔴"}
 
 
@@ -39,32 +44,50 @@ def _headline(n: Column) -> Column:
     return F.concat(n.cast("string"), F.lit(" new job"), F.when(n == 1, "").otherwise("s"))
 
 
-def _best(jobs: DataFrame, most: int | None) -> DataFrame:
-    """The first ``most`` by score, or all, numbered from 1."""
-    top = jobs if most is None else jobs.orderBy(*order_of("score")).limit(most)
-    return top.withColumn("n", F.row_number().over(W.orderBy(*order_of("score"))))
+def numbered(jobs: DataFrame) -> DataFrame:
+    """All postings by score, numbered from 1 as ``n``, with how many there are as ``total``.
+
+    Rows are sorted in ranges, which are written once with each row's range and place in it, as ranges come out otherwise when
+    they are made again; a row's number is its place and the rows of the ranges before. No task sees all rows.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = jobs.repartitionByRange(*order_of("score")).sortWithinPartitions(*order_of("score"))
+    rows = stored(ranges.select("*", F.spark_partition_id().alias("_range"), place.alias("_place")), "numbered")
+    before, total = {}, 0
+    for r in rows.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():  # one row a range
+        before[r["_range"]], total = total, total + r.n
+    start = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("_range")] if before else F.lit(0)
+    return rows.withColumn("n", (start + F.col("_place") + 1).cast("long")).withColumn("total", F.lit(total).cast("long")).drop("_range", "_place")
+
+
+def _numbered(jobs: DataFrame) -> DataFrame:
+    return jobs if {"n", "total"} <= set(jobs.columns) else numbered(jobs)
 
 
-def _joined(rows: DataFrame, line: Column, sep: str) -> DataFrame:
+def _joined(line: Column, sep: str) -> Column:
     items = F.array_sort(F.collect_list(F.struct("n", line.alias("line"))))
-    return rows.agg(F.array_join(F.transform(items, lambda x: x["line"]), sep).alias("lines"))
+    return F.array_join(F.transform(items, lambda x: x["line"]), sep)
 
 
 def chat_digest(jobs: DataFrame, most: int = DIGEST_ITEMS) -> DataFrame:
     """One row: text, with linked titles, at most ``most`` items and 4096 characters."""
     head = F.concat(F.col("n").cast("string"), F.lit('. <a href="'), escape_html(F.col("url"), True), F.lit('">'), escape_html(F.col("title")), F.lit("</a> — "), escape_html(F.col("company")))
     line = F.concat_ws("\n", head, F.concat(F.lit("   "), F.nullif(escape_html(meta()), F.lit(""))))
-    rows, total = _joined(_best(jobs, most), line, "\n"), jobs.agg(F.count("*")).scalar()
+    total = F.col("total")
+    rows = _numbered(jobs).where(F.col("n") <= most).agg(_joined(line, "\n").alias("lines"), F.coalesce(F.max("total"), F.lit(0)).alias("total"))
     more = F.when(total > most, F.concat(F.lit("\n\n…and "), (total - most).cast("string"), F.lit(" more."))).otherwise("")
     text = F.concat(F.lit("<b>"), _headline(total), F.lit("</b>\n"), F.when(F.col("lines") != "", F.concat(F.lit("\n"), "lines")).otherwise(""), more)
     return rows.select(cut_text(text, MESSAGE_CHARS).alias("text"))
 
 
-def mail_digest(jobs: DataFrame, prefix: str = "[feed]", most: int | None = None) -> DataFrame:
-    """One row: subject and body with every posting; ``most``, where given, bounds what a mail holds."""
+def mail_digest(jobs: DataFrame, prefix: str = "[feed]", per_mail: int = MAIL_ITEMS) -> DataFrame:
+    """Mails of ``per_mail`` postings, by score and numbered through: mail, subject, body. Every posting is in one; none, no mail."""
     line = F.concat_ws("\n", F.concat(F.col("n").cast("string"), F.lit(". "), "title", F.lit(" — "), "company"), F.concat(F.lit("   "), F.nullif(meta(), F.lit(""))), F.concat(F.lit("   "), "url"))
-    rows = _joined(_best(jobs, most), line, "\n\n")
-    return rows.select(F.concat(F.lit(f"{prefix} "), _headline(jobs.agg(F.count("*")).scalar())).alias("subject"), F.concat(F.regexp_replace("lines", r"\s+$", ""), F.lit("\n")).alias("body"))
+    mail = (F.floor((F.col("n") - 1) / per_mail) + 1).cast("long").alias("mail")
+    rows = _numbered(jobs).groupBy(mail).agg(_joined(line, "\n\n").alias("lines"), F.max("total").alias("total"))
+    of = F.ceil(F.col("total") / per_mail).cast("string")
+    which = F.when(F.col("total") > per_mail, F.concat(F.lit(" ("), F.col("mail").cast("string"), F.lit("/"), of, F.lit(")"))).otherwise("")
+    return rows.select("mail", F.concat(F.lit(f"{prefix} "), _headline(F.col("total")), which).alias("subject"), F.concat(F.regexp_replace("lines", r"\s+$", ""), F.lit("\n")).alias("body"))
 
 
 def run_summary(runs: DataFrame, dashboard: Column) -> DataFrame:
@@ -120,7 +143,7 @@ def atom_feed(jobs: DataFrame, as_of: Column, title: str, feed_id: str, site: st
         F.lit('<?xml version="1.0" encoding="utf-8"?>\n<feed xmlns="http://www.w3.org/2005/Atom">\n'), F.lit(f"  <id>{feed_id}</id>\n  <title>{title}</title>\n  <updated>"), rfc3339(as_of),
         F.lit(f'</updated>\n  <author><name>{title}</name></author>\n  <link rel="alternate" href="{site}"/>\n'),
     )
-    return _joined(rows, F.col("entry"), "\n").select(F.concat(head, "lines", F.when(F.col("lines") != "", "\n").otherwise(""), F.lit("</feed>")).alias("xml"))
+    return rows.agg(_joined(F.col("entry"), "\n").alias("lines")).select(F.concat(head, "lines", F.when(F.col("lines") != "", "\n").otherwise(""), F.lit("</feed>")).alias("xml"))
 
 
 Text = Callable[[DataFrame], DataFrame]
@@ -140,7 +163,9 @@ def register_feed(as_of: Column, title: str, feed_id: str, site: str, most: int
 
 
 def publish(new: DataFrame, recent: DataFrame, enabled: list[str]) -> dict[str, DataFrame]:
-    """Each enabled sink's text, from the postings of its scope."""
+    """Each enabled sink's text, from the postings of its scope. The new ones are numbered once for all sinks of theirs."""
+    if any(SINKS[name][0] == "new_only" for name in enabled):
+        new = numbered(new)
     return {name: SINKS[name][1](new if SINKS[name][0] == "new_only" else recent) for name in enabled}
 
 

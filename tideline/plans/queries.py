@@ -14,8 +14,8 @@ from tideline.operators import views as views_of
 from tideline.plans import views
 from tideline.plans.views import FEED, table
 from tideline.schemas import SNAPSHOT
-from tideline.sources import outcomes
-from tideline.sources.boards import MAPPERS, jobicy_mapper, map_items, map_scrape, read_boards
+from tideline.sources import outcomes, tables
+from tideline.sources.boards import MAPPERS, catalogues, jobicy_mapper, map_items, map_scrape, read_boards
 from tideline.streaming import walks
 from tideline.streaming.late import appended, recent, written_batches
 from tideline.streaming.store import Store, ingest_into
@@ -68,11 +68,12 @@ def canonical_urls(spark, sf_dir):
 
 @_query
 def posting_urls(spark, sf_dir):
-    """URLs of each applicant system, of two at once, of none, and with a system's name in the path only."""
+    """The pages' own URLs, and URLs of each applicant system, of two at once, of none, and with a system's name in the path only."""
     k = F.col("page_id")
     bases = ["https://boards.greenhouse.io/acme/jobs/", "https://jobs.lever.co/acme/", "https://jobs.ashbyhq.com/acme/", "https://careers.smartrecruiters.com/acme/", "https://jobs.lever.co.greenhouse.io/x/", "https://WWW.example.com/jobs/", "https://example.org/to/greenhouse.io/"]
     p = table(spark, sf_dir, "pages").select("page_id", F.concat(views._pick(bases, k), k.cast("string"), F.lit("/?utm_source=x#top")).alias("url"))
-    return p.select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), urls.applicant_system(F.col("url")).alias("system"), urls.is_page_of(F.col("url"), "example.com").alias("own"))
+    p = p.select("page_id", F.lit("made").alias("kind"), "url").unionByName(table(spark, sf_dir, "pages").select("page_id", F.lit("own").alias("kind"), "url"))
+    return p.select("page_id", "kind", urls.canonical_url(F.col("url")).alias("canonical"), urls.applicant_system(F.col("url")).alias("system"), urls.is_page_of(F.col("url"), "example.com").alias("own"))
 
 
 @_query
@@ -385,10 +386,46 @@ def skill_groups(spark, sf_dir):
 
 @_query
 def posting_texts(spark, sf_dir):
-    j = snapshot.set_fields(views.jobs(spark, sf_dir), views.jobs(spark, sf_dir).select("job_uid", F.lit("extra_context").alias("field"), F.concat(F.lit(" see "), "source").alias("value"), F.lit(1).alias("ts")))
+    j = views.stored_jobs(spark, sf_dir)
+    j = snapshot.set_fields(j, j.select("job_uid", F.lit("extra_context").alias("field"), F.concat(F.lit(" see "), "source").alias("value"), F.lit(1).alias("ts")))
     return j.select("job_uid", match.posting_text(j).alias("text"))
 
 
+@_query
+def source_catalogue(spark, sf_dir):
+    """Every supplier is a feed: its key says which boards are on and have keys, its nation's suppliers are the companies."""
+    s = table(spark, sf_dir, "supplier")
+    names = F.array(*map(F.lit, MAPPERS))
+    of = lambda k: F.filter(names, lambda x, i: (F.col("s_suppkey") + i) % k != 0)
+    nations = s.groupBy("s_nationkey").agg(F.sum(F.when(F.col("s_suppkey") % 2 == 0, 1).otherwise(0)).alias("n"))
+    companies = F.map_from_arrays(F.array(F.lit("lever"), F.lit("ashby")), F.array(F.sequence(F.lit(1), F.lit(2)).cast("array<string>"), F.array_repeat(F.lit("co"), F.col("n").cast("int"))))
+    feeds = s.join(nations, "s_nationkey").select(F.col("s_suppkey").cast("string").alias("feed"), of(3).alias("enabled"), of(4).alias("keys"), companies.alias("companies"))
+    return catalogues(feeds)
+
+
+@_query
+def profiles_read(spark, sf_dir):
+    """A brand as a person, its parts as projects, written as JSON and scanned as profiles: projects with their tools."""
+    path = views.scratch(spark, "profiles")
+    words = F.split("p_name", " ")
+    project = F.struct(F.concat_ws("-", F.lit("P"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("tagline"), words.alias("tech"), F.array(F.concat(F.lit("Size "), F.col("p_size").cast("string"))).alias("bullets"))
+    part = table(spark, sf_dir, "part")
+    people = part.groupBy(F.col("p_brand").alias("person")).agg(F.sort_array(F.collect_list(project)).alias("projects"), F.struct(F.min("p_name").alias("name")).alias("contact"))
+    people.write.json(path)
+    found = tables.read_profiles(spark, path, multi_line=False)
+    each = found.select("person", "contact.name", F.size("projects").cast("long").alias("n_projects"), F.explode("projects").alias("p"), F.size(F.coalesce("skills", F.array())).alias("n_skills"))
+    return each.select("person", "name", "n_projects", F.col("p.name").alias("project"), F.col("p.tagline").alias("tagline"), F.array_join("p.tech", "+").alias("tech"), F.array_join("p.bullets", ";").alias("bullets"), "n_skills")
+
+
+@_query
+def rewrites_parsed(spark, sf_dir):
+    """Conversations' texts as a rewriter's reply under headers, cut into bullets: how many, of which project, and which first."""
+    c = table(spark, sf_dir, "conversations")
+    reply = F.concat_ws("\n", F.concat(F.lit("### P"), (F.col("turn") % 3).cast("string")), F.concat(F.lit("- "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ")), F.lit("(none)"), F.lit("2. kept "), F.lit("### Q"), F.lit("• last"))
+    rows = match.rewritten_bullets(c.select(F.concat_ws("-", "conv_id", "turn").alias("key"), reply.alias("reply")))
+    return rows.select("key", "section", "project", F.md5("bullet").alias("bullet"))
+
+
 @_query
 def candidate_pools(spark, sf_dir):
     """Brands and types of parts as projects, so that there are more than a rewriter is shown."""
@@ -401,11 +438,11 @@ def candidate_pools(spark, sf_dir):
 @_query
 def published(spark, sf_dir):
     """How much each sink has to tell: the digests of new postings and the feed of recent ones."""
-    j = views.jobs(spark, sf_dir)
+    j = views.stored_jobs(spark, sf_dir)
     publish.register_feed(_at(views.AS_OF), "Postings", "urn:feed", "http://localhost/")
     out = publish.publish(views_of.feed(j, status="new"), j.where(F.col("status").isin("new", "active")), ["chat", "mail", "feed"])
     counted = {"chat": F.regexp_count("text", F.lit(r"(?m)^\d+\. <a ")), "mail": F.regexp_count("body", F.lit(r"(?m)^\d+\. ")), "feed": F.regexp_count("xml", F.lit("<entry>"))}
-    rows = [out[name].select(F.lit(name).alias("sink"), n.cast("long").alias("n_items")) for name, n in counted.items()]
+    rows = [out[name].agg(F.coalesce(F.sum(n), F.lit(0)).alias("n_items")).select(F.lit(name).alias("sink"), "n_items") for name, n in counted.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 

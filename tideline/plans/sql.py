@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from tideline.functions.text import COMPANY_SUFFIXES, LOCATION_ALIASES, STOPWORDS
+from tideline.functions.urls import SYSTEM_HOSTS
 from tideline.operators import gates
+from tideline.operators.publish import MAIL_ITEMS
 from tideline.operators.snapshot import ACTIONS
 from tideline.plans.views import AS_OF, CURRENCIES, CYCLE_DAYS, CYCLES, FEED, PERIODS, START, SUFFIXES, TITLES, cycle_days
 from tideline.plans.queries import LATE_AGE, LATE_BY, OLDER_DAYS, SECOND_POS
 from tideline.schemas import USER_FLAGS
+from tideline.sources.boards import MAPPERS
 
 K = FEED.keywords
 
@@ -21,14 +24,14 @@ def _pick(values, index: str) -> str:
 
 
 POSTINGS = f"""firms AS (SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-p AS (SELECT doc_id AS pos, source, doc_id::VARCHAR AS source_native_id, {_pick(TITLES, "doc_id // 10")} AS title, s_name || {_pick(SUFFIXES, "doc_id")} AS company,
+p AS (SELECT doc_id AS pos, source, doc_id::VARCHAR AS source_native_id, {_pick(TITLES, "doc_id // 10")} AS title, coalesce(s_name, 'Independent') || coalesce({_pick(SUFFIXES, "doc_id")}, '') AS company,
  CASE WHEN doc_id % 6 = 0 THEN 'Bangalore' WHEN doc_id % 6 = 1 THEN 'Remote, WFH' WHEN doc_id % 6 = 2 THEN NULL ELSE n_name END AS location,
  CASE doc_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS is_remote, 'https://jobs.example.com/p/' || doc_id || '?a=1&b=2' AS url,
  (CASE doc_id % 9 WHEN 0 THEN 'Needs 3+ years of experience. ' WHEN 1 THEN '2 years experience; ' ELSE '' END) || coalesce(text, '') AS description,
  CASE WHEN doc_id % 7 <> 0 THEN n_chars * 13 + 500 END AS salary_min, CASE WHEN doc_id % 11 <> 0 THEN n_chars * 17 + 900 END AS salary_max,
  {_pick(CURRENCIES, "doc_id")} AS salary_currency, {_pick(PERIODS, "doc_id")} AS salary_period,
  CASE WHEN doc_id % 13 <> 0 THEN TIMESTAMP '{START}' + to_hours(CAST(doc_id % 1000 AS INTEGER)) END AS posted_at, coalesce(try_cast(regexp_extract(source, '(\\d+)$', 1) AS INTEGER), 1073741824) AS ord
- FROM documents JOIN firms ON doc_id % (SELECT count(*) FROM supplier) = s_suppkey)"""
+ FROM documents LEFT JOIN firms ON doc_id % (SELECT count(*) FROM supplier) = s_suppkey)"""
 
 
 def _spaced(x: str) -> str:
@@ -197,6 +200,8 @@ _canon_pairs = "list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]
 _host = "lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
 _path = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(.)/+$', '\\1')"
 _domain = f"array_to_string(list_slice(string_split({_host}, '.'), -2, -1), '.')"
+_canonical = f"regexp_extract(url, '^([a-z]+)://', 1) || '://' || {_host} || {_path} || CASE WHEN len({_canon_pairs}) > 0 THEN '?' || array_to_string({_canon_pairs}, '&') ELSE '' END"
+_system = "CASE " + " ".join(f"WHEN {_host} LIKE '%{mark}%' THEN '{name}'" for name, marks in SYSTEM_HOSTS for mark in marks) + " END"
 
 
 _key, _filled = "'k' || (pos % 3)", "nullif(location, '')"
@@ -245,6 +250,7 @@ def _years() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    board_names = "[" + ", ".join(map(_q, MAPPERS)) + "]"
     w = "WITH "
     walks = f"""{w}{DAYS}, pg AS (SELECT event_type AS source, day AS walk, (event_id % 300) // 50 + 1 AS page, count(*) * 3 AS n_items, min(value) > 0.35 AS ok FROM ev GROUP BY 1, 2, 3),
           en AS (SELECT source, walk, min(page) FILTER (page <= 5 AND NOT ok) AS bad, min(page) FILTER (page <= 5 AND ok AND n_items < 24) AS short FROM pg GROUP BY 1, 2)
@@ -263,7 +269,8 @@ def oracle_sql() -> dict[str, str]:
         "canonical_urls": f"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) || '://' || {_host} || {_path} || CASE WHEN len({_canon_pairs}) > 0 THEN '?' || array_to_string({_canon_pairs}, '&') ELSE '' END AS canonical, {_domain} AS domain, FALSE AS private, TRUE AS safe FROM pages",
         "posting_urls": f"""{w}h AS (SELECT page_id, page_id % 7 AS k FROM pages), v AS (SELECT page_id, CASE k WHEN 0 THEN 'https://boards.greenhouse.io/acme/jobs/' || page_id WHEN 1 THEN 'https://jobs.lever.co/acme/' || page_id WHEN 2 THEN 'https://jobs.ashbyhq.com/acme/' || page_id
           WHEN 3 THEN 'https://careers.smartrecruiters.com/acme/' || page_id WHEN 4 THEN 'https://jobs.lever.co.greenhouse.io/x/' || page_id WHEN 5 THEN 'https://www.example.com/jobs/' || page_id ELSE 'https://example.org/to/greenhouse.io/' || page_id END AS canonical, k FROM h)
-          SELECT page_id, canonical, CASE k WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' WHEN 3 THEN 'smartrecruiters' WHEN 4 THEN 'greenhouse' END AS system, k = 5 AS own FROM v""",
+          SELECT page_id, 'made' AS kind, canonical, CASE k WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' WHEN 3 THEN 'smartrecruiters' WHEN 4 THEN 'greenhouse' END AS system, k = 5 AS own FROM v
+          UNION ALL SELECT page_id, 'own', {_canonical}, {_system}, {_host} = 'example.com' OR {_host} LIKE '%.example.com' FROM pages""",
         "pages_by_site": f"SELECT {_domain} AS site, count(*) AS n_pages, min(page_id) AS first_page FROM pages GROUP BY 1",
         "keyword_gates": f"{w}{JUDGED} SELECT pos, is_internship, salary_bucket, keep, coalesce(drop_reason, '') AS drop_reason FROM j",
         "scores": f"{w}{JUDGED} SELECT pos, match_score, reasons FROM j",
@@ -324,6 +331,19 @@ def oracle_sql() -> dict[str, str]:
         "candidate_pools": f"""{w}ju AS (SELECT conv_id || '-' || turn AS job_uid, {_words("concat_ws(' ', text, " + _pick(["red ring", "blue bolt standard", "green widget large", "economy"], "turn") + ")")} AS words FROM conversations),
           pr AS (SELECT p_brand || ' ' || p_type AS project, min(p_partkey) AS ord, {_words("string_agg(DISTINCT p_name || ' ' || p_type, ' ')")} AS terms FROM part GROUP BY 1), al AS (SELECT job_uid, project, ord, len(list_intersect(words, terms)) AS score FROM ju CROSS JOIN pr),
           rk AS (SELECT *, row_number() OVER (PARTITION BY job_uid ORDER BY score DESC, ord, project) AS rank FROM al) SELECT job_uid, count(*) AS n, sum(score)::BIGINT AS score, arg_max(project, rank) AS last FROM rk WHERE rank <= 40 GROUP BY 1""",
+        "source_catalogue": f"""WITH b AS (SELECT unnest({board_names}) AS source, unnest(range({len(MAPPERS)})) AS i), n AS (SELECT s_nationkey, count(*) FILTER (s_suppkey % 2 = 0) AS n FROM supplier GROUP BY 1)
+          SELECT s_suppkey::VARCHAR AS feed, source, (i + 1)::INTEGER AS ord, (s_suppkey + i) % 3 <> 0 AND (source NOT IN ('adzuna', 'jooble') OR (s_suppkey + i) % 4 <> 0)
+            AND (source NOT IN ('greenhouse', 'lever', 'ashby', 'smartrecruiters') OR source = 'lever' OR source = 'ashby' AND n > 0) AS enabled FROM supplier JOIN n USING (s_nationkey), b""",
+        "profiles_read": """SELECT p_brand AS person, min(p_name) OVER (PARTITION BY p_brand) AS name, count(*) OVER (PARTITION BY p_brand) AS n_projects, 'P-' || p_partkey AS project, p_type AS tagline, replace(p_name, ' ', '+') AS tech, 'Size ' || p_size AS bullets, 0 AS n_skills FROM part""",
+        "rewrites_parsed": r"""WITH c AS (SELECT conv_id || '-' || turn AS key, 'P' || turn % 3 AS project, trim(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g')) AS t FROM conversations)
+          SELECT key, 1 AS section, project, md5(CASE WHEN t = '' THEN '-' ELSE t END) AS bullet FROM c UNION ALL SELECT key, 1, project, md5('kept') FROM c UNION ALL SELECT key, 2, 'Q', md5('last') FROM c""",
+        "tailored": f"""{w}dj AS (SELECT doc_id, unnest({_words("concat_ws(' ', " + _pick(["red ring", "blue bolt"], "doc_id") + ", text)")}) AS word FROM documents),
+          pr AS (SELECT p_brand AS project, min(p_partkey) AS ord, string_agg(DISTINCT p_name, ' ') AS text, count(*) AS n FROM part GROUP BY 1), pt AS (SELECT project, ord, unnest({_words("text")}) AS word FROM pr),
+          sc AS (SELECT doc_id, project, count(*) AS score FROM dj JOIN pt USING (word) GROUP BY 1, 2), al AS (SELECT d.doc_id, pr.project, pr.ord, coalesce(score, 0) AS score FROM documents d CROSS JOIN pr LEFT JOIN sc ON sc.doc_id = d.doc_id AND sc.project = pr.project),
+          tp AS (SELECT doc_id, string_agg(project, ',' ORDER BY score DESC, ord, project) AS projects FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord, project) AS rank FROM al) WHERE rank <= 2 GROUP BY 1),
+          rw AS (SELECT doc_id, n, doc_id % 2 * 7 AS said FROM documents, pr WHERE project = 'Brand#2' AND doc_id % 3 = 0)
+          SELECT tp.doc_id::VARCHAR AS job_uid, CASE WHEN rw.doc_id IS NOT NULL THEN 'Brand#2' ELSE projects END AS projects, 1.0::DOUBLE AS preservation,
+            CASE WHEN said <> n THEN 'Brand#2: rejected a rewrite with unsupported facts;Brand#2: kept the original bullets' ELSE '' END AS flags, rw.doc_id IS NOT NULL AS used_rewrites FROM tp LEFT JOIN rw USING (doc_id)""",
         "published": f"""{w}{JOBS} SELECT 'chat' AS sink, least(count(*), 20) AS n_items FROM jobs WHERE status = 'new' UNION ALL SELECT 'mail', count(*) FROM jobs WHERE status = 'new' UNION ALL SELECT 'feed', least(count(*), 100) FROM jobs WHERE status IN ('new', 'active')""",
         "values_coerced": f"""SELECT event_id, CASE WHEN event_id % 6 = 5 THEN CASE WHEN event_id % 4 IN (1, 2) AND user_id <= 18 THEN power(10, user_id)::BIGINT END WHEN event_id % 6 IN (0, 1, 4) AND event_id % 4 <> 3 AND user_id > 0 THEN user_id END AS whole,
           CASE WHEN event_id % 9 < 3 THEN TRUE WHEN event_id % 9 < 6 THEN FALSE END AS flag, nullif(trim({_pick(["true", " YES ", "1", "no", "False", "0", "maybe", "", None], "event_id")}), '') AS filled,
@@ -337,8 +357,9 @@ def oracle_sql() -> dict[str, str]:
         "site_stats": f"{w}{DAYS} SELECT event_type AS site, count(*) AS calls, count(*) FILTER (event_id % 17 = 0) AS errors, sum(day)::BIGINT AS n_rows, sum(user_id % 3)::BIGINT AS n_jobs, 'e' || max(CASE WHEN event_id % 17 = 0 THEN event_id END) AS last_error, sum(user_id % 3) > 0 AS succeeded FROM ev GROUP BY 1",
         "digest_text": f"""{w}{JOBS}, nw AS (SELECT *, row_number() OVER ({TOP}) AS n FROM jobs WHERE status = 'new'), tx AS (SELECT '<b>' || count(*) || ' new job' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || '</b>' || chr(10) || coalesce(chr(10) || (SELECT string_agg({line}, chr(10) ORDER BY n) FROM nw WHERE n <= 20), '')
           || CASE WHEN count(*) > 20 THEN chr(10) || chr(10) || '…and ' || (count(*) - 20) || ' more.' ELSE '' END AS text FROM nw) SELECT CASE WHEN length(text) > 4096 THEN substr(text, 1, 4095) || '…' ELSE text END AS text FROM tx""",
-        "mail_text": f"""{w}{JOBS}, nw AS (SELECT *, row_number() OVER ({TOP}) AS n FROM jobs WHERE status = 'new')
-          SELECT '[feed] ' || count(*) || ' new job' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS subject, (SELECT string_agg(concat_ws(chr(10), n || '. ' || title || ' — ' || company, '   ' || nullif({META}, ''), '   ' || url), chr(10) || chr(10) ORDER BY n) FROM nw) || chr(10) AS body FROM nw""",
+        "mail_text": f"""{w}{JOBS}, nw AS (SELECT *, row_number() OVER ({TOP}) AS n, count(*) OVER () AS total FROM jobs WHERE status = 'new')
+          SELECT (n - 1) // {MAIL_ITEMS} + 1 AS mail, '[feed] ' || any_value(total) || ' new job' || CASE WHEN any_value(total) = 1 THEN '' ELSE 's' END || CASE WHEN any_value(total) > {MAIL_ITEMS} THEN ' (' || ((any_value(n) - 1) // {MAIL_ITEMS} + 1) || '/' || ((any_value(total) - 1) // {MAIL_ITEMS} + 1) || ')' ELSE '' END AS subject,
+          string_agg(concat_ws(chr(10), n || '. ' || title || ' — ' || company, '   ' || nullif({META}, ''), '   ' || url), chr(10) || chr(10) ORDER BY n) || chr(10) AS body FROM nw GROUP BY 1""",
         "feed_entries": f"{w}{JOBS} SELECT job_uid, {ENTRY} AS entry FROM jobs",
         "atom_feed": f"""{w}{JOBS}, lt AS (SELECT *, row_number() OVER (ORDER BY posted_at DESC NULLS LAST, last_seen_at DESC NULLS LAST, job_uid) AS n FROM jobs), tx AS (SELECT *, {ENTRY} AS entry FROM lt WHERE n <= 100)
           SELECT '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<feed xmlns="http://www.w3.org/2005/Atom">' || chr(10) || '  <id>urn:feed</id>' || chr(10) || '  <title>Postings</title>' || chr(10) || '  <updated>' || {_rfc(f"TIMESTAMP '{AS_OF}'")} || '</updated>' || chr(10)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.shared import scratch, stored
 from tideline.plans.config import Feed, Keywords
 
 START = "2024-01-01 00:00:00"
@@ -37,33 +35,27 @@ def cycle_days(cycle: int) -> tuple[int, int]:
     return (low if cycle else -(1 << 30)), (low + CYCLE_DAYS if cycle + 1 < CYCLES else 1 << 30)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; only a local session may go without."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tideline-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def _pick(values: list, index) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw postings, one per document: a supplier as company, its nation or a city as location, pay from the length."""
+    """Raw postings, one per document: a supplier as company, its nation or a city as location, pay from the length.
+
+    A document whose number is null, or meets no supplier's key, is a posting of the company Independent, of no nation.
+    """
     docs, supplier, nation = (table(spark, sf_dir, t) for t in ("documents", "supplier", "nation"))
     d = F.col("doc_id")
     firms = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
-    rows = docs.join(firms, F.pmod(d, F.lit(max(1, supplier.count()))) == F.col("s_suppkey"))
+    n = F.greatest(supplier.agg(F.count("*")).scalar(), F.lit(1))
+    rows = docs.join(firms, F.pmod(d, n) == F.col("s_suppkey"), "left")
     tenth = F.floor(d / 10).cast("long")
     return rows.select(
         d.alias("pos"),
         "source",
         d.cast("string").alias("source_native_id"),
         _pick(TITLES, tenth).alias("title"),
-        F.concat("s_name", _pick(SUFFIXES, d)).alias("company"),
+        F.concat(F.coalesce("s_name", F.lit("Independent")), F.coalesce(_pick(SUFFIXES, d), F.lit(""))).alias("company"),
         F.when(d % 6 == 0, "Bangalore").when(d % 6 == 1, "Remote, WFH").when(d % 6 == 2, F.lit(None)).otherwise(F.col("n_name")).alias("location"),
         F.when(d % 3 == 0, True).when(d % 3 == 1, False).alias("is_remote"),
         F.concat(F.lit("https://Jobs.Example.com/p/"), d.cast("string"), F.lit("/?utm_source=x&ref=1&b=2&a=1#top")).alias("url"),
@@ -95,6 +87,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_cycle(first, ready.where("pos % 4 > 1"), 2, at(2), ["ord", "pos"])
 
 
+def stored_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot as a table, for what reads it more than once."""
+    return stored(jobs(spark, sf_dir), "jobs")
+
+
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their day from 1; the event type stands for a source, a user for a posting, an error for a failure."""
     events = table(spark, sf_dir, "events")

@@ -45,11 +45,27 @@ def register(board: Board) -> None:
     MAPPERS[board.name] = board
 
 
+NEEDS_KEY = ("adzuna", "jooble")
+
+
+def catalogues(settings: DataFrame, boards: dict[str, Board] | None = None) -> DataFrame:
+    """Each feed's sources in input order: feed, source, ord, enabled.
+
+    ``settings`` is (feed, enabled, keys, companies): arrays of board names that are on and that have a key, and a map from board to
+    its companies. A board that needs a key is enabled with one only, a board of companies with some only.
+    """
+    known = [(b.name, b.ord, b.name in NEEDS_KEY, b.by_company) for b in (MAPPERS if boards is None else boards).values()]
+    rows = F.array(*[F.struct(F.lit(n).alias("source"), F.lit(o).alias("ord"), F.lit(k).alias("needs_key"), F.lit(c).alias("by_company")) for n, o, k, c in known])
+    has = lambda names: F.coalesce(F.array_contains(names, F.col("source")), F.lit(False))
+    some = F.coalesce(F.size(F.try_element_at("companies", F.col("source"))) > 0, F.lit(False))
+    on = has(F.col("enabled")) & (~F.col("needs_key") | has(F.col("keys"))) & (~F.col("by_company") | some)
+    return settings.select("feed", "enabled", "keys", "companies", F.inline(rows)).select("feed", "source", "ord", on.alias("enabled"))
+
+
 def catalogue(spark, enabled: set[str], keys: set[str] = frozenset(), companies: dict[str, list[str]] | None = None) -> DataFrame:
-    """(source, ord, enabled): boards that need a key have one, and boards of companies have some."""
-    needs_key = {"adzuna", "jooble"}
-    rows = [(b.name, b.ord, b.name in enabled and (b.name not in needs_key or b.name in keys) and (not b.by_company or bool((companies or {}).get(b.name)))) for b in MAPPERS.values()]
-    return spark.createDataFrame(rows, "source string, ord int, enabled boolean").orderBy("ord")
+    """(source, ord, enabled) of one feed, by input order."""
+    one = spark.createDataFrame([("", sorted(enabled), sorted(keys), companies or {})], "feed string, enabled array<string>, keys array<string>, companies map<string,array<string>>")
+    return catalogues(one).drop("feed").orderBy("ord")
 
 
 def _listed(board: Board, payload: Column) -> Column:

@@ -12,8 +12,9 @@ PROFILE = (
 )
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PROFILE).json(path, multiLine=True)
+def read_profiles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Profiles, one a file, or one a line, which lets files be split."""
+    return spark.read.schema(PROFILE).json(path, multiLine=multi_line)
 
 
 def by_uid(snapshot: DataFrame, uid: str) -> DataFrame:
