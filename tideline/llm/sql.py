@@ -47,5 +47,13 @@ SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY
 FROM v JOIN a USING (r) JOIN names USING (k)"""
 
 
+NEIGHBOURS = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, q.r AS of, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.x) = len(c.x))
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY of ORDER BY score, vec_id NULLS LAST))::INTEGER AS rank FROM p) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIXING, "op5_exact": EXACT, "op11_centroids": _centroids()}
+    return {"op2_mixing": MIXING, "op5_exact": EXACT, "op11_centroids": _centroids(), "op13_neighbours": NEIGHBOURS}
