@@ -228,6 +228,19 @@ def test_mail_lists_every_posting(spark):
     assert [r.n for r in sorted(ranks, key=lambda r: (-r.match_score, r.job_uid))] == list(range(1, 1006)) and {r.total for r in ranks} == {1005}
 
 
+@pytest.mark.parametrize("rare", [0, 2, 5, 1000])
+def test_many_projects_by_bounds(spark, rare):
+    import random
+
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    some = lambda n: " ".join(draw.choice(words[: draw.choice([5, 60])]) for _ in range(n))
+    jobs = spark.createDataFrame([(str(i), some(draw.randint(0, 30))) for i in range(60)] + [("none", None), ("other", "zz yy")], "job_uid string, text string")
+    projects = spark.createDataFrame([(f"p{i:03}", i % 7, some(draw.randint(0, 12))) for i in range(150)], "project string, ord int, text string")
+    rows = lambda df: sorted((r.job_uid, r["rank"], r.project, r.ord, r.score) for r in df.collect())
+    assert rows(match.overlap_topk_many(jobs, projects, 3, rare)) == rows(match.overlap_topk(jobs, projects, 3))
+
+
 def test_near_titles(spark):
     rows = [("Acme Inc", "Senior Backend Engineer"), ("acme", "Backend Engineer, Senior"), ("Acme", "Backend Engineers Senior"), ("Acme", "Cook"), ("Beta", "Backend Engineers Senior")]
     got = neardup.near_titles(spark.createDataFrame(rows, "company string, title string")).collect()

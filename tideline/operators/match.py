@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.functions.shared import stored
 from tideline.functions.text import keyword_tokens, numbers
 from tideline.operators.pages import text_of_html
 
@@ -45,13 +46,55 @@ def overlap_topk(jobs: DataFrame, projects: DataFrame, k: int) -> DataFrame:
         terms = F.broadcast(terms) if terms.limit(MOST_TERMS * 10 + 1).count() <= MOST_TERMS * 10 else terms
     found = jobs.select("job_uid", F.explode(words).alias("word"))
     scored = found.join(terms, "word").groupBy("job_uid", "project", "ord").agg(F.count("*").alias("score"))
-    # of the projects that share nothing only the first k can matter
+    return _first_k(_with_first(scored, jobs.select("job_uid").distinct(), projects, k), k)
+
+
+def _with_first(scored: DataFrame, jobs: DataFrame, projects: DataFrame, k: int) -> DataFrame:
+    """The scores, and the first k projects for each posting where it shares nothing with them; no later ones can matter."""
     few = projects.orderBy("ord", "project").select("project", "ord").limit(k).collect()
+    if not few:
+        return scored
     first = F.array(*[F.struct(F.lit(p.project).alias("project"), F.lit(p.ord).cast(dict(projects.dtypes)["ord"]).alias("ord"), F.lit(0).cast("long").alias("score")) for p in few])
-    rest = jobs.select("job_uid").distinct().select("job_uid", F.inline(first)) if few else scored.limit(0)
-    every = scored.unionByName(rest.join(scored.select("job_uid", "project", "ord"), ["job_uid", "project", "ord"], "left_anti"))
+    rest = jobs.select("job_uid", F.inline(first))
+    return scored.unionByName(rest.join(scored.select("job_uid", "project", "ord"), ["job_uid", "project", "ord"], "left_anti"))
+
+
+def _first_k(scored: DataFrame, k: int) -> DataFrame:
     first = W.partitionBy("job_uid").orderBy(F.col("score").desc(), "ord", "project")
-    return every.withColumn("rank", F.row_number().over(first).cast("long")).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(first).cast("long")).where(F.col("rank") <= k)
+
+
+#: Projects up to which a word is rare, so that a posting's row of it meets so many at most.
+RARE = 200
+
+
+def overlap_topk_many(jobs: DataFrame, projects: DataFrame, k: int, rare: int = RARE) -> DataFrame:
+    """As ``overlap_topk``, for very many projects: those that cannot reach the first k are left out by bounds.
+
+    Words that more than ``rare`` projects have are common. A project's score is at most its rare words in common plus the
+    common words of the posting, and that number alone, where no rare word is shared. So if the k-th best score by rare words
+    is above the posting's common words, only projects that share rare words count, and of those only the ones whose bound
+    reaches that score; just these are looked up by common words. Postings where it is not above are joined in full.
+    """
+    terms = stored(projects.select("project", "ord", F.explode(F.array_distinct(keyword_tokens(F.col("text")))).alias("word")), "terms")
+    spread = terms.groupBy("word").agg((F.count("*") > rare).alias("common"))
+    words = stored(jobs.select("job_uid", F.explode(F.array_distinct(keyword_tokens(F.col("text")))).alias("word")).distinct().join(spread, "word"), "words")
+    both = lambda found: found.join(terms, "word").groupBy("job_uid", "project", "ord").agg(F.count("*").alias("score"))
+    by_rare = stored(both(words.where(~F.col("common"))), "rare")
+    first = W.partitionBy("job_uid").orderBy(F.col("score").desc())
+    kth = by_rare.select("job_uid", "score", F.row_number().over(first).alias("r")).where(F.col("r") == k).select("job_uid", F.col("score").alias("kth"))
+    bounds = words.groupBy("job_uid").agg(F.count_if("common").alias("n_common")).join(kth, "job_uid", "left")
+    bounds = stored(bounds.withColumn("decided", F.coalesce(F.col("kth") > F.col("n_common"), F.lit(False))), "bounds")
+    reach = by_rare.join(bounds.where("decided"), "job_uid").where(F.col("score") + F.col("n_common") >= F.col("kth"))
+    common = words.where("common").join(bounds.where("decided").select("job_uid"), "job_uid").select("job_uid", "word")
+    of_project = terms.join(spread.where("common"), "word").groupBy("project").agg(F.collect_set("word").alias("theirs"))
+    of_job = common.groupBy("job_uid").agg(F.collect_set("word").alias("mine"))
+    none = F.array().cast("array<string>")
+    shared = F.size(F.array_intersect(F.coalesce("mine", none), F.coalesce("theirs", none)))
+    near = reach.join(of_job, "job_uid", "left").join(of_project, "project", "left").select("job_uid", "project", "ord", (F.col("score") + shared).alias("score"))
+    undecided = jobs.select("job_uid").distinct().join(bounds.where("decided").select("job_uid"), "job_uid", "left_anti")
+    full = both(words.join(undecided, "job_uid"))
+    return _first_k(near.unionByName(_with_first(full, undecided, projects, k)), k)
 
 
 def ranked_groups(groups: Column, keywords: Column) -> Column:

@@ -526,6 +526,14 @@ def keyword_overlap_topk(spark, sf_dir):
     return match.overlap_topk(j, p.select(F.col("p_brand").alias("project"), "ord", "text"), 3)
 
 
+@_query
+def profiles_ranked(spark, sf_dir):
+    """Every turn of a conversation is a profile's project: the three that share most with each document."""
+    j = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job_uid"), "text")
+    p = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("project"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")
+    return match.overlap_topk_many(j, p, 3)
+
+
 def _rewrites(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", F.col("text"), F.concat(F.lit("Cut cost by "), (F.col("conv_id") % 5 + F.col("turn") % 2).cast("string"), F.lit("% over 1,000 runs."))).alias("text"))
     a, b = c.select("conv_id", "turn", F.col("text").alias("source_text")), c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("new_text"))

@@ -370,6 +370,10 @@ def oracle_sql() -> dict[str, str]:
           ju AS (SELECT doc_id::VARCHAR AS job_uid FROM documents), pr AS (SELECT p_brand AS project, min(p_partkey) AS ord, string_agg(DISTINCT p_name || ' ' || p_type, ' ') AS text FROM part GROUP BY 1), pt AS (SELECT project, ord, unnest({_words("text")}) AS word FROM pr),
           sc AS (SELECT job_uid, project, ord, count(*) AS score FROM dj JOIN pt USING (word) GROUP BY 1, 2, 3), al AS (SELECT ju.job_uid, pr.project, pr.ord, coalesce(score, 0) AS score FROM ju CROSS JOIN pr LEFT JOIN sc ON sc.job_uid = ju.job_uid AND sc.project = pr.project)
           SELECT job_uid, project, ord, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_uid ORDER BY score DESC, ord, project) AS rank FROM al) WHERE rank <= 3""",
+        "profiles_ranked": f"""{w}dj AS (SELECT doc_id::VARCHAR AS job_uid, unnest({_words("text")}) AS word FROM documents), pr AS (SELECT conv_id || '-' || turn AS project, conv_id * 1000 + turn AS ord, text FROM conversations), pt AS (SELECT project, ord, unnest({_words("text")}) AS word FROM pr),
+          sc AS (SELECT job_uid, project, ord, count(*) AS score FROM dj JOIN pt USING (word) GROUP BY 1, 2, 3), f AS (SELECT project, ord FROM pr ORDER BY ord, project LIMIT 3),
+          al AS (SELECT * FROM sc UNION ALL SELECT doc_id::VARCHAR, project, ord, 0 FROM documents, f WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.job_uid = doc_id::VARCHAR AND sc.project = f.project))
+          SELECT job_uid, project, ord, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_uid ORDER BY score DESC, ord, project) AS rank FROM al) WHERE rank <= 3""",
         "number_guard": f"{w}{REWRITES}, nn AS (SELECT *, {_numbers('source_text')} AS a, {_numbers('new_text')} AS b FROM rw) SELECT conv_id, turn, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS ok, array_to_string(list_sort(b), ',') AS numbers FROM nn",
         "fact_preservation": f"{w}{REWRITES}, nn AS (SELECT *, {_numbers('source_text')} AS a, {_numbers('new_text')} AS b FROM rw), sh AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / len(a) END AS share FROM nn) SELECT conv_id, turn, round(share, 9) AS share, share < 0.8 AS flagged FROM sh",
         "source_mappers": f"{w}{MAPPED} SELECT source, source_native_id, job_uid, is_remote, salary_min, salary_max, salary_currency, salary_period, posted_at, description_md5, url FROM u",
