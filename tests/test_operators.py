@@ -228,6 +228,24 @@ def test_mail_lists_every_posting(spark):
     assert [r.n for r in sorted(ranks, key=lambda r: (-r.match_score, r.job_uid))] == list(range(1, 1006)) and {r.total for r in ranks} == {1005}
 
 
+def test_text_by_pattern_equals_the_parser(spark, sf):
+    import random
+
+    parts = [
+        "<p>", "</p>", "<br>", "<br/>", "</br>", "<BR class='x' />", "<p/>", "<pre>", "</PRE >", "<li a=1 b='2' c>", "text", " a b ", "\n", "\xa0", "\u2028", "\x1c", "&amp;", "&amp;lt;", "&nbsp;x", "&lt", "&copy;", "&notit;", "&#39;", "&", "& ", "<", ">", "< b",
+        "<script>var t='</p>';</script>", "<script src=x>", "</script>", "<style>p{}</style>", "<noscript>", "</noscript>", "<noscript>no</noscript>", "<!-- c -->", "<!-- <p> -->", "<!doctype html>", "<title>t</title>", "<title>", "<textarea><b>", "<a href='x>y'>", "<a href=x/>", "<x-y>", "<script/>", "</",
+    ]
+    draw = random.Random(8)
+    made = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(4000)] + ["x" * 13_000, "<p>" + "a<b>b</b>\n" * 20_000 + "</p>"]
+    given = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(made + given)] + [(-1, None)], "page_id long, html string")
+    by_pattern = rows.select("page_id", "html", pages.text_by_pattern(F.col("html")).alias("t")).collect()
+    assert [(r.html, r.t) for r in by_pattern if r.t is not None and r.t != pages.page_text(r.html)] == []
+    assert all(r.t is not None for r in by_pattern if r.page_id >= len(made)) and sum(r.t is not None for r in by_pattern) > len(given) + 400
+    assert {r.page_id: r.page_text for r in pages.text_of_pages(rows).collect()} == {r.page_id: pages.page_text(r.html) for r in rows.collect()}
+    assert all(r.t == (None if r.html is None else pages.page_text(r.html)) for r in rows.select("html", pages.text_of_html(F.col("html")).alias("t")).collect())
+
+
 @pytest.mark.parametrize("rare", [0, 2, 5, 1000])
 def test_many_projects_by_bounds(spark, rare):
     import random

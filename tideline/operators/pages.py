@@ -1,4 +1,4 @@
-"""Jobs over tables of pages: text, safe HTML, listing cards, details; all in Arrow batches with the standard parser."""
+"""Jobs over tables of pages: text by patterns in the JVM; safe HTML, listing cards, details in Arrow batches with the standard parser."""
 
 from __future__ import annotations
 
@@ -85,9 +85,50 @@ def page_text(raw: str | None, most: int = MOST_CHARS) -> str:
     return "\n".join(filter(None, map(str.strip, whole.splitlines())))[:most]
 
 
-def text_of_html(markup: Column) -> Column:
-    """``page_text`` of a column."""
-    return F.pandas_udf(lambda values: values.map(lambda v: None if v is None else page_text(v)), "string", F.PandasUDFType.SCALAR)(markup)
+#: A tag as it is mostly written: a plain name, attributes in quotes or bare, no angle bracket inside. What is not written so is
+#: left to the parser.
+_ATTRIBUTES = r"""(?:\s+[a-zA-Z_:@][-a-zA-Z0-9_:.@]*(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>`=/]+))?)*"""
+_TAG = rf"<[a-zA-Z][a-zA-Z0-9]*{_ATTRIBUTES}\s*/?>|</[a-zA-Z][a-zA-Z0-9]*\s*>"
+_UNSEEN = rf"(?is)<!--[^<>]*?-->|<!doctype[^<>]*>|<script{_ATTRIBUTES}\s*>.*?</script\s*>|<style{_ATTRIBUTES}\s*>.*?</style\s*>"
+_NOSCRIPT = rf"(?is)<noscript{_ATTRIBUTES}\s*>.*?</noscript\s*>"
+_LINE_END = rf"(?i)<br{_ATTRIBUTES}\s*/?>|</(?:{'|'.join(sorted(BLOCKS))})\s*>|<(?:{'|'.join(sorted(BLOCKS))}){_ATTRIBUTES}\s*/>"
+#: Elements whose tags do not pair, or whose content is read in another way, and a title with a tag in it.
+_ODD = r"(?is)</?(?:script|style|noscript|textarea|iframe|noembed|noframes|xmp|plaintext)\b|<title[^<>]*>[^<]*<(?!/title)"
+#: Entities that are put in here, & last; a page with any other goes to the parser.
+_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "copy": "©", "middot": "·", "amp": "&"}
+_OTHER_ENTITY = rf"&(?!(?:{'|'.join(_ENTITIES)});)[a-zA-Z#]"
+_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: So far from the end an entity may stand that is not finished, which the parser holds back.
+_TAIL = 40
+
+
+def text_by_pattern(markup: Column, most: int = MOST_CHARS) -> Column:
+    """``page_text`` by patterns in the JVM; null where the markup is not as it is mostly written."""
+
+    def lines(with_noscript: Column) -> Column:
+        s = F.regexp_replace(with_noscript, _NOSCRIPT, "")
+        unpaired = F.regexp_count(with_noscript, F.lit("(?i)<noscript")) != F.regexp_count(with_noscript, F.lit("(?i)</noscript"))
+        bare = F.regexp_replace(F.regexp_replace(s, _LINE_END, "\n"), _TAG, "")
+        text = bare
+        for name, character in _ENTITIES.items():
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(character))
+        trimmed = F.transform(F.split(text, _BREAKS), lambda x: F.regexp_replace(x, rf"^{_SPACE}|{_SPACE}\z", ""))
+        open_end = ~markup.endswith(">") & F.right(markup, F.lit(_TAIL)).contains("&")
+        usual = ~bare.contains("<") & ~s.rlike(_ODD) & ~s.rlike(_OTHER_ENTITY) & ~open_end & ~unpaired
+        return F.when(usual, F.left(F.array_join(F.filter(trimmed, lambda x: x != ""), "\n"), F.lit(most)))
+
+    return F.get(F.transform(F.array(F.regexp_replace(markup, _UNSEEN, "")), lines), F.lit(0))
+
+
+def _parsed(most: int) -> Callable[[Column], Column]:
+    return F.pandas_udf(lambda values: values.map(lambda v: None if v is None else page_text(v, most)), "string", F.PandasUDFType.SCALAR)
+
+
+def text_of_html(markup: Column, most: int = MOST_CHARS) -> Column:
+    """``page_text`` of a column: by pattern, and by the parser where that cannot cut it."""
+    by_pattern = text_by_pattern(markup, most)
+    return F.coalesce(by_pattern, _parsed(most)(F.when(by_pattern.isNull(), markup)))
 
 
 def _link(attrs: list) -> str:
@@ -224,7 +265,9 @@ def _mapped(pages: DataFrame, column: str, out: str, work: Callable[[str | None]
 
 
 def text_of_pages(pages: DataFrame, most: int = MOST_CHARS) -> DataFrame:
-    return _mapped(pages, "html", "page_text", lambda x: page_text(x, most))
+    """(page_id, page_text); a page without markup has no text."""
+    rows = pages.select("page_id", "html", text_by_pattern(F.coalesce("html", F.lit("")), most).alias("by_pattern"))
+    return rows.select("page_id", F.coalesce("by_pattern", _parsed(most)(F.when(F.col("by_pattern").isNull(), F.col("html")))).alias("page_text"))
 
 
 def safe_pages(pages: DataFrame, most: int = MOST_CHARS) -> DataFrame:
