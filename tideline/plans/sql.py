@@ -349,6 +349,8 @@ def oracle_sql() -> dict[str, str]:
           rw AS (SELECT doc_id, n, doc_id % 2 * 7 AS said FROM documents, pr WHERE project = 'Brand#2' AND doc_id % 3 = 0)
           SELECT tp.doc_id::VARCHAR AS job_uid, CASE WHEN rw.doc_id IS NOT NULL THEN 'Brand#2' ELSE projects END AS projects, 1.0::DOUBLE AS preservation,
             CASE WHEN said <> n THEN 'Brand#2: rejected a rewrite with unsupported facts;Brand#2: kept the original bullets' ELSE '' END AS flags, rw.doc_id IS NOT NULL AS used_rewrites FROM tp LEFT JOIN rw USING (doc_id)""",
+        "posting_texts": f"""{w}{JOBS} SELECT job_uid, coalesce(title, '') || chr(10) || left(array_to_string(list_filter(list_transform(string_split(coalesce(description, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(160))), lambda x: x <> ''), chr(10)), {MOST_CHARS})
+          || chr(10) || chr(10) || 'Additional context:' || chr(10) || 'see ' || source AS text FROM jobs""",
         "published": f"""{w}{JOBS} SELECT 'chat' AS sink, least(count(*), 20) AS n_items FROM jobs WHERE status = 'new' UNION ALL SELECT 'mail', count(*) FROM jobs WHERE status = 'new' UNION ALL SELECT 'feed', least(count(*), 100) FROM jobs WHERE status IN ('new', 'active')""",
         "values_coerced": f"""SELECT event_id, CASE WHEN event_id % 6 = 5 THEN CASE WHEN event_id % 4 IN (1, 2) AND user_id <= 18 THEN power(10, user_id)::BIGINT END WHEN event_id % 6 IN (0, 1, 4) AND event_id % 4 <> 3 AND user_id > 0 THEN user_id END AS whole,
           CASE WHEN event_id % 9 < 3 THEN TRUE WHEN event_id % 9 < 6 THEN FALSE END AS flag, nullif(trim({_pick(["true", " YES ", "1", "no", "False", "0", "maybe", "", None], "event_id")}), '') AS filled,
