@@ -6,6 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.functions import text
 from tideline.operators import gates, identity, match, neardup, pages, publish, runs, snapshot, views
 from tideline.plans.config import Feed, Keywords
 from tideline.schemas import SNAPSHOT
@@ -272,6 +273,20 @@ def test_near_titles(spark):
     assert got == {(a, b) for a in titles for b in titles if a < b and neardup.indel_ratio(key(a), key(b)) >= 80.0}
 
 
+@pytest.mark.parametrize("few", [0, 20, 1000])
+def test_near_titles_of_small_and_large_companies(spark, few):
+    import random
+
+    draw = random.Random(6)
+    words = ["engineer", "backend", "senior", "data", "platform", "öko", "ml", "x"]
+    rows = [(c, " ".join(draw.choice(words) + draw.choice(["", "", "s", "1"]) for _ in range(draw.randint(1, 7)))) for c, n in (("A", 12), ("B", 90), (None, 10)) for _ in range(n)]
+    got = {(r.company, r.a, r.b, round(r.ratio, 9)) for r in neardup.near_titles(spark.createDataFrame(rows, "company string, title string"), few=few).collect()}
+    named = spark.createDataFrame(rows, "company string, title string").select(text.norm_company(F.col("company")), text.norm_title(F.col("title"))).distinct().collect()
+    key = lambda t: " ".join(sorted(t.split()))
+    want = {(c, a, b, round(neardup.indel_ratio(key(a), key(b)), 9)) for c, a in named for d, b in named if c == d and a < b and neardup.indel_ratio(key(a), key(b)) >= 88}
+    assert got == want and want
+
+
 def test_dedup_keeps_blank_keys(spark):
     df = spark.createDataFrame([("s", "k", 2), ("s", "k", 1), ("s", "", 3), ("s", None, 4)], "source string, key string, pos int")
     assert sorted(r.pos for r in identity.first_in(df, ["source", "key"], ["pos"]).collect()) == [1, 3, 4]

@@ -5,13 +5,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.shared import stored
 from tideline.functions.text import norm_company, norm_title, token_sort
 
 THRESHOLD = 88.0
+FEW = 256  #: titles of a company that are one row
+FOUND = "company string, a string, b string, ratio double"
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -64,13 +68,55 @@ def _hashed(keys: list[tuple]) -> list[int]:
     return list({int.from_bytes(hashlib.blake2b(repr(k).encode(), digest_size=8).digest(), "little", signed=True) for k in keys})
 
 
-def near_titles(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _histograms(texts: list[str]) -> np.ndarray:
+    """How often each text has each character, those beyond 63 kinds taken together by remainder."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, x in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) & 63, minlength=64)
+    return out
+
+
+def pairs_within(titles: list[str], threshold: float) -> list[tuple[str, str, float]]:
+    """(a, b, ratio) of all pairs of a few titles at or above the threshold, a < b.
+
+    Insertions and deletions are no fewer than what the counts of characters differ by, so most pairs need no ratio.
+    """
+    words = sorted((" ".join(sorted(t.split())), t) for t in titles)
+    words.sort(key=lambda x: len(x[0]))
+    sizes, counts = np.array([len(w) for w, _ in words]), _histograms([w for w, _ in words])
+    out = []
+    for i in range(len(words) - 1):
+        most = (sizes[i] + sizes[i + 1 :]) * (1 - threshold / 100) + 1e-9
+        near = np.flatnonzero((sizes[i + 1 :] - sizes[i] <= most) & (np.abs(counts[i + 1 :] - counts[i]).sum(1) <= most)) + i + 1
+        for j in near.tolist():
+            if (ratio := indel_ratio(words[i][0], words[j][0])) >= threshold:
+                out.append((*sorted((words[i][1], words[j][1])), ratio))
+    return out
+
+
+def near_titles(postings: DataFrame, threshold: float = THRESHOLD, few: int = FEW) -> DataFrame:
     """(company, a, b, ratio) of distinct titles of a company at or above the threshold, a < b.
 
-    Titles meet by equal parts of their sorted words, which leaves out no pair that is near enough; the ratio verifies.
+    A company of at most ``few`` titles is one row of them, whose pairs are looked through. The titles of larger ones meet by
+    equal parts of their sorted words, which leaves out no pair that is near enough; the ratio verifies.
     """
-    titles = postings.select(norm_company(F.col("company")).alias("company"), norm_title(F.col("title")).alias("title")).distinct()
+    titles = stored(postings.select(norm_company(F.col("company")).alias("company"), norm_title(F.col("title")).alias("title")).distinct(), "titles")
+    sizes = titles.groupBy(F.col("company").alias("_company")).agg((F.count("*") <= few).alias("small"))
+    own = titles.join(sizes, F.col("company").eqNullSafe(F.col("_company"))).drop("_company")
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for company, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = pairs_within(some, threshold)
+                if found:
+                    x, y, ratio = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([company] * len(x), pa.string()), pa.array(x), pa.array(y), pa.array(ratio, pa.float64())], names=["company", "a", "b", "ratio"])
+
+    groups = own.where("small").groupBy("company").agg(F.collect_list("title").alias("titles"))
+    return groups.mapInArrow(small, FOUND).unionByName(_by_parts(own.where("not small").select("company", "title"), threshold))
+
 
+def _by_parts(titles: DataFrame, threshold: float) -> DataFrame:
     def keyed(side: int):
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -90,4 +136,4 @@ def near_titles(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             ratio = [indel_ratio(words(p), words(q)) for p, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ratio, pa.float64())], names=["company", "a", "b", "ratio"])
 
-    return pairs.mapInArrow(score, "company string, a string, b string, ratio double").where(F.col("ratio") >= threshold)
+    return pairs.mapInArrow(score, FOUND).where(F.col("ratio") >= threshold)
