@@ -1,6 +1,7 @@
 """Snapshot lifecycle, outcomes, matching, pages, boards, streaming."""
 
 import datetime as dt
+import os
 from dataclasses import replace
 
 import pytest
@@ -307,6 +308,9 @@ def test_stream_is_idempotent(spark, tmp_path):
     spark.createDataFrame([("a", 2), ("b", 5)], "k string, v int").write.mode("append").parquet(src)
     assert sorted(map(tuple, run().collect())) == [("a", 3), ("b", 5)]
     assert sorted(map(tuple, run().collect())) == [("a", 3), ("b", 5)]
+    spark.createDataFrame([("c", 1)], "k string, v int").write.mode("append").parquet(src)
+    assert sorted(map(tuple, run().collect())) == [("a", 3), ("b", 5), ("c", 1)]
+    assert sorted(os.listdir(str(tmp_path / "out"))) == ["cycle=1", "cycle=2"]
 
 
 def test_profiles(spark, tmp_path):

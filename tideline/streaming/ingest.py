@@ -1,4 +1,6 @@
-"""Cycles from landed files by Structured Streaming: each batch is merged into the newest snapshot and written as the next.
+"""Cycles from landed files by Structured Streaming: each batch is merged into the newest snapshot, which is written whole.
+
+For snapshots of any kind that are small enough for that; ``store`` keeps large ones of postings. The last two stay.
 
 Repeats are met by the snapshot, not by stream state, so a batch of any size or age may come again: a batch id that has
 its snapshot is skipped. No watermark: late rows and rows without a date are kept, as in a batch.
@@ -37,13 +39,14 @@ def ingest(source: DataFrame, out: str, checkpoint: str, merge: Merge) -> DataFr
             session = batch.sparkSession
             snapshot = session.read.parquet(before) if cycle else None
             merge(snapshot, batch, cycle).write.mode("overwrite").parquet(path)
+            at, fs = _folder(spark, f"{out}/cycle={cycle - 2}")
+            fs.delete(at, True)
         last.append(path)
 
     query = source.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(one).start()
     query.awaitTermination()
     if not last:
-        cycle = 0
-        while _done(spark, f"{out}/cycle={cycle + 1}"):
-            cycle += 1
-        last.append(f"{out}/cycle={cycle}")
+        at, fs = _folder(spark, out)
+        cycles = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(at)]
+        last.append(f"{out}/cycle={max(c for c in cycles if _done(spark, f'{out}/cycle={c}'))}")
     return spark.read.parquet(last[-1])
