@@ -471,7 +471,6 @@ def test_ftrl_against_a_plain_loop():
 
 
 def test_sharding_against_a_plain_version(spark):
-    from xxhash import xxh64_intdigest
 
     rng = random.Random(4)
     own = [(i if i % 11 else None, rng.choice(["", "a", "b c", None, "é"]), None, rng.choice(["hot", "hot", "x", None]), None) for i in range(300)]

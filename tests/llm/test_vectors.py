@@ -4,7 +4,6 @@ import hashlib
 import math
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import op11_centroids, op13_neighbours
