@@ -248,6 +248,15 @@ def test_text_by_pattern_equals_the_parser(spark, sf):
     assert all(r.t == (None if r.html is None else pages.page_text(r.html)) for r in rows.select("html", pages.text_of_html(F.col("html")).alias("t")).collect())
 
 
+def test_text_of_ampersands_and_open_ends(spark):
+    made = {"<title>ver&amp</title>Und": "ver&ampUnd", "long text before and&the": "long text before and&the", "<p>a</p>b & c &": "a\nb & c &", "R&D": "R&D", "&notit; &lt": "&notit; &lt", "a <b": "a <b", "&#39;&eacute;&lt;": "'é<"}
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(made)], "page_id long, html string")
+    assert {h: pages.page_text(h) for h in made} == made
+    assert [r.page_text for r in pages.text_of_pages(rows).orderBy("page_id").collect()] == list(made.values())
+    jobs = rows.select(F.col("page_id").alias("job_uid"), F.lit("T").alias("title"), F.col("html").alias("description"))
+    assert [r.t for r in jobs.select("job_uid", match.posting_text(jobs).alias("t")).orderBy("job_uid").collect()] == [f"T\n{t}" for t in made.values()]
+
+
 @pytest.mark.parametrize("rare", [0, 2, 5, 1000])
 def test_many_projects_by_bounds(spark, rare):
     import random
