@@ -270,6 +270,16 @@ def test_many_projects_by_bounds(spark, rare):
     assert rows(match.overlap_topk_many(jobs, projects, 3, rare)) == rows(match.overlap_topk(jobs, projects, 3))
 
 
+def test_block_of_many_projects_gives_only_its_first(spark):
+    import pyarrow as pa
+
+    jobs = pa.table({"job_uid": ["a", "b", "c"], "ids": pa.array([[1, 2, 9], [], [7, 3]], pa.list_(pa.int64()))})
+    projects = pa.table({"project": ["z", "y", "x", "w"], "ord": pa.array([5, 5, 2, None], pa.int64()), "ids": pa.array([[1, 2], [2, 1], [3], []], pa.list_(pa.int64()))})
+    best = match._best_of_block(jobs, projects, 2).to_pylist()
+    assert [(r["job_uid"], r["project"], r["score"]) for r in best] == [("a", "y", 2), ("a", "z", 2), ("b", "w", 0), ("b", "x", 0), ("c", "x", 1), ("c", "w", 0)]
+    assert len(match._best_of_block(jobs, projects, 9)) == 12 and len(match._best_of_block(jobs.slice(0, 0), projects, 2)) == 0
+
+
 def test_near_titles(spark):
     rows = [("Acme Inc", "Senior Backend Engineer"), ("acme", "Backend Engineer, Senior"), ("Acme", "Backend Engineers Senior"), ("Acme", "Cook"), ("Beta", "Backend Engineers Senior")]
     got = neardup.near_titles(spark.createDataFrame(rows, "company string, title string")).collect()
