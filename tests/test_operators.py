@@ -248,6 +248,19 @@ def test_text_by_pattern_equals_the_parser(spark, sf):
     assert all(r.t == (None if r.html is None else pages.page_text(r.html)) for r in rows.select("html", pages.text_of_html(F.col("html")).alias("t")).collect())
 
 
+def test_queries_bound_arrow_batches_by_bytes(spark, sf):
+    import __spark_entry__ as entry
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.assign(n=len(batch))[["n"]].head(1)
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "256m")
+    entry.queries()["page_sanitise"](spark, sf)
+    long = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), F.lit(1 << 20)).alias("text"))
+    assert max(r.n for r in long.mapInPandas(sizes, "n long").collect()) <= 10
+
+
 def test_text_of_ampersands_and_open_ends(spark):
     made = {"<title>ver&amp</title>Und": "ver&ampUnd", "long text before and&the": "long text before and&the", "<p>a</p>b & c &": "a\nb & c &", "R&D": "R&D", "&notit; &lt": "&notit; &lt", "a <b": "a <b", "&#39;&eacute;&lt;": "'é<"}
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(made)], "page_id long, html string")
