@@ -577,3 +577,10 @@ def test_stages_on_edge_rows(spark, sf, docs, rows, empty):
             assert set(left) <= have and not left - Counter((d, t) for d, t, _ in rows), name
         if name == "exact dedup":
             assert len({brute.BLANK.sub("", t or "") for _, t in left}) == sum(left.values()) == len({brute.BLANK.sub("", t or "") for _, t, _ in rows})
+
+
+def test_common_shingles_take_eight_bytes_each(spark):
+    value, n = op7_jaccard.common_shingles(spark.createDataFrame([("a b c",)] * 20, "text string"), 2)
+    assert list(n) == [20, 20] and value.itemsize + n.itemsize == 8
+    h = np.sort(op7_jaccard.shingles(b"a b c d", op7_jaccard.Hashes(), 2))
+    assert len(op7_jaccard.first_shingles(h, (value, n), 0.5)) == 2 and not np.isin(op7_jaccard.first_shingles(h, (value, n), 1.0) >> np.uint64(32), value).any()

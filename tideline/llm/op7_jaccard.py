@@ -30,6 +30,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def prefix_length(n: int, similar: float) -> int:
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The highest 32 bits of the most frequent shingles, sorted, and how many texts hold them (about 12 MB at the most)."""
+    """The highest 32 bits of the most frequent shingles, sorted, and how many texts hold them (8 MB at the most)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = Hashes(), [], 0
@@ -125,7 +126,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
         def out() -> pa.RecordBatch:
             at = np.flatnonzero(counts >= COMMON_FROM)
-            return pa.RecordBatch.from_arrays([pa.array(at + (part << RANGE_BITS)), pa.array(counts[at].astype(np.int64))], names=["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array((at + (part << RANGE_BITS)).astype("<u4").view("<i4")), pa.array(np.minimum(counts[at], (1 << 31) - 1).astype("<i4"))], names=["shingle", "n"])
 
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -140,9 +141,9 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
             yield out()
 
     dealt = docs.select("text").mapInArrow(deal, "part int, held binary")
-    counted = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(count, "shingle long, n long")
+    counted = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(count, "shingle int, n int")
     top = counted.orderBy(F.col("n").desc(), "shingle").limit(COMMON).toArrow()
-    value, n = top.column("shingle").to_numpy().astype(np.uint64), top.column("n").to_numpy()
+    value, n = top.column("shingle").to_numpy().view(np.uint32), top.column("n").to_numpy()
     order = np.argsort(value)
     return value[order], n[order]
 
@@ -153,7 +154,7 @@ def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar
     p = prefix_length(len(h), similar)
     if not len(value) or not p:
         return h[:p]
-    top = h >> np.uint64(32)
+    top = (h >> np.uint64(32)).astype(np.uint32)
     at = np.minimum(np.searchsorted(value, top), len(value) - 1)
     often = value[at] == top
     rare = h[~often]
@@ -177,9 +178,8 @@ def shingle_sets(docs: DataFrame, row: str, width: int) -> DataFrame:
     return kept.mapInArrow(rows, f"doc_id {doc_id}, row {ROW}, node long, n long, fp long, {', '.join(f'{c} long' for c in PARITY)}")
 
 
-def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], width: int, similar: float) -> DataFrame:
-    """(key, node): the shingles of each set's prefix; a set that comes again in a task is told once."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def prefixes(docs: DataFrame, shared: Broadcast, width: int, similar: float) -> DataFrame:
+    """(key, node): the shingles of each set's prefix, by the broadcast common ones; a set that comes again in a task is told once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, told = Hashes(), set()
@@ -310,7 +310,9 @@ def keep_unlike(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -
     known = saved(shingle_sets(rows, row, width))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
     nodes = saved(known.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("n", "fp", *PARITY))))
-    shared = saved(shared_prefixes(prefixes(rows, common_shingles(rows, width), width, similar)))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
+    shared = saved(shared_prefixes(prefixes(rows, common, width, similar)))
+    common.destroy()
     crowds = shared.groupBy("key").agg(F.count("*").alias("nodes")).where(F.col("nodes") > NEAR + 1).select("key")
     crowd = saved(shared.join(crowds, "key", "left_semi"))
     near = meetings(shared.join(crowd.select("key").distinct(), "key", "left_anti"), NEAR).unionByName(meetings(crowd, CHAIN)).distinct()
