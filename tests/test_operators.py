@@ -320,6 +320,33 @@ def test_near_titles_of_small_and_large_companies(spark, few):
     assert got == want and want
 
 
+def test_near_pairs_equal_the_plain_ratio():
+    import random
+
+    draw = random.Random(3)
+    texts = ["", "a", "é" * 20 + "x", "e" * 40, "e" * 36 + "b"]
+    for n in (5, 30, 63, 64, 65, 128, 200, 511, 600):
+        text = "".join(draw.choice("abc de") for _ in range(n))
+        texts += [text, text[1:] + "z", text[: n // 2] + "qq" + text[n // 2 :], text.replace("a", "b", 3), text[::-1]]
+    want = {(i, j): r for i in range(len(texts)) for j in range(i + 1, len(texts)) if (r := neardup.indel_ratio(texts[i], texts[j])) >= 88}
+    i, j, ratio = neardup.near_pairs(texts, None, 88.0)
+    assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), ratio.tolist(), strict=True)) == want and len(want) > 20
+    i, j, ratio = neardup.near_pairs(texts[:20], texts[20:], 88.0)
+    assert dict(zip(zip(i.tolist(), (j + 20).tolist(), strict=True), ratio.tolist(), strict=True)) == {k: r for k, r in want.items() if k[0] < 20 <= k[1]}
+
+
+def test_near_titles_of_many_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    draw = random.Random(7)
+    words = ["engineer", "backend", "senior", "data", "platform", "ml", "x"]
+    titles = sorted({" ".join(draw.choice(words) + draw.choice(["", "s", "1"]) for _ in range(draw.randint(1, 6))) for _ in range(150)})
+    got = sorted((r.a, r.b, r.ratio) for r in neardup.near_titles(spark.createDataFrame([("c", t) for t in titles], "company string, title string"), few=0).collect())
+    key = lambda t: " ".join(sorted(t.split()))
+    assert got == sorted((a, b, r) for a in titles for b in titles if a < b and (r := neardup.indel_ratio(key(a), key(b))) >= 88) and got
+
+
 def test_dedup_keeps_blank_keys(spark):
     df = spark.createDataFrame([("s", "k", 2), ("s", "k", 1), ("s", "", 3), ("s", None, 4)], "source string, key string, pos int")
     assert sorted(r.pos for r in identity.first_in(df, ["source", "key"], ["pos"]).collect()) == [1, 3, 4]
