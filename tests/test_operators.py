@@ -293,6 +293,20 @@ def test_block_of_many_projects_gives_only_its_first(spark):
     assert len(match._best_of_block(jobs, projects, 9)) == 12 and len(match._best_of_block(jobs.slice(0, 0), projects, 2)) == 0
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_overlap_reads_a_posting_once(spark, monkeypatch, few):
+    monkeypatch.setattr(match, "FEW_PROJECTS", few)
+    jobs = spark.createDataFrame([("a", "red blue red ring"), ("a", "blue"), ("b", None), ("c", "green")], "job_uid string, text string")
+    projects = spark.createDataFrame([("z", 1, "red"), ("y", 2, "blue red"), ("x", 2, None), ("w", 3, "green")], "project string, ord int, text string")
+    best = match.overlap_topk(jobs, projects, 2)
+    want = [("a", "y", 2, 3, 1), ("a", "z", 1, 1, 2), ("b", "z", 1, 0, 1), ("b", "x", 2, 0, 2), ("c", "w", 3, 1, 1), ("c", "z", 1, 0, 2)]
+    assert [tuple(r) for r in best.orderBy("job_uid", "rank").collect()] == want
+    assert dict(best.dtypes) == {"job_uid": "string", "project": "string", "ord": "int", "score": "bigint", "rank": "bigint"}
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == (1 if few else 2)  # of a posting once, and of the projects if they are joined
+    assert not match.overlap_topk(jobs, projects.limit(0), 2).collect()
+
+
 def test_near_titles(spark):
     rows = [("Acme Inc", "Senior Backend Engineer"), ("acme", "Backend Engineer, Senior"), ("Acme", "Backend Engineers Senior"), ("Acme", "Cook"), ("Beta", "Backend Engineers Senior")]
     got = neardup.near_titles(spark.createDataFrame(rows, "company string, title string")).collect()
