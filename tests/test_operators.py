@@ -293,6 +293,18 @@ def test_block_of_many_projects_gives_only_its_first(spark):
     assert len(match._best_of_block(jobs, projects, 9)) == 12 and len(match._best_of_block(jobs.slice(0, 0), projects, 2)) == 0
 
 
+def test_first_stale_pass_is_looked_for_once(spark):
+    from tideline.plans.views import FEED
+
+    day = lambda n: f"2024-01-{n:02d}"
+    cycles = spark.createDataFrame([(n, day(n)) for n in range(1, 9)], "cycle long, as_of string").withColumn("as_of", F.col("as_of").cast("timestamp"))
+    passes = spark.createDataFrame([("s", n, None if n % 2 else True) for n in range(1, 9) if n != 3], "source string, cycle long, exhaustive boolean")
+    seen = spark.createDataFrame([("u", "s", 2, None, 1)], "uid string, source string, cycle long, posted_at timestamp, ord long")
+    lives = snapshot.replay_intervals(seen, passes, cycles, replace(FEED, grace_days=4))
+    assert sorted((r.from_cycle, r.to_cycle, r.status) for r in lives.collect()) == [(2, 3, "new"), (4, 6, "stale"), (7, 8, "deleted")]
+    assert lives._jdf.queryExecution().optimizedPlan().toString().count("filter(passes") == 2
+
+
 @pytest.mark.parametrize("few", [0, 64])
 def test_overlap_reads_a_posting_once(spark, monkeypatch, few):
     monkeypatch.setattr(match, "FEW_PROJECTS", few)
