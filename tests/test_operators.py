@@ -305,6 +305,20 @@ def test_first_stale_pass_is_looked_for_once(spark):
     assert lives._jdf.queryExecution().optimizedPlan().toString().count("filter(passes") == 2
 
 
+def test_payloads_are_read_once(spark):
+    from tideline.sources.boards import MAPPERS, map_items, read_boards, read_items
+
+    rows = [("lever", '[{"id":"1","text":"Cook"}]', "k"), ("lever", "[]", "k"), ("lever", '{"ok":false}', "k"), ("lever", None, "k"), ("none", "[]", "k")]
+    landed = spark.createDataFrame(rows, "board string, payload string, company_key string")
+    as_of = F.lit("2024-02-01").cast("timestamp")
+    found, log = read_boards(landed, as_of, {"lever": MAPPERS["lever"]})
+    items, _ = read_items(landed.drop("board"), MAPPERS["lever"])
+    for got in (found, map_items(items, MAPPERS["lever"], as_of)):
+        assert [(r.title, r.source) for r in got.collect()] == [("Cook", "lever_k")]
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted(r.n_items for r in log.collect()) == [0, 0, 0, 0, 1]
+
+
 @pytest.mark.parametrize("few", [0, 64])
 def test_overlap_reads_a_posting_once(spark, monkeypatch, few):
     monkeypatch.setattr(match, "FEW_PROJECTS", few)

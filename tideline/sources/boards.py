@@ -90,7 +90,7 @@ def _page(rows: DataFrame, items: str, exhaustive: Column | None) -> DataFrame:
 def read_items(payloads: DataFrame, board: Board) -> tuple[DataFrame, DataFrame]:
     """(items, pages) of (payload, company, ...): items as column ``item`` with ``pos``, pages with n_items, ok, exhaustive."""
     rows = payloads.withColumn("_items", F.when(F.col("payload").isNotNull(), _listed(board, F.col("payload"))))
-    found = rows.select("*", F.posexplode("_items").alias("pos", "item")).where(F.col("item").isNotNull())
+    found = rows.select("*", F.posexplode_outer("_items").alias("pos", "item")).where(F.col("item").isNotNull())
     return found.drop("_items", "payload"), _page(rows, "_items", F.col("n_items") < board.page_limit if board.page_limit else None)
 
 
@@ -145,7 +145,8 @@ def read_boards(landed: DataFrame, as_of: Column, boards: dict[str, Board] | Non
         limit = limit.when(mine, F.lit(board.page_limit).cast("int"))
     rows = landed.withColumn("_found", F.when(F.col("payload").isNotNull(), found))
     others = [c for c in landed.columns if c != "payload"]
-    each = rows.select(*others, F.explode("_found").alias("_p")).where("_p.kept").select(*others, "_p.*").drop("kept")
+    # the outer form: from a plain explode Spark infers a filter on its array, which reads and maps every payload again
+    each = rows.select(*others, F.explode_outer("_found").alias("_p")).where("_p.kept").select(*others, "_p.*").drop("kept")
     return to_posting(_described(each)), _page(rows, "_found", F.coalesce(F.col("n_items") < limit, F.lit(False)))
 
 
