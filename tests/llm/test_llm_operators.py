@@ -392,6 +392,42 @@ def test_runs_of_words_that_documents_share(spark, parts):
     assert len(grams) >= len(held)  # a hash stands for one run
 
 
+def test_tuples_travel_without_names(spark):
+    import zstandard
+
+    x = bytes(range(32, 127)) * 3
+    anchors = [{"at": 60, "lo": 0, "hi": 60}, {"at": 150, "lo": 3, "hi": 40}]
+    held = spark.createDataFrame([(7, zstandard.compress(x), anchors)], "row long, text binary, found array<struct<at long, lo int, hi int>>")
+    tuples = op9_repeats.first_tuples(held, 100, 16)
+    assert tuples.columns == ["core", "left", "right", "lo", "hi"]
+    names = [op9_repeats.name_of(*t) for t in tuples.collect()]
+    members = op9_repeats.first_members(held, 100, 16).collect()
+    assert [bytes(m.name) for m in members] == names and {m.row for m in members} == {7}
+    assert len(set(names)) == len(names) == 5
+
+
+def test_swept_drops_the_shuffles_of_finished_steps(spark):
+    import time
+
+    from tideline.llm.common import saved, swept
+
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    swept(spark)
+    time.sleep(2)
+    before = files()
+    kept = saved(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() > before
+    swept(spark)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
+    assert kept.count() == 7
+
+
 def test_repeats_empty(empty):
     assert op9_repeats.remove_repeats(empty).count() == 0
 

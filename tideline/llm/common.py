@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,6 +65,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Collect the driver's garbage between the steps of a long query.
+
+    The plans, jobs and task figures of finished steps go, so that the driver's heap does not grow with the number of steps;
+    and Spark's cleaner deletes the shuffle files and checkpoints that only they held.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate rows that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

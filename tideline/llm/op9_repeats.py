@@ -26,6 +26,7 @@ plain Parquet scan is written once for that.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ROW, Hashes, chunks, numbered, saved, spread_join, texts
+from tideline.llm.common import ROW, Hashes, chunks, numbered, saved, spread_join, swept, texts
 
 LENGTH = 400
 K = 32
@@ -42,8 +43,9 @@ RUNS = (25, 5, 1)  #: offsets that share a core, at each level
 MOST = 4096
 RUN, GRAM = 48, 24  #: words
 AT_ONCE = 20_000  #: suffix tuples that a task induces at once (with whole groups, MOST more at the most)
-TUPLE = "core binary, left binary, right binary, lo int, hi int, name binary"
+TUPLE = "core binary, left binary, right binary, lo int, hi int"
 SURVEY_BYTES = 2 << 20
+SIZES, BOUNDS = struct.Struct("<3I"), struct.Struct("<2I")
 BYTE_HASH = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 NO_BYTES = hashlib.sha256(b"").hexdigest()
@@ -123,8 +125,13 @@ def _picked(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[dict]]]:
         yield i, unzip.decompress(x), found
 
 
-def _digest(*parts: bytes) -> bytes:
-    return hashlib.blake2b(b"".join(len(p).to_bytes(4, "little") + p for p in parts), digest_size=16).digest()
+def _digest(a: bytes, b: bytes, c: bytes) -> bytes:
+    return hashlib.blake2b(SIZES.pack(len(a), len(b), len(c)) + a + b + c, digest_size=16).digest()
+
+
+def name_of(core: bytes, left: bytes, right: bytes, lo: int, hi: int) -> bytes:
+    """The tuple's name. It is worked out where it is asked for, as it would be a third of what a tuple takes on its way."""
+    return _digest(core + BOUNDS.pack(lo, hi), left, right)
 
 
 def _cut(core: bytes, left: bytes, right: bytes, lo: int, hi: int, whole: int, run: int) -> Iterator[tuple[int, tuple]]:
@@ -137,43 +144,64 @@ def _cut(core: bytes, left: bytes, right: bytes, lo: int, hi: int, whole: int, r
         last = first + run - 1
         inner = _digest(core, left[:first], right[: max(0, whole - last)])
         a, b = left[first : min(last, hi)], bytes(max(0, last - whole)) + right[max(0, whole - last) : whole - max(first, lo)]
-        bounds = (max(lo, first) - first, min(hi, last) - first)
-        yield first, (inner, a, b, *bounds, _digest(inner, a, b, bytes(str(bounds), "ascii")))
+        yield first, (inner, a, b, max(lo, first) - first, min(hi, last) - first)
+
+
+def _first_cuts(x: bytes, found: list[dict], length: int, k: int) -> Iterator[tuple[int, tuple]]:
+    """(base, tuple) of a text's anchors: the string at offset o starts at base - o."""
+    for f in found:
+        at, lo, hi = f["at"], f["lo"], f["hi"]
+        for first, t in _cut(x[at : at + k], x[at - hi : at][::-1], x[at + k : at + length - lo], lo, hi, length - k, RUNS[0]):
+            yield at - first, t
 
 
 def first_tuples(joined: DataFrame, length: int, k: int) -> DataFrame:
-    """The tuples of (row, text, found), with row and base: the string at offset o starts at base - o."""
+    """The tuples of (row, text, found)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for _, x, found in _picked(batch):
+                for _, t in _first_cuts(x, found, length, k):
+                    for col, v in zip(out, t, strict=True):
+                        col.append(v)
+            kinds = [pa.binary()] * 3 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["core", "left", "right", "lo", "hi"])
+
+    return joined.mapInArrow(rows, TUPLE)
+
+
+def first_members(joined: DataFrame, length: int, k: int) -> DataFrame:
+    """(name, row, base) of the tuples of (row, text, found)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            names, of, bases = [], [], []
             for i, x, found in _picked(batch):
-                for f in found:
-                    at, lo, hi = f["at"], f["lo"], f["hi"]
-                    for first, t in _cut(x[at : at + k], x[at - hi : at][::-1], x[at + k : at + length - lo], lo, hi, length - k, RUNS[0]):
-                        for col, v in zip(out, (*t, i, at - first), strict=True):
-                            col.append(v)
-            kinds = [pa.binary()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.int64(), pa.int64()]
-            *tuples, of, base = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*tuples, batch.column(0).take(of), base], names=["core", "left", "right", "lo", "hi", "name", "row", "base"])
+                for base, t in _first_cuts(x, found, length, k):
+                    names.append(name_of(*t))
+                    of.append(i)
+                    bases.append(base)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(0).take(pa.array(of, pa.int64())), pa.array(bases, pa.int64())], names=["name", "row", "base"])
 
-    return joined.mapInArrow(rows, f"{TUPLE}, row long, base long")
+    return joined.mapInArrow(rows, "name binary, row long, base long")
 
 
 def shorter_tuples(tuples: DataFrame, level: int) -> DataFrame:
-    """Tuples of the next level, with parent (the tuple they come from), shift and n."""
+    """Tuples of the next level, with name, parent (the name of the tuple they come from), shift and n."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
-            for core, left, right, lo, hi, name, n in zip(*(batch.column(c).to_pylist() for c in ("core", "left", "right", "lo", "hi", "name", "n")), strict=True):
-                for first, t in _cut(core, left, right, lo, hi, RUNS[level - 1] - 1, RUNS[level]):
-                    for col, v in zip(out, (*t, name, first, n), strict=True):
+            for *whole, n in zip(*(batch.column(c).to_pylist() for c in ("core", "left", "right", "lo", "hi", "n")), strict=True):
+                name = name_of(*whole)
+                for first, t in _cut(*whole, RUNS[level - 1] - 1, RUNS[level]):
+                    for col, v in zip(out, (*t, name_of(*t), name, first, n), strict=True):
                         col.append(v)
             kinds = [pa.binary()] * 3 + [pa.int32()] * 2 + [pa.binary(), pa.binary(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["core", "left", "right", "lo", "hi", "name", "parent", "shift", "n"])
 
-    return tuples.mapInArrow(rows, f"{TUPLE}, parent binary, shift int, n long")
+    return tuples.mapInArrow(rows, f"{TUPLE}, name binary, parent binary, shift int, n long")
 
 
 def _matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +270,9 @@ def induced(tuples: DataFrame, length: int) -> DataFrame:
         last = np.append(first[1:], len(who))[: len(first)] - 1
         whole = np.flatnonzero(n > 1)  # what is there twice repeats itself
         of = np.concatenate([who[first], whole])
-        names = batch.column("name").combine_chunks().take(pa.array(of))
+        told, at = np.unique(of, return_inverse=True)
+        few = batch.take(pa.array(told))
+        names = pa.array([name_of(*t) for t in zip(*(few.column(c).to_pylist() for c in ("core", "left", "right", "lo", "hi")), strict=True)], pa.binary()).take(pa.array(at))
         return pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([offset[first], lo[whole]])), pa.array(np.concatenate([offset[last], hi[whole]]))], names=["name", "first", "last"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,10 +403,11 @@ def shared_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
 
 def repeated_tuples(tuples: DataFrame, level: int, most: int) -> DataFrame:
     """(name, first, last) of tuples (TUPLE, n): equal ones summed, then sorted by core, or cut shorter."""
-    keys = ["core", "left", "right", "lo", "hi", "name"]
+    keys = ["core", "left", "right", "lo", "hi"]
     classes = tuples.groupBy(*keys).agg(F.sum("n").alias("n"))
     cores = classes.groupBy("core").agg(F.count("*").alias("tuples"), F.sum("n").alias("strings")).where("strings > 1").select("core", "tuples")
     classes = saved(classes.join(cores, "core"))
+    swept(tuples.sparkSession)
     parts = int(tuples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = classes.where(F.col("tuples") <= most).repartition(parts, "core").sortWithinPartitions("core", "right")
     found = induced(few.select(*keys, "n"), RUNS[level] - 1)
@@ -400,9 +431,8 @@ def anchored(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 def repeated_runs(held: DataFrame, length: int = LENGTH, k: int = K, most: int = MOST) -> DataFrame:
     """(row, start, end) of repeated strings in ``held`` (row, text, found); runs of a row may overlap."""
-    members = first_tuples(held, length, k)
-    runs = repeated_tuples(members.drop("row", "base").withColumn("n", F.lit(1).cast("long")), 0, most)
-    at = members.select("name", "row", "base").join(runs, "name")
+    runs = repeated_tuples(first_tuples(held, length, k).withColumn("n", F.lit(1).cast("long")), 0, most)
+    at = first_members(held, length, k).join(runs, "name")
     return at.select("row", (F.col("base") - F.col("last")).alias("start"), (F.col("base") - F.col("first") + length).alias("end"))
 
 
@@ -414,6 +444,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, most: int
     same = saved(seen.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     known = spread_join(seen, same, ["digest"], "copies").withColumn("stands", F.col("id") == F.col("first"))
     held = saved(anchored(base, known))
+    swept(docs.sparkSession)
     runs = repeated_runs(held, length, k, most).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     cut = without(held.select("row", "text").join(runs, "row"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
