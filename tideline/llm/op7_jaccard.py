@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ROW, Hashes, chunks, fresh, numbered, saved, written
+from tideline.llm.common import ROW, Hashes, chunks, fresh, numbered, saved, swept, written
 from tideline.llm.op7_simhash import components, links
 
 SEED = 42
@@ -305,14 +305,16 @@ def crowded_pairs(crowd: DataFrame, nodes: DataFrame, roots: DataFrame, similar:
 
 def keep_unlike(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
     """One row of each component of similar texts, the one with the least doc_id, with all columns of ``docs``."""
+    spark = docs.sparkSession
     row = fresh(docs, "row_")
     rows = numbered(docs, row)
     known = saved(shingle_sets(rows, row, width))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
     nodes = saved(known.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("n", "fp", *PARITY))))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
+    common = spark.sparkContext.broadcast(common_shingles(rows, width))
     shared = saved(shared_prefixes(prefixes(rows, common, width, similar)))
     common.destroy()
+    swept(spark)
     crowds = shared.groupBy("key").agg(F.count("*").alias("nodes")).where(F.col("nodes") > NEAR + 1).select("key")
     crowd = saved(shared.join(crowds, "key", "left_semi"))
     near = meetings(shared.join(crowd.select("key").distinct(), "key", "left_anti"), NEAR).unionByName(meetings(crowd, CHAIN)).distinct()
@@ -322,14 +324,19 @@ def keep_unlike(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -
     nearest = near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
     close = fingerprint_pairs(nodes).join(_of(nodes, "a", "_a"), "a").join(_of(nodes, "b", "_b"), "b").where(_may_be_alike("_a", "_b", similar)).select("a", "b")
     first = saved(nearest.unionByName(close).distinct())
+    swept(spark)
     names = nodes.select(F.col("node").alias("fp"), F.col("node").alias("label"))
     linked = saved(alike(first, rows, row, nodes, width, similar))
+    swept(spark)
     roots = saved(components(names, linked))
+    swept(spark)
     more = near.select("a", "b").unionByName(crowded_pairs(crowd, nodes, roots, similar)).distinct().join(first, ["a", "b"], "left_anti")
     rest = saved(_roots(_roots(more, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b").select("a", "b"))
+    swept(spark)
     if not rest.isEmpty():
-        linked = linked.unionByName(alike(rest, rows, row, nodes, width, similar))
-        roots = components(names, saved(linked))
+        linked = saved(linked.unionByName(alike(rest, rows, row, nodes, width, similar)))
+        swept(spark)
+        roots = components(names, linked)
     part = saved(_roots(nodes.select("node", "best"), roots, "node", "root"))
     stays = part.groupBy("root").agg(F.min("best").alias("stay")).select("root", F.col("stay.row").alias("stay"))
     found = known.select("node", "row").join(part.select("node", "root").join(stays, "root"), "node")
