@@ -323,6 +323,52 @@ def test_near_dedup_checks_pairs_exactly(spark, docs, rows):
     assert op7_jaccard.keep_unlike(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_takes_few_jobs(spark):
+    rng = random.Random(4)
+    base = [str(rng.random()) for _ in range(200)]
+    few = [(i, " ".join([*base[:k], "x", *base[k + 1 :]])) for i, k in enumerate(range(0, 200, 5))]
+    few += [(100 + i, " ".join(str(rng.random()) for _ in range(30))) for i in range(20)]
+    docs = spark.createDataFrame(few, "doc_id long, text string")
+    spark.sparkContext.setJobGroup("near", "near dedup")
+    try:
+        assert op7_jaccard.keep_unlike(docs).count() == 21
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) <= 90
+
+
+@pytest.mark.parametrize("most", [1 << 18, 60, 9])
+def test_reach_finds_the_least_of_each_component(spark, most):
+    rng = random.Random(most)
+    links = {(i, i + 1) for i in range(60)} | {(100, x) for x in range(101, 160)} | {tuple(sorted(rng.sample(range(200, 500), 2))) for _ in range(180)}
+    near = {x: {x} for e in links for x in e}
+    for a, b in links:
+        if near[a] is not near[b]:
+            near[a] |= near[b]
+            for x in near[b]:
+                near[x] = near[a]
+    pairs = spark.createDataFrame(sorted(links), "a long, b long")
+    got = [(r.fp, r.root) for r in op7_jaccard.reach(pairs, most).collect()]
+    assert sorted(got) == sorted((x, min(g)) for x, g in near.items() if x != min(g))
+    assert op7_jaccard.reach(pairs.limit(0), most).count() == 0
+
+
+@pytest.mark.parametrize("size", [2, 17, 18, 19, 40])
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+def test_crowded_keys_are_told(spark, size, batch):
+    rows = [(key, v) for key, n in ((1, size), (2, 1), (3, 3), (4, size), (5, 18)) for v in range(n) for _ in range(2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        shared = op7_jaccard.shared_prefixes(spark.createDataFrame(rows, "key long, node long"))
+        got = sorted(map(tuple, shared.collect()))
+        met = {tuple(r) for r in op7_jaccard.meetings(shared).distinct().collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted({(k, v, {1: size, 3: 3, 4: size, 5: 18}[k] > 17) for k, v in rows if k != 2})
+    lag = max(4 if size > 17 else 16, 4)
+    assert met == {(a, b) for b in range(size) for a in range(max(0, b - lag), b)} | {(a, b) for b in range(3) for a in range(b)} | {(a, b) for b in range(18) for a in range(max(0, b - 4), b)}
+
+
 @pytest.mark.parametrize("most", [3, 256])
 def test_simhash_links(spark, most):
     rng = random.Random(1)

@@ -30,12 +30,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import ROW, Hashes, chunks, fresh, numbered, saved, written
-from tideline.llm.op7_simhash import components, links
+from tideline.llm.op7_simhash import links
 
 SEED = 42
 WIDTH = 5
@@ -46,6 +46,7 @@ PARITY = [f"p{k}" for k in range(BITS // 64)]
 COMMON, COMMON_FROM = 1 << 20, 17
 RANGES, RANGE_BITS = 4096, 20  #: the 2^32 counters, as ranges that a task counts one after another
 JUMP = (1 << 16) - 1
+LINKS = 1 << 18  #: links that a task follows at once
 AT_ONCE = 4_000_000  #: shingles sorted at once before they are sent to the ranges
 EPS = 1e-9
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -199,45 +200,54 @@ def prefixes(docs: DataFrame, shared: Broadcast, width: int, similar: float) ->
 
 
 def shared_prefixes(keys: DataFrame) -> DataFrame:
-    """The rows of (key, node), each once, whose key has two nodes or more."""
+    """The rows of (key, node), each once, whose key has two nodes or more; ``crowded`` where it has over ``NEAR`` + 1."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, v, again = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False  # the last row, and if it repeats its key
+        k, v, sent = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0  # the last key's rows, and how many of it were sent: none until it is crowded
+
+        def out(most: int, sizes: np.ndarray) -> pa.RecordBatch:
+            met = sizes[:most] > 1
+            return pa.RecordBatch.from_arrays([pa.array(k[:most][met]), pa.array(v[:most][met]), pa.array(sizes[:most][met] > NEAR + 1)], names=["key", "node", "crowded"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             k, v = np.concatenate([k, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()])
             once = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
             k, v = k[once], v[once]
-            same = k[1:] == k[:-1]
-            met = np.concatenate([[again], same])
-            met[:-1] |= same
-            yield pa.RecordBatch.from_arrays([pa.array(k[:-1][met[:-1]]), pa.array(v[:-1][met[:-1]])], names=["key", "node"])
-            k, v, again = k[-1:], v[-1:], bool(met[-1])
-        if again:
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v)], names=["key", "node"])
+            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            of_key = np.diff(starts, append=len(k))
+            sizes = np.repeat(of_key + np.where(starts == 0, sent, 0), of_key)
+            keep = 1 if sizes[-1] > NEAR + 1 else of_key[-1]
+            yield out(len(k) - keep, sizes)
+            k, v, sent = k[-keep:], v[-keep:], sizes[-1] - keep
+        if len(k):
+            yield out(len(k), np.full(len(k), len(k) + sent))
 
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(rows, "key long, node long")
+    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(rows, "key long, node long, crowded boolean")
 
 
-def meetings(shared: DataFrame, lags: int) -> DataFrame:
-    """(a, b): each two nodes of a key at most ``lags`` apart in the order of nodes, a < b."""
+def meetings(shared: DataFrame) -> DataFrame:
+    """(a, b), which may come again: each two nodes of a key at most ``NEAR`` apart in the order of nodes, or ``CHAIN`` where it is crowded, a < b."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = v = np.zeros(0, dtype=np.int64)
+        c = np.zeros(0, dtype=bool)
         for batch in batches:
             old = len(k)
             k, v = np.concatenate([k, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()])
-            for lag in range(1, lags + 1):
+            c = np.concatenate([c, batch.column(2).to_numpy(zero_copy_only=False)])
+            for lag in range(1, NEAR + 1):
                 i = np.arange(max(old, lag), len(k))
                 i = i[k[i] == k[i - lag]]
+                if lag > CHAIN:
+                    i = i[~c[i]]
                 if not len(i):
                     break
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], v[i - lag])), pa.array(np.maximum(v[i], v[i - lag]))], names=["a", "b"])
-            k, v = k[-lags:], v[-lags:]
+            k, v, c = k[-NEAR:], v[-NEAR:], c[-NEAR:]
 
-    dealt = shared.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(rows, "a long, b long").distinct()
+    return shared.repartition("key").sortWithinPartitions("key", "node").mapInArrow(rows, "a long, b long")
 
 
 def _may_be_alike(a: str, b: str, similar: float) -> Column:
@@ -287,12 +297,54 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionByName(linked.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
 
 
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b) and, for each, the least one that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (differ := root[x] != root[y]).any():
+        p, q = root[x[differ]], root[y[differ]]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (to := root[root] != root).any():
+            root[to] = root[root[to]]
+    return nodes, nodes[root]
+
+
+def reach(pairs: DataFrame, most: int = LINKS) -> DataFrame:
+    """(fp, root) for each node of the links (a, b) but the least of its component, which is its root. ``pairs`` should be saved.
+
+    A round deals the links by their larger node to tasks of about ``most``; each task points its nodes at the least that its own
+    links reach. One task is then done; of several, each pointer jumps to where its target points, and the next round starts.
+    Links so shorten by half, and what points to two nodes makes them meet in its task.
+    """
+
+    def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
+        if held:
+            nodes, roots = least_reached(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            far = nodes != roots
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(roots[far]), pa.array(np.full(int(far.sum()), part))], names=["fp", "root", "part"])
+
+    edges = pairs.select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("root"))
+    while True:
+        state = saved(edges.repartition(edges.count() // most + 1, "fp").mapInArrow(point, "fp long, root long, part long"))
+        if state.agg(F.min("part") == F.max("part")).first()[0] is not False:
+            return state.select("fp", "root")
+        best = saved(state.groupBy("fp").agg(F.min("root").alias("root"), F.max("root").alias("other")))
+        to = best.select(F.col("fp").alias("root"), F.col("root").alias("jump"))
+        jumped = saved(state.select("fp", "root").join(to, "root", "left").select("fp", "jump", F.coalesce("jump", "root").alias("root")).distinct())
+        if best.where("root != other").isEmpty() and jumped.where("jump is not null").isEmpty():
+            return best.select("fp", "root")
+        edges = jumped.select("fp", "root")
+
+
 def _roots(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
     return df.join(roots.select(F.col("fp").alias(node), F.col("root").alias("root_")), node, "left").withColumn(root, F.coalesce("root_", node)).drop("root_")
 
 
 def crowded_pairs(crowd: DataFrame, nodes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
-    """(a, b) of crowded shingles: each node outside a crowd's largest component with the nodes of other components."""
+    """(a, b) of crowded shingles, which may come again: each node outside a crowd's largest component with the nodes of other components."""
     members = saved(_roots(crowd, roots, "node", "root"))
     parts = members.groupBy("key", "root").agg(F.count("*").alias("nodes"))
     largest = parts.groupBy("key").agg(F.max_by("root", F.struct("nodes", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
@@ -300,7 +352,7 @@ def crowded_pairs(crowd: DataFrame, nodes: DataFrame, roots: DataFrame, similar:
     few = inside.where("root != largest").select("key", F.col("node").alias("a"), F.col("root").alias("root_a")).join(_of(nodes, "a", "_a"), "a")
     every = inside.select("key", F.col("node").alias("b"), F.col("root").alias("root_b")).join(_of(nodes, "b", "_b"), "b")
     met = few.join(every, (few["key"] == every["key"]) & (F.col("root_a") != F.col("root_b")) & _may_be_alike("_a", "_b", similar))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def keep_unlike(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -> DataFrame:
@@ -313,23 +365,22 @@ def keep_unlike(docs: DataFrame, width: int = WIDTH, similar: float = SIMILAR) -
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
     shared = saved(shared_prefixes(prefixes(rows, common, width, similar)))
     common.destroy()
-    crowds = shared.groupBy("key").agg(F.count("*").alias("nodes")).where(F.col("nodes") > NEAR + 1).select("key")
-    crowd = saved(shared.join(crowds, "key", "left_semi"))
-    near = meetings(shared.join(crowd.select("key").distinct(), "key", "left_anti"), NEAR).unionByName(meetings(crowd, CHAIN)).distinct()
+    pairs = meetings(shared).withColumn("close", F.lit(False)).unionByName(fingerprint_pairs(nodes).withColumn("close", F.lit(True)))
+    near = pairs.groupBy("a", "b").agg(F.max("close").alias("close"))
     near = near.join(_of(nodes, "a", "_a", "fp"), "a").join(_of(nodes, "b", "_b", "fp"), "b").where(_may_be_alike("_a", "_b", similar))
-    near = saved(near.select("a", "b", F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))).alias("d")))
+    near = near.select("a", "b", "close", F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))).alias("d"))
     # The nearest node of each first, and what SimHash proposes: where all are alike, these few links already join them.
-    nearest = near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
-    close = fingerprint_pairs(nodes).join(_of(nodes, "a", "_a"), "a").join(_of(nodes, "b", "_b"), "b").where(_may_be_alike("_a", "_b", similar)).select("a", "b")
-    first = saved(nearest.unionByName(close).distinct())
-    names = nodes.select(F.col("node").alias("fp"), F.col("node").alias("label"))
-    linked = saved(alike(first, rows, row, nodes, width, similar))
-    roots = saved(components(names, linked))
-    more = near.select("a", "b").unionByName(crowded_pairs(crowd, nodes, roots, similar)).distinct().join(first, ["a", "b"], "left_anti")
-    rest = saved(_roots(_roots(more, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b").select("a", "b"))
+    nearest = F.row_number().over(Window.partitionBy("b").orderBy("d", "a")) == 1
+    near = saved(near.select("a", "b", (nearest | F.col("close")).alias("first")))
+    linked = saved(alike(near.where("first"), rows, row, nodes, width, similar))
+    roots = reach(linked)
+    apart = _roots(_roots(near, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b").select("a", "b", "first")
+    more = saved(crowded_pairs(shared.where("crowded").select("key", "node"), nodes, roots, similar))
+    rest = apart.unionByName(more.withColumn("first", F.lit(False))).groupBy("a", "b").agg(F.max("first").alias("first"))
+    rest = saved(rest.where("not first").select("a", "b"))
     if not rest.isEmpty():
-        linked = linked.unionByName(alike(rest, rows, row, nodes, width, similar))
-        roots = components(names, saved(linked))
+        joined = roots.select(F.col("root").alias("a"), F.col("fp").alias("b"))
+        roots = reach(saved(joined.unionByName(alike(rest, rows, row, nodes, width, similar))))
     part = saved(_roots(nodes.select("node", "best"), roots, "node", "root"))
     stays = part.groupBy("root").agg(F.min("best").alias("stay")).select("root", F.col("stay.row").alias("stay"))
     found = known.select("node", "row").join(part.select("node", "root").join(stays, "root"), "node")
