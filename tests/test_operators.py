@@ -283,6 +283,38 @@ def test_many_projects_by_bounds(spark, rare):
     assert rows(match.overlap_topk_many(jobs, projects, 3, rare)) == rows(match.overlap_topk(jobs, projects, 3))
 
 
+def test_postings_are_shuffled_once_however_many_blocks_they_meet(spark, monkeypatch):
+    files = lambda: {f.getPath(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(80)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(5000)).cast("string"))), " ")
+    jobs = spark.range(400).select(F.col("id").cast("string").alias("job_uid"), text.alias("text"))
+    projects = spark.range(1000, 1060).select(F.col("id").cast("string").alias("project"), F.col("id").alias("ord"), text.alias("text"))
+    best, shuffled = [], []
+    for block, met in ((60, 32), (1, 32), (1, 60)):
+        monkeypatch.setattr(match, "MET", met, raising=False)
+        before = files()
+        best.append(sorted(match.overlap_topk_many(jobs, projects, 3, block).collect()))
+        shuffled.append(sum(n for f, n in files().items() if f not in before))
+    assert best[0] == best[1] == best[2] and len(best[0]) == 1200
+    assert max(shuffled[1:]) < 3 * shuffled[0]
+
+
+def test_rows_of_one_key_are_one_however_they_are_batched(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [(None if i % 5 == 0 else str(i % 5), [f"w{i % 7}", f"v{i}"] if i % 3 else []) for i in range(40)] + [(f"k{i}", ["a", f"b{i}"]) for i in range(20)]
+        packs = match._packed(spark.createDataFrame(rows, "key string, words array<string>"), ["key"], 2, 4, 30).collect()
+        found = {}
+        for pack in packs:
+            ends = [sum(pack.sizes[: i + 1]) for i in range(len(pack.sizes))]
+            assert len(pack.key) <= 4 and len(set(pack.words)) == len(pack.words) and ends[-1] == len(pack.codes) and (len(pack.key) == 1 or ends[-1] <= 30)
+            for key, size, end in zip(pack.key, pack.sizes, ends, strict=True):
+                assert key not in found
+                found[key] = sorted(pack.words[c] for c in pack.codes[end - size : end])
+        assert found == {key: sorted({w for k, ws in rows if k == key for w in ws}) for key, _ in rows}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_block_of_many_projects_gives_only_its_first(spark):
     import pyarrow as pa
 
