@@ -449,3 +449,28 @@ def test_profiles(spark, tmp_path):
 
     (tmp_path / "p.json").write_text('{"person":"x","projects":[{"name":"n","tech":["go"]}]}')
     assert read_profiles(spark, str(tmp_path / "p.json")).first().projects[0].tech == ["go"] and "skills" in PROFILE
+
+
+def test_feed_count_counts_once_what_both_cycles_list(spark, sf, monkeypatch):
+    from tideline.plans import queries, views
+    from tideline.schemas import SNAPSHOT_COLUMNS
+
+    counted, totals = [], queries.views_of.totals
+    monkeypatch.setattr(queries.views_of, "totals", lambda jobs, kinds: counted.append(jobs) or totals(jobs, kinds))
+    total = {r["view"]: r["total"] for r in queries.QUERIES["feed_count"](spark, sf).collect()}["all"]
+    rows, once = counted[0].collect(), views.jobs(spark, sf).collect()
+    known = [r for r in rows if r.first_seen_at < r.last_seen_at]
+    assert 0 < len(known) < sum(r.first_seen_at < known[0].last_seen_at for r in rows) < len(rows) == len(once) == total
+    assert {(r.status, r.last_seen_cycle) for r in known} == {("active", 2)}
+    same = [c for c in SNAPSHOT_COLUMNS if c not in ("status", "last_seen_at", "last_seen_cycle")]
+    assert {tuple(r[c] for c in same) for r in rows} == {tuple(r[c] for c in same) for r in once}
+
+
+def test_relisted_postings_keep_the_rows_of_jobs_where_cycles_share_a_uid(spark, sf, monkeypatch):
+    from tideline.plans import views
+
+    few = views.postings(spark, sf).withColumn("company", F.lit("Acme")).withColumn("location", F.lit(None).cast("string"))
+    monkeypatch.setattr(views, "postings", lambda *_: few.withColumn("title", views._pick(views.TITLES, F.floor(F.col("pos") / 3).cast("long"))))
+    same = ["job_uid", "source", "source_native_id", "url", "title", "is_remote", "salary_min", "salary_bucket", "is_internship", "posted_at", "first_seen_at"]
+    rows, once = (sorted(f(spark, sf).select(same).collect(), key=str) for f in (views.relisted_jobs, views.jobs))
+    assert rows == once and 0 < len(rows) < 9
