@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import tempfile
 from dataclasses import replace
 
 import pytest
@@ -261,6 +262,19 @@ def test_queries_bound_arrow_batches_by_bytes(spark, sf):
     assert max(r.n for r in long.mapInPandas(sizes, "n long").collect()) <= 10
 
 
+def test_text_of_pages_is_whole(spark):
+    from tideline.plans import queries
+
+    lines = [f"line {i} of a long page" for i in range(3000)]
+    usual, odd = "".join(f"<p>{x}</p>" for x in lines), "".join(f"<p>{x}" for x in lines) + "<a href='x>y'></a></p>"
+    folder = tempfile.mkdtemp(prefix="pages-", dir="/tmp")
+    spark.createDataFrame([(1, usual), (2, odd), (3, "<p>" + "x" * 13_000), (4, None)], "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
+    got = {r.page_id: r.page_text for r in queries.QUERIES["page_text"](spark, folder).collect()}
+    assert got[1] == "\n".join(lines) and got[2] == pages.page_text(odd) and len(got[2]) > 12_000 and got[2].endswith(lines[-1]) and got[3] == "x" * 13_000
+    jobs = spark.createDataFrame([("a", "T", usual)], "job_uid string, title string, description string")
+    assert jobs.select(match.posting_text(jobs)).first()[0] == "T\n" + "\n".join(lines)[:12_000]
+
+
 def test_text_of_ampersands_and_open_ends(spark):
     made = {"<title>ver&amp</title>Und": "ver&ampUnd", "long text before and&the": "long text before and&the", "<p>a</p>b & c &": "a\nb & c &", "R&D": "R&D", "&notit; &lt": "&notit; &lt", "a <b": "a <b", "&#39;&eacute;&lt;": "'é<"}
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(made)], "page_id long, html string")

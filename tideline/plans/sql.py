@@ -278,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
         "page_text": f"""WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'gis') AS t FROM pages),
           b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<br[^>]*>|</({"|".join(sorted(BLOCKS))})>', chr(10), 'gi'), '<[^>]*>', '', 'g') AS t FROM a),
           c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM b)
-          SELECT page_id, left(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(160))), lambda x: x <> ''), chr(10)), {MOST_CHARS}) AS page_text FROM c""",
+          SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(160))), lambda x: x <> ''), chr(10)) AS page_text FROM c""",
         "required_years": f"{w}{POSTINGS}{_years()} SELECT key, years FROM yr WHERE years IS NOT NULL",
         "pay_normalise": f"""{w}o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN round_even(o_totalprice, 0)::BIGINT END AS lo, CASE WHEN o_orderkey % 5 <> 0 THEN round_even(o_totalprice, 0)::BIGINT * 2 END AS hi, {_pick(CURRENCIES, "o_orderkey")} AS c, {_pick(PERIODS, "o_orderkey")} AS per FROM orders)
           SELECT o_orderkey, {_converted("lo", "c", "per")} AS low, {_converted("hi", "c", "per")} AS high, per IS NOT NULL AND {_fx("c")} IS NOT NULL AND coalesce(lo, hi) IS NOT NULL AS parsed,
